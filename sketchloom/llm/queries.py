@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sketchloom.llm import pii
+from sketchloom.llm import chat, mixing, packing, pii, sharding, urlfilter
 from sketchloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,11 +16,36 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.digest(table(spark, sf_dir, "documents"))
+
+
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digest(spark, table(spark, sf_dir, "conversations"))
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.digest(table(spark, sf_dir, "pages"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.digest(table(spark, sf_dir, "documents"))
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_pii": op1_pii,
+        "op3_sharding": op3_sharding,
+        "op4_chat": op4_chat,
+        "op5_url_filter": op5_url_filter,
+        "op6_mixing": op6_mixing,
+        "op10_packing": op10_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_url_filter": urlfilter.sql()}
