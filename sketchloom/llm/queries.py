@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sketchloom.llm import chat, mixing, packing, pii, sharding, urlfilter
+from sketchloom.llm import chat, minhash, mixing, packing, pii, sharding, urlfilter
 from sketchloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,10 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.digest(table(spark, sf_dir, "documents"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(table(spark, sf_dir, "documents"))
 
@@ -39,6 +43,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_pii": op1_pii,
+        "op2_minhash": op2_minhash,
         "op3_sharding": op3_sharding,
         "op4_chat": op4_chat,
         "op5_url_filter": op5_url_filter,
@@ -48,4 +53,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_url_filter": urlfilter.sql()}
+    return {"op2_minhash": minhash.sql(), "op5_url_filter": urlfilter.sql()}
