@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sketchloom.llm import chat, minhash, mixing, packing, pii, sharding, urlfilter
+from sketchloom.llm import ann, chat, decontaminate, langid, minhash, mixing, packing, pii, sharding, urlfilter
 from sketchloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,18 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(table(spark, sf_dir, "documents"))
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.digest(table(spark, sf_dir, "documents"))
+
+
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.digest(table(spark, sf_dir, "embeddings"))
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -48,6 +60,9 @@ def queries() -> dict[str, Query]:
         "op4_chat": op4_chat,
         "op5_url_filter": op5_url_filter,
         "op6_mixing": op6_mixing,
+        "op7_language": op7_language,
+        "op8_ann": op8_ann,
+        "op9_decontaminate": op9_decontaminate,
         "op10_packing": op10_packing,
     }
 
