@@ -1,4 +1,6 @@
-"""Connected components by alternating large-star and small-star steps, all joins and minima.
+"""Clusters and deduplication plans over an edge list.
+
+Components come from alternating large-star and small-star steps, all joins and minima.
 
 The edge list is never collected; each round is two joins and two grouped minima, and is
 written to the shared folder, so a lost executor costs at most a part of one round. A node
@@ -8,10 +10,10 @@ split, and its minimum is pre-aggregated.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sketchloom.session import materialize
+from sketchloom.session import materialize, small
 
 
 def _state(edges: DataFrame) -> tuple[int, int]:
@@ -42,3 +44,156 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return now.select(F.col("u").alias("id"), F.col("v").alias("comp"))
+
+
+# --- quality order --------------------------------------------------------------------------
+
+
+def quality_keys() -> list[Column]:
+    """Sort keys, best sample first, over samples with ``meta`` fields, n_entries and sample_id.
+
+    Metadata counts only where it is valid (version and a total length); a sample with it precedes all
+    without. FASTA first, then assembly level, total length, fewer records (0 is worst), median length,
+    smaller variation, more entries; at last the larger sample id, as in a comparison that ends with the index.
+    """
+    m = lambda c: F.when(F.col("meta_valid"), F.col(c))
+    finite = lambda c, other: F.when(c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")), F.lit(other)).otherwise(c)
+    return [
+        F.col("meta_valid").desc(),
+        m("is_fasta").desc_nulls_last(),
+        F.when(F.col("meta_valid"), finite(F.col("asm_level").cast("double"), -1.0)).desc_nulls_last(),
+        m("total_length_bp").desc_nulls_last(),
+        F.when(F.col("meta_valid"), F.when(F.col("record_count") > 0, F.col("record_count"))).asc_nulls_last(),
+        m("median_length_bp").desc_nulls_last(),
+        F.when(F.col("meta_valid"), finite(F.col("length_cv").cast("double"), float("inf"))).asc_nulls_last(),
+        F.col("n_entries").desc(),
+        F.col("sample_id").asc(),
+    ]
+
+
+def quality_rank(samples: DataFrame) -> DataFrame:
+    """sample_id and its rank, 1 the best. One total order of all samples is asked for: only keys are sorted."""
+    return samples.select("sample_id", F.row_number().over(Window.orderBy(*quality_keys())).alias("rank"))
+
+
+def clusters(ranks: DataFrame, edges: DataFrame) -> DataFrame:
+    """Single-linkage clusters: sample, cluster number by first member, size and best member."""
+    comps = components(edges.select(F.col("q").alias("a"), F.col("r").alias("b"))).select(F.col("id").alias("sample_id"), "comp")
+    held = ranks.join(comps, "sample_id", "left").withColumn("comp", F.coalesce("comp", "sample_id"))
+    each = held.groupBy("comp").agg(F.count("*").alias("component_size"), F.min_by("sample_id", "rank").alias("representative"))
+    number = each.withColumn("_n", F.row_number().over(Window.orderBy("comp"))).withColumn("cluster_id", F.format_string("cluster_%06d", "_n")).drop("_n")
+    return held.join(number, "comp").select("sample_id", "cluster_id", "component_size", "representative")
+
+
+def greedy(ranks: DataFrame, edges: DataFrame, rounds: int = 200) -> DataFrame:
+    """Greedy deduplication in quality order, in parallel rounds.
+
+    In each round every undecided sample without a better undecided neighbour is kept, and its
+    undecided neighbours are removed. That is the sequential result: the first maximal independent set
+    in quality order. A removed sample's representative is its best kept neighbour.
+    """
+    rank = ranks.select("sample_id", "rank")
+    a = rank.select(F.col("sample_id").alias("q"), F.col("rank").alias("q_rank"))
+    b = rank.select(F.col("sample_id").alias("r"), F.col("rank").alias("r_rank"))
+    ranked = edges.where("q <> r").select("q", "r").join(a, "q").join(b, "r").select(F.greatest("q_rank", "r_rank").alias("worse"), F.least("q_rank", "r_rank").alias("better")).distinct()
+    ranked = materialize(ranked, "greedy-edges")
+    open_, removed = ranked, None
+    for _ in range(rounds):
+        if open_.limit(1).count() == 0:
+            break
+        beaten = open_.select(F.col("worse").alias("n")).distinct()
+        kept = open_.select(F.col("better").alias("n")).distinct().join(beaten, "n", "left_anti")
+        gone = materialize(open_.join(kept.select(F.col("n").alias("better")), "better").groupBy("worse").agg(F.min("better").alias("by")), "greedy-gone")
+        removed = gone if removed is None else removed.unionByName(gone)
+        out = gone.select(F.col("worse").alias("n"))
+        open_ = open_.join(out.select(F.col("n").alias("worse")), "worse", "left_anti").join(out.select(F.col("n").alias("better")), "better", "left_anti")
+        done = kept.select(F.col("n").alias("better"))  # a kept sample has no undecided neighbour left
+        open_ = materialize(open_.join(done, "better", "left_anti").select("worse", "better"), "greedy-open")
+    else:
+        raise RuntimeError(f"greedy deduplication did not settle in {rounds} rounds")
+    if removed is None:
+        removed = ranked.select("worse", F.col("better").alias("by"))
+    # a removed sample may have met a kept neighbour in a later round that is better still: never, as kept ones come in order of quality
+    by = removed.join(rank.select(F.col("rank").alias("by"), F.col("sample_id").alias("representative")), "by").select(F.col("worse").alias("rank"), "representative")
+    return _plan(rank.join(by, "rank", "left"))
+
+
+def _plan(rows: DataFrame) -> DataFrame:
+    out = rows.withColumn("action", F.when(F.col("representative").isNull(), "keep").otherwise("remove")).withColumn("representative", F.coalesce("representative", "sample_id"))
+    sizes = out.groupBy("representative").agg(F.count("*").alias("component_size"))
+    return out.join(small(sizes), "representative").select("sample_id", "action", "representative", "component_size")
+
+
+def full_linkage(ranks: DataFrame, edges: DataFrame) -> DataFrame:
+    """Clique deduplication in quality order: a sample joins a group if it has an edge to every member.
+
+    Groups never cross components, so each component is worked on by itself, in the order of its
+    samples' ranks; a component's edges are held by one task, as the order of choices is sequential.
+    """
+    import pandas as pd
+
+    comps = components(edges.select(F.col("q").alias("a"), F.col("r").alias("b"))).select(F.col("id").alias("sample_id"), "comp")
+    comps = comps.unionByName(comps.select(F.col("comp").alias("sample_id"), "comp").distinct())
+    ranked = ranks.select("sample_id", "rank")
+    left = edges.where("q <> r").select("q", "r").join(comps.select(F.col("sample_id").alias("q"), "comp"), "q")
+    left = left.join(ranked.select(F.col("sample_id").alias("q"), F.col("rank").alias("q_rank")), "q").join(ranked.select(F.col("sample_id").alias("r"), F.col("rank").alias("r_rank")), "r")
+
+    def cliques(pdf: pd.DataFrame) -> pd.DataFrame:
+        near: dict[int, set[int]] = {}
+        for x, y in zip(pdf["q_rank"].tolist(), pdf["r_rank"].tolist(), strict=True):
+            near.setdefault(x, set()).add(y)
+            near.setdefault(y, set()).add(x)
+        free, out = set(near), []
+        for best in sorted(near):
+            if best not in free:
+                continue
+            free.discard(best)
+            common = near[best] & free
+            while common:
+                n = min(common)
+                out.append((n, best))
+                free.discard(n)
+                common = common & near[n] & free
+        return pd.DataFrame(out, columns=["rank", "by"]).astype("int64")
+
+    joined = left.groupBy("comp").applyInPandas(cliques, "rank long, by long")
+    by = joined.join(ranked.select(F.col("rank").alias("by"), F.col("sample_id").alias("representative")), "by").select("rank", "representative")
+    return _plan(ranked.join(by, "rank", "left"))
+
+
+#: What decided between a sample and its representative: label, field, whether more is better.
+_RULES = (
+    ("higher_asm_level", "asm_level", True),
+    ("longer_total_length", "total_length_bp", True),
+    ("fewer_records", "record_count", False),
+    ("longer_median_length", "median_length_bp", True),
+    ("lower_length_cv", "length_cv", False),
+    ("more_sketch_entries", "n_entries", True),
+)
+
+
+def _rule() -> Column:
+    """The first field in which a sample and its representative differ, named from the representative's side."""
+    told = F.when(F.col("sample_id") == F.col("representative"), "self")
+    told = told.when(F.col("sample_meta_valid") != F.col("rep_meta_valid"), F.when(F.col("rep_meta_valid"), "valid_metadata").otherwise("sample_valid_metadata"))
+    for label, field, more in _RULES:
+        own, rep = F.col(f"sample_{field}"), F.col(f"rep_{field}")
+        better = rep > own if more else rep < own
+        told = told.when(~own.eqNullSafe(rep), F.when(better, label).otherwise(f"sample_{label}"))
+    return told.otherwise("sample_order")
+
+
+def plan_report(plan: DataFrame, samples: DataFrame) -> DataFrame:
+    """The deduplication plan's 21 columns, one row for each sample; groups are numbered by their first sample."""
+    fields = ("fmt", "asm_level", "total_length_bp", "record_count", "median_length_bp", "length_cv")
+    held = (*fields, "n_entries", "meta_valid")
+    own = samples.select("sample_id", F.col("name").alias("sample"), *(F.col(c).alias(f"sample_{c}") for c in held))
+    rep = samples.select(F.col("sample_id").alias("representative"), F.col("name").alias("representative_name"), *(F.col(c).alias(f"rep_{c}") for c in held))
+    first = plan.groupBy("representative").agg(F.min("sample_id").alias("_first"))
+    number = first.select("representative", F.format_string("cluster_%06d", F.row_number().over(Window.orderBy("_first"))).alias("component_id"))
+    out = plan.join(small(number), "representative").join(own, "sample_id").join(rep, "representative")
+    reason = F.when(F.col("component_size") == 1, "singleton").when(F.col("action") == "keep", "best_representative").otherwise("duplicate")
+    return out.select(
+        "sample", "component_id", "action", F.col("representative_name").alias("representative"), reason.alias("reason"), _rule().alias("rep_rule"), "component_size",
+        F.col("sample_n_entries").alias("sample_sketch_entries"), F.col("rep_n_entries").alias("rep_sketch_entries"), *(f"sample_{c}" for c in fields), *(f"rep_{c}" for c in fields),
+    )

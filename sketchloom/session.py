@@ -94,6 +94,19 @@ def small(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -
     return F.broadcast(df) if rows <= limit else df
 
 
+#: Spark's own bound of an Arrow batch, which a session has that sets none. Fixed value.
+_BATCH_KEY, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
+def bounded_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+    """Bound the bytes of Arrow batches to Python in this session, unless the session has set a bound.
+
+    Rows of long texts otherwise come in batches of tens of megabytes, several at a time in a worker.
+    """
+    if spark.conf.get(_BATCH_KEY, _BATCH_DEFAULT) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH_KEY, str(size))
+
+
 def driver_file(path: str) -> bytes:
     """A small local file, such as a public vocabulary, read on the driver."""
     with open(os.path.expanduser(path), "rb") as f:
