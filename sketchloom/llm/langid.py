@@ -24,12 +24,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from sketchloom.session import materialize, small
+from sketchloom.session import bounded_batches, materialize, small
 
 LANGUAGES = ("en", "de", "fr", "es")
 UNKNOWN = "und"
@@ -121,76 +121,98 @@ def posterior(model: Model, score: np.ndarray, said: str, prior: np.ndarray | No
     return p / p.sum()
 
 
-def _posteriors(shared):
-    @F.pandas_udf("array<double>")
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for texts, said in batches:
-            scores = map(shared.value.score, texts)
-            yield pd.Series([None if x is None else posterior(shared.value, x, d) for x, d in zip(scores, said, strict=True)], dtype=object)
+def _host_sums(shared):
+    """Sums of posteriors of each batch's documents by address suffix and host."""
+    n = len(shared.value.languages) + 1
+    schema = pa.schema([("_suffix", pa.string()), ("_host", pa.string()), ("_p", pa.list_(pa.float64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for batch in batches:
+            sums: dict[tuple[str, str], np.ndarray] = {}
+            said, suffix, host = (batch.column(i).to_pylist() for i in (1, 2, 3))
+            for i, text in enumerate(batch.column(0)):
+                score = model.score(text.as_py())
+                if score is not None:
+                    key = suffix[i], host[i]
+                    sums[key] = sums.get(key, np.zeros(n)) + posterior(model, score, said[i])
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in sums], pa.string()), pa.array([k[1] for k in sums], pa.string()), pa.array(list(sums.values()), pa.list_(pa.float64()))], schema=schema)
 
     return run
 
 
-def _fused(shared, overall: np.ndarray):
-    """Each document's language, its own part taken out of its host's sums."""
+def _fused(shared, overall: np.ndarray, carried: int):
+    """The first ``carried`` columns of each row and its language, its own part taken out of its host's sums.
+
+    After them come text, declaration, host sums and suffix sums.
+    """
     kinds = [*shared.value.languages, UNKNOWN]
 
-    def one(text: str | None, said: str, host: np.ndarray | None, suffix: np.ndarray | None) -> tuple[str, float]:
+    def one(text: str | None, said: str, host: list | None, suffix: list | None) -> tuple[str, float]:
         score = shared.value.score(text)
         if score is None:
             return UNKNOWN, 1.0
         own = posterior(shared.value, score, said)
-        up = ((0 if suffix is None else suffix) + SUFFIX_ROWS * overall) / ((0 if suffix is None else suffix.sum()) + SUFFIX_ROWS)
-        rest = np.zeros(len(kinds)) if host is None else np.maximum(host - own, 0)
+        above = np.zeros(len(kinds)) if suffix is None else np.asarray(suffix)
+        up = (above + SUFFIX_ROWS * overall) / (above.sum() + SUFFIX_ROWS)
+        rest = np.zeros(len(kinds)) if host is None else np.maximum(np.asarray(host) - own, 0)
         p = posterior(shared.value, score, said, (rest + HOST_ROWS * up) / (rest.sum() + HOST_ROWS))
         return kinds[int(np.argmax(p))], float(p.max())
 
-    @F.pandas_udf("lang string, probability double")
-    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pd.DataFrame([one(*row) for row in zip(*batch, strict=True)], columns=["lang", "probability"])
+            said, host, suffix = (batch.column(carried + i).to_pylist() for i in (1, 2, 3))
+            found = [one(text.as_py(), said[i], host[i], suffix[i]) for i, text in enumerate(batch.column(carried))]
+            made = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
+            names = [*batch.schema.names[:carried], "lang_id", "lang_probability"]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:carried], *made], names=names)
 
     return run
 
 
-def identify(df: DataFrame, model: Model, text: str = "text", declared: str | None = None, host: str | None = None, suffix: str | None = None, least: float = LEAST) -> DataFrame:
-    """``df`` with lang_id, lang_probability and lang_kept (a language, with at least probability ``least``)."""
+def identify(df: DataFrame, model: Model, text: str = "text", declared: str | None = None, host: str | None = None, suffix: str | None = None, least: float = LEAST, carry: list[str] | None = None) -> DataFrame:
+    """``df`` with lang_id, lang_probability and lang_kept (a language, with at least probability ``least``).
+
+    ``carry`` names the columns that are wanted besides; all of them by default.
+    """
     made = ("lang_id", "lang_probability", "lang_kept")
-    names = [f"`{c}`" for c in df.columns if c not in made]
+    names = [c for c in (df.columns if carry is None else carry) if c not in made]
+    quoted = [f"`{c}`" for c in names]
     n = len(model.languages) + 1
     given = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) if c else F.lit("")
     said = F.lower(F.substring_index(F.translate(given(declared), "_", "-"), "-", 1))
-    rows = df.select(*names, given(host).alias("_host"), given(suffix).alias("_suffix"), said.alias("_said"))
+    bounded_batches(df.sparkSession)
+    rows = df.select(*quoted, F.col(f"`{text}`").alias("_text"), said.alias("_said"), given(suffix).alias("_suffix"), given(host).alias("_host"))
     shared = df.sparkSession.sparkContext.broadcast(model)
     sums = lambda c: [F.sum(F.get(c, F.lit(k))).alias(f"_{k}") for k in range(n)]
     array = F.array(*(F.col(f"_{k}") for k in range(n)))
 
-    scored = rows.select("_suffix", "_host", _posteriors(shared)(F.col(f"`{text}`"), F.col("_said")).alias("_p")).where("_p IS NOT NULL")
+    scored = rows.select("_text", "_said", "_suffix", "_host").mapInArrow(_host_sums(shared), "_suffix string, _host string, _p array<double>")
     hosts = materialize(scored.groupBy("_suffix", "_host").agg(*sums("_p")).select("_suffix", "_host", array.alias("_hosts")), "lang-hosts")
     suffixes = hosts.groupBy("_suffix").agg(*sums("_hosts")).select("_suffix", array.alias("_suffixes"))
     seen = np.array([float(x or 0) for x in hosts.agg(*sums("_hosts")).first()])
     overall = (seen + 1) / (seen.sum() + n)
 
     priors = hosts.join(small(suffixes), "_suffix")
-    both = rows.join(small(priors), ["_suffix", "_host"], "left")
-    out = both.select(*names, _fused(shared, overall)(F.col(f"`{text}`"), F.col("_said"), F.col("_hosts"), F.col("_suffixes")).alias("_found"))
-    kept = (F.col("_found.lang") != UNKNOWN) & (F.col("_found.probability") >= least)
-    return out.select(*names, F.col("_found.lang").alias("lang_id"), F.col("_found.probability").alias("lang_probability"), kept.alias("lang_kept"))
+    both = rows.join(small(priors), ["_suffix", "_host"], "left").select(*quoted, "_text", "_said", "_hosts", "_suffixes")
+    schema = StructType([*(df.schema[c] for c in names), StructField("lang_id", StringType()), StructField("lang_probability", DoubleType())])
+    out = both.mapInArrow(_fused(shared, overall, len(names)), schema)
+    return out.withColumn("lang_kept", (F.col("lang_id") != UNKNOWN) & (F.col("lang_probability") >= least))
 
 
-def identified(docs: DataFrame, languages: tuple[str, ...] = LANGUAGES, sample: int = SAMPLE) -> DataFrame:
+def identified(docs: DataFrame, languages: tuple[str, ...] = LANGUAGES, sample: int = SAMPLE, carry: list[str] | None = None) -> DataFrame:
     """:func:`identify` for documents: ``lang`` is what they declare, ``source`` their host, its last part after a dot the suffix."""
     model = fit(docs, languages, sample)
     if model is None:
         if docs.limit(1).count():
             raise ValueError("no labelled rows to fit the language models on")
-        return docs.withColumns({"lang_id": F.lit(None).cast("string"), "lang_probability": F.lit(None).cast("double"), "lang_kept": F.lit(None).cast("boolean")})
+        return docs.select(*(f"`{c}`" for c in (docs.columns if carry is None else carry))).withColumns({"lang_id": F.lit(None).cast("string"), "lang_probability": F.lit(None).cast("double"), "lang_kept": F.lit(None).cast("boolean")})
     with_suffix = docs.withColumn("_address", F.regexp_extract(F.coalesce("source", F.lit("")), r"\.([A-Za-z]+)$", 1))
-    return identify(with_suffix, model, "text", "lang", "source", "_address").drop("_address")
+    return identify(with_suffix, model, "text", "lang", "source", "_address", carry=docs.columns if carry is None else carry)
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    got = identified(docs.select("doc_id", "text", "lang", "source"))
+    got = identified(docs.select("doc_id", "text", "lang", "source"), carry=["doc_id"])
     return got.select("doc_id", "lang_id", F.round("lang_probability", 6).alias("lang_probability"), F.col("lang_kept").alias("kept"))
 
 
