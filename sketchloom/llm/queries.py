@@ -68,4 +68,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_minhash": minhash.sql(), "op5_url_filter": urlfilter.sql()}
+    return {"op1_pii": pii.sql(), "op2_minhash": minhash.sql(), "op5_url_filter": urlfilter.sql()}
