@@ -54,7 +54,7 @@ def quality_keys() -> list[Column]:
 
     Metadata counts only where it is valid (version and a total length); a sample with it precedes all
     without. FASTA first, then assembly level, total length, fewer records (0 is worst), median length,
-    smaller variation, more entries; at last the larger sample id, as in a comparison that ends with the index.
+    smaller variation, more entries; at last the smaller sample id.
     """
     m = lambda c: F.when(F.col("meta_valid"), F.col(c))
     finite = lambda c, other: F.when(c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")), F.lit(other)).otherwise(c)
