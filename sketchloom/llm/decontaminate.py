@@ -25,11 +25,15 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sketchloom.session import bounded_batches
+
 RATE, MAX_CHARS = 0.05, 20_000_000
+#: Bytes that are scanned at once; a longer text is scanned whole.
+SEGMENT = 1 << 20
 #: Bits of the table that a position's hash is looked up in first.
 TABLE = 22
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -167,9 +171,9 @@ class Scanner:
         clean = [normal(t) for t in texts]
         raw = [t.encode() for t in clean]
         at = 0
-        while at < len(raw):  # about 4 MB at a time; a line feed, which no normal text holds, stands between texts
+        while at < len(raw):  # a segment at a time; a line feed, which no normal text holds, stands between texts
             end, size = at, 0
-            while end < len(raw) and (end == at or size + len(raw[end]) < 4 << 20):
+            while end < len(raw) and (end == at or size + len(raw[end]) < SEGMENT):
                 size += len(raw[end]) + 1
                 end += 1
             data = np.frombuffer(b"\n".join(raw[at:end]), dtype=np.uint8)
@@ -208,38 +212,56 @@ def _parts(benchmark: DataFrame) -> list[list[tuple[int | None, str]]]:
     return parts
 
 
-LEAKS = "array<struct<item_id:long,distance:int,end:long>>"
-
+_LEAK = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("distance", pa.int32()), ("passage_end", pa.int64())])
 
-def with_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, out: str = "leaks") -> DataFrame:
-    """``docs`` with what each text holds of the benchmark: item, edit distance, and where (in the normalised text) the passage ends."""
-    found = None
-    for part in _parts(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(part)
 
-        one = _finder(shared, rate)("text")
-        found = one if found is None else F.concat(found, one)
-    return docs.withColumn(out, found)
+def _groups(texts: pa.Array, size: int = SEGMENT) -> Iterator[tuple[int, list[str | None]]]:
+    """Texts of a batch by a few megabytes, and where each group starts."""
+    held, start, total = [], 0, 0
+    for i, text in enumerate(texts):
+        held.append(text.as_py())
+        total += len(held[-1] or "")
+        if total >= size:
+            yield start, held
+            held, start, total = [], i + 1, 0
+    yield start, held
 
 
-def _finder(shared, rate: float):
-    """A UDF that looks for one part of the benchmark."""
-    @F.pandas_udf(LEAKS)
-    def leaks(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        scan = _scanner(shared, rate)
-        for batch in batches:
-            got = scan.matches(batch.tolist())
-            yield pd.Series([[{"item_id": i, "distance": d, "end": e} for i, d, e in own] for own in got])
-
-    return leaks
+def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
+    """doc_id, item_id, distance and passage_end (in the normalised text) of the best passage of each item in each document."""
+    bounded_batches(docs.sparkSession)
+    rows, found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), None
+    for part in _parts(benchmark):
+        shared = docs.sparkSession.sparkContext.broadcast(part)
 
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            scan = _scanner(shared, rate)
+            for batch in batches:
+                out: list[list] = [[], [], [], []]
+                for start, texts in _groups(batch.column(1)):
+                    for i, own in enumerate(scan.matches(texts)):
+                        for item, distance, end in own:
+                            for column, value in zip(out, (batch.column(0)[start + i].as_py(), item, distance, end), strict=True):
+                                column.append(value)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _LEAK, strict=True)], schema=_LEAK)
 
-def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
-    """doc_id, item_id, distance and end of every match, the best passage of each item in each document."""
-    got = with_leaks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark, rate)
-    return got.select("doc_id", F.explode("leaks").alias("m")).select("doc_id", "m.item_id", "m.distance", F.col("m.end").alias("passage_end"))
+        one = rows.mapInArrow(run, "doc_id long, item_id long, distance int, passage_end long")
+        found = one if found is None else found.unionByName(one)
+    return found
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
     """The rows of ``docs`` that hold nothing of the benchmark, with all their columns."""
-    return with_leaks(docs, benchmark, rate, "_leaks").where(F.size("_leaks") == 0).drop("_leaks")
+    bounded_batches(docs.sparkSession)
+    at, out = docs.columns.index("text"), docs
+    for part in _parts(benchmark):
+        shared = docs.sparkSession.sparkContext.broadcast(part)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            scan = _scanner(shared, rate)
+            for batch in batches:
+                keep = [not own for _, texts in _groups(batch.column(at)) for own in scan.matches(texts)]
+                yield batch.filter(pa.array(keep, pa.bool_()))
+
+        out = out.mapInArrow(run, docs.schema)
+    return out
