@@ -98,7 +98,7 @@ def small(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -
 _BATCH_KEY, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 
-def bounded_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+def bounded_batches(spark: SparkSession, size: int = 4 << 20) -> None:
     """Bound the bytes of Arrow batches to Python in this session, unless the session has set a bound.
 
     Rows of long texts otherwise come in batches of tens of megabytes, several at a time in a worker.
@@ -107,6 +107,34 @@ def bounded_batches(spark: SparkSession, size: int = 8 << 20) -> None:
         spark.conf.set(_BATCH_KEY, str(size))
 
 
+def lean(run):
+    """A function for mapInArrow whose worker gives freed memory back when a task ends.
+
+    Workers are used again by later stages; what a stage has freed would else stay theirs.
+    """
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release_memory()
+
+    return wrapped
+
+
+def release_memory() -> None:
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def driver_file(path: str) -> bytes:
     """A small local file, such as a public vocabulary, read on the driver."""
     with open(os.path.expanduser(path), "rb") as f:

@@ -11,7 +11,7 @@ def spark(tmp_path_factory):
     from pyspark.sql import SparkSession
 
     s = (
-        SparkSession.builder.master("local[*]")
+        SparkSession.builder.master(os.environ.get("TEST_MASTER", "local[*]"))
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
