@@ -103,7 +103,7 @@ def greedy(ranks: DataFrame, edges: DataFrame, rounds: int = 200) -> DataFrame:
             break
         beaten = open_.select(F.col("worse").alias("n")).distinct()
         kept = open_.select(F.col("better").alias("n")).distinct().join(beaten, "n", "left_anti")
-        gone = materialize(open_.join(kept.select(F.col("n").alias("better")), "better").groupBy("worse").agg(F.min("better").alias("by")), "greedy-gone")
+        gone = materialize(open_.join(kept.select(F.col("n").alias("better")), "better").select("worse").distinct(), "greedy-gone")
         removed = gone if removed is None else removed.unionByName(gone)
         out = gone.select(F.col("worse").alias("n"))
         open_ = open_.join(out.select(F.col("n").alias("worse")), "worse", "left_anti").join(out.select(F.col("n").alias("better")), "better", "left_anti")
@@ -111,10 +111,11 @@ def greedy(ranks: DataFrame, edges: DataFrame, rounds: int = 200) -> DataFrame:
         open_ = materialize(open_.join(done, "better", "left_anti").select("worse", "better"), "greedy-open")
     else:
         raise RuntimeError(f"greedy deduplication did not settle in {rounds} rounds")
-    if removed is None:
-        removed = ranked.select("worse", F.col("better").alias("by"))
-    # a removed sample may have met a kept neighbour in a later round that is better still: never, as kept ones come in order of quality
-    by = removed.join(rank.select(F.col("rank").alias("by"), F.col("sample_id").alias("representative")), "by").select(F.col("worse").alias("rank"), "representative")
+    best = ranked.groupBy("worse").agg(F.min("better").alias("by"))  # without any removed sample there are no edges
+    if removed is not None:
+        best = ranked.join(removed.select(F.col("worse").alias("better")), "better", "left_anti").groupBy("worse").agg(F.min("better").alias("by"))
+        best = best.join(removed.select("worse"), "worse", "left_semi")
+    by = best.join(rank.select(F.col("rank").alias("by"), F.col("sample_id").alias("representative")), "by").select(F.col("worse").alias("rank"), "representative")
     return _plan(rank.join(by, "rank", "left"))
 
 
