@@ -31,11 +31,11 @@ def test_evidence_is_fused(spark):
     model = langid.fit(spark.createDataFrame(labelled(1, 400), DOCS))
     rng = random.Random(9)
     same = [(i, sentence(rng, "fr", 40), None, "h.example.fr", 0) for i in range(30)]
-    weak = [(100, "tion", None, "h.example.fr", 0), (101, "tion", None, "h.example.en", 0), (102, "tion", "es", None, 0)]
+    weak = [(100, "tion", None, "h.example.fr", 0), (101, "tion", None, "h.example.en", 0), (102, "tion", "fr", None, 0), (103, "tion", "en", None, 0)]
     others = [(200 + i, sentence(rng, "en", 40), None, "h.example.en", 0) for i in range(30)]
     df = spark.createDataFrame(same + weak + others, DOCS).withColumn("tld", __import__("pyspark").sql.functions.expr("regexp_extract(coalesce(source, ''), '([a-z]+)$', 1)"))
     got = {r.doc_id: r.lang_id for r in langid.identify(df, model, declared="lang", host="source", suffix="tld").collect()}
-    assert (got[100], got[101], got[102]) == ("fr", "en", "es")
+    assert (got[100], got[101], got[102], got[103]) == ("fr", "en", "fr", "en")
 
 
 def test_rejections_and_odd_rows(spark):
