@@ -18,7 +18,7 @@ probability 4e-7, and fall below six standard errors with less.
 Defined results: null and empty texts, and texts of white space only, have no shingles and are linked
 with nothing; fewer than five words are one shingle; very long texts are hashed in segments, whole;
 rows with a null id take part, a component's id is the smallest non-null one and null if it has none;
-rows that repeat an id are kept or dropped together; an empty table gives an empty result; other
+rows that repeat both an id and a text are kept or dropped together; an empty table gives an empty result; other
 columns are not used.
 """
 
@@ -32,12 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sketchloom.operators.graph import components
-from sketchloom.session import BROADCAST_ROWS, materialize, small
+from sketchloom.session import BROADCAST_ROWS, bounded_batches, lean, materialize, small
 
 WORDS, PERCENT = 5, 85
 MINIMA, ROWS, BANDS, BITS = 128, 5, 25, 4
 LIMIT, LIMIT_SHINGLES = 2048, 2_000_000
-SEGMENT = 4 << 20
+SEGMENT = 1 << 20
 
 _rng = np.random.Generator(np.random.PCG64(9176))
 _BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -157,11 +157,11 @@ def fingerprint(shingles: np.ndarray) -> bytes:
     return np.array([_mix(shingles + np.uint64(1)).sum(dtype=np.uint64) + np.uint64(len(shingles)), np.bitwise_xor.reduce(_mix(shingles * _STEP))], dtype=np.uint64).tobytes()
 
 
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("fp", pa.binary()), ("sig", pa.binary()), ("bands", pa.list_(pa.int64()))])
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("fp", pa.binary()), ("sig", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, fp, sig and bands of every document; the last three null without shingles."""
+    """doc_id, text_hash, n_shingles, fp, sig and bands of every document; the last three null without shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,9 +179,9 @@ def signed(docs: DataFrame) -> DataFrame:
                         else:
                             for x in (fps, sigs, bands):
                                 x.append(None)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(fps, pa.binary()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], schema=_SIGNED)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(sizes, pa.int64()), pa.array(fps, pa.binary()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], schema=_SIGNED)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, fp binary, sig binary, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(lean(run), "doc_id long, text_hash long, n_shingles long, fp binary, sig binary, bands array<long>")
 
 
 def least_equal(percent: int = PERCENT, errors: float = 6.0) -> int:
@@ -342,7 +342,8 @@ def in_blocks(members: DataFrame, key: str, blocks: str) -> DataFrame:
 
 
 def duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept and fp of every row."""
+    """doc_id, text_hash, n_shingles, component_id, kept and fp of every row."""
+    bounded_batches(docs.sparkSession)
     rows = materialize(signed(docs), "minhash-signed")
     full = rows.where("n_shingles > 0")
     classes = materialize(full.groupBy("fp").agg(F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"), F.min("doc_id").alias("doc_id")), "minhash-classes")
@@ -352,17 +353,17 @@ def duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     buckets = materialize(buckets.select("key", F.ceil(F.col("members") / LIMIT).alias("blocks")), "minhash-buckets")
     met = in_blocks(banded.join(small(buckets), "key"), "key", "blocks")
     met = met.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    pairs = met.mapInArrow(by_group(["key", "i", "j"], ["n", "sig"], estimated(least_equal(percent), percent)), "a binary, b binary")
+    pairs = met.mapInArrow(lean(by_group(["key", "i", "j"], ["n", "sig"], estimated(least_equal(percent), percent))), "a binary, b binary")
     cluster = components(pairs)
     cluster = materialize(cluster.unionByName(cluster.select(F.col("comp").alias("id"), "comp").distinct()), "minhash-clusters")
 
     found = confirm(docs, classes, cluster, percent)
     comps = small(found.select(F.col("id").alias("fp"), "comp"))
-    named = rows.join(comps, "fp", "left").select("doc_id", "n_shingles", "fp", F.coalesce("comp", "fp").alias("comp"))
+    named = rows.join(comps, "fp", "left").select("doc_id", "text_hash", "n_shingles", "fp", F.coalesce("comp", "fp").alias("comp"))
     least = named.where("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
     out = named.join(least, "comp", "left")
     alone = F.when(F.col("component_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", alone.alias("component_id"), F.col("doc_id").eqNullSafe(alone).alias("kept"), "fp")
+    return out.select("doc_id", "text_hash", "n_shingles", alone.alias("component_id"), F.col("doc_id").eqNullSafe(alone).alias("kept"), "fp")
 
 
 def confirm(docs: DataFrame, classes: DataFrame, cluster: DataFrame, percent: int) -> DataFrame:
@@ -392,22 +393,24 @@ def confirm(docs: DataFrame, classes: DataFrame, cluster: DataFrame, percent: in
                     fps, sets, size = [], [], 0
             yield pa.RecordBatch.from_arrays([pa.array(fps, pa.binary()), pa.array(sets, pa.binary())], names=["fp", "shingles"])
 
-    sets = texts.select("text").mapInArrow(run, "fp binary, shingles binary")
+    sets = texts.select("text").mapInArrow(lean(run), "fp binary, shingles binary")
     met = in_blocks(sets.join(small(members.select("fp", "comp", "blocks"), count), "fp"), "comp", "blocks")
     met = met.select("comp", "i", "j", "side", "fp", "shingles").repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j", "fp")
-    links = met.mapInArrow(by_group(["comp", "i", "j"], ["shingles"], linked(percent)), "a binary, b binary")
+    links = met.mapInArrow(lean(by_group(["comp", "i", "j"], ["shingles"], linked(percent))), "a binary, b binary")
     return components(links)
 
 
 def deduplicated(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns.
 
-    One document of each component stays: the one with the smallest id. Of rows that share
-    that id, one stays for each different text.
+    One document of each component stays: the one with the smallest id. Rows are told apart by id and text, so
+    of rows without an id each is judged for itself.
     """
-    gone = duplicates(docs, percent).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+    gone = duplicates(docs, percent).where(~F.col("kept")).select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_hash")).distinct()
+    gone = materialize(gone, "minhash-gone")
     n = gone.limit(BROADCAST_ROWS + 1).count()
-    return docs.join(small(gone, n), F.col("doc_id").cast("long").eqNullSafe(F.col("_gone")), "left_anti")
+    same = (F.xxhash64("text") == F.col("_hash")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_gone"))
+    return docs.join(small(gone, n), same, "left_anti")
 
 
 def digest(docs: DataFrame) -> DataFrame:
