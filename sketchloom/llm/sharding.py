@@ -5,7 +5,7 @@ group goes where the dot product of its vector with the shard's residual capacit
 highest, both as shares of the totals.
 
 Groups that hold more than a 64th of a shard in any dimension are few, at most
-3 * 64 * shards whatever the data are; the driver places them first. A group larger than
+3 * 64 * shards whatever the data are; the driver places them first. A group with more bytes than
 a whole shard can't be placed whole and is split evenly into as few parts as fit. All other
 groups are dealt by a hash of their text into buckets of about ``BUCKET_ROWS`` rows. Each
 bucket places its own, largest first, against its own share of what capacity the large
@@ -55,7 +55,7 @@ def _place_large(groups: list, totals: np.ndarray, shards: int) -> tuple[list[tu
     parts = []
     for g in groups:
         v = np.array([g[d] for d in DIMENSIONS], dtype=float) / totals
-        n = max(1, ceil(round(float(v.max()) * shards, 9)))
+        n = max(1, ceil(round(float(v[0]) * shards, 9)))  # only bytes must fit: the law is theirs
         parts += [(v / n, g["key"], k) for k in range(n)]
     parts.sort(key=lambda p: (-p[0].max(), p[1], p[2]))
     room = np.full((shards, len(DIMENSIONS)), 1.0 / shards)
