@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sketchloom.session import materialize
+from sketchloom.session import lean, materialize
 
 BOOKS, ENTRIES, BEAM, SAMPLE, ROUNDS, RERANK, BLOCK, NEAREST = 8, 256, 8, 10_000, 2, 128, 8192, 10
 SEED = 7
@@ -131,7 +131,7 @@ def build(df: DataFrame, sample: int = SAMPLE) -> tuple[DataFrame, np.ndarray] |
             norm = (decode(codes, shared.value).astype(np.float32) ** 2).sum(1)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norm, pa.float32()), pa.array([v.tobytes() for v in x], pa.binary())], names=["vec_id", "codes", "norm", "vector"])
 
-    return materialize(rows.mapInArrow(run, "vec_id long, codes binary, norm float, vector binary"), "ann-index"), books
+    return materialize(rows.mapInArrow(lean(run), "vec_id long, codes binary, norm float, vector binary"), "ann-index"), books
 
 
 class Best:
@@ -197,7 +197,7 @@ def search(index: DataFrame, books: np.ndarray, every: int = 100, nearest: int =
             own = np.isfinite(best.score)
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(query_ids, own.sum(1))), pa.array(best.ids[own]), pa.array(best.score[own])], names=["query_id", "vec_id", "score"])
 
-        one = index.mapInArrow(run, "query_id long, vec_id long, score double")
+        one = index.mapInArrow(lean(run), "query_id long, vec_id long, score double")
         found = one if found is None else found.unionByName(one)
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= nearest).select("query_id", "rank", "vec_id", "score")

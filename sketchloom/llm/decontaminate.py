@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sketchloom.session import bounded_batches
+from sketchloom.session import bounded_batches, lean
 
 RATE, MAX_CHARS = 0.05, 20_000_000
 #: Bytes that are scanned at once; a longer text is scanned whole.
@@ -245,7 +245,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFram
                                 column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _LEAK, strict=True)], schema=_LEAK)
 
-        one = rows.mapInArrow(run, "doc_id long, item_id long, distance int, passage_end long")
+        one = rows.mapInArrow(lean(run), "doc_id long, item_id long, distance int, passage_end long")
         found = one if found is None else found.unionByName(one)
     return found
 
@@ -263,5 +263,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFram
                 keep = [not own for _, texts in _groups(batch.column(at)) for own in scan.matches(texts)]
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
-        out = out.mapInArrow(run, docs.schema)
+        out = out.mapInArrow(lean(run), docs.schema)
     return out

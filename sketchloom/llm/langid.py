@@ -29,13 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from sketchloom.session import bounded_batches, materialize, small
+from sketchloom.session import bounded_batches, lean, materialize, small
 
 LANGUAGES = ("en", "de", "fr", "es")
 UNKNOWN = "und"
 SAMPLE = 2000
 #: Trigrams overlap, so a text's likelihood counts to this power.
 TEMPER = 1 / 3
+#: Rows that the pooled trigrams count as in each language, and the share of unrelated letters.
+SMOOTH, FOREIGN = 500.0, 0.05
 TRUST, SUFFIX_ROWS, HOST_ROWS, LEAST = 0.9, 50.0, 20.0, 0.5
 
 _SYMBOL = np.zeros(256, dtype=np.uint32)
@@ -70,17 +72,22 @@ class Model:
 
 
 def model_of(counts: dict[str, np.ndarray], languages: tuple[str, ...]) -> Model:
-    smooth = 0.5
-    columns = []
+    """Trigram probabilities of each language, mixed with a little of ``und``'s, and ``und``'s own.
+
+    ``und`` draws three unrelated letters, half by how often all texts have them, half evenly. Its part in the
+    languages bounds what a foreign name or a key in a text costs them.
+    """
     everything = sum(counts.values())
-    symbols = np.bincount(np.arange(_SPACE) >> 12, weights=everything, minlength=64) + 1e-3 * everything.sum() / 64
-    single = np.log(symbols / symbols.sum())
     at = np.arange(_SPACE)
+    letters = np.bincount(at >> 12, weights=everything, minlength=64)
+    letters = 0.5 * letters / max(1.0, letters.sum()) + 0.5 / 59
+    loose = letters[at >> 12] * letters[(at >> 6) & 63] * letters[at & 63]
+    pooled = (everything + 1) / (everything.sum() + _SPACE)
+    columns = []
     for name in languages:
-        own = counts.get(name, np.zeros(_SPACE)) + smooth * (everything + 1) / (everything.sum() + _SPACE) * 1000
-        columns.append(np.log(own / own.sum()))
-    columns.append(single[at >> 12] + single[(at >> 6) & 63] + single[at & 63])
-    return Model(languages, np.stack(columns, axis=1).astype(np.float32))
+        own = counts.get(name, np.zeros(_SPACE)) + SMOOTH * pooled
+        columns.append((1 - FOREIGN) * own / own.sum() + FOREIGN * loose)
+    return Model(languages, np.log(np.stack([*columns, loose], axis=1)).astype(np.float32))
 
 
 def fit(labelled: DataFrame, languages: tuple[str, ...] = LANGUAGES, sample: int = SAMPLE, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model | None:
@@ -101,7 +108,7 @@ def fit(labelled: DataFrame, languages: tuple[str, ...] = LANGUAGES, sample: int
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array([x.astype(np.int32).tobytes() for x in seen.values()], pa.binary())], names=["lang", "counts"])
 
     counts: dict[str, np.ndarray] = {}
-    for r in picked.mapInArrow(count, "lang string, counts binary").collect():  # four tasks' counts of a bounded sample
+    for r in picked.mapInArrow(lean(count), "lang string, counts binary").collect():  # four tasks' counts of a bounded sample
         counts[r["lang"]] = counts.get(r["lang"], 0) + np.frombuffer(r["counts"], dtype=np.int32).astype(np.int64)
     return model_of(counts, languages)
 
@@ -187,7 +194,7 @@ def identify(df: DataFrame, model: Model, text: str = "text", declared: str | No
     sums = lambda c: [F.sum(F.get(c, F.lit(k))).alias(f"_{k}") for k in range(n)]
     array = F.array(*(F.col(f"_{k}") for k in range(n)))
 
-    scored = rows.select("_text", "_said", "_suffix", "_host").mapInArrow(_host_sums(shared), "_suffix string, _host string, _p array<double>")
+    scored = rows.select("_text", "_said", "_suffix", "_host").mapInArrow(lean(_host_sums(shared)), "_suffix string, _host string, _p array<double>")
     hosts = materialize(scored.groupBy("_suffix", "_host").agg(*sums("_p")).select("_suffix", "_host", array.alias("_hosts")), "lang-hosts")
     suffixes = hosts.groupBy("_suffix").agg(*sums("_hosts")).select("_suffix", array.alias("_suffixes"))
     seen = np.array([float(x or 0) for x in hosts.agg(*sums("_hosts")).first()])
@@ -196,7 +203,7 @@ def identify(df: DataFrame, model: Model, text: str = "text", declared: str | No
     priors = hosts.join(small(suffixes), "_suffix")
     both = rows.join(small(priors), ["_suffix", "_host"], "left").select(*quoted, "_text", "_said", "_hosts", "_suffixes")
     schema = StructType([*(df.schema[c] for c in names), StructField("lang_id", StringType()), StructField("lang_probability", DoubleType())])
-    out = both.mapInArrow(_fused(shared, overall, len(names)), schema)
+    out = both.mapInArrow(lean(_fused(shared, overall, len(names))), schema)
     return out.withColumn("lang_kept", (F.col("lang_id") != UNKNOWN) & (F.col("lang_probability") >= least))
 
 

@@ -28,12 +28,12 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from sketchloom.session import driver_file
+from sketchloom.session import bounded_batches, driver_file, lean
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The pre-tokenizer that belongs to the vocabulary. Fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-ROW, SHARD_TOKENS, CACHE = 2048, 4_000_000, 400_000
+ROW, SHARD_TOKENS, CACHE = 2048, 2_000_000, 150_000
 
 PACKED = "shard int, row long, width int, n_tokens int, ids binary, cu_seqlens array<int>, position_resets array<int>, doc_ids array<long>, doc_starts array<long>"
 _ARROW = pa.schema([("shard", pa.int32()), ("row", pa.int64()), ("width", pa.int32()), ("n_tokens", pa.int32()), ("ids", pa.binary()), ("cu_seqlens", pa.list_(pa.int32())), ("position_resets", pa.list_(pa.int32())), ("doc_ids", pa.list_(pa.int64())), ("doc_starts", pa.list_(pa.int64()))])
@@ -76,17 +76,6 @@ class Encoder:
         return self._whole(first) + b"".join(got) + self.last
 
 
-_encoders: dict[tuple[int, str], Encoder] = {}
-
-
-def encoder(ranks: bytes, pattern: str) -> Encoder:
-    """Built once in each Python worker."""
-    key = (hash(ranks), pattern)
-    if key not in _encoders:
-        _encoders[key] = Encoder(ranks, pattern)
-    return _encoders[key]
-
-
 class Room:
     """A segment tree over room 0..size: how many rows have just that much left."""
 
@@ -148,10 +137,11 @@ def pack_shard(docs: list[tuple[int | None, bytes]], size: int, width: int) -> I
 
 def pack(docs: DataFrame, size: int = ROW, vocabulary: str = VOCABULARY, pattern: str = PATTERN, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Packed rows of all documents (columns doc_id and text)."""
+    bounded_batches(docs.sparkSession)
     ranks = docs.sparkSession.sparkContext.broadcast(driver_file(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(ranks.value, pattern)
+        enc = Encoder(ranks.value, pattern)  # its cache goes with the task
         shard = TaskContext.get().partitionId()
         held, tokens, row = [], 0, 0
 
@@ -179,7 +169,7 @@ def pack(docs: DataFrame, size: int = ROW, vocabulary: str = VOCABULARY, pattern
                     tokens = 0
         yield from flush()
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, PACKED)
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(lean(run), PACKED)
 
 
 def write(packed: DataFrame, path: str) -> None:
