@@ -31,11 +31,11 @@ from math import ceil
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sketchloom.llm.words import word_count
-from sketchloom.session import materialize, small
+from sketchloom.session import bounded_batches, lean, materialize, small
 
 WEIGHTS, SHARE, CAP = (5, 2, 1), Fraction(3, 2), 2
 BLOCK, SHARD_SLOTS, MAX_SHARDS, CHUNK_ROWS, SEED = 128, 4096, 4096, 8192, 20240501
@@ -65,8 +65,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def permute(at: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """Where a keyed permutation of 0..n-1 takes ``at``; all elementwise."""
+def permute(at: np.ndarray, n: np.ndarray, key: np.ndarray, back: bool = False) -> np.ndarray:
+    """Where a keyed permutation of 0..n-1 takes ``at``, or with ``back`` what it takes there; all elementwise."""
     n, key = np.asarray(n, dtype=np.int64), np.asarray(key, dtype=np.uint64)
     half = np.maximum(1, (np.ceil(np.log2(np.maximum(n, 2))).astype(np.int64) + 2) // 2).astype(np.uint64)
     mask = (np.uint64(1) << half) - np.uint64(1)
@@ -75,8 +75,12 @@ def permute(at: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         while todo.any():
             left, right = x[todo] >> half[todo], x[todo] & mask[todo]
-            for r in range(4):
+            for r in range(3, -1, -1) if back else range(4):
+                if back:
+                    left, right = right, left
                 left, right = right, left ^ (_mix(right + key[todo] * np.uint64(2 * r + 3) + np.uint64(r)) & mask[todo])
+                if back:
+                    left, right = right, left
             x[todo] = (left << half[todo]) | right
             todo &= x >= n.astype(np.uint64)
     return x.astype(np.int64)
@@ -105,14 +109,13 @@ def quota(size: int, target: Fraction, source: int, block: int = BLOCK, seed: in
     full, rest = divmod(words, size)
     if not rest:
         return Quota(size, blocks, full * blocks, 0)
-    short = size - (blocks - 1) * block  # words in the last block
-    few = min(blocks, ceil(rest / block) + 1)
-    order = permute(np.arange(few), np.full(few, blocks), epoch_key(seed, source, np.full(few, full)))
-    # only the last block is short: at most one more slot than rest / block is needed
-    lengths = np.where(order == blocks - 1, short, block)
-    sums = np.cumsum(lengths) if few < 10_000_000 else None
-    m = int(np.searchsorted(sums, rest)) + 1
-    return Quota(size, blocks, full * blocks + m, int(sums[m - 1]) - rest)
+    missing = blocks * block - size  # what the last block is short of
+    at = int(permute(np.array([blocks - 1]), np.array([blocks]), epoch_key(seed, source, np.array([full])), back=True)[0])
+    m = ceil(rest / block)
+    if at < m:  # the short block is among the slots, so one more may be needed
+        m = ceil((rest + missing) / block)
+    words_in = m * block - (missing if at < m else 0)
+    return Quota(size, blocks, full * blocks + m, words_in - rest)
 
 
 def draw(slots: list[int], seed: int = SEED, shard_slots: int = SHARD_SLOTS, max_shards: int = MAX_SHARDS) -> np.ndarray:
@@ -132,6 +135,11 @@ def draw(slots: list[int], seed: int = SEED, shard_slots: int = SHARD_SLOTS, max
     return out
 
 
+def identity() -> Column:
+    """A hash of a row's id, source and text; with the text's own hash it tells rows apart."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("source").cast("string"), "text")
+
+
 @dataclass
 class Mix:
     """``pieces``: what each slot takes of each document; ``docs``: every row with its place; ``sources``: sizes and targets."""
@@ -143,7 +151,7 @@ class Mix:
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: Fraction = SHARE, cap: int = CAP, block: int = BLOCK, seed: int = SEED) -> Mix:
     spark = docs.sparkSession
-    rows = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("hash")), "mix-rows")
+    rows = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("hash"), identity().alias("key")), "mix-rows")
     found = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()  # a row for each source
     found.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
     sizes, n_rows = [r["size"] for r in found], sum(r["n"] for r in found)
@@ -153,13 +161,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: Fraction = S
 
     chunks = max(1, ceil(n_rows / CHUNK_ROWS))
     s = small(sources.select("src", F.col("source").alias("_source")), len(found), 100_000)
-    rows = rows.join(s, rows["source"].eqNullSafe(s["_source"])).select("src", "doc_id", "size", "hash", F.pmod(F.xxhash64("doc_id", "hash"), F.lit(chunks)).alias("chunk"))
+    rows = rows.join(s, rows["source"].eqNullSafe(s["_source"])).select("src", "doc_id", "size", "hash", "key", F.pmod(F.xxhash64("doc_id", "hash"), F.lit(chunks)).alias("chunk"))
     within = Window.partitionBy("src", "chunk").orderBy("doc_id", "hash").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     over = Window.partitionBy("src").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     sums = rows.groupBy("src", "chunk").agg(F.sum("size").alias("n"))
     firsts = sums.select("src", "chunk", F.coalesce(F.sum("n").over(over), F.lit(0)).alias("first"))
     placed = rows.withColumn("upto", F.sum("size").over(within)).join(small(firsts, chunks * len(found)), ["src", "chunk"])
-    placed = materialize(placed.select("src", "doc_id", "size", "hash", (F.col("first") + F.col("upto") - F.col("size")).alias("start")), "mix-placed")
+    placed = materialize(placed.select("src", "doc_id", "size", "hash", "key", (F.col("first") + F.col("upto") - F.col("size")).alias("start")), "mix-placed")
 
     counts = draw([q.slots for q in quotas], seed)
     first = np.cumsum(counts, axis=0) - counts
@@ -192,7 +200,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: Fraction = S
     joined = parts.join(slots, ["src", "block"], "left")
     stop = F.least("b", F.least((F.col("block") + 1) * block, F.col("source_size")) - F.col("cut"))
     pieces = joined.select(
-        "src", "doc_id", "hash", "size", "start", "shard", "position", "epoch", (F.col("a") - F.col("start")).alias("from_word"),
+        "src", "doc_id", "hash", "key", "size", "start", "shard", "position", "epoch", (F.col("a") - F.col("start")).alias("from_word"),
         F.when(F.col("slot").isNotNull(), F.greatest(stop, F.col("a"))).otherwise(F.col("a")).alias("_to"),
     ).withColumn("to_word", F.col("_to") - F.col("start")).drop("_to")
     return Mix(placed, pieces, sources)
@@ -230,12 +238,13 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     All columns of ``docs`` are kept; ``text`` holds the words taken and ``n_chars``, where there
     is one, their length. A document taken twice has two rows.
     """
+    bounded_batches(docs.sparkSession)
     got = mix(docs, **how)
-    spans = got.pieces.where("to_word > from_word").groupBy("src", "start", "doc_id", "hash", "epoch").agg(F.collect_list(F.struct("from_word", "to_word")).alias("_spans"))
-    spans = spans.join(small(got.sources.select("src", "source"), limit=100_000), "src").select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"), F.col("source").alias("_source"), "_spans")
-    keyed = docs.select("*", F.xxhash64("text").alias("_key")).dropDuplicates(["doc_id", "source", "_key"])
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_key") == F.col("_hash"))
-    both = keyed.join(spans, same).select(*(f"`{c}`" for c in docs.columns), "_spans")
+    spans = got.pieces.where("to_word > from_word").groupBy("src", "start", "key", "hash", "epoch").agg(F.collect_list(F.struct("from_word", "to_word")).alias("_spans"))
+    spans = spans.select(F.col("key").alias("_key"), F.col("hash").alias("_hash"), "_spans")
+    # texts are dealt once, by the two hashes: for the distinct rows and for the join
+    keyed = docs.select("*", identity().alias("_key"), F.xxhash64("text").alias("_hash")).dropDuplicates(["_key", "_hash"])
+    both = keyed.join(spans, ["_key", "_hash"]).select(*(f"`{c}`" for c in docs.columns), "_spans")
     place = docs.columns.index("text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,5 +254,5 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
             yield pa.RecordBatch.from_arrays([texts if i == place else batch.column(i) for i in range(len(docs_columns))], docs_columns)
 
     docs_columns = list(docs.columns)
-    out = both.mapInArrow(cut, docs.schema)
+    out = both.mapInArrow(lean(cut), docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
