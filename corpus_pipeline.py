@@ -11,13 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 from sketchloom.llm import decontaminate, langid, minhash, mixing, packing
 from sketchloom.session import materialize, table
 
+#: Documents of this similarity or more are near copies; op2's contract has 85 for itself.
+NEAR_PERCENT = 80
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.kept(docs)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return minhash.deduplicated(docs)
+    return minhash.deduplicated(docs, percent=NEAR_PERCENT)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@
 Buckets and clusters of more than ``LIMIT`` members (or ``LIMIT_SHINGLES``) are cut into blocks and
 compared block against block, each pair of blocks in a task of its own, so no group is
 collected whole and no pair is left out. At similarity 0.85 two classes share no band key with
-probability 4e-7, and fall below six standard errors with less.
+probability 4e-7 (5e-5 at 0.8), and fall below six standard errors with less.
 
 Defined results: null and empty texts, and texts of white space only, have no shingles and are linked
 with nothing; fewer than five words are one shingle; very long texts are hashed in segments, whole;

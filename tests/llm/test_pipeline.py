@@ -1,4 +1,5 @@
 import os
+import random
 
 import pytest
 
@@ -23,3 +24,19 @@ def test_stages(spark, tmp_path):
     assert counts[0] >= counts[1] >= counts[2] >= counts[3] > 0 and docs.columns[0] == "shard"
     known = {r.doc_id for r in spark.read.parquet(str(tmp_path / "3")).collect()}
     assert set(packing.unpack(docs.collect())) == known
+
+
+def test_near_copies_at_four_fifths(spark):
+    rng = random.Random(5)
+    rows = []
+    for k in range(30):  # a text and a copy with a new word inside, of similarity 0.72 to 0.92
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.randint(34, 120))]
+        other = list(words)
+        other[len(words) // 2] = "new"
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+    shingles = {i: {tuple(t.split()[a : a + 5]) for a in range(len(t.split()) - 4)} for i, t in rows}
+    same = {i: len(shingles[i] & shingles[i + 1]) / len(shingles[i] | shingles[i + 1]) for i in range(0, 60, 2)}
+    assert any(0.8 <= s < 0.85 for s in same.values()) and any(s < 0.8 for s in same.values())
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in dict(corpus_pipeline.STAGES)["near-duplicates"](spark, docs, "").collect()}
+    assert kept == {i for i, _ in rows if i % 2 == 0 or same[i - 1] < 0.8}
