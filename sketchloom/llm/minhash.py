@@ -304,6 +304,8 @@ def linked(percent: int) -> Grouped:
             inter = int(n.sum()) - len(np.union1d(*sets))
             return [(0, 1)] if 100 * inter >= percent * (int(n.sum()) - inter) else []
         held = np.flatnonzero(side != 1)  # the indexed ones
+        if not len(held) or (side == 2).all():  # the other block of the pair is empty
+            return []
         owner = np.repeat(held, n[held])
         values = np.concatenate([sets[k] for k in held])
         order = np.argsort(values, kind="stable")

@@ -68,6 +68,20 @@ def test_blocks_lose_nothing(spark, monkeypatch):
     assert got == brute(rows)
 
 
+def test_empty_blocks_lose_nothing(spark, monkeypatch):
+    rng = random.Random(11)
+    rows = []
+    for k in range(30):  # clusters of three make two blocks each, some with nothing in the second
+        words = [f"w{rng.randrange(10**6)}" for _ in range(104)]
+        rows += [(3 * k + j, " ".join([*words, *(f"end{j}{i}" for i in range(j))])) for j in range(3)]
+    monkeypatch.setattr(minhash, "LIMIT_SHINGLES", 200)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.digest(frame(spark, rows)).collect()}
+    assert got == brute(rows) and {c for _, c in got.values()} == set(range(0, 90, 3))
+    sets = [np.arange(k, 100 + k, dtype=np.uint64).tobytes() for k in range(3)]
+    for side in (1, 2):
+        assert minhash.linked(85)(np.full(3, side), {"shingles": sets}) == []
+
+
 def test_odd_rows(spark):
     text = " ".join(f"v{i}" for i in range(40))
     df = frame(spark, [(5, text), (5, text), (3, text + " end"), (9, None), (10, ""), (None, text), (None, "x y")])
