@@ -542,7 +542,8 @@ def d16_corrected(spark, d):
 
 @query("d16_statistics")
 def d16_statistics(spark, d):
-    rows = legacy.with_statistics(legacy.distances(V.supp(spark, d)), comparisons=10_000)
+    n = V.supp_samples(spark, d).count()  # on both sides, with or without entries
+    rows = legacy.with_statistics(legacy.distances(V.supp(spark, d)), comparisons=n * n)
     return rows.select("q", "r", r9("sd").alias("sd"), r9("p_value").alias("p_value"), r9("fdr").alias("fdr"), r9("value_low").alias("value_low"), r9("value_high").alias("value_high"), r9("distance_low").alias("distance_low"), r9("distance_high").alias("distance_high"))
 
 

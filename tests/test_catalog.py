@@ -1,5 +1,6 @@
 """Every query that has SQL gives the SQL's rows, on the smallest tables."""
 
+import math
 import os
 
 import pytest
@@ -42,6 +43,25 @@ def test_query_without_sql_runs(spark, name):
     assert catalog.queries()[name](spark, SF).count() >= 0
 
 
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
+def test_statistics_count_all_comparisons(spark, duck, size):
+    path = f"/root/testdata/{size}"
+    where = lambda t: f"'{path}/{t}.parquet{'/*.parquet' if os.path.isdir(f'{path}/{t}.parquet') else ''}'"
+    n = duck.execute(f"SELECT count(*) FROM {where('supplier')}").fetchone()[0]
+    sets = {}
+    for sample, *key in duck.execute(f"SELECT DISTINCT l_suppkey, l_partkey, CAST(l_quantity AS BIGINT) FROM {where('lineitem')}").fetchall():
+        sets.setdefault(sample, set()).add(tuple(key))
+    want = {}
+    for q, r in ((q, r) for q in sets for r in sets if r < q and sets[q] & sets[r]):
+        union = len(sets[q] | sets[r])
+        value = len(sets[q] & sets[r]) / union
+        sd = math.sqrt(value * (1 - value) / union)
+        want[q, r] = n * n * 0.5 * math.erfc(value / sd * math.sqrt(0.5)) if sd else 0.0
+    got = {(x.q, x.r): x.fdr for x in catalog.queries()["d16_statistics"](spark, path).collect()}
+    assert got.keys() == want.keys() and len(got) > 1
+    assert all(got[k] == pytest.approx(want[k], abs=1e-9, rel=1e-9) for k in got)
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
