@@ -18,8 +18,8 @@ probability 4e-7 (5e-5 at 0.8), and fall below six standard errors with less.
 Defined results: null and empty texts, and texts of white space only, have no shingles and are linked
 with nothing; fewer than five words are one shingle; very long texts are hashed in segments, whole;
 rows with a null id take part, a component's id is the smallest non-null one and null if it has none;
-rows that repeat both an id and a text are kept or dropped together; an empty table gives an empty result; other
-columns are not used.
+rows that repeat both an id and a text have one ``kept`` in :func:`digest`, and :func:`deduplicated` leaves one of them; an
+empty table gives an empty result; other columns are not used.
 """
 
 from __future__ import annotations
@@ -343,8 +343,8 @@ def in_blocks(members: DataFrame, key: str, blocks: str) -> DataFrame:
     return out.select("*", F.col("_pair.i").alias("i"), F.col("_pair.j").alias("j"), side.alias("side")).drop("_own", "_pair", blocks)
 
 
-def duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, text_hash, n_shingles, component_id, kept and fp of every row."""
+def named(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, text_hash, n_shingles, fp and comp of every row; comp names the component, null without shingles."""
     bounded_batches(docs.sparkSession)
     rows = materialize(signed(docs), "minhash-signed")
     full = rows.where("n_shingles > 0")
@@ -361,9 +361,14 @@ def duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     found = confirm(docs, classes, cluster, percent)
     comps = small(found.select(F.col("id").alias("fp"), "comp"))
-    named = rows.join(comps, "fp", "left").select("doc_id", "text_hash", "n_shingles", "fp", F.coalesce("comp", "fp").alias("comp"))
-    least = named.where("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    out = named.join(least, "comp", "left")
+    return rows.join(comps, "fp", "left").select("doc_id", "text_hash", "n_shingles", "fp", F.coalesce("comp", "fp").alias("comp"))
+
+
+def duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, text_hash, n_shingles, component_id, kept and fp of every row."""
+    rows = named(docs, percent)
+    least = rows.where("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    out = rows.join(least, "comp", "left")
     alone = F.when(F.col("component_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "text_hash", "n_shingles", alone.alias("component_id"), F.col("doc_id").eqNullSafe(alone).alias("kept"), "fp")
 
@@ -405,14 +410,24 @@ def confirm(docs: DataFrame, classes: DataFrame, cluster: DataFrame, percent: in
 def deduplicated(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns.
 
-    One document of each component stays: the one with the smallest id. Rows are told apart by id and text, so
-    of rows without an id each is judged for itself.
+    One row of each component stays: the one with the smallest id (null ids last), of these the one with the smallest
+    hash of its text. Of rows that repeat that id and text any one stays. Rows without shingles all stay.
     """
-    gone = duplicates(docs, percent).where(~F.col("kept")).select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_hash")).distinct()
-    gone = materialize(gone, "minhash-gone")
-    n = gone.limit(BROADCAST_ROWS + 1).count()
-    same = (F.xxhash64("text") == F.col("_hash")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_gone"))
-    return docs.join(small(gone, n), same, "left_anti")
+    rows = named(docs, percent).where("comp IS NOT NULL").select("comp", "doc_id", "text_hash")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    best = rows.groupBy("comp").agg(F.min(place).alias("best"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    judged = rows.join(best, "comp").withColumn("stays", place == F.col("best"))
+    judged = judged.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.first("stays").alias("stays"), F.count("*").alias("n"))
+    judged = materialize(judged.where("NOT stays OR n > 1"), "minhash-judged")  # a row's id and text tell its component
+    gone, again = judged.where("NOT stays").select("_id", "_hash"), judged.where("stays").select("_id", "_hash")
+    n, repeated = (x.limit(BROADCAST_ROWS + 1).count() for x in (gone, again))
+    same = (F.xxhash64("text") == F.col("_hash")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
+    out = docs.join(small(gone, n), same, "left_anti")
+    if not repeated:
+        return out
+    # texts are dealt only of rows that are there more than once
+    one = out.join(small(again, repeated), same).dropDuplicates(["_id", "_hash"]).select(*(f"`{c}`" for c in docs.columns))
+    return out.join(small(again, repeated), same, "left_anti").unionByName(one)
 
 
 def digest(docs: DataFrame) -> DataFrame:

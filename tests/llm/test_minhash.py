@@ -92,6 +92,20 @@ def test_odd_rows(spark):
     assert kept.columns == df.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["10", "3", "9", "None"]
 
 
+def test_one_row_of_each_component_stays(spark):
+    rng = random.Random(4)
+    a, b, c, d = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(80)) for _ in range(4))
+    batch = [(1, a), (2, a), (3, a + " end"), (4, b), (5, ""), (5, None)]
+    rows = [*batch, *batch, (None, c), (None, c), (None, c + " end"), (None, b), (7, d), (7, d + " end")]
+    df = frame(spark, rows)
+    kept = minhash.deduplicated(df)
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    assert kept.schema == df.schema
+    assert [x for x in got if x[0] not in (None, 7)] == sorted([(1, a), (4, b), (5, ""), (5, ""), (5, None), (5, None)], key=str)
+    assert len([x for x in got if x[0] is None]) == 1 and len([x for x in got if x[0] == 7]) == 1
+    assert {t for i, t in got if i is None} <= {c, c + " end"}
+
+
 def test_whole_long_texts_are_hashed(monkeypatch):
     rng = random.Random(3)
     text = " ".join(f"é{rng.randrange(10**6)}" for _ in range(3000))
