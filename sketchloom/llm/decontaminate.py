@@ -7,6 +7,10 @@ characters of all pieces at once (a rolling hash in a bit table, then a sorted l
 whose whole piece is there gives a window of the document, in which Myers' bit-parallel
 algorithm finds the least edit distance of the item to any passage.
 
+A passage also matches if it is the item with one word dropped or replaced by any other, however
+many edits that is: a word of at most a fifth of the item, in items that may differ at all. Such an item has three pieces at least, and the word touches not all of
+them, so here too a piece stands unchanged; the words before and after it are compared from there.
+
 Hits of one item that lie closer than a window are verified together, so a text
 that repeats one piece costs its own length, not a window for each hit. The pieces are
 made on the driver from the benchmark and sent to all tasks: their size is the
@@ -21,6 +25,7 @@ empty results; other columns are carried only by :func:`clean`.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -32,6 +37,8 @@ from pyspark.sql import functions as F
 from sketchloom.session import bounded_batches, lean
 
 RATE, MAX_CHARS = 0.05, 20_000_000
+#: A word of at most this part of an item may be dropped or replaced.
+WORD_PART = 5
 #: Bytes that are scanned at once; a longer text is scanned whole.
 SEGMENT = 1 << 20
 #: Bits of the table that a position's hash is looked up in first.
@@ -44,8 +51,9 @@ def normal(text: str | None) -> str:
 
 
 def pieces(text: str, rate: float = RATE) -> list[tuple[int, str]]:
-    """Where each of the error budget plus one pieces starts, and the piece."""
+    """Where each of the error budget plus one pieces starts, and the piece; three at least if there is a budget."""
     parts = int(len(text) * rate) + 1
+    parts = max(parts, 3) if parts > 1 else parts
     cuts = [len(text) * i // parts for i in range(parts + 1)]
     return [(a, text[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
@@ -77,6 +85,50 @@ def myers(pattern: str, text: str) -> tuple[int, int]:
     return best, end
 
 
+def word_spans(text: str) -> list[tuple[int, int]]:
+    """Start and end of each word of a normal text."""
+    out, at = [], 0
+    for word in text.split(" "):
+        out.append((at, at + len(word)))
+        at += len(word) + 1
+    return out
+
+
+def one_word(pattern: str, words: list[tuple[int, int]], text: str, start: int) -> bool:
+    """Whether a passage is ``pattern`` but for one of its words, of at most a fifth of it.
+
+    ``start`` is where the passage starts or, but for that word's length, ends. Where more than two words fit
+    from one side, the word is the last of them or the one before, so only these are looked at.
+    """
+    n = len(pattern)
+    fits = (lambda k: k == 0 or text.startswith(pattern[: words[k][0] - 1], start)) if start >= 0 else (lambda k: k == 0)
+    last = bisect_left(range(len(words)), True, key=lambda k: not fits(k)) - 1
+    for a, b in words[max(1, last - 1) : last + 1]:
+        # what stands before the word is in place, and after any word or none comes the rest
+        if (b - a) * WORD_PART > n:
+            continue
+        if b == n:
+            return True
+        at = start + a
+        if text.startswith(" ", at - 1):
+            stop = text.find(" ", at)
+            if text.startswith(pattern[b + 1 :], at) or stop >= 0 and text.startswith(pattern[b:], stop):
+                return True
+    follows = lambda k: words[k][1] == n or start + words[k][1] + 1 >= 0 and text.startswith(pattern[words[k][1] + 1 :], start + words[k][1] + 1)
+    first = bisect_left(range(len(words)), True, key=follows)
+    for a, b in words[first : min(first + 2, len(words) - 1)]:
+        # the rest is in place, and before any word or none stands what is before the word
+        if (b - a) * WORD_PART > n:
+            continue
+        if a == 0:
+            return True
+        at = start + b
+        if at >= 0 and text.startswith(" ", at):
+            if text.endswith(pattern[: a - 1], 0, at) or text.endswith(pattern[:a], 0, text.rfind(" ", 0, at) + 1):
+                return True
+    return False
+
+
 class Scanner:
     """All pieces of some items, ready to be found in a text."""
 
@@ -84,6 +136,7 @@ class Scanner:
         self.items = [(item, normal(text)) for item, text in items]
         self.items = [(item, text) for item, text in self.items if text]
         self.budget = [int(len(text) * rate) for _, text in self.items]
+        self.words = [word_spans(text) if k else [] for (_, text), k in zip(self.items, self.budget, strict=True)]
         probes: dict[bytes, list[tuple[int, int, str]]] = defaultdict(list)
         self.short: list[tuple[int, int, str]] = []
         for k, (_, text) in enumerate(self.items):
@@ -128,7 +181,7 @@ class Scanner:
                     yield at, found
 
     def verify(self, text: str, hits: dict[int, list[int]]) -> list[tuple[int | None, int, int]]:
-        """Item, distance and end for items with a passage within the budget; ``hits``: item number to alignments."""
+        """Item, distance and end for items with a passage within the budget or with one word of another; ``hits``: item number to alignments."""
         out = []
         for k, starts in sorted(hits.items()):
             item, pattern = self.items[k]
@@ -136,6 +189,7 @@ class Scanner:
             starts.sort()
             i = 0
             while i < len(starts):
+                first = i
                 a = max(0, starts[i] - budget)
                 b = starts[i] + len(pattern) + budget
                 while i + 1 < len(starts) and starts[i + 1] - budget <= b:
@@ -143,7 +197,11 @@ class Scanner:
                     b = starts[i] + len(pattern) + budget
                 i += 1
                 distance, end = myers(pattern, text[a:b])
-                if distance <= budget and (best is None or distance < best[0]):
+                near = distance <= budget
+                if not near and self.words[k] and any(one_word(pattern, self.words[k], text, s) for s in starts[first:i]):
+                    a, near = max(0, a - len(pattern)), True  # the other word may be long
+                    distance, end = myers(pattern, text[a : b + len(pattern)])
+                if near and (best is None or distance < best[0]):
                     best = distance, a + end
             if best:
                 out.append((item, *best))

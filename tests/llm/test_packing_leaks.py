@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -60,6 +61,36 @@ def test_leaks_against_brute_force(spark):
     assert decontaminate.leaks(df.limit(0), bench).count() == 0
 
 
+def test_one_word_replaced(spark):
+    rng = random.Random(9)
+    word = lambda low=2, high=12: "".join(rng.choices("abcdefgh", k=rng.randint(low, high)))
+    items = [(i, " ".join(word() for _ in range(rng.randint(4, 20)))) for i in range(60)]
+    docs, want = [], set()
+    for d in range(500):
+        x = rng.choice(items)[1].split(" ")
+        k = rng.randrange(len(x))
+        x[k : k + 1] = rng.choice([[], [word(1, 30)], [word(9, 30)], [word(), word()]])
+        around = [word() for _ in range(6)]
+        docs.append((d, " ".join([*around[: rng.randint(0, 3)], *x, *around[3 : rng.randint(3, 6)]]), "en"))
+    for d, text, _ in docs:
+        for i, x in items:
+            budget, at, cut = int(len(x) * decontaminate.RATE), 0, []
+            for w in x.split(" "):
+                if budget and len(w) <= len(x) / 5:
+                    before, after = re.escape(x[:at].rstrip(" ")), re.escape(x[at + len(w) + 1 :])
+                    cut.append(before + after if not before or not after else before + r" (?:[^ ]+ )?" + after)
+                at += len(w) + 1
+            if decontaminate.myers(x, text)[0] <= budget or any(re.search(c, text) for c in cut):
+                want.add((d, i))
+    got = {(d, i) for d, own in enumerate(decontaminate.Scanner(items).matches([t for _, t, _ in docs])) for i, *_ in own}
+    assert got == want and len(want) > 100
+    item = "the committee considered internationalisation of the programme for all of its members in spring"
+    df = spark.createDataFrame([(1, f"so {item.replace('internationalisation', 'abandonment')} ."), (2, item[: len(item) // 2])], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item.replace("internationalisation", "standardisation"))], "item_id long, text string")
+    assert [(r.doc_id, r.distance) for r in decontaminate.leaks(df, bench).collect()] == [(1, edit(bench.first().text, df.first().text)[0])]
+    assert [r.doc_id for r in decontaminate.clean(df, bench).collect()] == [2]
+
+
 def test_best_fit_is_the_fullest_row():
     rng = random.Random(1)
     lengths = [rng.randint(1, 50) for _ in range(400)]
