@@ -10,6 +10,8 @@ split, and its minimum is pre-aggregated.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,32 +87,62 @@ def clusters(ranks: DataFrame, edges: DataFrame) -> DataFrame:
     return held.join(number, "comp").select("sample_id", "cluster_id", "component_size", "representative")
 
 
+#: Undecided edges that one task may settle in rank order, where rounds don't get on.
+ONE_TASK = 1_000_000
+
+
+def _in_order(open_: DataFrame) -> DataFrame:
+    """Samples removed by one pass over the undecided edges in rank order, by one task."""
+    import pandas as pd
+
+    def run(parts):
+        held = pd.concat([pd.DataFrame({"worse": [], "better": []}, dtype="int64"), *parts]).sort_values("better")
+        gone: set[int] = set()
+        for worse, better in zip(held["worse"].tolist(), held["better"].tolist(), strict=True):
+            if better not in gone:  # all of its better neighbours came before
+                gone.add(worse)
+        yield pd.DataFrame({"worse": sorted(gone)}, dtype="int64")
+
+    return open_.select(F.col("worse").cast("long"), F.col("better").cast("long")).repartition(1).mapInPandas(run, "worse long")
+
+
 def greedy(ranks: DataFrame, edges: DataFrame, rounds: int = 200) -> DataFrame:
     """Greedy deduplication in quality order, in parallel rounds.
 
     In each round every undecided sample without a better undecided neighbour is kept, and its
     undecided neighbours are removed. That is the sequential result: the first maximal independent set
     in quality order. A removed sample's representative is its best kept neighbour.
+
+    A path whose quality falls along it settles one kept sample a round. After ``rounds`` rounds the
+    rest is settled by one task once it has at most ``ONE_TASK`` edges; until then rounds go on, and as each
+    decides a sample at least, they end.
     """
     rank = ranks.select("sample_id", "rank")
     a = rank.select(F.col("sample_id").alias("q"), F.col("rank").alias("q_rank"))
     b = rank.select(F.col("sample_id").alias("r"), F.col("rank").alias("r_rank"))
     ranked = edges.where("q <> r").select("q", "r").join(a, "q").join(b, "r").select(F.greatest("q_rank", "r_rank").alias("worse"), F.least("q_rank", "r_rank").alias("better")).distinct()
     ranked = materialize(ranked, "greedy-edges")
-    open_, removed = ranked, None
-    for _ in range(rounds):
-        if open_.limit(1).count() == 0:
+    open_, removed, parts = ranked, None, 0
+    for done_rounds in count():
+        left = open_.limit(ONE_TASK + 1 if done_rounds >= rounds else 1).count()
+        if left == 0:
+            break
+        last = done_rounds >= rounds and left <= ONE_TASK
+        if last:
+            gone = materialize(_in_order(open_), "greedy-gone")
+        else:
+            beaten = open_.select(F.col("worse").alias("n")).distinct()
+            kept = open_.select(F.col("better").alias("n")).distinct().join(beaten, "n", "left_anti")
+            gone = materialize(open_.join(kept.select(F.col("n").alias("better")), "better").select("worse").distinct(), "greedy-gone")
+        removed, parts = (gone, 1) if removed is None else (removed.unionByName(gone), parts + 1)
+        if parts == 100:  # or the plan would grow with the rounds
+            removed, parts = materialize(removed.coalesce(8), "greedy-removed"), 1
+        if last:
             break
-        beaten = open_.select(F.col("worse").alias("n")).distinct()
-        kept = open_.select(F.col("better").alias("n")).distinct().join(beaten, "n", "left_anti")
-        gone = materialize(open_.join(kept.select(F.col("n").alias("better")), "better").select("worse").distinct(), "greedy-gone")
-        removed = gone if removed is None else removed.unionByName(gone)
         out = gone.select(F.col("worse").alias("n"))
         open_ = open_.join(out.select(F.col("n").alias("worse")), "worse", "left_anti").join(out.select(F.col("n").alias("better")), "better", "left_anti")
         done = kept.select(F.col("n").alias("better"))  # a kept sample has no undecided neighbour left
         open_ = materialize(open_.join(done, "better", "left_anti").select("worse", "better"), "greedy-open")
-    else:
-        raise RuntimeError(f"greedy deduplication did not settle in {rounds} rounds")
     best = ranked.groupBy("worse").agg(F.min("better").alias("by"))  # without any removed sample there are no edges
     if removed is not None:
         best = ranked.join(removed.select(F.col("worse").alias("better")), "better", "left_anti").groupBy("worse").agg(F.min("better").alias("by"))

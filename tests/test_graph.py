@@ -70,6 +70,16 @@ def test_dedup_is_sequential(spark, seed):
     assert {x.sample_id: x.representative for x in graph.full_linkage(r, e).collect()} == clique
 
 
+@pytest.mark.parametrize("one_task", [10**6, 0])
+def test_dedup_settles_long_paths(spark, monkeypatch, one_task):
+    monkeypatch.setattr(graph, "ONE_TASK", one_task)
+    n = 2000 if one_task else 12
+    r = spark.createDataFrame([(i, i + 1) for i in range(n)], "sample_id long, rank long")
+    e = spark.createDataFrame([(i + 1, i) for i in range(n - 1)], "q long, r long")
+    got = {x.sample_id: x.representative for x in graph.greedy(r, e, rounds=2).collect()}
+    assert got == {i: i - i % 2 for i in range(n)}
+
+
 def test_quality_order(spark):
     rows = [
         (0, False, True, 0.9, 100, 1, 10, 0.0, 50),
