@@ -1,47 +1,88 @@
 """Clusters and deduplication plans over an edge list.
 
-Components come from alternating large-star and small-star steps, all joins and minima.
-
-The edge list is never collected; each round is two joins and two grouped minima, and is
-written to the shared folder, so a lost executor costs at most a part of one round. A node
-with very many neighbours meets a one-row side in the join, which adaptive execution can
-split, and its minimum is pre-aggregated.
+Components: each task first contracts the edges it reads to a spanning star of each group it
+sees; alternating large-star and small-star steps, windows that stream over sorted neighbours,
+then join the groups of all tasks. The edge list is never collected; each round is written to the
+shared folder and replaces the last, so a lost executor costs at most a part of one round.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import count
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
+
+from sketchloom.session import discard, materialize, measured, small
+
+#: Edges that a task contracts at a time.
+CONTRACTED = 1_000_000
+
+
+def stars(pairs: Iterator[tuple]) -> list[tuple]:
+    """(node, least node of its group) of all nodes but the least ones, for the groups that some pairs join."""
+    up: dict = {}
+
+    def root(x):
+        top = x
+        while (above := up.get(top, top)) != top:
+            top = above
+        while x != top:
+            up[x], x = top, up.get(x, x)
+        return top
+
+    for a, b in pairs:
+        x, y = root(a), root(b)
+        if x != y:
+            up[max(x, y)] = min(x, y)
+    return [(x, root(x)) for x in list(up)]
 
-from sketchloom.session import materialize, small
 
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, schema = [], None
 
-def _state(edges: DataFrame) -> tuple[int, int]:
-    got = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    return got[0], int(got[1] or 0)
+    def out() -> pa.RecordBatch:
+        made = stars(held)
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in made], schema.field(i).type) for i in (0, 1)], schema=schema)
+
+    for batch in batches:
+        schema = batch.schema
+        held.extend(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        if len(held) >= CONTRACTED:
+            yield out()
+    if held:
+        yield out()
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """``id`` and ``comp`` of every node that is not its component's smallest; that one is ``comp``.
 
-    Null ends and loops are left out. Ids may be of any type with an order.
+    Null ends and loops are left out. Ids may be numbers, text or binary.
     """
     x, y = F.col(a), F.col(b)
-    now = materialize(edges.where(x != y).select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).distinct(), "edges")
-    state = _state(now)
+    kind = edges.select(a).schema[0].dataType
+    ends = edges.where(x != y).select(x.alias("u"), y.alias("v"))
+    now = ends.mapInArrow(_contracted, StructType([StructField("u", kind), StructField("v", kind)]))
+    state = {"n": F.count(F.lit(1)), "h": F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))}
+    now, before = measured(now.distinct(), "edges", **state)
+    least = lambda: F.first("v").over(Window.partitionBy("u").orderBy("v"))
+    pair = lambda u, v: F.struct(F.col(u).alias("u"), F.col(v).alias("v"))
     for _ in range(rounds):
-        if not state[0]:
+        if not before["n"]:
             break
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        best = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(best, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = materialize(small.unionByName(best.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        before, state = state, _state(now)
-        if before == state:
+        # every greater neighbour of u meets the least of u and its neighbours ...
+        both = now.select(F.explode(F.array(pair("u", "v"), pair("v", "u"))).alias("e")).select("e.*")
+        large = both.select("u", "v", F.least("u", least()).alias("m")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        # ... and so does every smaller one
+        near = large.select("u", "v", least().alias("m")).select(F.explode(F.array(pair("v", "m"), pair("u", "m"))).alias("e")).select("e.*").where("u <> v")
+        old, after = now, before
+        now, before = measured(near.distinct(), "edges", **state)
+        discard(old)
+        if before == after:
             break
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
@@ -87,35 +128,62 @@ def clusters(ranks: DataFrame, edges: DataFrame) -> DataFrame:
     return held.join(number, "comp").select("sample_id", "cluster_id", "component_size", "representative")
 
 
-#: Undecided edges that one task may settle in rank order, where rounds don't get on.
-ONE_TASK = 1_000_000
+#: Undecided edges of one component that a task may settle in rank order, and the rounds before that.
+ONE_TASK, QUICK_ROUNDS = 1_000_000, 4
 
 
 def _in_order(open_: DataFrame) -> DataFrame:
-    """Samples removed by one pass over the undecided edges in rank order, by one task."""
+    """Samples removed by one pass over each component's undecided edges in rank order.
+
+    Edges are dealt by component and stream through a task, which holds the samples that one component has lost.
+    """
     import pandas as pd
 
     def run(parts):
-        held = pd.concat([pd.DataFrame({"worse": [], "better": []}, dtype="int64"), *parts]).sort_values("better")
-        gone: set[int] = set()
-        for worse, better in zip(held["worse"].tolist(), held["better"].tolist(), strict=True):
-            if better not in gone:  # all of its better neighbours came before
-                gone.add(worse)
-        yield pd.DataFrame({"worse": sorted(gone)}, dtype="int64")
-
-    return open_.select(F.col("worse").cast("long"), F.col("better").cast("long")).repartition(1).mapInPandas(run, "worse long")
-
-
-def greedy(ranks: DataFrame, edges: DataFrame, rounds: int = 200) -> DataFrame:
+        comp, gone = None, set()
+        for part in parts:
+            out = []
+            for c, better, worse in zip(part["comp"].tolist(), part["better"].tolist(), part["worse"].tolist(), strict=True):
+                if c != comp:
+                    comp, gone = c, set()
+                if better not in gone and worse not in gone:  # all of its better neighbours came before
+                    gone.add(worse)
+                    out.append(worse)
+            yield pd.DataFrame({"worse": out}, dtype="int64")
+
+    dealt = open_.select("comp", F.col("better").cast("long"), F.col("worse").cast("long")).repartition("comp").sortWithinPartitions("comp", "better")
+    return dealt.mapInPandas(run, "worse long")
+
+
+def _round(open_: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Samples kept, as no undecided one is better, and their neighbours, which are removed."""
+    beaten = open_.select(F.col("worse").alias("n")).distinct()
+    kept = open_.select(F.col("better").alias("n")).distinct().join(beaten, "n", "left_anti")
+    gone = open_.join(kept.select(F.col("n").alias("better")), "better").select("worse").distinct()
+    return kept, gone
+
+
+def _settled(open_: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Samples removed in the components that a task can settle, and the undecided edges of the others."""
+    comps = components(open_, "worse", "better")
+    comps = comps.select(F.col("id").alias("better"), "comp").unionByName(comps.select(F.col("comp").alias("better"), "comp").distinct())
+    held = materialize(open_.join(comps, "better"), "greedy-components")
+    sizes = held.groupBy("comp").agg(F.count("*").alias("_n"))
+    fits = held.join(sizes.where(F.col("_n") > ONE_TASK).select("comp"), "comp", "left_anti")
+    rest = held.join(sizes.where(F.col("_n") > ONE_TASK).select("comp"), "comp", "left_semi").select("worse", "better")
+    return _in_order(fits), rest
+
+
+def greedy(ranks: DataFrame, edges: DataFrame, rounds: int = QUICK_ROUNDS) -> DataFrame:
     """Greedy deduplication in quality order, in parallel rounds.
 
     In each round every undecided sample without a better undecided neighbour is kept, and its
     undecided neighbours are removed. That is the sequential result: the first maximal independent set
     in quality order. A removed sample's representative is its best kept neighbour.
 
-    A path whose quality falls along it settles one kept sample a round. After ``rounds`` rounds the
-    rest is settled by one task once it has at most ``ONE_TASK`` edges; until then rounds go on, and as each
-    decides a sample at least, they end.
+    A path whose quality falls along it settles one kept sample a round, so after ``rounds`` rounds each component of
+    what is left is settled by a task in rank order. Components of more than ``ONE_TASK`` undecided edges go on by
+    rounds, the same number each time before they are looked at again; as each round decides a sample at least, that ends.
     """
     rank = ranks.select("sample_id", "rank")
     a = rank.select(F.col("sample_id").alias("q"), F.col("rank").alias("q_rank"))
@@ -123,26 +191,23 @@ def greedy(ranks: DataFrame, edges: DataFrame, rounds: int = 200) -> DataFrame:
     ranked = edges.where("q <> r").select("q", "r").join(a, "q").join(b, "r").select(F.greatest("q_rank", "r_rank").alias("worse"), F.least("q_rank", "r_rank").alias("better")).distinct()
     ranked = materialize(ranked, "greedy-edges")
     open_, removed, parts = ranked, None, 0
-    for done_rounds in count():
-        left = open_.limit(ONE_TASK + 1 if done_rounds >= rounds else 1).count()
-        if left == 0:
+    for turn in count(1):
+        if open_.isEmpty():
             break
-        last = done_rounds >= rounds and left <= ONE_TASK
-        if last:
-            gone = materialize(_in_order(open_), "greedy-gone")
+        if turn % (rounds + 1):
+            kept, gone = _round(open_)
+            gone = materialize(gone, "greedy-gone")
+            # a kept sample has no undecided neighbour left
+            rest = open_.join(kept.select(F.col("n").alias("better")), "better", "left_anti")
+            out = gone.select(F.col("worse").alias("n"))
+            rest = rest.join(out.select(F.col("n").alias("worse")), "worse", "left_anti").join(out.select(F.col("n").alias("better")), "better", "left_anti").select("worse", "better")
         else:
-            beaten = open_.select(F.col("worse").alias("n")).distinct()
-            kept = open_.select(F.col("better").alias("n")).distinct().join(beaten, "n", "left_anti")
-            gone = materialize(open_.join(kept.select(F.col("n").alias("better")), "better").select("worse").distinct(), "greedy-gone")
+            gone, rest = _settled(open_)
+            gone = materialize(gone, "greedy-gone")
         removed, parts = (gone, 1) if removed is None else (removed.unionByName(gone), parts + 1)
         if parts == 100:  # or the plan would grow with the rounds
             removed, parts = materialize(removed.coalesce(8), "greedy-removed"), 1
-        if last:
-            break
-        out = gone.select(F.col("worse").alias("n"))
-        open_ = open_.join(out.select(F.col("n").alias("worse")), "worse", "left_anti").join(out.select(F.col("n").alias("better")), "better", "left_anti")
-        done = kept.select(F.col("n").alias("better"))  # a kept sample has no undecided neighbour left
-        open_ = materialize(open_.join(done, "better", "left_anti").select("worse", "better"), "greedy-open")
+        open_ = materialize(rest, "greedy-open")
     best = ranked.groupBy("worse").agg(F.min("better").alias("by"))  # without any removed sample there are no edges
     if removed is not None:
         best = ranked.join(removed.select(F.col("worse").alias("better")), "better", "left_anti").groupBy("worse").agg(F.min("better").alias("by"))

@@ -12,8 +12,9 @@ import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows below which a side of narrow rows may be broadcast (ids, codes, counts).
@@ -68,15 +69,34 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     path = scratch_path(spark, label)
     df.write.parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made.scratch = path
+    return made
+
+
+def measured(df: DataFrame, label: str, **measures: Column) -> tuple[DataFrame, dict]:
+    """:func:`materialize` and the values of some aggregates over ``df``, taken while it is written."""
+    seen = Observation()
+    made = materialize(df.observe(seen, *(c.alias(k) for k, c in measures.items())), label)
+    return made, seen.get
+
+
+def discard(made: DataFrame) -> None:
+    """Delete a table of :func:`materialize` that no frame in use reads any more."""
+    spark, path = made.sparkSession, made.scratch
+    _delete(spark, path)
+    _written.remove((spark, path))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def _forget() -> None:
     for spark, path in _written:
         try:
-            jvm = spark._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(spark, path)
         except Exception:  # the JVM may be gone at exit; the folder's owner clears it then
             return
 
@@ -84,6 +104,28 @@ def _forget() -> None:
 atexit.register(_forget)
 
 
+def fresh(columns: Iterable[str], *names: str) -> list[str]:
+    """``names``, each with underscores in front until none of ``columns`` is called so, whatever the case of letters."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def quoted(name: str) -> str:
+    """A column's name as an expression refers to it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def without(columns: Iterable[str], *made: str) -> list[str]:
+    """The columns that aren't called like those that are made, whatever the case of letters."""
+    taken = {c.lower() for c in made}
+    return [c for c in columns if c.lower() not in taken]
+
+
 def small(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` marked for broadcast if its measured row count is at most ``limit``.
 
