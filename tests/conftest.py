@@ -12,6 +12,7 @@ def spark(tmp_path_factory):
 
     s = (
         SparkSession.builder.master(os.environ.get("TEST_MASTER", "local[*]"))
+        .config("spark.driver.memory", "3g")
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
