@@ -4,7 +4,8 @@ A conversation's turns, in order, become one or more windows of formatted text.
 sums of the turns' tokens choose spans of whole turns that fit ``budget``; every window
 but the first repeats the leading system turn and up to ``history`` tokens of the turns
 just before it; repeated turns are outside the loss mask, so each assistant text is
-learnt once. A turn longer than the budget has a window of its own: nothing is cut.
+learnt once. The budget comes first: where the system turn doesn't fit beside the next turn, that window goes without it.
+A turn longer than the budget has a window of its own: nothing is cut.
 
 The template is ``<turn INDEX ROLE>\\nTEXT\\n</turn>\\n``. Inside roles and texts ``\\`` becomes
 ``\\\\``, ``<`` becomes ``\\l`` and ``>`` becomes ``\\g``, in roles a line feed ``\\n``; so no text can hold a
@@ -101,7 +102,7 @@ class Windows:
     def _repeat(self, tokens: int) -> None:
         """Start a window with the system turn and as much history as fits beside the next turn."""
         self._open()
-        if self.system:
+        if self.system and self.system[1] + tokens <= self.budget:
             self._put(*self.system)
         room = min(self.limit, self.budget - self.used - tokens)
         for rendered, before, after in self.recent:

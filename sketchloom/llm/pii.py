@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sketchloom.session import fresh, quoted, without
+
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "ssn")
 
@@ -100,13 +102,13 @@ def running_sum(steps: Column) -> Column:
     return F.when(F.size(steps) <= BLOCK, within(steps)).otherwise(long)
 
 
-def may_hold(kind: str, text: Column) -> Column:
+def may_hold(kind: str, text: Column, digits: Column) -> Column:
     """A cheap test that most texts without the kind fail."""
     if kind == "email":
         return F.contains(text, F.lit("@"))
     if kind == "phone":
         return F.contains(text, F.lit("+"))
-    return F.col("_digits")
+    return digits
 
 
 def find(df: DataFrame, text: str = "text", threshold: float = 0.6, out: str = "pii") -> DataFrame:
@@ -115,22 +117,22 @@ def find(df: DataFrame, text: str = "text", threshold: float = 0.6, out: str = "
     ``start`` and ``end`` count code points, end exclusive. Base kinds are always kept;
     the others need a score of ``threshold``.
     """
-    kept = [F.col(f"`{c}`") for c in df.columns if c != out]
-    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    names = [quoted(c) for c in without(df.columns, out)]
+    body, digits, *own = fresh(df.columns, "body", "digits", *(f"{part}_{k}" for part in ("hit", "gap", "at") for k in KINDS))
+    hits, gaps, ats = (dict(zip(KINDS, own[i : i + len(KINDS)], strict=True)) for i in range(0, len(own), len(KINDS)))
     empty = F.array().cast("array<string>")
-    got = df.select(*kept, body.alias("_body")).withColumn("_digits", F.col("_body").rlike("[0-9]"))
-    names = [f"`{c}`" for c in df.columns if c != out]
-    got = got.select(*names, "_body", *(F.when(may_hold(k, F.col("_body")), F.regexp_extract_all("_body", F.lit(PATTERNS[k]), F.lit(0))).otherwise(empty).alias(f"_hit_{k}") for k in KINDS))
-    got = got.select(*names, *(f"_hit_{k}" for k in KINDS), *(F.when(F.size(f"_hit_{k}") > 0, F.split("_body", PATTERNS[k], -1)).otherwise(empty).alias(f"_gap_{k}") for k in KINDS))
+    got = df.select(*names, F.coalesce(F.col(quoted(text)), F.lit("")).alias(body)).withColumn(digits, F.col(body).rlike("[0-9]"))
+    got = got.select(*names, body, *(F.when(may_hold(k, F.col(body), F.col(digits)), F.regexp_extract_all(body, F.lit(PATTERNS[k]), F.lit(0))).otherwise(empty).alias(hits[k]) for k in KINDS))
+    got = got.select(*names, *hits.values(), *(F.when(F.size(hits[k]) > 0, F.split(body, PATTERNS[k], -1)).otherwise(empty).alias(gaps[k]) for k in KINDS))
 
     def steps(k: str) -> Column:
-        hit, gap = F.col(f"_hit_{k}"), F.col(f"_gap_{k}")
+        hit, gap = F.col(hits[k]), F.col(gaps[k])
         return F.transform(hit, lambda h, i: F.length(F.get(gap, i)) + F.when(i > 0, F.length(F.get(hit, i - 1))).otherwise(0))
 
-    got = got.withColumns({f"_at_{k}": F.when(F.size(f"_hit_{k}") > 0, running_sum(steps(k))).otherwise(F.array().cast("array<int>")) for k in KINDS})
+    got = got.withColumns({ats[k]: F.when(F.size(hits[k]) > 0, running_sum(steps(k))).otherwise(F.array().cast("array<int>")) for k in KINDS})
 
     def spans(k: str) -> Column:
-        hit, gap, at = F.col(f"_hit_{k}"), F.col(f"_gap_{k}"), F.col(f"_at_{k}")
+        hit, gap, at = F.col(hits[k]), F.col(gaps[k]), F.col(ats[k])
         score, up, down = CONTEXT[k]
 
         def one(h: Column, i: Column) -> Column:
@@ -142,22 +144,23 @@ def find(df: DataFrame, text: str = "text", threshold: float = 0.6, out: str = "
         return made if k in BASE else F.filter(made, lambda s: s["score"] >= threshold)
 
     none = "array<struct<start:int,rank:int,end:int,kind:string,value:string,score:double>>"
-    every = [F.when(F.size(f"_hit_{k}") > 0, spans(k)).otherwise(F.array().cast(none)).cast(none) for k in KINDS]
+    every = [F.when(F.size(hits[k]) > 0, spans(k)).otherwise(F.array().cast(none)).cast(none) for k in KINDS]
     return got.select(*names, F.array_sort(F.concat(*every)).alias(out))
 
 
 def redact(df: DataFrame, text: str = "text", threshold: float = 0.6) -> DataFrame:
     """``df`` with the spans of ``text`` replaced by ``[KIND]``; overlapping spans become one, named after the first."""
-    found = find(df.withColumn("_whole", F.coalesce(F.col(f"`{text}`"), F.lit(""))), text, threshold, "_pii")
+    whole, spans = fresh(df.columns, "whole", "spans")
+    found = find(df.withColumn(whole, F.coalesce(F.col(quoted(text)), F.lit(""))), text, threshold, spans)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("made"))
 
     def step(acc: Column, s: Column) -> Column:
-        gap = F.substr(F.col("_whole"), acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
+        gap = F.substr(F.col(whole), acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
         mark = F.when(s["start"] >= acc["at"], F.concat(gap, F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise("")
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["made"], mark).alias("made"))
 
-    clean = F.aggregate("_pii", start, step, lambda acc: F.concat(acc["made"], F.substr(F.col("_whole"), acc["at"] + 1)))
-    return found.withColumn(text, F.when(F.col(f"`{text}`").isNotNull(), clean)).drop("_whole", "_pii")
+    clean = F.aggregate(spans, start, step, lambda acc: F.concat(acc["made"], F.substr(F.col(whole), acc["at"] + 1)))
+    return found.withColumn(text, F.when(F.col(quoted(text)).isNotNull(), clean)).drop(whole, spans)
 
 
 def digest(df: DataFrame, threshold: float = 0.6) -> DataFrame:

@@ -1,26 +1,29 @@
 """URL filter: host and path rules first, then a weighted vocabulary found by Aho-Corasick.
 
-The vocabulary has strict and soft terms. A term counts where both neighbours in the
+The vocabulary has strict and soft terms, read from a file (:func:`read_vocabulary`) or a table
+(:func:`vocabulary_of`). A term counts where both neighbours in the
 lower-cased (A-Z) url are no ASCII letters or digits. One strict term rejects; soft
-terms reject when at least ``min_distinct`` different ones occur and their weights sum
-to ``soft_threshold``.
+terms reject when at least ``min_distinct`` different ones occur. The sum of their weights is given as a score.
 
 Defined results: a null url, or one without ``://``, has an empty host and path and fits
 no rule; the vocabulary is still looked for in it (null: nothing found). Very long urls
 are read whole; repeated rows repeat; an empty table gives an empty result; columns of the
 input that are called like the result's are replaced by it, all others pass through.
-Rules and terms are parameters: their size is the caller's and doesn't grow with the data.
+Rules and terms are parameters: their size is the caller's and doesn't grow with the data; a table of more than ``MOST_TERMS`` terms is refused.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sketchloom.session import driver_file, fresh, quoted, without
+
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -39,7 +42,6 @@ class Rule:
 class Vocabulary:
     strict: tuple[str, ...]
     soft: tuple[tuple[str, float], ...]
-    soft_threshold: float = 1.0
     min_distinct: int = 2
 
 
@@ -50,10 +52,37 @@ RULES = (
     Rule("block", "example.net", "/de/8"),
     Rule("block", "org", "/es/"),
 )
-VOCABULARY = Vocabulary(
-    strict=("casino", "porn", "xxx", "viagra", "escort", "jackpot", "spam", "malware", "phishing", "warez"),
-    soft=(("free", 0.5), ("bet", 0.5), ("bets", 0.5), ("win", 0.5), ("adult", 0.7), ("dating", 0.5), ("loan", 0.5), ("cheap", 0.5), ("farm", 0.3), ("promo", 0.3), ("bonus", 0.5), ("pills", 0.7), ("click", 0.3), ("download", 0.3), ("torrent", 0.7), ("utm_source", 0.1)),
-)
+#: The vocabulary that comes with the package: term, kind and weight in columns parted by tabs.
+TERMS = str(Path(__file__).with_name("url_terms.tsv"))
+MOST_TERMS = 100_000
+
+
+def _vocabulary(rows: Iterable[tuple[str, str, float]], min_distinct: int) -> Vocabulary:
+    strict, soft = set(), {}
+    for term, kind, weight in rows:
+        term = term.translate(str.maketrans(LETTERS, LETTERS.lower()))
+        if kind not in ("strict", "soft") or not term:
+            raise ValueError(f"a term is strict or soft: {term!r}, {kind!r}")
+        if kind == "strict":
+            strict.add(term)
+        else:
+            soft[term] = float(weight)
+    return Vocabulary(tuple(sorted(strict)), tuple(sorted((t, w) for t, w in soft.items() if t not in strict)), min_distinct)
+
+
+def read_vocabulary(path: str = TERMS, min_distinct: int = 2) -> Vocabulary:
+    """A vocabulary from a small local file; lines that start with # say nothing."""
+    lines = [x.split("\t") for x in driver_file(path).decode().splitlines() if x and not x.startswith("#")]
+    return _vocabulary(((t, k, float(w)) for t, k, w in lines), min_distinct)
+
+
+def vocabulary_of(terms: DataFrame, min_distinct: int = 2) -> Vocabulary:
+    """A vocabulary from a table with columns term, kind and weight."""
+    rows = terms.select("term", "kind", F.col("weight").cast("double")).limit(MOST_TERMS + 1).collect()
+    if len(rows) > MOST_TERMS:
+        raise ValueError(f"more than {MOST_TERMS} terms")
+    return _vocabulary(rows, min_distinct)
+
 
 _automata: dict[Vocabulary, object] = {}
 
@@ -106,24 +135,27 @@ def host_path(url: Column) -> tuple[Column, Column]:
     return F.translate(host, LETTERS, LETTERS.lower()), path
 
 
-def judge(df: DataFrame, url: str = "url", rules: Sequence[Rule] = RULES, vocabulary: Vocabulary = VOCABULARY) -> DataFrame:
+def judge(df: DataFrame, url: str = "url", rules: Sequence[Rule] = RULES, vocabulary: Vocabulary | None = None) -> DataFrame:
     """``df`` with host, path, rule, verdict, strict_terms, soft_terms and soft_weight."""
     made = ("host", "path", "rule", "verdict", "strict_terms", "soft_terms", "soft_weight")
-    kept = [F.col(f"`{c}`") for c in df.columns if c not in made]
-    address = F.col(f"`{url}`")
+    vocabulary = read_vocabulary() if vocabulary is None else vocabulary
+    kept = [quoted(c) for c in without(df.columns, *made)]
+    found, = fresh((*df.columns, *made), "terms")
+    address = F.col(quoted(url))
     host, path = host_path(address)
     terms = finder(vocabulary)(F.translate(address, LETTERS, LETTERS.lower()))
-    got = df.select(*kept, host.alias("host"), path.alias("path"), terms.alias("_terms"))
+    got = df.select(*kept, host.alias("host"), path.alias("path"), terms.alias(found))
     by_length = sorted(rules, key=lambda r: (-len(r.text), r.text))
     fits = [(F.col("host") == r.host) | F.endswith(F.col("host"), F.lit("." + r.host)) for r in by_length]
     fits = [f & F.startswith(F.col("path"), F.lit(r.path)) for f, r in zip(fits, by_length, strict=True)]
     rule = F.coalesce(*(F.when(f, F.lit(r.text)) for f, r in zip(fits, by_length, strict=True)), F.lit(None).cast("string"))
     said = F.coalesce(*(F.when(f, F.lit(r.verdict)) for f, r in zip(fits, by_length, strict=True)), F.lit(None).cast("string"))
-    bad = (F.size("_terms.strict") > 0) | ((F.size("_terms.soft") >= vocabulary.min_distinct) & (F.col("_terms.weight") >= vocabulary.soft_threshold))
+    term = lambda c: F.col(found)[c]
+    bad = (F.size(term("strict")) > 0) | (F.size(term("soft")) >= vocabulary.min_distinct)
     return got.select(
-        *(f"`{c}`" for c in df.columns if c not in made), "host", "path", rule.alias("rule"),
+        *kept, "host", "path", rule.alias("rule"),
         F.coalesce(said, F.when(bad, "block").otherwise("allow")).alias("verdict"),
-        F.col("_terms.strict").alias("strict_terms"), F.col("_terms.soft").alias("soft_terms"), F.col("_terms.weight").alias("soft_weight"),
+        term("strict").alias("strict_terms"), term("soft").alias("soft_terms"), term("weight").alias("soft_weight"),
     )
 
 
@@ -132,23 +164,23 @@ def digest(df: DataFrame) -> DataFrame:
     return got.select("page_id", "host", "path", "rule", "verdict", F.size("strict_terms").cast("long").alias("n_strict"), F.size("soft_terms").cast("long").alias("n_soft"))
 
 
-def sql(rules: Sequence[Rule] = RULES, vocabulary: Vocabulary = VOCABULARY) -> str:
+def sql(rules: Sequence[Rule] = RULES, vocabulary: Vocabulary | None = None) -> str:
     """DuckDB SQL for :func:`digest` over ``pages``."""
+    vocabulary = read_vocabulary() if vocabulary is None else vocabulary
     by_length = sorted(rules, key=lambda r: (-len(r.text), r.text))
     fit = lambda r: f"((host = '{r.host}' OR suffix(host, '.{r.host}')) AND starts_with(path, '{r.path}'))"
     seen = lambda term: f"CASE WHEN regexp_matches(low, '(^|[^a-z0-9]){term}($|[^a-z0-9])') THEN 1 ELSE 0 END"
     strict = " + ".join(seen(x) for x in vocabulary.strict)
     soft = " + ".join(seen(x) for x, _ in vocabulary.soft)
-    weight = " + ".join(f"{w} * {seen(x)}" for x, w in vocabulary.soft)
     return f"""
 WITH a AS (SELECT page_id, coalesce(translate(url, '{LETTERS}', '{LETTERS.lower()}'), '') AS low,
                   CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 b AS (SELECT *, regexp_extract(rest, '^[^/?#]*') AS raw FROM a),
 c AS (SELECT page_id, low, translate(raw, '{LETTERS}', '{LETTERS.lower()}') AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM b),
-d AS (SELECT *, {strict} AS n_strict, {soft} AS n_soft, {weight} AS weight FROM c)
+d AS (SELECT *, {strict} AS n_strict, {soft} AS n_soft FROM c)
 SELECT page_id, host, path,
        CASE {" ".join(f"WHEN {fit(r)} THEN '{r.text}'" for r in by_length)} END AS rule,
        CASE {" ".join(f"WHEN {fit(r)} THEN '{r.verdict}'" for r in by_length)}
-            WHEN n_strict > 0 OR (n_soft >= {vocabulary.min_distinct} AND weight >= {vocabulary.soft_threshold}) THEN 'block' ELSE 'allow' END AS verdict,
+            WHEN n_strict > 0 OR n_soft >= {vocabulary.min_distinct} THEN 'block' ELSE 'allow' END AS verdict,
        CAST(n_strict AS BIGINT) AS n_strict, CAST(n_soft AS BIGINT) AS n_soft
 FROM d"""

@@ -2,6 +2,8 @@ import hashlib
 import random
 from collections import defaultdict
 
+import pytest
+
 from sketchloom.llm import chat, urlfilter
 
 TURNS = "conv_id long, turn long, role string, text string, window long"
@@ -49,6 +51,13 @@ def test_windows_keep_budget_system_and_history(spark):
     assert [r.first_turn for r in out][1:] == [r.last_turn + 1 for r in out][:-1]
 
 
+def test_the_budget_comes_before_the_system_turn(spark):
+    rows = [(1, 0, "system", "s " * 400)] + [(1, t, "user", "w " * 200) for t in range(1, 4)] + [(1, 4, "assistant", "w " * 60), (1, 5, "user", "long " * 900)]
+    out = sorted(chat.windows(conversations(spark, rows)).collect(), key=lambda r: r.window)
+    assert all(r.n_tokens <= chat.BUDGET or (r.first_turn == r.last_turn == 5 and len(chat.parse(r.text)) == 1) for r in out)
+    assert chat.parse(next(r for r in out if r.last_turn == 4).text)[0][1] == "user"
+
+
 def test_contract_conversation(spark):
     got = chat.digest(spark, conversations(spark, [])).collect()
     assert [r.conv_id for r in got] == [-7] and got[0].n_turns == 2 and got[0].loss_chars == len("\\### Assistant: </turn> ok")
@@ -70,7 +79,7 @@ def test_urls(spark):
         "http://m.example.net/de/81": ("m.example.net", "/de/81", "example.net/de/8", "block"),
         "http://casino.net/de/1": ("casino.net", "/de/1", "net/de/", "allow"),
         "http://my-casino.example.org/fr/": ("my-casino.example.org", "/fr/", None, "block"),
-        "http://casinos.example.org/fr/": ("casinos.example.org", "/fr/", None, "allow"),
+        "http://casinoz.example.org/fr/": ("casinoz.example.org", "/fr/", None, "allow"),
         "http://free.example.org/fr": ("free.example.org", "/fr", None, "allow"),
         "http://free.example.org/fr/BETS": ("free.example.org", "/fr/BETS", None, "block"),
         "http://free-free.example.org": ("free-free.example.org", "", None, "allow"),
@@ -82,3 +91,17 @@ def test_urls(spark):
     got = urlfilter.judge(df).collect()
     assert {r.url: (r.host, r.path, r.rule, r.verdict) for r in got} == cases
     assert "html" in got[0].__fields__ and urlfilter.digest(pages(spark, [])).count() == 0
+
+
+def test_vocabularies(spark, tmp_path):
+    built_in = urlfilter.read_vocabulary()
+    assert len(built_in.strict) > 40 and len(built_in.soft) > 50 and not set(built_in.strict) & {t for t, _ in built_in.soft}
+    (tmp_path / "v.tsv").write_text("# mine\nBad-Word\tstrict\t1\none\tsoft\t0.1\ntwo\tsoft\t0.1\n")
+    v = urlfilter.read_vocabulary(str(tmp_path / "v.tsv"))
+    table = spark.createDataFrame([("Bad-Word", "strict", 1.0), ("one", "soft", 0.1), ("two", "soft", 0.1)], "term string, kind string, weight double")
+    assert v == urlfilter.vocabulary_of(table) and v.strict == ("bad-word",)
+    df = spark.createDataFrame([(1, "http://a/one/two"), (2, "http://a/one/one"), (3, "http://a/bad-word"), (4, "http://a/bad-words?casino"), (5, None)], "page_id long, url string").selectExpr("*", "9 AS _terms", "8 AS TERMS", "7 AS Host")
+    got = urlfilter.judge(df, rules=(), vocabulary=v)
+    assert {r.page_id: (r.verdict, round(r.soft_weight, 3), r["_terms"], r["TERMS"]) for r in got.collect()} == {1: ("block", 0.2, 9, 8), 2: ("allow", 0.1, 9, 8), 3: ("block", 0.0, 9, 8), 4: ("allow", 0.0, 9, 8), 5: ("allow", 0.0, 9, 8)}
+    with pytest.raises(ValueError):
+        urlfilter.vocabulary_of(table.selectExpr("term", "'odd' AS kind", "weight"))

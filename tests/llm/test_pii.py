@@ -65,3 +65,11 @@ def test_columns_pass_and_redaction(spark):
     found = pii.find(df)
     assert found.columns == ["doc_id", "text", "source", "pii"]
     assert [r.text for r in pii.redact(df).orderBy("doc_id").collect()] == ["mail é [EMAIL] or [IP]!", None]
+
+
+def test_columns_that_clash(spark):
+    df = spark.createDataFrame([(1, "a@b.cd", "s", "old")], DOCS).selectExpr("*", "1 AS _body", "2 AS BODY", "3 AS hit_ip", "4 AS whole", "5 AS _whole", "6 AS spans")
+    found = pii.find(df, out="PII")
+    assert found.columns == [*(c for c in df.columns if c != "pii"), "PII"] and len(found.first()["PII"]) == 1
+    done = pii.redact(df)
+    assert done.columns == df.columns and tuple(done.first()) == (1, "[EMAIL]", "s", "old", 1, 2, 3, 4, 5, 6)
