@@ -15,7 +15,7 @@ Hits of one item that lie closer than a window are verified together, so a text
 that repeats one piece costs its own length, not a window for each hit. The pieces are
 made on the driver from the benchmark and sent to all tasks: their size is the
 benchmark's, which doesn't grow with the documents, and is checked against ``MAX_CHARS``; a larger
-benchmark is gone through in parts, one pass each.
+benchmark is gone through in parts, one pass each, of which the driver and a worker hold one at a time.
 
 Defined results: null or empty documents and items match nothing; an item too short for a single edit must
 occur unchanged; whole texts are scanned, however long; each row is judged for itself, so repeated rows
@@ -246,28 +246,30 @@ class Scanner:
         return out
 
 
-_scanners: dict[tuple[int, float], tuple[list, Scanner]] = {}
+_last: tuple[list, float, Scanner] | None = None
 
 
 def _scanner(shared, rate: float) -> Scanner:
-    """Built once in each Python worker for each part of the benchmark."""
+    """Built once in each Python worker for each part of the benchmark; only the last part's is kept."""
+    global _last
     items = shared.value
-    key = id(items), rate
-    if key not in _scanners:
-        _scanners[key] = items, Scanner(items, rate)  # the list is kept, so its id stays its own
-    return _scanners[key][1]
+    if _last is None or _last[0] is not items or _last[1] != rate:
+        _last = None
+        _last = items, rate, Scanner(items, rate)
+    return _last[2]
 
 
-def _parts(benchmark: DataFrame) -> list[list[tuple[int | None, str]]]:
-    """The benchmark's items in parts of at most ``MAX_CHARS`` characters, read one after another."""
-    parts, size = [[]], 0
+def _parts(benchmark: DataFrame) -> Iterator[list[tuple[int | None, str]]]:
+    """The benchmark's items in parts of at most ``MAX_CHARS`` characters, one held at a time; at least one part."""
+    part, size, any_part = [], 0, False
     for r in benchmark.where(F.length(F.trim("text")) > 0).select("item_id", "text").orderBy("item_id", "text").toLocalIterator():
-        if size + len(r["text"]) > MAX_CHARS and parts[-1]:
-            parts.append([])
-            size = 0
-        parts[-1].append((r["item_id"], r["text"]))
+        if size + len(r["text"]) > MAX_CHARS and part:
+            yield part
+            part, size, any_part = [], 0, True
+        part.append((r["item_id"], r["text"]))
         size += len(r["text"])
-    return parts
+    if part or not any_part:
+        yield part
 
 
 _LEAK = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("distance", pa.int32()), ("passage_end", pa.int64())])
