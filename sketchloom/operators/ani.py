@@ -274,8 +274,6 @@ def edges(entries: DataFrame, metric: str = "ctx-moe", cut: float = 0.05, ctxcut
 
     Where ``candidates`` (q, r) are given, only those pairs are scored, exactly.
     """
-    pairs = pair_features(entries).where(F.col("xny") >= ctxcut)
-    if candidates is not None:
-        pairs = pairs.join(candidates.select("q", "r"), ["q", "r"], "left_semi")
+    pairs = pair_features(entries, candidates=candidates).where(F.col("xny") >= ctxcut)
     rows = with_fractions(pairs, entries).where(F.col("max_af") >= max_afcut)
     return rows.withColumn("distance", D.select(metric, layout)).where(F.col("distance") < cut).withColumn("similarity", 1 - F.col("distance")).withColumn("metric", F.lit(metric))

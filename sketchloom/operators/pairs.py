@@ -26,13 +26,14 @@ def _salted(q: DataFrame, r: DataFrame, hot: int, salts: int) -> tuple[DataFrame
 
 
 def pair_features(
-    qry: DataFrame, ref: DataFrame | None = None, *, conflict_free: bool = False, ignore_conflicts: bool = False, hot: int | None = None, salts: int = 16
+    qry: DataFrame, ref: DataFrame | None = None, *, conflict_free: bool = False, ignore_conflicts: bool = False, hot: int | None = None, salts: int = 16, candidates: DataFrame | None = None
 ) -> DataFrame:
     """q, r, xny, n_diff, n_section and n_mut2 of all pairs that share a context.
 
     Without ``ref`` each pair of different samples of ``qry`` is taken once, with q > r. Where a
     context has several objects, the least difference counts. ``conflict_free`` states that
-    neither side has such contexts; then one aggregate is enough.
+    neither side has such contexts; then one aggregate is enough. With ``candidates`` (q, r) only those pairs
+    meet: each brings its query's entries to its reference's, so pairs that aren't candidates cost nothing.
     """
     self_join = ref is None
     ref = qry if ref is None else ref
@@ -41,9 +42,12 @@ def pair_features(
     q = qry.select(F.col("sample_id").alias("q"), "ctx", F.col("obj").alias("q_obj"))
     r = ref.select(F.col("sample_id").alias("r"), "ctx", F.col("obj").alias("r_obj"))
     on = ["ctx"]
-    if hot is not None:
-        q, r, on = _salted(q, r, hot, salts)
-    met = q.join(r, on)
+    if candidates is not None:
+        met = candidates.select("q", "r").distinct().join(q, "q").join(r, ["r", "ctx"])
+    else:
+        if hot is not None:
+            q, r, on = _salted(q, r, hot, salts)
+        met = q.join(r, on)
     if self_join:
         met = met.where("r < q")
     d = sections(F.col("q_obj"), F.col("r_obj"))

@@ -15,6 +15,7 @@ from sketchloom.functions import bits
 from sketchloom.functions import distances as D
 from sketchloom.operators import ani, entries, graph, legacy, pairs, profile, setops
 from sketchloom.operators.ani import Options
+from sketchloom.operators.tokenize import KmerLayout, recovered, tokenized
 from sketchloom.plans import sql as S
 from sketchloom.plans import views as V
 from sketchloom.session import table
@@ -130,9 +131,9 @@ def a9(spark, d):
     return entries.mark_unique(V.supp(spark, d)).select("sample_id", "ctx", "obj", "is_unique")
 
 
-@query("a10_unique_owners", f"WITH {S.CUST} SELECT ctx, MIN(sample_id) AS sample_id FROM cust GROUP BY 1 HAVING MIN(sample_id) = MAX(sample_id)")
+@query("a10_unique_owners", f"WITH {S.RORD} SELECT ctx, MIN(sample_id) AS sample_id FROM rord GROUP BY 1 HAVING MIN(sample_id) = MAX(sample_id)")
 def a10(spark, d):
-    return entries.unique_owners(V.cust(spark, d))
+    return entries.unique_owners(V.rord(spark, d))
 
 
 _M = "18446744073709551616::UHUGEINT"
@@ -147,24 +148,46 @@ def p3(spark, d):
     return bits.sampled(V.supp(spark, d), "ctx", 2)
 
 
+#: A k-mer of nine bases: objects outside and in the middle, three context bases on either side.
+_KMERS = KmerLayout.manual(3, 1, 1, fold=1)
+_number = lambda text, n: " + ".join(f"(instr('ACGT', substr({text}, {i + 1}, 1)) - 1) * {4 ** (n - 1 - i)}" for i in range(n))
+_TOKENS = f"""g AS (SELECT CAST(c_nationkey AS BIGINT) AS sample_id, l_orderkey * 1000 AS off, string_agg({" || ".join(f"substr('ACGT', CAST((l_partkey // {4 ** i}) % 4 + 1 AS BIGINT), 1)" for i in range(7, -1, -1))}, '' ORDER BY l_linenumber, l_partkey) AS seq
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON c_custkey = o_custkey GROUP BY c_nationkey, l_orderkey),
+p AS (SELECT sample_id, off + i - 1 AS pos, substr(seq, i, 9) AS own, reverse(translate(substr(seq, i, 9), 'ACGT', 'TGCA')) AS other FROM (SELECT *, unnest(range(1, length(seq) - 7)) AS i FROM g)),
+o AS (SELECT sample_id, pos, CASE WHEN substr(own, 2, 3) || substr(own, 6, 3) < substr(other, 2, 3) || substr(other, 6, 3) THEN own ELSE other END AS kmer FROM p),
+supp AS (SELECT sample_id, pos, kmer, CAST({_number("'A' || substr(kmer, 2, 3) || 'A' || substr(kmer, 6, 3) || 'A'", 9)} AS BIGINT) AS ctx FROM o)"""
+_TOKENS += f""", {_MIX}, t AS (SELECT sample_id, pos, kmer, CAST({_number("substr(kmer, 2, 3) || substr(kmer, 6, 3)", 6)} AS BIGINT) AS ctx, CAST({_number("substr(kmer, 1, 1) || substr(kmer, 5, 1) || substr(kmer, 9, 1)", 3)} AS BIGINT) AS obj
+FROM h WHERE (x & 4294967295::UBIGINT) <= {0xFFFFFFFF >> 1}::UBIGINT)"""
+
+
+@query("p1_p4_tokenized", f"WITH {_TOKENS} SELECT sample_id, ctx, obj, COUNT(*) AS cnt, MIN(pos) AS pos FROM t GROUP BY 1, 2, 3")
+def p1_p4(spark, d):
+    return entries.counted(tokenized(V.genomes(spark, d), _KMERS))
+
+
+@query("p5_recovered_kmers", f"WITH {_TOKENS} SELECT DISTINCT sample_id, kmer, reverse(translate(kmer, 'ACGT', 'TGCA')) AS reverse_complement FROM t")
+def p5(spark, d):
+    return recovered(entries.distinct_entries(tokenized(V.genomes(spark, d), _KMERS)), _KMERS)
+
+
 @query("p6_min_occurrence", f"WITH {S.SUPP} SELECT * FROM supp WHERE cnt >= 2")
 def p6(spark, d):
     return entries.count_filter(V.supp(spark, d), least=2)
 
 
-_PCT = """h AS (SELECT sample_id, cnt, CAST(COUNT(*) * cnt AS BIGINT) AS mass FROM supp GROUP BY 1, 2),
+_PCT = """h AS (SELECT sample_id, cnt, CAST(COUNT(*) * cnt AS BIGINT) AS mass FROM size GROUP BY 1, 2),
 w AS (SELECT *, SUM(mass) OVER (PARTITION BY sample_id ORDER BY cnt) AS upto, GREATEST(1, CEIL(0.97::DOUBLE * SUM(mass) OVER (PARTITION BY sample_id))) AS rank FROM h),
 c AS (SELECT sample_id, MIN(cnt) AS cutoff FROM w WHERE upto >= rank GROUP BY 1)"""
 
 
-@query("p7_percentile_filter", f"WITH {S.SUPP}, {_PCT} SELECT supp.* FROM supp JOIN c USING (sample_id) WHERE cnt >= cutoff")
+@query("p7_percentile_filter", f"WITH {S.SIZE}, {_PCT} SELECT size.* FROM size JOIN c USING (sample_id) WHERE cnt >= cutoff")
 def p7(spark, d):
-    return entries.count_filter(V.supp(spark, d), percentile=0.97)
+    return entries.count_filter(V.size(spark, d), percentile=0.97)
 
 
-@query("p8_capped_cutoff", f"WITH {S.SUPP}, {_PCT} SELECT supp.* FROM supp JOIN c USING (sample_id) WHERE cnt >= LEAST(cutoff, 1)")
+@query("p8_capped_cutoff", f"WITH {S.SIZE}, {_PCT} SELECT size.* FROM size JOIN c USING (sample_id) WHERE cnt >= LEAST(cutoff, 2)")
 def p8(spark, d):
-    return entries.count_filter(V.supp(spark, d), percentile=0.97, cap=1)
+    return entries.count_filter(V.size(spark, d), percentile=0.97, cap=2)
 
 
 @query("p11_conflict_drop", f"WITH {S.SUPP}, {S.CLEAN} SELECT * FROM clean")
@@ -236,17 +259,41 @@ for _name, _metric, _other in (("d8_mash_if_far", 7, S.MASH), ("d8_d13_aaf_if_fa
     query(_name, _sql)(_run)
 
 
+_SIZED = f"WITH {S.SIZE}, {S.kernel('size')}, {S.fractions('size')}"
+_IDENTICAL = "xny > 0 AND n_diff = 0 AND af_qry = 1 AND af_ref = 1"
+
+
+def _sized(spark, d):
+    e = V.size(spark, d)
+    return pairs.with_fractions(pairs.pair_features(e), e)
+
+
 @query(
     "d12_metric_fallback",
-    f"""{KERNEL} SELECT q, r, CASE WHEN xny > 0 AND n_diff = 0 AND af_qry = 1 AND af_ref = 1 THEN 'BestDist' ELSE 'CtxMoE' END AS metric,
-CASE WHEN max_af < 0.5 THEN 1.0 ELSE {S.r9(S.MOE)} END AS distance, CASE WHEN xny > 0 AND n_diff = 0 AND af_qry = 1 AND af_ref = 1 THEN 'high' ELSE 'raw' END AS confidence FROM f""",
+    f"""{_SIZED} SELECT q, r, CASE WHEN {_IDENTICAL} THEN 'BestDist' ELSE 'CtxMoE' END AS metric,
+CASE WHEN max_af < 0.5 THEN 1.0 ELSE {S.r9(S.MOE)} END AS distance, CASE WHEN {_IDENTICAL} THEN 'high' ELSE 'raw' END AS confidence FROM f""",
 )
 def d12(spark, d):
-    e = V.supp(spark, d)
-    rows = ani.selected(ani.base_distances(pairs.with_fractions(pairs.pair_features(e), e), Options(), L), Options())
+    rows = ani.selected(ani.base_distances(_sized(spark, d), Options(), L), Options())
     return rows.select("q", "r", "metric", r9("distance").alias("distance"), "confidence")
 
 
+@query(
+    "d9_d11_calibrated",
+    f"""{_SIZED}, c AS (SELECT *, 1 - {S.MOE} AS raw, CASE WHEN {_IDENTICAL} THEN 1.0 ELSE 1 - {S.MOE} - 0.2 * (n_section / xny) END AS cal FROM f)
+SELECT q, r, {S.r9('1 - cal')} AS distance, {S.r9('raw')} AS raw_ani,
+CASE WHEN {_IDENTICAL} THEN 'high' WHEN af_ref < 0.5 OR (raw >= 0.95 AND raw - cal > 0.02) THEN 'low' WHEN abs(raw - cal) > 0.01 THEN 'medium' ELSE 'high' END AS confidence FROM c""",
+)
+def d9_d11(spark, d):
+    """With a calibrator that takes off a part of the differing sections; what a learned model would give is the caller's."""
+    D.set_calibrator(lambda: F.col("raw_ani") - 0.2 * (F.col("n_section") / F.col("xny")))
+    try:
+        rows = ani.selected(ani.base_distances(_sized(spark, d), Options(metric=2), L), Options(metric=2))
+    finally:
+        D.set_calibrator(None)
+    return rows.select("q", "r", r9("distance").alias("distance"), r9("raw_ani").alias("raw_ani"), "confidence")
+
+
 for _label, _expr, _fn in (("d14_metric_and", "ctx-naive&aaf", "GREATEST"), ("d14_metric_or", "mash|p_dist", "LEAST")):
     _parts = (S.NAIVE, S.AAF) if _fn == "GREATEST" else (S.MASH, S.p_dist())
 
@@ -276,10 +323,10 @@ def k3(spark, d):
 
 @query(
     "p17_close_filters",
-    f"""{KERNEL} SELECT q, r, n_section, {S.r9(S.p_dist())} AS p_dist FROM f WHERE xny >= 3 AND max_af >= 0.1 AND n_section <= 200 AND {S.p_dist()} <= 0.4""",
+    f"""{KERNEL} SELECT q, r, n_section, {S.r9(S.p_dist())} AS p_dist FROM f WHERE xny >= 3 AND max_af >= 0.1 AND n_section <= 275 AND {S.p_dist()} <= 0.69""",
 )
 def p17(spark, d):
-    o = Options(metric=9, afcut=0.1, anicut=0.0, max_diff_sections=200, max_pdist=0.4)
+    o = Options(metric=9, afcut=0.1, anicut=0.0, max_diff_sections=275, max_pdist=0.69)
     return ani.detail(V.supp(spark, d), None, o, L).select("q", "r", "n_section", r9("p_dist").alias("p_dist"))
 
 
@@ -310,6 +357,19 @@ def k6(spark, d):
     return ani.lower_triangle(cells)
 
 
+_PHYLIP = f"{_CELLS}, ids AS (SELECT s_suppkey AS q, s_name AS name, printf('S%09d', ROW_NUMBER() OVER (ORDER BY s_suppkey)) AS id FROM supplier)"
+
+
+@query("k7_phylip_lines", f"{_PHYLIP} SELECT q, rpad(MAX(id), 10, ' ') || ' ' || string_agg(printf('%.6f', value), ' ' ORDER BY r) AS line FROM c JOIN ids USING (q) GROUP BY q")
+def k7(spark, d):
+    return ani.phylip(ani.matrix_cells(V.supp(spark, d), "ctx-naive", layout=L), V.supp_samples(spark, d))[0]
+
+
+@query("k7_phylip_ids", f"{_PHYLIP} SELECT id AS \"ID\", name AS \"Sample\" FROM ids")
+def k7_ids(spark, d):
+    return ani.phylip(ani.matrix_cells(V.supp(spark, d), "ctx-naive", layout=L), V.supp_samples(spark, d))[1]
+
+
 @query("k14_sample_listing", f"WITH {S.SUPP} SELECT COUNT(*) AS count, s_name AS name FROM supp JOIN supplier ON s_suppkey = sample_id GROUP BY 2")
 def k14(spark, d):
     n = entries.entry_counts(V.supp(spark, d), "count")
@@ -343,9 +403,9 @@ for _label, _key, _not in (("j9_intersect_full", "full", ""), ("j9_intersect_ctx
     _on = "r.ctx = q.ctx AND r.obj = q.obj" if _key == "full" else "r.ctx = q.ctx"
 
     def _run(spark, d, key=_key, op=setops.subtract if _not else setops.intersect):
-        return op(V.cust(spark, d), setops.unique_union(V.supp(spark, d)), key)
+        return op(V.qord(spark, d), setops.unique_union(V.rord(spark, d).where("obj < 10")), key)
 
-    query(_label, f"WITH {S.SUPP}, {S.CUST}, pan AS (SELECT ctx, obj FROM supp GROUP BY 1, 2 HAVING COUNT(*) = 1) SELECT * FROM cust q WHERE {_not} EXISTS (SELECT 1 FROM pan r WHERE {_on})")(_run)
+    query(_label, f"WITH {S.RORD}, {S.QORD}, pan AS (SELECT ctx, obj FROM rord WHERE obj < 10 GROUP BY 1, 2 HAVING COUNT(*) = 1) SELECT * FROM qord q WHERE {_not} EXISTS (SELECT 1 FROM pan r WHERE {_on})")(_run)
 
 
 @query("g6_append", f"WITH {S.SUPP}, {S.CUST} SELECT * FROM supp UNION ALL SELECT sample_id + (SELECT MAX(sample_id) + 1 FROM supp), ctx, obj, cnt, pos FROM cust")
@@ -383,10 +443,16 @@ def a14(spark, d):
     return pairs.nominated(V.supp(spark, d), min_votes=2)
 
 
-@query("g11_nominated_edges", f"{KERNEL} SELECT {FEATURE_LIST}, {S.r9(S.NAIVE)} AS distance FROM f WHERE {S.NAIVE} < 0.12 AND xny >= 3 AND max_af >= 0.25")
+_RARE = "ctxs AS (SELECT DISTINCT sample_id, ctx FROM supp), rare AS (SELECT * FROM ctxs WHERE ctx IN (SELECT ctx FROM ctxs GROUP BY 1 HAVING COUNT(*) <= 22)), votes AS (SELECT q.sample_id AS q, r.sample_id AS r FROM rare q JOIN rare r ON q.ctx = r.ctx AND r.sample_id < q.sample_id GROUP BY 1, 2 HAVING COUNT(*) >= 17)"
+
+
+@query(
+    "g11_nominated_edges",
+    f"{KERNEL}, {_RARE} SELECT {FEATURE_LIST}, {S.r9(S.NAIVE)} AS distance FROM f SEMI JOIN votes USING (q, r) WHERE {S.NAIVE} < 0.12 AND xny >= 3 AND max_af >= 0.25",
+)
 def g11(spark, d):
     e = V.supp(spark, d)
-    got = ani.edges(e, "ctx-naive", 0.12, 3, 0.25, L, candidates=pairs.nominated(e))
+    got = ani.edges(e, "ctx-naive", 0.12, 3, 0.25, L, candidates=pairs.nominated(e, min_votes=17, max_frequency=22))
     return got.select(*FEATURES, r9("distance").alias("distance"))
 
 
@@ -407,7 +473,7 @@ def o5(spark, d):
     return graph.quality_rank(_samples(spark, d))
 
 
-_CUT = 0.075
+_CUT = 0.1149
 _EDGES = f"edges AS (SELECT q, r FROM f WHERE {S.NAIVE} < {_CUT} AND xny >= 3 AND max_af >= 0.25)"
 
 
@@ -427,20 +493,44 @@ def g7(spark, d):
     return graph.clusters(graph.quality_rank(_samples(spark, d)), _edges(spark, d))
 
 
-@query("g8_greedy_dedup")
+_GRAPH = f"WITH RECURSIVE {S.SUPP}, {S.kernel('supp')}, {S.fractions('supp')}, {_SAMPLES}, {_EDGES}, e AS (SELECT a.rank AS x, b.rank AS y FROM (SELECT q AS i, r AS j FROM edges UNION SELECT r, q FROM edges) JOIN k a ON a.sample_id = i JOIN k b ON b.sample_id = j)"
+# the sequential pass: a sample is kept if none of the kept before it is its neighbour
+_PASS = "pass(step, kept) AS (SELECT CAST(0 AS BIGINT), []::BIGINT[] UNION ALL SELECT step + 1, CASE WHEN EXISTS (SELECT 1 FROM e WHERE e.x = step + 1 AND list_contains(kept, e.y)) THEN kept ELSE list_append(kept, step + 1) END FROM pass WHERE step < (SELECT COUNT(*) FROM k)), fin AS (SELECT unnest(kept) AS rank FROM pass WHERE step = (SELECT COUNT(*) FROM k))"
+_GREEDY = f"{_GRAPH}, {_PASS}, chosen AS (SELECT k.sample_id, k.rank, CASE WHEN k.rank IN (SELECT rank FROM fin) THEN k.rank ELSE (SELECT MIN(e.y) FROM e WHERE e.x = k.rank AND e.y IN (SELECT rank FROM fin)) END AS rep FROM k)"
+# the same for cliques: a sample joins the first group that it has an edge to every member of
+_CLIQUES = f"""{_GRAPH}, pass(step, groups) AS (SELECT CAST(0 AS BIGINT), []::BIGINT[][] UNION ALL SELECT step + 1, CASE WHEN g = 0 THEN list_append(groups, [step + 1]) ELSE list_transform(groups, lambda m, i : CASE WHEN i = g THEN list_append(m, step + 1) ELSE m END) END
+FROM (SELECT step, groups, coalesce(list_position(list_transform(groups, lambda m : len(list_filter(m, lambda o : list_contains(near.ys, o))) = len(m)), true), 0) AS g
+FROM pass JOIN (SELECT k.rank AS x, coalesce(list(e.y) FILTER (e.y IS NOT NULL), []) AS ys FROM k LEFT JOIN e ON e.x = k.rank GROUP BY 1) near ON near.x = step + 1)),
+fin AS (SELECT unnest(groups) AS members FROM pass WHERE step = (SELECT COUNT(*) FROM k)), chosen AS (SELECT k.sample_id, k.rank, f.rep FROM k JOIN (SELECT members[1] AS rep, unnest(members) AS rank FROM fin) f USING (rank))"""
+_PLANNED = "SELECT chosen.sample_id, CASE WHEN chosen.rank = rep THEN 'keep' ELSE 'remove' END AS action, b.sample_id AS representative, COUNT(*) OVER (PARTITION BY rep) AS component_size FROM chosen JOIN k b ON b.rank = rep"
+
+
+@query("g8_greedy_dedup", f"{_GREEDY} {_PLANNED}")
 def g8(spark, d):
     return graph.greedy(graph.quality_rank(_samples(spark, d)), _edges(spark, d))
 
 
-@query("g9_full_linkage_dedup")
+@query("g9_full_linkage_dedup", f"{_CLIQUES} {_PLANNED}")
 def g9(spark, d):
     return graph.full_linkage(graph.quality_rank(_samples(spark, d)), _edges(spark, d))
 
 
-@query("k9_dedup_plan")
+_RULE = "CASE WHEN sample_id = representative THEN 'self' " + "".join(f"WHEN s.{c} <> r.{c} THEN CASE WHEN r.{c} {o} s.{c} THEN '{n}' ELSE 'sample_{n}' END " for n, c, o in (("higher_asm_level", "level", ">"), ("longer_total_length", "total", ">"), ("fewer_records", "records", "<"), ("longer_median_length", "median", ">"), ("lower_length_cv", "cv", "<"), ("more_sketch_entries", "entries", ">"))) + "ELSE 'sample_order' END"
+
+
+@query(
+    "k9_dedup_plan",
+    f"""{_GREEDY}, plan AS ({_PLANNED}), own AS (SELECT * FROM m JOIN n USING (sample_id) JOIN supplier ON s_suppkey = sample_id),
+num AS (SELECT representative, printf('cluster_%06d', ROW_NUMBER() OVER (ORDER BY MIN(sample_id))) AS component_id FROM plan GROUP BY 1)
+SELECT s.s_name AS sample, component_id, action, r.s_name AS representative, CASE WHEN component_size = 1 THEN 'singleton' WHEN action = 'keep' THEN 'best_representative' ELSE 'duplicate' END AS reason,
+{_RULE} AS rep_rule, component_size, s.entries AS sample_sketch_entries, r.entries AS rep_sketch_entries,
+{", ".join(f"'fasta' AS {x}_fmt, {S.r9(f'{t}.level')} AS {x}_asm_level, CAST({t}.total AS BIGINT) AS {x}_total_length_bp, {t}.records AS {x}_record_count, CAST({t}.median AS BIGINT) AS {x}_median_length_bp, {S.r9(f'{t}.cv')} AS {x}_length_cv" for x, t in (("sample", "s"), ("rep", "r")))}
+FROM plan JOIN num USING (representative) JOIN own s USING (sample_id) JOIN own r ON r.sample_id = representative""",
+)
 def k9(spark, d):
     s = _samples(spark, d)
-    return graph.plan_report(graph.greedy(graph.quality_rank(s), _edges(spark, d)), s)
+    got = graph.plan_report(graph.greedy(graph.quality_rank(s), _edges(spark, d)), s)
+    return got.select(*(r9(c).alias(c) if t == "double" else c for c, t in got.dtypes))
 
 
 # --- analytics: V1-V4, A11, A12, J12 ----------------------------------------------------------
@@ -448,19 +538,19 @@ def k9(spark, d):
 
 @query(
     "v1_unique_context_ani",
-    f"""WITH {S.SUPP}, {S.CUST}, {S.kernel('cust', 'supp')}, {S.fractions('cust', 'supp')},
-own AS (SELECT * FROM supp WHERE ctx IN (SELECT ctx FROM supp GROUP BY 1 HAVING MIN(sample_id) = MAX(sample_id))), {S.kernel('cust', 'own', 'u')},
+    f"""WITH {S.RORD}, {S.QORD}, {S.kernel('qord', 'rord')}, {S.fractions('qord', 'rord')},
+own AS (SELECT * FROM rord WHERE ctx IN (SELECT ctx FROM rord GROUP BY 1 HAVING MIN(sample_id) = MAX(sample_id))), {S.kernel('qord', 'own', 'u')},
 t AS (SELECT sample_id, COUNT(DISTINCT ctx) AS n FROM own GROUP BY 1),
 b AS (SELECT f.q, f.r, f.xny AS full_xny, coalesce(t.n, 0) AS u_ref, coalesce(u.xny, 0) AS u_xny, coalesce(t.n, 0) > 0 AND coalesce(u.xny, 0) * 20 >= coalesce(t.n, 0) AS pick, max_af,
 f.xny AS f1, f.n_diff AS f2, f.n_section AS f3, f.n_mut2 AS f4, coalesce(u.xny, 0) AS u1, coalesce(u.n_diff, 0) AS u2, coalesce(u.n_section, 0) AS u3
 FROM f LEFT JOIN u ON u.q = f.q AND u.r = f.r LEFT JOIN t ON t.sample_id = f.r),
 s AS (SELECT *, CASE WHEN pick THEN u1 ELSE f1 END AS xny, CASE WHEN pick THEN u2 ELSE f2 END AS n_diff, CASE WHEN pick THEN u3 ELSE f3 END AS n_section FROM b),
 z AS (SELECT q, r, full_xny, u_ref, u_xny, CASE WHEN pick THEN 'NaiveUnique' ELSE 'NaiveFull' END AS metric, max_af, {S.NAIVE} AS distance FROM s)
-SELECT q, r, full_xny, u_ref, u_xny, metric, {S.r9('distance')} AS distance FROM z WHERE max_af >= 0.1 AND full_xny >= 3""",
+SELECT q, r, full_xny, u_ref, u_xny, metric, {S.r9('distance')} AS distance, CAST(ROW_NUMBER() OVER (PARTITION BY q ORDER BY 1 - distance DESC, r) AS INTEGER) AS rank FROM z WHERE max_af >= 0.02 AND full_xny >= 10""",
 )
 def v1(spark, d):
-    o = Options(metric=4, raw=True, afcut=0.1, anicut=0.0, ctxcut=3)
-    return ani.unique_context(V.cust(spark, d), V.supp(spark, d), o, L).select("q", "r", "full_xny", "u_ref", "u_xny", "metric", r9("distance").alias("distance"))
+    o = Options(metric=4, raw=True, afcut=0.02, anicut=0.0, ctxcut=10)
+    return ani.unique_context(V.qord(spark, d), V.rord(spark, d), o, L).select("q", "r", "full_xny", "u_ref", "u_xny", "metric", r9("distance").alias("distance"), "rank")
 
 
 _COVERAGE = """g AS (SELECT h.q, h.r, COUNT(k.ctx) AS ref_markers, COUNT(c.cnt) AS observed_markers, CAST(coalesce(SUM(c.cnt), 0) AS BIGINT) AS count_sum, coalesce(AVG(c.cnt), 0) AS positive_mean_depth,

@@ -2,6 +2,9 @@
 
 ``supp``: suppliers as samples, parts as contexts, whole quantities as 6-bit objects (3 sections).
 ``cust``: customers as samples, parts as contexts, line numbers as objects.
+``size``: suppliers as samples, part sizes as contexts, half quantities as objects; contexts that all samples share.
+``rord``, ``qord``: suppliers and customers' nations as samples, orders as contexts; contexts that few samples have.
+``genomes``: nations as samples, orders as sequences made from the numbers of their parts.
 ``event``: users as samples, event types as dimensions, for abundance vectors.
 """
 
@@ -33,6 +36,34 @@ def cust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted(met.select(F.col("o_custkey").alias("sample_id"), F.col("l_partkey").alias("ctx"), F.col("l_linenumber").cast("long").alias("obj"), F.col("l_orderkey").alias("pos")))
 
 
+def size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
+    met = li.join(part, li["l_partkey"] == part["p_partkey"])
+    return counted(met.select(F.col("l_suppkey").alias("sample_id"), F.col("p_size").cast("long").alias("ctx"), F.expr("CAST(l_quantity AS BIGINT) div 2").alias("obj"), F.col("l_orderkey").alias("pos")))
+
+
+def rord(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem")
+    return counted(li.select(F.col("l_suppkey").alias("sample_id"), F.col("l_orderkey").alias("ctx"), F.col("l_quantity").cast("long").alias("obj"), F.col("l_linenumber").cast("long").alias("pos")))
+
+
+def qord(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One object for each context: the smallest quantity in the order."""
+    li, orders, customer = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "customer"))
+    met = li.join(orders, li["l_orderkey"] == orders["o_orderkey"]).join(customer, F.col("o_custkey") == customer["c_custkey"])
+    return met.groupBy(F.col("c_nationkey").cast("long").alias("sample_id"), F.col("l_orderkey").alias("ctx")).agg(F.min(F.col("l_quantity").cast("long")).alias("obj"), F.count("*").alias("cnt"))
+
+
+def genomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """sample_id, seq and offset; a part's number in base four, eight digits long, is eight bases."""
+    li, orders, customer = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "customer"))
+    met = li.join(orders, li["l_orderkey"] == orders["o_orderkey"]).join(customer, F.col("o_custkey") == customer["c_custkey"])
+    bases = F.translate(F.lpad(F.conv(F.col("l_partkey"), 10, 4), 8, "0"), "0123", "ACGT")
+    lines = F.array_sort(F.collect_list(F.struct(F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("part"), bases.alias("bases"))))
+    made = met.groupBy(F.col("c_nationkey").cast("long").alias("sample_id"), "l_orderkey").agg(lines.alias("lines"))
+    return made.select("sample_id", F.array_join(F.transform("lines", lambda x: x["bases"]), "").alias("seq"), (F.col("l_orderkey") * 1000).alias("offset"))
+
+
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines as records of a supplier, with their quantity as length."""
     return table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("sample_id"), F.col("l_quantity").cast("long").alias("length"))

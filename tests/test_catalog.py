@@ -7,6 +7,7 @@ import pytest
 
 import __spark_entry__
 from sketchloom.plans import catalog
+from sketchloom.plans import sql as S
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -40,7 +41,49 @@ def test_query(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql())))
 def test_query_without_sql_runs(spark, name):
-    assert catalog.queries()[name](spark, SF).count() >= 0
+    assert catalog.queries()[name](spark, SF).count() > 0
+
+
+#: Query, and SQL that gives how many rows there are to choose from and how many are chosen: some are, and some aren't.
+BRANCHES = {
+    "p7_percentile_filter": ("size", None),
+    "p8_capped_cutoff": ("size", None),
+    "a10_unique_owners": ("(SELECT DISTINCT ctx FROM rord)", None),
+    "j9_intersect_full": ("qord", None),
+    "j10_subtract_ctx": ("qord", None),
+    "p17_close_filters": ("f", None),
+    "g11_nominated_edges": ("f", None),
+    "v1_unique_context_ani": (None, "metric = 'NaiveUnique'"),
+    "d12_metric_fallback": (None, "metric = 'BestDist'"),
+    "d9_d11_calibrated": (None, "confidence = 'low'"),
+    "g7_clusters": (None, "component_size >= 3"),
+    "g8_greedy_dedup": (None, "action = 'remove'"),
+    "g9_full_linkage_dedup": (None, "action = 'remove'"),
+    "k9_dedup_plan": (None, "reason = 'singleton'"),
+}
+
+
+@pytest.mark.parametrize("name", sorted(BRANCHES))
+def test_queries_choose(name):
+    """At the scale of 0.01 every query keeps some rows and drops some, or meets both branches."""
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    for t in TABLES:
+        path = f"/root/testdata/sf0.01/{t}.parquet"
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{path}{'/*.parquet' if os.path.isdir(path) else ''}'")
+    sql, (source, branch) = catalog.oracle_sql()[name], BRANCHES[name]
+    if source:
+        # the same common table expressions, with all rows of the source instead of those chosen
+        ctes = f"WITH {S.SIZE}, {S.RORD}, {S.QORD}, {S.SUPP}, {S.kernel('supp')}, {S.fractions('supp')}"
+        every, chosen = con.execute(f"{ctes} SELECT count(*) FROM {source}").fetchone()[0], con.execute(f"SELECT count(*) FROM ({sql})").fetchone()[0]
+    else:
+        every, chosen = con.execute(f"SELECT count(*), count(*) FILTER ({branch}) FROM ({sql})").fetchone()
+    assert 0 < chosen < every
+
+
+def test_calibrated_labels_all_occur(duck):
+    found = duck.execute(f"SELECT DISTINCT confidence FROM ({catalog.oracle_sql()['d9_d11_calibrated']})").fetchall()
+    assert {"low", "medium", "high"} >= {x for x, in found} and len(found) > 1
 
 
 @pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
