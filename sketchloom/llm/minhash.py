@@ -10,9 +10,11 @@
 4. Within a candidate cluster all links are confirmed on the full sets, by an inverted index,
    and again only a spanning forest is given out. Components of these links are the result.
 
-Buckets and clusters of more than ``LIMIT`` members (or ``LIMIT_SHINGLES``) are cut into blocks and
-compared block against block, each pair of blocks in a task of its own, so no group is
-collected whole and no pair is left out. At similarity 0.85 two classes share no band key with
+Buckets and clusters of more than ``LIMIT`` members (or ``LIMIT_SHINGLES``) are dealt into blocks, differently
+for each band, and each block is compared within itself. That joins nearly all of a large group of copies. What
+isn't in a group's largest component then is compared with all of the group, block against block, each pair of blocks by
+itself; two members of that component need no comparison. So no group is
+collected whole, no link between components is left out, and a group of copies costs its size, not its square. At similarity 0.85 two classes share no band key with
 probability 4e-7 (5e-5 at 0.8), and fall below six standard errors with less.
 
 Defined results: null and empty texts, and texts of white space only, have no shingles and are linked
@@ -28,11 +30,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sketchloom.operators.graph import components
-from sketchloom.session import BROADCAST_ROWS, bounded_batches, lean, materialize, small
+from sketchloom.session import BROADCAST_ROWS, bounded_batches, fresh, lean, materialize, quoted, small
 
 WORDS, PERCENT = 5, 85
 MINIMA, ROWS, BANDS, BITS = 128, 5, 25, 4
@@ -273,13 +275,21 @@ def by_group(keys: list[str], values: list[str], work: Grouped):
     return run
 
 
+def _known(n: int, rows: dict[str, list]) -> Forest:
+    """A forest in which members of one component are joined from the start, where ``rows`` says so."""
+    forest = Forest(n)
+    if "label" in rows:
+        forest.label = np.unique(np.asarray(rows["label"], dtype=object), return_inverse=True)[1]
+    return forest
+
+
 def estimated(least: int, percent: int) -> Grouped:
     """Spanning pairs of a bucket's members whose signatures are near enough."""
 
     def work(side: np.ndarray, rows: dict[str, list]) -> list[tuple[int, int]]:
         sig = np.frombuffer(b"".join(rows["sig"]), dtype=np.uint64).reshape(len(side), -1)
         n = np.asarray(rows["n"], dtype=np.int64)
-        forest = Forest(len(side))
+        forest = _known(len(side), rows)
         left = np.flatnonzero(side != 2)
         for a in left.tolist():
             others = np.flatnonzero(side == 2) if side[a] == 1 else np.arange(a + 1, len(side))
@@ -299,8 +309,8 @@ def linked(percent: int) -> Grouped:
     def work(side: np.ndarray, rows: dict[str, list]) -> list[tuple[int, int]]:
         sets = [np.frombuffer(x, dtype=np.uint64) for x in rows["shingles"]]
         n = np.array([len(s) for s in sets], dtype=np.int64)
-        forest = Forest(len(sets))
-        if len(sets) == 2:
+        forest = _known(len(sets), rows)
+        if len(sets) == 2 and "label" not in rows:
             inter = int(n.sum()) - len(np.union1d(*sets))
             return [(0, 1)] if 100 * inter >= percent * (int(n.sum()) - inter) else []
         held = np.flatnonzero(side != 1)  # the indexed ones
@@ -329,18 +339,54 @@ def linked(percent: int) -> Grouped:
     return work
 
 
-def in_blocks(members: DataFrame, key: str, blocks: str) -> DataFrame:
-    """Members of a group of ``blocks`` blocks, once for each pair of blocks that theirs is in.
+def within(members: DataFrame, key: str, deals: int = 1) -> DataFrame:
+    """Members of groups of ``blocks`` blocks in their own block ``i``; those of several blocks in ``deals`` ways of dealing."""
+    ways = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(deals - 1)))
+    dealt = members.select("*", F.explode(ways).alias("j"))
+    return dealt.withColumns({"i": F.pmod(F.xxhash64("fp", key, "j"), F.col("blocks")).cast("int"), "side": F.lit(0)}).drop("blocks")
+
 
-    ``side`` is 0 within a block, else 1 or 2. A group of one block stays as it is.
+def across(members: DataFrame, key: str, joined: DataFrame, weigh: Column) -> DataFrame | None:
+    """What is left to compare in groups of several blocks, once ``joined`` (id, comp) is known; None if nothing is.
+
+    Everything outside a group's largest component is on side 1, everything on side 2. ``label`` names components;
+    ``weigh`` gives the blocks that some members need.
+    """
+    large = members.where("blocks > 1")
+    if large.isEmpty():
+        return None
+    joined = joined.select(F.col("id").alias("fp"), F.col("comp").alias("label"))
+    labelled = materialize(large.join(small(joined), "fp", "left").withColumn("label", F.coalesce("label", "fp")), "minhash-labelled")
+    sizes = labelled.groupBy(key, "label").agg(F.count("*").alias("_n"))
+    giants = sizes.groupBy(key).agg(F.max_by("label", F.struct("_n", "label")).alias("giant"))
+    rest = labelled.join(small(giants), key).where("label <> giant")
+    left = materialize(rest.groupBy(key).agg(weigh.cast("int").alias("rest_blocks"), F.first("giant").alias("giant")), "minhash-rest")
+    if left.isEmpty():
+        return None
+    spread = labelled.join(small(left), key)
+    own, block = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("rest_blocks")).cast("int"), F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+    one = spread.where("label <> giant").select("*", own.alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("j"), F.lit(1).alias("side"))
+    two = spread.select("*", F.explode(F.sequence(F.lit(0), F.col("rest_blocks") - 1)).alias("i"), block.alias("j"), F.lit(2).alias("side"))
+    return one.unionByName(two).drop("blocks", "giant", "rest_blocks")
+
+
+def compared(met: DataFrame, key: str, values: list[str], work: Grouped) -> DataFrame:
+    """Pairs that ``work`` finds in each block of ``met``."""
+    met = met.repartition(key, "i", "j").sortWithinPartitions(key, "i", "j", "fp")
+    return met.mapInArrow(lean(by_group([key, "i", "j"], values, work)), "a binary, b binary")
+
+
+def joined(members: DataFrame, key: str, values: list[str], work: Grouped, weigh: Column, deals: int, load: Callable[..., DataFrame] = lambda met, rows=None: met) -> DataFrame:
+    """Components (id, comp) of what ``work`` finds among each group's members.
+
+    ``members`` has fp, the group's ``key`` and number of ``blocks``, and what ``weigh`` counts; ``load`` adds the values that are compared.
     """
-    own = F.pmod(F.xxhash64("fp"), F.col(blocks)).cast("int")
-    pairs = F.when(F.col(blocks) == 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(
-        F.transform(F.sequence(F.lit(0), F.col(blocks).cast("int") - 1), lambda o: F.struct(F.least(o, F.col("_own")).alias("i"), F.greatest(o, F.col("_own")).alias("j")))
-    )
-    out = members.withColumn("_own", own).withColumn("_pair", F.explode(pairs))
-    side = F.when(F.col("_pair.i") == F.col("_pair.j"), 0).when(F.col("_own") == F.col("_pair.i"), 1).otherwise(2)
-    return out.select("*", F.col("_pair.i").alias("i"), F.col("_pair.j").alias("j"), side.alias("side")).drop("_own", "_pair", blocks)
+    first = components(compared(load(within(members, key, deals)), key, values, work))
+    more = across(members, key, first, weigh)
+    if more is None:
+        return first
+    pairs = compared(load(more, None), key, [*values, "label"], work)
+    return components(pairs.unionByName(first.select(F.col("id").alias("a"), F.col("comp").alias("b"))))
 
 
 def named(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -348,15 +394,13 @@ def named(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     bounded_batches(docs.sparkSession)
     rows = materialize(signed(docs), "minhash-signed")
     full = rows.where("n_shingles > 0")
-    classes = materialize(full.groupBy("fp").agg(F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"), F.min("doc_id").alias("doc_id")), "minhash-classes")
+    classes = materialize(full.groupBy("fp").agg(F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"), F.min(F.struct("doc_id", "text_hash")).alias("row")), "minhash-classes")
 
     banded = classes.select("fp", "n", "sig", F.explode("bands").alias("key"))
     buckets = banded.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     buckets = materialize(buckets.select("key", F.ceil(F.col("members") / LIMIT).alias("blocks")), "minhash-buckets")
-    met = in_blocks(banded.join(small(buckets), "key"), "key", "blocks")
-    met = met.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    pairs = met.mapInArrow(lean(by_group(["key", "i", "j"], ["n", "sig"], estimated(least_equal(percent), percent))), "a binary, b binary")
-    cluster = components(pairs)
+    # a large bucket is dealt in another way than the same members' buckets in other bands
+    cluster = joined(banded.join(small(buckets), "key"), "key", ["n", "sig"], estimated(least_equal(percent), percent), F.ceil(F.count("*") / LIMIT), 1)
     cluster = materialize(cluster.unionByName(cluster.select(F.col("comp").alias("id"), "comp").distinct()), "minhash-clusters")
 
     found = confirm(docs, classes, cluster, percent)
@@ -375,24 +419,30 @@ def duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def confirm(docs: DataFrame, classes: DataFrame, cluster: DataFrame, percent: int) -> DataFrame:
     """Components of confirmed links within candidate clusters."""
-    sized = cluster.join(classes.select(F.col("fp").alias("id"), "n", "doc_id"), "id")
+    sized = cluster.select(F.col("id").alias("fp"), F.col("comp").alias("cluster")).join(classes.select("fp", "n", "row"), "fp")
     cut = F.greatest(F.ceil(F.count("*") / LIMIT), F.ceil(F.sum("n") / LIMIT_SHINGLES))
-    blocks = sized.groupBy("comp").agg(cut.alias("blocks"))
-    members = materialize(sized.join(small(blocks), "comp").select(F.col("id").alias("fp"), "comp", "blocks", "doc_id"), "minhash-members")
+    blocks = sized.groupBy("cluster").agg(cut.alias("blocks"))
+    members = materialize(sized.join(small(blocks), "cluster"), "minhash-members")
     count = members.count()
-    # a class without any id is looked for among the rows without one
-    ids = members.select(F.col("doc_id").alias("_id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    texts = texts.join(small(ids, count), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    # one row of each class, found by its id and text, is read again
+    ids = members.select(F.col("row.doc_id").alias("id"), F.col("row.text_hash").alias("hash"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    texts = texts.join(small(ids, count), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")), "left_semi")
+    members = members.drop("row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()  # a task gives a set once, however often its row is repeated
         for batch in batches:
             fps, sets, size = [], [], 0
             for s in shingle_sets(batch.column(0)):
                 if not len(s):
                     continue
                 with np.errstate(over="ignore"):
-                    fps.append(fingerprint(s))
+                    fp = fingerprint(s)
+                if fp in seen:
+                    continue
+                seen.add(fp)
+                fps.append(fp)
                 sets.append(s.tobytes())
                 size += len(sets[-1])
                 if size > 8 * LIMIT_SHINGLES:
@@ -401,10 +451,8 @@ def confirm(docs: DataFrame, classes: DataFrame, cluster: DataFrame, percent: in
             yield pa.RecordBatch.from_arrays([pa.array(fps, pa.binary()), pa.array(sets, pa.binary())], names=["fp", "shingles"])
 
     sets = texts.select("text").mapInArrow(lean(run), "fp binary, shingles binary")
-    met = in_blocks(sets.join(small(members.select("fp", "comp", "blocks"), count), "fp"), "comp", "blocks")
-    met = met.select("comp", "i", "j", "side", "fp", "shingles").repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j", "fp")
-    links = met.mapInArrow(lean(by_group(["comp", "i", "j"], ["shingles"], linked(percent))), "a binary, b binary")
-    return components(links)
+    # a large cluster is dealt in three ways, which join its blocks
+    return joined(members, "cluster", ["shingles"], linked(percent), cut, 3, lambda met, rows=3 * count: sets.join(small(met, rows), "fp"))
 
 
 def deduplicated(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -417,16 +465,17 @@ def deduplicated(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     best = rows.groupBy("comp").agg(F.min(place).alias("best"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
     judged = rows.join(best, "comp").withColumn("stays", place == F.col("best"))
-    judged = judged.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.first("stays").alias("stays"), F.count("*").alias("n"))
+    known, hashed = fresh(docs.columns, "id", "hash")
+    judged = judged.groupBy(F.col("doc_id").alias(known), F.col("text_hash").alias(hashed)).agg(F.first("stays").alias("stays"), F.count("*").alias("n"))
     judged = materialize(judged.where("NOT stays OR n > 1"), "minhash-judged")  # a row's id and text tell its component
-    gone, again = judged.where("NOT stays").select("_id", "_hash"), judged.where("stays").select("_id", "_hash")
+    gone, again = judged.where("NOT stays").select(known, hashed), judged.where("stays").select(known, hashed)
     n, repeated = (x.limit(BROADCAST_ROWS + 1).count() for x in (gone, again))
-    same = (F.xxhash64("text") == F.col("_hash")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
+    same = (F.xxhash64("text") == F.col(hashed)) & F.col("doc_id").cast("long").eqNullSafe(F.col(known))
     out = docs.join(small(gone, n), same, "left_anti")
     if not repeated:
         return out
     # texts are dealt only of rows that are there more than once
-    one = out.join(small(again, repeated), same).dropDuplicates(["_id", "_hash"]).select(*(f"`{c}`" for c in docs.columns))
+    one = out.join(small(again, repeated), same).dropDuplicates([known, hashed]).select(*(quoted(c) for c in docs.columns))
     return out.join(small(again, repeated), same, "left_anti").unionByName(one)
 
 

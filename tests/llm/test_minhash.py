@@ -106,6 +106,41 @@ def test_one_row_of_each_component_stays(spark):
     assert {t for i, t in got if i is None} <= {c, c + " end"}
 
 
+def test_columns_that_clash_and_repeated_rows(spark):
+    text = " ".join(f"v{i}" for i in range(40))
+    rows = [(None, text, "first")] * 500 + [(None, text, "second")] * 500 + [(1, text + " end", "third"), (2, "of its own kind it is", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, hash string").selectExpr("*", "1 AS ID", "2 AS _hash", "3 AS comp", "4 AS fp")
+    got = minhash.digest(df).collect()
+    assert len(got) == len(rows) and {r.component_id for r in got if r.doc_id != 2} == {1}
+    kept = minhash.deduplicated(df)
+    assert kept.columns == df.columns and sorted((r.doc_id, r.hash, r["_hash"]) for r in kept.collect()) == [(1, "third", 2), (2, "x", 2)]
+
+
+def test_a_large_group_of_copies_costs_its_size(spark, monkeypatch):
+    """Most copies are joined within blocks; only what isn't is compared with all."""
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    rows = []
+    for i in range(300):
+        w = list(base)
+        w[rng.randrange(200)] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    far = [*base[:100], *(f"y{i}" for i in range(100))]
+    rows += [(1000 + i, " ".join([*far[:150], f"z{i}", *far[151:]])) for i in range(5)]
+    monkeypatch.setattr(minhash, "LIMIT", 20)
+    sizes, across = [], minhash.across
+
+    def counted(members, key, joined, weigh):
+        out = across(members, key, joined, weigh)
+        sizes.append((members.where("blocks > 1").count(), 0 if out is None else out.count()))
+        return out
+
+    monkeypatch.setattr(minhash, "across", counted)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.digest(frame(spark, rows)).collect()}
+    assert got == brute(rows)
+    assert sizes[0][0] > 1000 and all(more <= 2 * members for members, more in sizes)
+
+
 def test_whole_long_texts_are_hashed(monkeypatch):
     rng = random.Random(3)
     text = " ".join(f"é{rng.randrange(10**6)}" for _ in range(3000))
