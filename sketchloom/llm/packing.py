@@ -4,7 +4,8 @@ Each task reads its documents as a stream, encodes them and packs ``shard_tokens
 time: documents longer than a row are split into full rows and a rest, all pieces are
 sorted by length, and each goes to the fullest row that still has room, found in a
 segment tree over the room that rows have left. No document is shuffled, memory is bound
-by ``shard_tokens``, and a lost task is done again from its input alone.
+by ``shard_tokens``, and a lost task is done again from its input alone. ``shard`` is the number of the
+input's partition, so which documents share a row depends on how the input is laid out.
 
 A packed row holds ``ids`` (unsigned little-endian, ``width`` bytes each, the row of the id
 matrix), ``n_tokens``, ``cu_seqlens`` (cumulative segment lengths, from 0), ``position_resets`` (where
@@ -76,6 +77,18 @@ class Encoder:
         return self._whole(first) + b"".join(got) + self.last
 
 
+_kept: tuple[bytes, str, Encoder] | None = None
+
+
+def encoder(ranks: bytes, pattern: str) -> Encoder:
+    """Built once in each Python worker; its cache starts empty in each task."""
+    global _kept
+    if _kept is None or _kept[:2] != (ranks, pattern):
+        _kept = ranks, pattern, Encoder(ranks, pattern)
+    _kept[2].known.clear()
+    return _kept[2]
+
+
 class Room:
     """A segment tree over room 0..size: how many rows have just that much left."""
 
@@ -141,7 +154,7 @@ def pack(docs: DataFrame, size: int = ROW, vocabulary: str = VOCABULARY, pattern
     ranks = docs.sparkSession.sparkContext.broadcast(driver_file(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = Encoder(ranks.value, pattern)  # its cache goes with the task
+        enc = encoder(ranks.value, pattern)
         shard = TaskContext.get().partitionId()
         held, tokens, row = [], 0, 0
 
@@ -168,6 +181,7 @@ def pack(docs: DataFrame, size: int = ROW, vocabulary: str = VOCABULARY, pattern
                     yield from flush()
                     tokens = 0
         yield from flush()
+        enc.known.clear()
 
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(lean(run), PACKED)
 
