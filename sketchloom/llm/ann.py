@@ -3,41 +3,51 @@
 A vector is approximated by a sum of one entry from each of ``BOOKS`` codebooks, each of full
 dimension. The codebooks start as residual k-means on a bounded sample (``SAMPLE`` vectors, chosen by a hash
 of their ids) and are refined by least squares between beam-search encodings. Every row
-is encoded by beam search and written with its codes, the norm of its approximation and its
-vector; that is the index.
+is encoded by beam search and written with its codes, the norm of its approximation, its
+vector and the coarse cell it lies in; that is the index. Cells are k-means of the same sample.
 
-A query is scored against all codes by table lookup, -2 <q, x'> + |x'|^2, and in each batch of
-the index the best ``RERANK`` distinct vectors are measured exactly. Tasks keep ten rows for each
-query; a ranking by query merges them. Queries are a stated set, here the rows whose id is divisible by 100;
-they go through the index in blocks of ``BLOCK``, whose size is bounded, so neither
-the driver nor a task ever holds all of them.
+A query looks into the cells nearest to it, as many as hold all of the true neighbours of nearly all sample vectors
+(``SURE``), which is measured when the index is made: few where vectors lie in clusters, all of them where they don't. Index and queries meet by cell. A cell's
+rows are dealt into chunks and its queries into blocks of bounded size, so no cell is collected whole; queries are rows, never
+collected, and the plan is the same however many there are. In each chunk a
+query is scored against all codes by table lookup, -2 <q, x'> + |x'|^2, and the best ``RERANK`` distinct vectors are measured exactly, in double
+precision, or a ``RERANK_PART``-th of the chunk if that is more. Chunks keep ten rows for each query; a ranking by query merges them. As each chunk reranks its part, recall doesn't fall
+as the index grows. Queries are a stated set, here the rows whose id is divisible by 100.
 
 Defined results: vectors that are null, zero, hold nulls, infinities or NaN, or have another length than most
 (the longer of equally frequent ones) take no part, nor do rows without an id; equal vectors are one vector in
-a batch with up to eleven of its smallest ids, as more can't be among ten; equal distances go
+a chunk with up to eleven of its smallest ids, as more can't be among ten; equal distances go
 to the smaller id; rows with the query's own id are no candidates; a repeated
-row counts once; an empty table, or one without valid rows, gives no rows; other columns are not used.
+row counts once; an empty table, or one without valid rows, gives no rows; vectors of doubles are kept and measured as such; other columns are not used.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from sketchloom.session import lean, materialize
 
-BOOKS, ENTRIES, BEAM, SAMPLE, ROUNDS, RERANK, BLOCK, NEAREST = 8, 256, 8, 10_000, 2, 128, 8192, 10
+BOOKS, ENTRIES, BEAM, SAMPLE, ROUNDS, NEAREST = 8, 256, 8, 10_000, 2, 10
+#: The best of a chunk that are measured exactly: so many, or this part of it.
+RERANK, RERANK_PART = 128, 4
+#: Sample vectors for each cell, the share of them whose neighbours the probed cells must all hold, and how many of them are looked at.
+CELL_ROWS, SURE, TRIED = 64, 0.99, 500
+#: Rows of a cell, and queries in a cell, that are held at a time.
+CHUNK, BLOCK = 16_384, 4096
 SEED = 7
 
 
 def valid(df: DataFrame) -> DataFrame:
-    """vec_id and embedding (floats) of the rows that take part."""
-    rows = df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding")).where("vec_id IS NOT NULL AND embedding IS NOT NULL")
+    """vec_id and embedding (floats, or doubles if they are no floats) of the rows that take part."""
+    kind = "array<float>" if df.schema["embedding"].dataType == ArrayType(FloatType(), df.schema["embedding"].dataType.containsNull) else "array<double>"
+    rows = df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding")).where("vec_id IS NOT NULL AND embedding IS NOT NULL")
     finite = F.forall("embedding", lambda x: F.coalesce((x == x) & ~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
     rows = rows.where(finite & F.exists("embedding", lambda x: x != 0))
     sizes = rows.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
@@ -49,10 +59,8 @@ def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 10) ->
     for _ in range(rounds):
         near = np.argmin((centres**2).sum(1) - 2 * (x @ centres.T), axis=1)
         n = np.bincount(near, minlength=k)
-        sums = np.zeros_like(centres)
-        np.add.at(sums, near, x)
-        full = n > 0
-        centres[full] = sums[full] / n[full, None]
+        full, first = n > 0, np.cumsum(n) - n
+        centres[full] = np.add.reduceat(x[np.argsort(near, kind="stable")], first[full]) / n[full, None]
         if not full.all():
             centres[~full] = x[rng.choice(len(x), int((~full).sum()))]
     return centres
@@ -96,42 +104,80 @@ def fit(x: np.ndarray, books: int = BOOKS, entries: int = ENTRIES, rounds: int =
     out = np.stack(made).astype(np.float32)
     for _ in range(rounds):  # least squares for all entries at once, given the codes
         codes = encode(x, out)
-        columns = codes + np.arange(books) * k
+        codes = codes.astype(np.int64)
         gram, moment = np.zeros((books * k, books * k)), np.zeros((books * k, x.shape[1]))
         for b in range(books):
-            np.add.at(moment, columns[:, b], x)
+            used, first = np.unique(np.sort(codes[:, b]), return_index=True)
+            moment[b * k + used] = np.add.reduceat(x[np.argsort(codes[:, b], kind="stable")].astype(float), first)
             for c in range(books):
-                np.add.at(gram, (columns[:, b], columns[:, c]), 1.0)
+                gram[b * k : (b + 1) * k, c * k : (c + 1) * k] = np.bincount(codes[:, b] * k + codes[:, c], minlength=k * k).reshape(k, k)
         gram[np.diag_indices_from(gram)] += 0.1
         moment += 0.1 * out.reshape(books * k, -1)  # unused entries stay as they are
         out = np.linalg.solve(gram, moment).reshape(out.shape).astype(np.float32)
     return out
 
 
-def matrix(column: pa.Array) -> np.ndarray:
-    """A list<float> column of one length, without nulls, as a matrix."""
-    return np.asarray(column.flatten(), dtype=np.float32).reshape(len(column), -1)
+def nearest_cells(x: np.ndarray, cells: np.ndarray, n: int) -> np.ndarray:
+    """The ``n`` nearest cells of each vector, nearest first."""
+    far = (cells**2).sum(1) - 2 * (x @ cells.T)
+    near = np.argpartition(far, n - 1, axis=1)[:, :n]
+    return np.take_along_axis(near, np.argsort(np.take_along_axis(far, near, 1), axis=1, kind="stable"), 1)
 
 
-def build(df: DataFrame, sample: int = SAMPLE) -> tuple[DataFrame, np.ndarray] | None:
-    """The index (vec_id, codes, norm, vector) of all valid rows, written, and its codebooks; None without valid rows."""
+def probes_needed(x: np.ndarray, cells: np.ndarray, keep: int = NEAREST, tried: int = TRIED, sure: float = SURE) -> int:
+    """Cells to look into so that a share ``sure`` of sample vectors finds all of its nearest ``keep`` others there."""
+    part = x[:tried]
+    far = (x**2).sum(1) - 2 * (part @ x.T)
+    far[np.arange(len(part)), np.arange(len(part))] = np.inf
+    near = np.argpartition(far, min(keep, len(x) - 1) - 1, axis=1)[:, :keep] if len(x) > 1 else np.zeros((len(part), 1), dtype=int)
+    home = nearest_cells(x, cells, 1)[:, 0]
+    order = nearest_cells(part, cells, len(cells))
+    place = np.empty_like(order)
+    np.put_along_axis(place, order, np.broadcast_to(np.arange(len(cells)), order.shape), 1)
+    worst = np.take_along_axis(place, home[near], 1).max(axis=1) + 1
+    return int(np.quantile(worst, sure, method="higher"))
+
+
+@dataclass(frozen=True)
+class Quantiser:
+    """What the index was made with: codebooks, cells, the cells a query looks into, and the vectors' type."""
+
+    books: np.ndarray
+    cells: np.ndarray
+    probes: int
+    dtype: str
+
+
+def matrix(column: pa.Array, dtype: str) -> np.ndarray:
+    """A list column of one length, without nulls, as a matrix."""
+    return np.asarray(column.flatten(), dtype=dtype).reshape(len(column), -1)
+
+
+def build(df: DataFrame, sample: int = SAMPLE) -> tuple[DataFrame, Quantiser] | None:
+    """The index (vec_id, codes, norm, vector, cell) of all valid rows, written, and its quantiser; None without valid rows."""
     rows = valid(df)
+    dtype = "float32" if rows.schema["embedding"].dataType.elementType == FloatType() else "float64"
     chosen = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("embedding").collect()  # bounded by ``sample``
     if not chosen:
         return None
-    books = fit(np.array([r[0] for r in chosen], dtype=np.float32))
-    shared = df.sparkSession.sparkContext.broadcast(books)
+    x = np.array([r[0] for r in chosen], dtype=np.float64)
+    rng = np.random.Generator(np.random.PCG64(SEED))
+    cells = kmeans(x, max(1, len(x) // CELL_ROWS), rng)
+    made = Quantiser(fit(x.astype(np.float32)), cells, probes_needed(x, cells), dtype)
+    shared = df.sparkSession.sparkContext.broadcast(made)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        how = shared.value
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = matrix(batch.column(1))
-            codes = encode(x, shared.value)
-            norm = (decode(codes, shared.value).astype(np.float32) ** 2).sum(1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norm, pa.float32()), pa.array([v.tobytes() for v in x], pa.binary())], names=["vec_id", "codes", "norm", "vector"])
+            x = matrix(batch.column(1), how.dtype)
+            codes = encode(x.astype(np.float32), how.books)
+            norm = (decode(codes, how.books).astype(np.float32) ** 2).sum(1)
+            cell = nearest_cells(x.astype(np.float64), how.cells, 1)[:, 0].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norm, pa.float32()), pa.array([v.tobytes() for v in x], pa.binary()), pa.array(cell)], names=["vec_id", "codes", "norm", "vector", "cell"])
 
-    return materialize(rows.mapInArrow(lean(run), "vec_id long, codes binary, norm float, vector binary"), "ann-index"), books
+    return materialize(rows.mapInArrow(lean(run), "vec_id long, codes binary, norm float, vector binary, cell int"), "ann-index"), made
 
 
 class Best:
@@ -150,8 +196,8 @@ class Best:
         self.score[q], self.ids[q] = s[order], i[order]
 
 
-def scan(ids: np.ndarray, codes: np.ndarray, norm: np.ndarray, x: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, books: np.ndarray, best: Best, rerank: int = RERANK) -> None:
-    """One batch of the index against some queries."""
+def scan(ids: np.ndarray, codes: np.ndarray, norm: np.ndarray, x: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, books: np.ndarray, best: Best) -> None:
+    """One chunk of the index against some queries, whose ``best`` are still empty."""
     order = np.argsort(ids, kind="stable")
     ids, codes, norm, x = ids[order], codes[order], norm[order], x[order]
     _, first, which = np.unique(np.ascontiguousarray(x).view(np.dtype((np.void, x.shape[1] * x.itemsize))).ravel(), return_index=True, return_inverse=True)
@@ -160,14 +206,25 @@ def scan(ids: np.ndarray, codes: np.ndarray, norm: np.ndarray, x: np.ndarray, qu
     ends = np.r_[starts[1:], len(ids)]
     codes, norm, exact = codes[first], norm[first], x[first].astype(np.float64)
     n = len(first)
-    for at in range(0, len(queries), 64):
-        part = queries[at : at + 64]
-        table = np.einsum("qd,mkd->mqk", part, books)
+    rerank = min(n, max(RERANK, n // RERANK_PART))
+    several = min(64, max(1, (1 << 21) // (rerank * x.shape[1])))  # queries at a time
+    for at in range(0, len(queries), several):
+        part = queries[at : at + several]
+        table = np.einsum("qd,mkd->mqk", part.astype(np.float32), books)
         near = np.broadcast_to(norm, (len(part), n)).copy()
         for m in range(len(books)):
             near -= 2 * table[m][:, codes[:, m]]
+        tops = np.argpartition(near, rerank - 1, axis=1)[:, :rerank] if n > rerank else np.broadcast_to(np.arange(n), near.shape)
+        if n == len(ids):  # all vectors differ
+            score = np.sqrt(((exact[tops] - part[:, None, :].astype(np.float64)) ** 2).sum(2))
+            found = ids[first][tops]
+            score[found == query_ids[at : at + several, None]] = np.inf
+            order = np.lexsort((found, score), axis=1)[:, : best.keep]
+            best.score[at : at + several, : order.shape[1]] = np.take_along_axis(score, order, 1)
+            best.ids[at : at + several, : order.shape[1]] = np.take_along_axis(found, order, 1)
+            continue
         for j in range(len(part)):
-            top = np.argpartition(near[j], rerank - 1)[:rerank] if n > rerank else np.arange(n)
+            top = tops[j]
             score = np.sqrt(((exact[top] - part[j].astype(np.float64)) ** 2).sum(1))
             rows = [by_vector[starts[t] : min(ends[t], starts[t] + best.keep + 1)] for t in top]
             found = np.concatenate(rows)
@@ -176,29 +233,46 @@ def scan(ids: np.ndarray, codes: np.ndarray, norm: np.ndarray, x: np.ndarray, qu
             best.add(at + j, scores[own], ids[found][own])
 
 
-def search(index: DataFrame, books: np.ndarray, every: int = 100, nearest: int = NEAREST, block: int = BLOCK) -> DataFrame:
-    """query_id, rank, vec_id and score of the nearest rows to each whose id is divisible by ``every``."""
-    spark = index.sparkSession
-    asked = index.where(F.col("vec_id") % every == 0).select("vec_id", "vector").distinct()
-    blocks = max(1, ceil(asked.count() / block))
-    found = None
-    for b in range(blocks):
-        part = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).collect()  # about ``block`` rows
-        shared = spark.sparkContext.broadcast((np.array([r[0] for r in part], dtype=np.int64), np.frombuffer(b"".join(bytes(r[1]) for r in part), dtype=np.float32).reshape(len(part), -1), books))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            query_ids, queries, books = shared.value
-            best = Best(len(query_ids), nearest)
-            for batch in batches:
-                if batch.num_rows and len(query_ids):
-                    codes = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1)
-                    x = np.frombuffer(b"".join(batch.column(3).to_pylist()), dtype=np.float32).reshape(batch.num_rows, -1)
-                    scan(np.asarray(batch.column(0)), codes, np.asarray(batch.column(2)), x, query_ids, queries, books, best)
-            own = np.isfinite(best.score)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(query_ids, own.sum(1))), pa.array(best.ids[own]), pa.array(best.score[own])], names=["query_id", "vec_id", "score"])
-
-        one = index.mapInArrow(lean(run), "query_id long, vec_id long, score double")
-        found = one if found is None else found.unionByName(one)
+def search(index: DataFrame, how: Quantiser, every: int = 100, nearest: int = NEAREST, probes: int | None = None, chunk: int = CHUNK, block: int = BLOCK) -> DataFrame:
+    """query_id, rank, vec_id and score of the nearest rows to each whose id is divisible by ``every``.
+
+    ``probes`` is how many cells each query looks into, by default what the index was measured to need.
+    """
+    shared = index.sparkSession.sparkContext.broadcast(how)
+    probes = min(how.probes if probes is None else probes, len(how.cells))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        how = shared.value
+        for batch in batches:
+            if batch.num_rows:
+                x = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=how.dtype).reshape(batch.num_rows, -1)
+                cells = nearest_cells(x.astype(np.float64), how.cells, probes).astype(np.int32)
+                at = pa.array(np.repeat(np.arange(batch.num_rows), probes))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(cells.ravel())], names=["query_id", "query", "cell"])
+
+    asked = index.where(F.col("vec_id") % every == 0).select("vec_id", "vector").distinct().mapInArrow(lean(ask), "query_id long, query binary, cell int")
+    # rows, chunks and blocks of each cell; there are as many cells as the sample asks for
+    chunks = index.groupBy("cell").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks"))
+    blocks = asked.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    sizes = F.broadcast(materialize(chunks.join(blocks, "cell"), "ann-cells"))
+    every_one = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    rows = index.join(sizes, "cell").select("cell", F.pmod(F.xxhash64("vec_id", "vector"), F.col("chunks")).cast("int").alias("chunk"), every_one("blocks").alias("block"), "vec_id", "codes", "norm", "vector")
+    queries = asked.join(sizes, "cell").select("cell", every_one("chunks").alias("chunk"), F.pmod(F.xxhash64("query_id", "query"), F.col("blocks")).cast("int").alias("block"), "query_id", "query")
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        how = shared.value
+        names = ["query_id", "vec_id", "score"]
+        if not left.num_rows or not right.num_rows:
+            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=names)
+        numbers = lambda t, c, dtype: np.frombuffer(b"".join(t[c].to_pylist()), dtype=dtype).reshape(t.num_rows, -1)
+        query_ids, queries = right["query_id"].to_numpy(), numbers(right, "query", how.dtype)
+        best = Best(len(query_ids), nearest)
+        scan(left["vec_id"].to_numpy(), numbers(left, "codes", np.uint8), left["norm"].to_numpy(), numbers(left, "vector", how.dtype), query_ids, queries, how.books, best)
+        own = np.isfinite(best.score)
+        return pa.table([pa.array(np.repeat(query_ids, own.sum(1))), pa.array(best.ids[own]), pa.array(best.score[own])], names=names)
+
+    keys = ["cell", "chunk", "block"]
+    found = rows.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(meet, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= nearest).select("query_id", "rank", "vec_id", "score")
 
