@@ -3,19 +3,23 @@
 The text's likelihood comes from letter-trigram models of each language and from a model of
 unrelated letters, ``und``. It is combined with the declared markup language and with a
 prior for the host, which is smoothed towards its address suffix and that towards all
-documents: the priors are sums of the documents' own posteriors, grouped by host, and a
-document's own part is taken out of its host's prior again.
+rows: the priors are sums of the rows' own posteriors, grouped by host, and a
+row's own part is taken out of its host's prior again.
 
-The models are fitted on a bounded sample of labelled rows (``SAMPLE`` documents, chosen by a hash
-of their ids); all else covers every document. Texts are scored whole, twice: once for the
-grouped sums, once for the result, so no text is shuffled. The prior of a host is a
-row for each host, joined by broadcast if there are at most ``BROADCAST_ROWS`` hosts.
+For pages the declaration is the ``lang`` of the html element, the host and suffix are the url's. For documents ``source`` stands for
+the host, and ``lang`` is the label that models are fitted on and the declaration; a row that a model was fitted on has no declaration,
+so no label is used twice.
+
+The models are fitted on a bounded sample of labelled rows (at most ``SAMPLE`` rows, those with the smallest hash
+of id, label and text); all else covers every row. Texts are scored once and whole, in one pass that writes
+the scores beside the columns that are wanted; priors are grouped sums, and a second pass fuses them with the scores. The prior of a host is a
+row for each host, joined by broadcast if there are at most ``BROADCAST_ROWS`` hosts; beyond that only what is wanted of the rows is shuffled.
 
 Defined results: a null or empty text, or one without any letters, is ``und`` and rejected; very long
 texts are scored whole; null hosts are one host, null declarations are no evidence; repeated
 rows repeat; ties go to the language named first; an empty table gives an empty result;
-without any labelled rows nothing can be fitted and a ValueError says so, unless the table is
-empty; other columns pass through and clashing ones are replaced.
+without any labelled rows there is no model, so nothing is judged: language and probability are null and no row is rejected;
+other columns pass through; those called like the result's are replaced by :func:`identify` and left alone by :func:`kept`.
 """
 
 from __future__ import annotations
@@ -25,20 +29,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, StringType, StructField, StructType
 
-from sketchloom.session import bounded_batches, lean, materialize, small
+from sketchloom.session import bounded_batches, fresh, lean, materialize, quoted, small, without
 
-LANGUAGES = ("en", "de", "fr", "es")
 UNKNOWN = "und"
-SAMPLE = 2000
+SAMPLE, MOST_LANGUAGES = 2000, 32
 #: Trigrams overlap, so a text's likelihood counts to this power.
 TEMPER = 1 / 3
 #: Rows that the pooled trigrams count as in each language, and the share of unrelated letters.
 SMOOTH, FOREIGN = 500.0, 0.05
 TRUST, SUFFIX_ROWS, HOST_ROWS, LEAST = 0.9, 50.0, 20.0, 0.5
+#: Bytes of a text that are scored at once.
+SEGMENT = 1 << 19
 
 _SYMBOL = np.zeros(256, dtype=np.uint32)
 _SYMBOL[97:123] = np.arange(1, 27)
@@ -58,20 +63,21 @@ def trigrams(raw: bytes) -> np.ndarray:
 class Model:
     languages: tuple[str, ...]
     table: np.ndarray  # log-probability of each trigram in each language, and of unrelated letters last
+    upto: int = 0  # hash of the last row in the sample
 
     def score(self, text: str | None) -> np.ndarray | None:
         """The log-likelihood under each model; None without letters."""
         if not text:
             return None
         total, n, raw = np.zeros(len(self.languages) + 1), 0, text.encode()
-        for at in range(0, len(raw), 1 << 22):
-            t = trigrams(raw[max(0, at - 2) : at + (1 << 22)])
+        for at in range(0, len(raw), SEGMENT):
+            t = trigrams(raw[max(0, at - 2) : at + SEGMENT])
             n += len(t)
             total += self.table[t].sum(axis=0, dtype=np.float64)
         return total if n else None
 
 
-def model_of(counts: dict[str, np.ndarray], languages: tuple[str, ...]) -> Model:
+def model_of(counts: dict[str, np.ndarray], languages: tuple[str, ...], upto: int = 0) -> Model:
     """Trigram probabilities of each language, mixed with a little of ``und``'s, and ``und``'s own.
 
     ``und`` draws three unrelated letters, half by how often all texts have them, half evenly. Its part in the
@@ -87,142 +93,194 @@ def model_of(counts: dict[str, np.ndarray], languages: tuple[str, ...]) -> Model
     for name in languages:
         own = counts.get(name, np.zeros(_SPACE)) + SMOOTH * pooled
         columns.append((1 - FOREIGN) * own / own.sum() + FOREIGN * loose)
-    return Model(languages, np.log(np.stack([*columns, loose], axis=1)).astype(np.float32))
+    return Model(languages, np.log(np.stack([*columns, loose], axis=1)).astype(np.float32), upto)
+
+
+def _place(key: str, lang: str, text: str) -> Column:
+    """Where a row stands in the order that samples are drawn in."""
+    return F.xxhash64(F.col(quoted(key)).cast("string"), quoted(lang), quoted(text))
 
 
-def fit(labelled: DataFrame, languages: tuple[str, ...] = LANGUAGES, sample: int = SAMPLE, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model | None:
-    """Models from at most ``sample`` labelled documents, the first by a hash of their ids; None if there are none."""
-    rows = labelled.where(F.col(lang).isin(*languages) & F.col(text).isNotNull() & F.col(key).isNotNull())
-    ids = [r[0] for r in rows.select(key).orderBy(F.xxhash64(key), key).limit(sample).collect()]
-    if not ids:
+def fit(labelled: DataFrame, languages: tuple[str, ...] | None = None, sample: int = SAMPLE, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model | None:
+    """Models from at most ``sample`` labelled rows, the first by a hash of id, label and text; None if there are none.
+
+    Without ``languages`` they are the sample's labels, the most frequent first, at most ``MOST_LANGUAGES``.
+    Rows that are the same in all three count once.
+    """
+    label = F.col(quoted(lang))
+    known = label.isin(*languages) if languages else F.length(F.trim(label)) > 0
+    rows = labelled.where(known & (F.length(quoted(text)) > 0)).select(label.alias("lang"), F.col(quoted(text)).alias("text"), _place(key, lang, text).alias("place"))
+    upto = rows.select("place").orderBy("place").limit(sample).agg(F.max("place")).first()[0]
+    if upto is None:
         return None
-    chosen = labelled.sparkSession.createDataFrame([(i,) for i in sorted(set(ids))], f"_chosen {labelled.schema[key].dataType.simpleString()}")
-    picked = rows.join(F.broadcast(chosen), F.col(key) == F.col("_chosen")).select(lang, text).repartition(4)
+    picked = rows.where(F.col("place") <= upto).groupBy("place").agg(F.first("lang").alias("lang"), F.first("text").alias("text")).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, np.ndarray] = {}
         for batch in batches:
-            for name, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for name, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 seen.setdefault(name, np.zeros(_SPACE, dtype=np.int64))
-                seen[name] += np.bincount(trigrams(t.encode()), minlength=_SPACE)
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array([x.astype(np.int32).tobytes() for x in seen.values()], pa.binary())], names=["lang", "counts"])
-
-    counts: dict[str, np.ndarray] = {}
-    for r in picked.mapInArrow(lean(count), "lang string, counts binary").collect():  # four tasks' counts of a bounded sample
-        counts[r["lang"]] = counts.get(r["lang"], 0) + np.frombuffer(r["counts"], dtype=np.int32).astype(np.int64)
-    return model_of(counts, languages)
-
-
-def posterior(model: Model, score: np.ndarray, said: str, prior: np.ndarray | None = None) -> np.ndarray:
-    """Probabilities of the languages and of ``und``, given a text's score, the declaration and a prior."""
-    logs = score * TEMPER
-    n = len(model.languages)
-    if said in model.languages:
-        trust = np.full(n + 1, (1 - TRUST) / max(1, n - 1))
-        trust[model.languages.index(said)] = TRUST
-        trust[n] = 1 / n
-        logs += np.log(trust)
-    if prior is not None:
-        logs += np.log(prior)
-    p = np.exp(logs - logs.max())
-    return p / p.sum()
-
-
-def _host_sums(shared):
-    """Sums of posteriors of each batch's documents by address suffix and host."""
-    n = len(shared.value.languages) + 1
-    schema = pa.schema([("_suffix", pa.string()), ("_host", pa.string()), ("_p", pa.list_(pa.float64()))])
+                raw = t.as_py().encode()
+                for at in range(0, len(raw), SEGMENT):
+                    seen[name] += np.bincount(trigrams(raw[max(0, at - 2) : at + SEGMENT]), minlength=_SPACE)
+        for name, x in seen.items():
+            at = np.flatnonzero(x)
+            yield pa.RecordBatch.from_arrays([pa.array([name], pa.string()), pa.array([at.astype(np.int32).tobytes()], pa.binary()), pa.array([x[at].astype(np.int64).tobytes()], pa.binary())], names=["lang", "at", "n"])
+
+    labels = languages or tuple(r["lang"] for r in picked.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect())
+    counts = {name: np.zeros(_SPACE, dtype=np.int64) for name in labels}
+    for r in picked.where(F.col("lang").isin(*labels)).coalesce(4).mapInArrow(lean(count), "lang string, at binary, n binary").toLocalIterator():  # counts of a bounded sample, language by language
+        counts[r["lang"]][np.frombuffer(r["at"], dtype=np.int32)] += np.frombuffer(r["n"], dtype=np.int64)
+    return model_of(counts, tuple(labels), upto)
+
+
+def _shares(logs: np.ndarray) -> np.ndarray:
+    """Probabilities from log-weights, a row each."""
+    weights = np.exp(logs - logs.max(axis=1, keepdims=True))
+    return weights / weights.sum(axis=1, keepdims=True)
+
+
+def declared_weights(said: str, languages: tuple[str, ...]) -> np.ndarray:
+    """Log-weights that a declaration gives the languages and ``und``; none if it names no known language."""
+    n = len(languages)
+    if said not in languages:
+        return np.zeros(n + 1)
+    trust = np.full(n + 1, (1 - TRUST) / max(1, n - 1))
+    trust[languages.index(said)], trust[n] = TRUST, 1 / n
+    return np.log(trust)
+
+
+def _lists(values: np.ndarray, valid: np.ndarray) -> pa.Array:
+    """Rows of a matrix as lists, null where they aren't valid."""
+    offsets = pa.array(np.r_[0, np.cumsum(np.full(len(values), values.shape[1]))].astype(np.int32))
+    return pa.ListArray.from_arrays(offsets, pa.array(values.ravel()), mask=pa.array(~valid))
+
+
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    """Lists of one length as a matrix, zeros for nulls."""
+    out = np.zeros((len(column), width))
+    valid = np.asarray(column.is_valid())
+    out[valid] = np.asarray(column.drop_null().flatten()).reshape(-1, width)
+    return out
+
+
+def _scores(shared, carried: int, names: list[str]):
+    """The first ``carried`` columns of each row, the log-weights of its text and declaration, and what they alone say.
+
+    Text and declaration come after them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            sums: dict[tuple[str, str], np.ndarray] = {}
-            said, suffix, host = (batch.column(i).to_pylist() for i in (1, 2, 3))
-            for i, text in enumerate(batch.column(0)):
+            logs, valid = np.zeros((batch.num_rows, len(model.languages) + 1)), np.zeros(batch.num_rows, dtype=bool)
+            said = batch.column(carried + 1).to_pylist()
+            for i, text in enumerate(batch.column(carried)):
                 score = model.score(text.as_py())
                 if score is not None:
-                    key = suffix[i], host[i]
-                    sums[key] = sums.get(key, np.zeros(n)) + posterior(model, score, said[i])
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in sums], pa.string()), pa.array([k[1] for k in sums], pa.string()), pa.array(list(sums.values()), pa.list_(pa.float64()))], schema=schema)
+                    logs[i], valid[i] = score * TEMPER + declared_weights(said[i], model.languages), True
+            made = [_lists(logs, valid), _lists(_shares(logs), valid)] if batch.num_rows else [pa.array([], pa.list_(pa.float64()))] * 2
+            yield pa.RecordBatch.from_arrays([*batch.columns[:carried], *made], names=[*batch.schema.names[:carried], *names])
 
     return run
 
 
-def _fused(shared, overall: np.ndarray, carried: int):
+def _fused(kinds: tuple[str, ...], overall: np.ndarray, carried: int, least: float, names: tuple[str, ...]):
     """The first ``carried`` columns of each row and its language, its own part taken out of its host's sums.
 
-    After them come text, declaration, host sums and suffix sums.
+    After them come the log-weights, what they alone say, and the sums of the host and of the suffix.
     """
-    kinds = [*shared.value.languages, UNKNOWN]
-
-    def one(text: str | None, said: str, host: list | None, suffix: list | None) -> tuple[str, float]:
-        score = shared.value.score(text)
-        if score is None:
-            return UNKNOWN, 1.0
-        own = posterior(shared.value, score, said)
-        above = np.zeros(len(kinds)) if suffix is None else np.asarray(suffix)
-        up = (above + SUFFIX_ROWS * overall) / (above.sum() + SUFFIX_ROWS)
-        rest = np.zeros(len(kinds)) if host is None else np.maximum(np.asarray(host) - own, 0)
-        p = posterior(shared.value, score, said, (rest + HOST_ROWS * up) / (rest.sum() + HOST_ROWS))
-        return kinds[int(np.argmax(p))], float(p.max())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            said, host, suffix = (batch.column(carried + i).to_pylist() for i in (1, 2, 3))
-            found = [one(text.as_py(), said[i], host[i], suffix[i]) for i, text in enumerate(batch.column(carried))]
-            made = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
-            names = [*batch.schema.names[:carried], "lang_id", "lang_probability"]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:carried], *made], names=names)
+            lettered = np.asarray(batch.column(carried).is_valid())
+            logs, own, host, suffix = (_matrix(batch.column(carried + i), len(kinds)) for i in range(4))
+            up = (suffix + SUFFIX_ROWS * overall) / (suffix.sum(axis=1, keepdims=True) + SUFFIX_ROWS)
+            rest = np.maximum(host - own, 0)
+            p = _shares(logs + np.log((rest + HOST_ROWS * up) / (rest.sum(axis=1, keepdims=True) + HOST_ROWS)))
+            best = np.where(lettered, p.argmax(axis=1), len(kinds) - 1)
+            sure = np.where(lettered, p.max(axis=1), 1.0)
+            made = [pa.array(np.asarray(kinds, dtype=object)[best], pa.string()), pa.array(sure), pa.array((best < len(kinds) - 1) & (sure >= least))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:carried], *made], names=[*batch.schema.names[:carried], *names])
 
     return run
 
 
-def identify(df: DataFrame, model: Model, text: str = "text", declared: str | None = None, host: str | None = None, suffix: str | None = None, least: float = LEAST, carry: list[str] | None = None) -> DataFrame:
+def identify(
+    df: DataFrame, model: Model, text: str = "text", declared: Column | str | None = None, host: Column | str | None = None, suffix: Column | str | None = None,
+    least: float = LEAST, carry: list[str] | None = None, made: tuple[str, str, str] = ("lang_id", "lang_probability", "lang_kept"),
+) -> DataFrame:
     """``df`` with lang_id, lang_probability and lang_kept (a language, with at least probability ``least``).
 
-    ``carry`` names the columns that are wanted besides; all of them by default.
+    ``carry`` names the columns that are wanted besides; all of them by default. ``made`` are the result's names.
     """
-    made = ("lang_id", "lang_probability", "lang_kept")
-    names = [c for c in (df.columns if carry is None else carry) if c not in made]
-    quoted = [f"`{c}`" for c in names]
-    n = len(model.languages) + 1
-    given = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) if c else F.lit("")
-    said = F.lower(F.substring_index(F.translate(given(declared), "_", "-"), "-", 1))
+    names = without(df.columns if carry is None else carry, *made)
+    given = lambda c: F.lit("") if c is None else F.coalesce((F.col(quoted(c)) if isinstance(c, str) else c).cast("string"), F.lit(""))
+    said, addressed, called, logs, own, hosts, suffixes, body = fresh([*names, *made], "said", "suffix", "host", "logs", "own", "hosts", "suffixes", "text")
     bounded_batches(df.sparkSession)
-    rows = df.select(*quoted, F.col(f"`{text}`").alias("_text"), said.alias("_said"), given(suffix).alias("_suffix"), given(host).alias("_host"))
+    keep = [quoted(c) for c in names]
+    spoken = F.lower(F.substring_index(F.translate(given(declared), "_", "-"), "-", 1))
+    rows = df.select(*keep, given(suffix).alias(addressed), given(host).alias(called), F.col(quoted(text)).alias(body), spoken.alias(said))
     shared = df.sparkSession.sparkContext.broadcast(model)
-    sums = lambda c: [F.sum(F.get(c, F.lit(k))).alias(f"_{k}") for k in range(n)]
-    array = F.array(*(F.col(f"_{k}") for k in range(n)))
-
-    scored = rows.select("_text", "_said", "_suffix", "_host").mapInArrow(lean(_host_sums(shared)), "_suffix string, _host string, _p array<double>")
-    hosts = materialize(scored.groupBy("_suffix", "_host").agg(*sums("_p")).select("_suffix", "_host", array.alias("_hosts")), "lang-hosts")
-    suffixes = hosts.groupBy("_suffix").agg(*sums("_hosts")).select("_suffix", array.alias("_suffixes"))
-    seen = np.array([float(x or 0) for x in hosts.agg(*sums("_hosts")).first()])
+    lists = [StructField(c, ArrayType(DoubleType())) for c in (logs, own)]
+    scored = rows.mapInArrow(lean(_scores(shared, len(names) + 2, [logs, own])), StructType([*rows.schema.fields[:-2], *lists]))
+    scored = materialize(scored, "lang-scores")
+
+    kinds, n = (*model.languages, UNKNOWN), len(model.languages) + 1
+    sums = lambda c: F.array(*(F.sum(F.get(c, F.lit(k))) for k in range(n)))
+    by_host = materialize(scored.where(F.col(own).isNotNull()).groupBy(addressed, called).agg(sums(own).alias(hosts)), "lang-hosts")
+    by_suffix = by_host.groupBy(addressed).agg(sums(hosts).alias(suffixes))
+    seen = np.array([float(x or 0) for x in by_host.agg(sums(hosts)).first()[0]])
     overall = (seen + 1) / (seen.sum() + n)
+    both = scored.join(small(by_host.join(small(by_suffix), addressed)), [addressed, called], "left").select(*keep, logs, own, hosts, suffixes)
+    schema = StructType([*(df.schema[c] for c in names), StructField(made[0], StringType()), StructField(made[1], DoubleType()), StructField(made[2], BooleanType())])
+    return both.mapInArrow(lean(_fused(kinds, overall, len(names), least, made)), schema)
 
-    priors = hosts.join(small(suffixes), "_suffix")
-    both = rows.join(small(priors), ["_suffix", "_host"], "left").select(*quoted, "_text", "_said", "_hosts", "_suffixes")
-    schema = StructType([*(df.schema[c] for c in names), StructField("lang_id", StringType()), StructField("lang_probability", DoubleType())])
-    out = both.mapInArrow(lean(_fused(shared, overall, len(names))), schema)
-    return out.withColumn("lang_kept", (F.col("lang_id") != UNKNOWN) & (F.col("lang_probability") >= least))
 
+def identified(docs: DataFrame, languages: tuple[str, ...] | None = None, sample: int = SAMPLE, carry: list[str] | None = None, made: tuple[str, str, str] = ("lang_id", "lang_probability", "lang_kept"), model: Model | None = None) -> DataFrame:
+    """:func:`identify` for documents: ``lang`` is what they declare, ``source`` their host, its last part after a dot the suffix.
 
-def identified(docs: DataFrame, languages: tuple[str, ...] = LANGUAGES, sample: int = SAMPLE, carry: list[str] | None = None) -> DataFrame:
-    """:func:`identify` for documents: ``lang`` is what they declare, ``source`` their host, its last part after a dot the suffix."""
-    model = fit(docs, languages, sample)
+    A row that the model was fitted on declares nothing: its label is in the model already.
+    """
+    model = fit(docs, languages, sample) if model is None else model  # looked for again in digest, where there is nothing to fit on
     if model is None:
-        if docs.limit(1).count():
-            raise ValueError("no labelled rows to fit the language models on")
-        return docs.select(*(f"`{c}`" for c in (docs.columns if carry is None else carry))).withColumns({"lang_id": F.lit(None).cast("string"), "lang_probability": F.lit(None).cast("double"), "lang_kept": F.lit(None).cast("boolean")})
-    with_suffix = docs.withColumn("_address", F.regexp_extract(F.coalesce("source", F.lit("")), r"\.([A-Za-z]+)$", 1))
-    return identify(with_suffix, model, "text", "lang", "source", "_address", carry=docs.columns if carry is None else carry)
-
-
-def digest(docs: DataFrame) -> DataFrame:
-    got = identified(docs.select("doc_id", "text", "lang", "source"), carry=["doc_id"])
-    return got.select("doc_id", "lang_id", F.round("lang_probability", 6).alias("lang_probability"), F.col("lang_kept").alias("kept"))
+        kept = [quoted(c) for c in without(docs.columns if carry is None else carry, *made)]
+        return docs.select(*kept, F.lit(None).cast("string").alias(made[0]), F.lit(None).cast("double").alias(made[1]), F.lit(True).alias(made[2]))
+    said = F.when(F.coalesce(_place("doc_id", "lang", "text") > model.upto, F.lit(True)), F.col("lang"))
+    suffix = F.regexp_extract(F.coalesce("source", F.lit("")), r"\.([A-Za-z]+)$", 1)
+    return identify(docs, model, "text", said, "source", suffix, carry=carry, made=made)
+
+
+def page_parts(url: Column, html: Column) -> tuple[Column, Column, Column, Column]:
+    """A page's visible text, the language its html element declares, its host and its address suffix."""
+    lean_html = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " ")
+    text = F.regexp_replace(F.regexp_replace(lean_html, r"<[^>]*+>", " "), r"&#?[A-Za-z0-9]{1,10};", " ")
+    declared = F.regexp_extract(html, r"""(?i)<html\b[^>]*?\slang\s*=\s*["']?([A-Za-z_-]+)""", 1)
+    host = F.lower(F.regexp_extract(url, r"://([^/?#]*)", 1))
+    return text, declared, host, F.regexp_extract(host, r"\.([a-z]+)(?::\d+)?$", 1)
+
+
+def identified_pages(pages: DataFrame, model: Model, carry: list[str] | None = None) -> DataFrame:
+    """:func:`identify` for web pages (columns url and html), with a model fitted elsewhere."""
+    text, declared, host, suffix = page_parts(F.col("url"), F.col("html"))
+    keep = pages.columns if carry is None else carry
+    body, = fresh(pages.columns, "text")
+    return identify(pages.withColumn(body, text), model, body, declared, host, suffix, carry=keep)
+
+
+def digest(docs: DataFrame, pages: DataFrame) -> DataFrame:
+    """Language, probability and verdict of every document (``doc_id``) and every page (``page_id``), by one model, fitted on documents."""
+    model = fit(docs)
+    found = identified(docs.select("doc_id", "text", "lang", "source"), carry=["doc_id"], model=model)
+    if model is None:
+        of_pages = pages.select("page_id", F.lit(None).cast("string").alias("lang_id"), F.lit(None).cast("double").alias("lang_probability"), F.lit(True).alias("lang_kept"))
+    else:
+        of_pages = identified_pages(pages.select("page_id", "url", "html"), model, ["page_id"])
+    found = found.unionByName(of_pages, allowMissingColumns=True)
+    return found.select("doc_id", "page_id", "lang_id", F.round("lang_probability", 6).alias("lang_probability"), F.col("lang_kept").alias("kept"))
 
 
 def kept(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose language is known, with all their columns."""
-    return identified(docs).where("lang_kept").select(*(f"`{c}`" for c in docs.columns))
+    made = tuple(fresh(docs.columns, "lang_id", "lang_probability", "lang_kept"))
+    return identified(docs, made=made).where(made[2]).select(*(quoted(c) for c in docs.columns))

@@ -37,7 +37,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return langid.digest(table(spark, sf_dir, "documents"))
+    return langid.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages"))
 
 
 def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,10 @@
+import os
 import random
+from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sketchloom.llm import ann, langid
 
@@ -31,25 +34,96 @@ def test_evidence_is_fused(spark):
     model = langid.fit(spark.createDataFrame(labelled(1, 400), DOCS))
     rng = random.Random(9)
     same = [(i, sentence(rng, "fr", 40), None, "h.example.fr", 0) for i in range(30)]
-    weak = [(100, "tion", None, "h.example.fr", 0), (101, "tion", None, "h.example.en", 0), (102, "tion", "fr", None, 0), (103, "tion", "en", None, 0)]
+    weak = [(100, "tion", None, "h.example.fr", 0), (101, "tion", None, "h.example.en", 0), (102, "tion", "fr", None, 0), (103, "tion", "en", None, 0), (104, "que", "es", None, 0), (105, "que", "fr", None, 0)]
     others = [(200 + i, sentence(rng, "en", 40), None, "h.example.en", 0) for i in range(30)]
-    df = spark.createDataFrame(same + weak + others, DOCS).withColumn("tld", __import__("pyspark").sql.functions.expr("regexp_extract(coalesce(source, ''), '([a-z]+)$', 1)"))
-    got = {r.doc_id: r.lang_id for r in langid.identify(df, model, declared="lang", host="source", suffix="tld").collect()}
-    assert (got[100], got[101], got[102], got[103]) == ("fr", "en", "fr", "en")
+    rows = same + weak + others
+    df = spark.createDataFrame(rows, DOCS)
+    suffix = F.regexp_extract(F.coalesce("source", F.lit("")), "([a-z]+)$", 1)
+    got = {r.doc_id: r for r in langid.identify(df, model, declared="lang", host="source", suffix=suffix).collect()}
+    assert tuple(got[i].lang_id for i in range(100, 104)) == ("fr", "en", "fr", "en")
+    assert (got[104].lang_id, got[105].lang_id) == ("es", "fr")  # a declaration turns a weak text
+    # the fusion again, row by row
+    kinds, n = [*model.languages, "und"], len(model.languages) + 1
+
+    def logs(text, said):
+        out = np.asarray(model.score(text)) / 3
+        if said in model.languages:
+            trust = np.full(n, 0.1 / (n - 2))
+            trust[kinds.index(said)], trust[-1] = 0.9, 1 / (n - 1)
+            out = out + np.log(trust)
+        return out
+
+    def shares(x):
+        w = np.exp(x - x.max())
+        return w / w.sum()
+
+    own = {i: shares(logs(t, said)) for i, t, said, *_ in rows}
+    host = {i: s or "" for i, _, _, s, _ in rows}
+    total = sum(own.values())
+    overall = (total + 1) / (total.sum() + n)
+    for i, t, said, *_ in rows:
+        end = host[i].rpartition(".")[2]
+        above = sum(own[j] for j in own if host[j].rpartition(".")[2] == end)
+        up = (above + 50 * overall) / (above.sum() + 50)
+        rest = np.maximum(sum(own[j] for j in own if host[j] == host[i]) - own[i], 0)
+        p = shares(logs(t, said) + np.log((rest + 20 * up) / (rest.sum() + 20)))
+        assert got[i].lang_id == kinds[int(np.argmax(p))] and got[i].lang_probability == pytest.approx(p.max(), abs=1e-9)
+
+
+def test_a_label_is_not_used_twice(spark):
+    rows = [(i, t, "en" if i < 40 else lang, s, c) for i, t, lang, s, c in labelled(3, 300)]  # some wrong labels
+    df = spark.createDataFrame([*rows, rows[0]], DOCS)
+    model = langid.fit(df, sample=100)
+    drawn = df.where(langid._place("doc_id", "lang", "text") <= model.upto).select("doc_id")
+    ids = {r.doc_id for r in drawn.collect()}
+    assert 90 <= len(ids) <= 100
+    got = {r.doc_id: r for r in langid.identified(df, model=model).collect()}
+    plain = {r.doc_id: r for r in langid.identify(df, model, declared=F.when(~F.col("doc_id").isin(*ids), F.col("lang")), host="source", suffix=F.regexp_extract("source", r"\.([a-z]+)$", 1)).collect()}
+    assert {i: r.lang_id for i, r in got.items()} == {i: r.lang_id for i, r in plain.items()}
+
+
+def test_pages(spark):
+    model = langid.fit(spark.createDataFrame(labelled(1, 400), DOCS))
+    rng = random.Random(2)
+    page = lambda lang, text: f"<!DOCTYPE html><HTML class=x lang='{lang}'><head><script>var the = 'and the';</script><style>p{{}}</style></head><body><!-- the and --><p>{text}&nbsp;</p></body></html>"
+    rows = [(i, f"http://www.h{i % 3}.Example.FR:80/a?x=://y", page("fr-FR", sentence(rng, "fr", 30))) for i in range(20)]
+    rows += [(100, "http://a.b.es/", page("es", "que")), (101, None, page("", "")), (102, "no address", None), (103, "http://h0.example.fr/", page("de", sentence(rng, "fr", 30)))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("theirs"))
+    parts = {r.page_id: r for r in df.select("page_id", *(c.alias(n) for c, n in zip(langid.page_parts(F.col("url"), F.col("html")), "tlhs", strict=True))).collect()}
+    assert (parts[0].l, parts[0].h, parts[0].s) == ("fr-FR", "www.h0.example.fr:80", "fr") and "the" not in parts[0].t.split()
+    got = {r.page_id: r for r in langid.identified_pages(df, model).collect()}
+    assert all(got[i].lang_id == "fr" and got[i].text == "theirs" for i in [*range(20), 103]) and got[100].lang_id == "es"
+    assert got[101].lang_id == got[102].lang_id == "und"
+
+
+NO_PAGES = "page_id long, url string, html string"
 
 
 def test_rejections_and_odd_rows(spark):
     rng = random.Random(4)
     junk = "".join(rng.choices("qxzjkwvbpf", k=400))
-    rows = labelled(1, 300) + [(900, None, None, None, 0), (901, "", "en", "s", 0), (902, "12 34 !!", "en", "s", 0), (903, junk, None, "s", 0), (None, sentence(rng, "de", 50), None, None, 0)]
+    long = " ".join([sentence(rng, "en", 500)] * 900)  # over four megabytes
+    rows = labelled(1, 300) + [(900, None, None, None, 0), (901, "", "en", "s", 0), (902, "12 34 !!", "en", "s", 0), (903, junk, None, "s", 0), (None, sentence(rng, "de", 50), None, None, 0), (904, long, None, None, 0), (905, "tion", None, None, 0), (905, "tion", None, None, 0)]
     df = spark.createDataFrame(rows, DOCS)
-    got = {r.doc_id: r for r in langid.digest(df).collect()}
-    assert all(got[i].lang_id == "und" and not got[i].kept for i in (900, 901, 902, 903)) and got[None].lang_id == "de"
-    kept = langid.kept(df)
-    assert kept.columns == df.columns and kept.count() == sum(r.kept for r in got.values())
-    assert langid.digest(df.limit(0)).count() == 0
-    with pytest.raises(ValueError):
-        langid.digest(df.selectExpr("doc_id", "text", "CAST(NULL AS STRING) AS lang", "source"))
+    pages = spark.createDataFrame([(1, "http://a.example.fr/", f"<html lang=fr>{sentence(rng, 'fr', 30)}")], NO_PAGES)
+    every = langid.digest(df, pages).collect()
+    got = {r.doc_id: r for r in every if r.page_id is None}
+    assert len(every) == len(rows) + 1 and [r.lang_id for r in every if r.page_id == 1] == ["fr"]
+    assert all(got[i].lang_id == "und" and not got[i].kept for i in (900, 901, 902, 903)) and got[None].lang_id == "de" and got[904].lang_id == "en"
+    clashing = df.withColumns({"lang_kept": F.lit("mine"), "Score": F.lit(1), "host": F.lit(2), "_lang_kept": F.lit(3)})
+    kept = langid.kept(clashing)
+    assert kept.columns == clashing.columns and kept.count() == sum(r.kept for r in every if r.page_id is None)
+    assert {(r["lang_kept"], r["Score"], r["host"]) for r in kept.collect()} == {("mine", 1, 2)}
+    assert langid.digest(df.limit(0), pages.limit(0)).count() == 0 and langid.kept(df.limit(0)).count() == 0
+
+
+def test_without_labels_nothing_is_judged(spark):
+    df = spark.createDataFrame(labelled(1, 20), DOCS).selectExpr("doc_id", "text", "CAST(NULL AS STRING) AS lang", "source")
+    pages = spark.createDataFrame([(1, "u", "h")], NO_PAGES)
+    assert {(r.lang_id, r.lang_probability, r.kept) for r in langid.digest(df, pages).collect()} == {(None, None, True)}
+    assert langid.kept(df).count() == 20
+    ids = spark.createDataFrame(labelled(1, 200), DOCS).withColumn("doc_id", F.lit(None).cast("long"))
+    assert langid.kept(ids).count() > 190  # labels count without ids
 
 
 def vectors(n, d, seed):
@@ -81,6 +155,37 @@ def test_recall_and_scores(spark):
     assert hit / (10 * len(want)) >= 0.95
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables here")
+def test_recall_on_the_table_and_outside_the_sample(spark):
+    """The driver's table, with all rows in the sample that was fitted on and with half of them."""
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = df.where("vec_id IS NOT NULL").collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], dtype=np.float32)
+    for every, sample in ((100, 10_000), (50, len(rows) // 2)):
+        index, how = ann.build(df, sample)
+        got = defaultdict(set)
+        for r in ann.search(index, how, every).collect():
+            got[r.query_id].add(r.vec_id)
+        want = brute(x, ids, every)
+        assert sum(len(got[q] & {v for v, _ in near}) for q, near in want.items()) >= 0.95 * sum(map(len, want.values()))
+
+
+def test_chunks_blocks_and_doubles(spark):
+    x = vectors(1500, 16, 5).astype(np.float64) + 1e-9
+    ids = np.arange(1500)
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>").selectExpr("*", "1 AS cell", "2 AS codes", "3 AS VECTOR")
+    index, how = ann.build(df, 1000)
+    assert how.dtype == "float64" and len(how.cells) == 1000 // 64
+    whole = ann.search(index, how, 20, probes=len(how.cells)).collect()
+    cut = ann.search(index, how, 20, probes=len(how.cells), chunk=50, block=7).collect()
+    want = {}
+    for q in range(0, 1500, 20):
+        far = np.sqrt(((x - x[q]) ** 2).sum(1))
+        want[q] = [(int(i), float(far[i])) for i in np.lexsort((ids, far)) if i != q][:10]
+    for got in (whole, cut):
+        assert {q: [(r.vec_id, r.score) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])] for q in want} == {q: [(i, pytest.approx(s, abs=1e-12)) for i, s in near] for q, near in want.items()}
+
+
 def test_equal_and_odd_vectors(spark):
     x = vectors(300, 8, 2)
     x[50:250] = x[50]
