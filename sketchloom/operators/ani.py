@@ -140,8 +140,8 @@ def detail(qry: DataFrame, ref: DataFrame | None = None, options: Options = Opti
 DETAIL = ("Qry", "Ref", "ANI", "Distance", "Confidence", "Selected_metric", "XnY_ctx", "Qry_align_fraction", "blastn_Qry_align_fraction", "Ref_align_fraction", "blastn_Ref_align_fraction", "N_diff_obj", "N_diff_obj_section", "N_mut2_ctx", "Ref_annotation")
 
 
-def detail_columns(rows: DataFrame, q_samples: DataFrame, r_samples: DataFrame | None = None) -> DataFrame:
-    """The fifteen report columns, names and annotation joined on."""
+def detail_columns(rows: DataFrame, q_samples: DataFrame, r_samples: DataFrame | None = None, more: tuple[str, ...] = ()) -> DataFrame:
+    """The fifteen report columns, names and annotation joined on, and ``more`` columns of the rows."""
     r_samples = q_samples if r_samples is None else r_samples
     q = q_samples.select(F.col("sample_id").alias("q"), F.col("name").alias("Qry"))
     note = F.coalesce("annotation", F.lit("NA")) if "annotation" in r_samples.columns else F.lit("NA")
@@ -150,18 +150,20 @@ def detail_columns(rows: DataFrame, q_samples: DataFrame, r_samples: DataFrame |
     return named.select(
         "Qry", "Ref", F.col("ani").alias("ANI"), F.col("distance").alias("Distance"), F.col("confidence").alias("Confidence"), F.col("metric").alias("Selected_metric"), F.col("xny").alias("XnY_ctx"),
         F.col("af_qry").alias("Qry_align_fraction"), F.col("blastn_af_qry").alias("blastn_Qry_align_fraction"), F.col("af_ref").alias("Ref_align_fraction"), F.col("blastn_af_ref").alias("blastn_Ref_align_fraction"),
-        F.col("n_diff").alias("N_diff_obj"), F.col("n_section").alias("N_diff_obj_section"), F.col("n_mut2").alias("N_mut2_ctx"), "Ref_annotation",
+        F.col("n_diff").alias("N_diff_obj"), F.col("n_section").alias("N_diff_obj_section"), F.col("n_mut2").alias("N_mut2_ctx"), "Ref_annotation", *more,
     )
 
 
 # --- adaptive unique contexts ---------------------------------------------------------------
 
 
-def unique_context(qry: DataFrame, ref: DataFrame, options: Options = Options(raw=True, metric=4), layout: Layout = Layout()) -> DataFrame:
-    """Naive identity from contexts that one reference alone has, where they are enough.
+_UNIQUE = ("u_xny", "u_n_diff", "u_n_section", "u_n_mut2", "u_ref")
+
 
-    A reference's unique contexts are decided over all references, before conflicts are ignored; they
-    are used if at least a twentieth of them is shared. Gates stay on the full counts.
+def unique_features(qry: DataFrame, ref: DataFrame, options: Options = Options(raw=True, metric=4)) -> DataFrame:
+    """Features of all pairs, with those from contexts that one reference alone has beside them (``u_``).
+
+    A reference's unique contexts are decided over all references, before conflicts are ignored.
     """
     keys = ["q", "r"]
     full = with_fractions(pair_features(qry, ref, ignore_conflicts=options.ignore_conflicts), qry, ref, options.ignore_conflicts)
@@ -170,8 +172,16 @@ def unique_context(qry: DataFrame, ref: DataFrame, options: Options = Options(ra
     few = pair_features(qry, own, ignore_conflicts=options.ignore_conflicts).select(*keys, *(F.col(c).alias(f"u_{c}") for c in ("xny", "n_diff", "n_section", "n_mut2")))
     totals = context_counts(own, "u_ref").withColumnRenamed("sample_id", "r")
     both = full.join(few, keys, "left").join(small(totals), "r", "left")
-    zero = {c: F.coalesce(c, F.lit(0)) for c in ("u_xny", "u_n_diff", "u_n_section", "u_n_mut2", "u_ref")}
-    both = both.withColumns(zero).withColumn("unique_selected", (F.col("u_ref") > 0) & (F.col("u_xny") * 20 >= F.col("u_ref")))
+    return both.withColumns({c: F.coalesce(c, F.lit(0)) for c in _UNIQUE})
+
+
+def unique_context(qry: DataFrame, ref: DataFrame, options: Options = Options(raw=True, metric=4), layout: Layout = Layout()) -> DataFrame:
+    """Naive identity from contexts that one reference alone has, where they are enough.
+
+    Unique contexts are used if at least a twentieth of the reference's is shared. Gates stay on the full counts.
+    """
+    keys = ["q", "r"]
+    both = unique_features(qry, ref, options).withColumn("unique_selected", (F.col("u_ref") > 0) & (F.col("u_xny") * 20 >= F.col("u_ref")))
     pick = {c: F.when(F.col("unique_selected"), F.col(f"u_{c}")).otherwise(F.col(c)) for c in ("xny", "n_diff", "n_section", "n_mut2")}
     scored = both.select(*keys, *(v.alias(k) for k, v in pick.items()), F.col("xny").alias("full_xny"), "q_ctx", "r_ctx", "af_qry", "af_ref", "max_af", "u_ref", "u_xny", "unique_selected")
     scored = scored.withColumn("distance", D.naive(layout)).withColumn("ani", 1 - F.col("distance")).withColumn("metric", F.when(F.col("unique_selected"), "NaiveUnique").otherwise("NaiveFull"))
@@ -181,6 +191,21 @@ def unique_context(qry: DataFrame, ref: DataFrame, options: Options = Options(ra
     return out if options.top is None else out.where(F.col("rank") <= options.top)
 
 
+def unique_report(qry: DataFrame, ref: DataFrame, q_samples: DataFrame, r_samples: DataFrame, options: Options = Options(raw=True, metric=4), layout: Layout = Layout()) -> DataFrame:
+    """The diagnostic report of unique contexts: seventeen columns, one row for each pair that shares a context; nulls where nothing can be said."""
+    rows = unique_features(qry, ref, options)
+    few = rows.select("q", "r", F.col("u_xny").alias("xny"), F.col("u_n_diff").alias("n_diff"), F.col("u_n_section").alias("n_section"), F.col("u_n_mut2").alias("n_mut2"))
+    scored = rows.join(few.where("xny > 0").select("q", "r", (1 - D.naive(layout)).alias("u_ani")), ["q", "r"], "left")
+    q = q_samples.select(F.col("sample_id").alias("q"), F.col("name").alias("Qry"))
+    r = r_samples.select(F.col("sample_id").alias("r"), F.col("name").alias("Ref"))
+    share = lambda c: F.when(F.col(c) > 0, F.col("u_xny") / F.col(c))
+    return scored.join(small(q), "q").join(small(r), "r").select(
+        "Qry", "Ref", F.col("q_ctx").alias("Qry_ctx"), F.col("r_ctx").alias("Ref_ctx"), F.col("xny").alias("XnY_ctx"), F.col("n_diff").alias("N_diff_obj"), F.col("n_section").alias("N_diff_obj_section"), F.col("n_mut2").alias("N_mut2_ctx"),
+        F.col("u_ref").alias("Unique_Ref_ctx"), F.col("u_xny").alias("Unique_XnY_ctx"), F.col("u_n_diff").alias("Unique_N_diff_obj"), F.col("u_n_section").alias("Unique_N_diff_obj_section"), F.col("u_n_mut2").alias("Unique_N_mut2_ctx"),
+        F.col("u_ani").alias("Unique_ANI"), share("q_ctx").alias("Unique_QAF"), share("u_ref").alias("Unique_RAF"), share("r_ctx").alias("Unique_RAF_fullref"),
+    )
+
+
 # --- coverage -------------------------------------------------------------------------------
 
 
@@ -223,6 +248,26 @@ def coverage(rows: DataFrame, qry: DataFrame, ref: DataFrame, scope: str = "refe
     )
 
 
+COVERAGE = ("Coverage_estimator", "Coverage_ref_markers", "Coverage_observed_markers", "Coverage_observed_fraction", "Coverage_count_sum", "Estimated_depth", "Positive_mean_depth", "Positive_median_depth", "Count_CV", "Estimated_abundance_mass", "Estimated_abundance_fraction", "Abundance_fraction_scope")
+
+
+def coverage_columns(rows: DataFrame, qry: DataFrame, ref: DataFrame, q_samples: DataFrame, r_samples: DataFrame, scope: str | None = "reference") -> DataFrame:
+    """The fifteen report columns and the twelve of coverage.
+
+    Without a ``scope``, or where the query has no counts, the estimator says why there is nothing and the others are null.
+    """
+    values = ("ref_markers", "observed_markers", "observed_fraction", "count_sum", "estimated_depth", "positive_mean_depth", "positive_median_depth", "count_cv", "count_sum", "abundance_fraction")
+    if scope is not None and "cnt" in qry.columns:
+        found = coverage(rows, qry, ref, scope)
+        label = F.lit("refdb" if scope == "reference" else "reported_rows")
+        told = found.select("q", "r", F.col("estimator").alias(COVERAGE[0]), *(F.col(v).alias(c) for v, c in zip(values, COVERAGE[1:-1], strict=True)), label.alias(COVERAGE[-1]))
+        both = rows.join(told, ["q", "r"], "left")
+    else:
+        why = "NA:not_computed" if scope is None else "NA:query_missing_counts"
+        both = rows.select("*", F.lit(why).alias(COVERAGE[0]), *(F.lit(None).cast("double").alias(c) for c in COVERAGE[1:-1]), F.lit(None).cast("string").alias(COVERAGE[-1]))
+    return detail_columns(both, q_samples, r_samples, COVERAGE)
+
+
 # --- matrices and edges ---------------------------------------------------------------------
 
 

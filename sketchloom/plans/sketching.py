@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sketchloom.operators import ani, entries, readqc
+from sketchloom.operators import ani, entries, graph, pairs, readqc
 from sketchloom.operators.tokenize import KmerLayout, layout_id, tokenized
+from sketchloom.session import materialize, small
 from sketchloom.sources import fastx
 
 
@@ -45,6 +46,30 @@ def sketch_records(got: DataFrame, layout: KmerLayout = KmerLayout.coden(), *, l
     return entries.finalize(raw, least, percentile, cap, qc, conflicts)
 
 
+def deduplicated(
+    made: DataFrame, samples: DataFrame, layout: KmerLayout = KmerLayout.coden(), *, metric: str = "ctx-moe", cut: float = 0.05, ctxcut: int = 3, max_afcut: float = 0.8,
+    full_linkage: bool = False, max_frequency: int = 0, min_votes: int = 0, step: int = 1,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Entries and samples of the best sample of each group, and the plan's report.
+
+    Samples closer than ``cut`` are duplicates; groups are greedy in quality order, or cliques. With ``max_frequency``, ``min_votes`` or ``step`` only
+    pairs that so many rare contexts nominate are compared.
+    """
+    made = materialize(made, "dedup-entries")
+    nominated = max_frequency or min_votes or step > 1
+    candidates = pairs.nominated(made, max(1, min_votes), max_frequency, step) if nominated else None
+    edges = ani.edges(made, metric, cut, ctxcut, max_afcut, layout.distances(), candidates)
+    kind = F.col("fmt") if "fmt" in samples.columns else F.lit("fasta")
+    known = samples.join(entries.entry_counts(made), "sample_id", "left").withColumns({
+        "n_entries": F.coalesce("n_entries", F.lit(0)), "fmt": kind, "is_fasta": kind == "fasta", "meta_valid": F.coalesce(F.col("total_length_bp") > 0, F.lit(False)),
+    })
+    known = materialize(known, "dedup-samples")
+    plan = (graph.full_linkage if full_linkage else graph.greedy)(graph.quality_rank(known), edges)
+    plan = materialize(plan, "dedup-plan")
+    kept = plan.where("action = 'keep'").select("sample_id")
+    return made.join(small(kept), "sample_id", "left_semi"), samples.join(small(kept), "sample_id", "left_semi"), graph.plan_report(plan, known)
+
+
 def compare_files(spark: SparkSession, qry: Sequence[str], ref: Sequence[str] | None = None, options: ani.Options = ani.Options(), layout: KmerLayout = KmerLayout.coden()) -> DataFrame:
     """The comparison report of sequence files, sketched on the way."""
     q, qs, _ = sketch(spark, qry, layout)

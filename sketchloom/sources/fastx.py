@@ -1,8 +1,8 @@
 """FASTA and FASTQ sources: file lists, records, samples.
 
 Files are read by Spark, so any store works. ``records`` parses each file in one task, gzip and bzip2
-included (they can't be split). ``fasta_records`` reads plain FASTA by its record marks instead, so one
-large file is split over many tasks.
+included (they can't be split). ``fasta_records`` reads plain FASTA by its record marks instead, and ``fastq_records`` plain FASTQ by
+line numbers, so one large file is split over many tasks.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sketchloom.session import materialize, small
+
 FASTA = ("fasta", "fna", "fas", "fa")
 FASTQ = ("fq", "fastq")
 SKETCHES = ("co", "mco")
@@ -146,6 +148,40 @@ def fasta_records(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     return out.join(places, ["path", "_order"]).select("path", "rec_no", "name", "comment", "seq", "length", "offset", F.lit("fasta").alias("fmt"))
 
 
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines with their number in the block of the file that a task reads."""
+    block, n = None, 0
+    for batch in batches:
+        numbers = []
+        for now in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            if now != block:
+                block, n = now, 0
+            numbers.append(n)
+            n += 1
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers, pa.int64())], names=[*batch.schema.names, "n"])
+
+
+def fastq_records(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """Records of plain FASTQ files of four lines a record, each file split over many tasks.
+
+    Lines are numbered in each block, and prefix sums over the blocks' counts give a line's place in its record.
+    """
+    lines = spark.read.text(list(paths)).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"))
+    numbered = materialize(lines.mapInArrow(_numbered, "value string, path string, block long, n long"), "fastq-lines")
+    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    counts = numbered.groupBy("path", "block").agg(F.count("*").alias("lines"))
+    first = counts.select("path", "block", F.coalesce(F.sum("lines").over(before), F.lit(0)).alias("first"))
+    at = numbered.join(small(first), ["path", "block"]).select("path", "value", (F.col("first") + F.col("n")).alias("line"))
+    part = lambda k: F.max(F.when(F.col("line") % 4 == k, F.rtrim(F.col("value"), F.lit("\r"))))
+    made = at.where("line % 4 < 2").groupBy("path", F.expr("line div 4").alias("rec_no")).agg(part(0).alias("head"), part(1).alias("letters"))
+    head = F.substr("head", F.lit(2))
+    comment = F.when(F.contains(head, F.lit(" ")), F.substr(head, F.locate(" ", head) + 1)).otherwise("")
+    out = made.select("path", "rec_no", F.substring_index(head, " ", 1).alias("name"), comment.alias("comment"), F.encode("letters", "UTF-8").alias("seq"), F.length("letters").cast("long").alias("length"))
+    order = Window.partitionBy("path").orderBy("rec_no").rowsBetween(Window.unboundedPreceding, -1)
+    places = out.select("path", "rec_no", F.coalesce(F.sum("length").over(order), F.lit(0)).alias("offset"))
+    return out.join(places, ["path", "rec_no"]).select("path", "rec_no", "name", "comment", "seq", "length", "offset", F.lit("fastq").alias("fmt"))
+
+
 def sampled_records(records: DataFrame, samples: DataFrame) -> DataFrame:
     """Records with their sample's id; offsets run over all files of a sample in order."""
     short = F.regexp_replace("path", r"^file:/+", "/")
