@@ -21,6 +21,42 @@ def labelled(seed, n):
     return [(i, sentence(rng, lang := rng.choice(list(PARTS)), rng.randint(4, 60)), lang, f"{lang}{rng.randrange(3)}.example.{lang}", 0) for i in range(n)]
 
 
+def fused(rows, model):
+    """The fusion again, row by row: language and probability of (text, declaration, host, suffix)."""
+    kinds, n = [*model.languages, "und"], len(model.languages) + 1
+
+    def shares(x):
+        w = np.exp(x - x.max())
+        return w / w.sum()
+
+    logs = []
+    for text, said, *_ in rows:
+        out = model.score(text)
+        if out is not None:
+            out = np.asarray(out) / 3
+            if said in model.languages:
+                trust = np.full(n, 0.1 / (n - 2))
+                trust[kinds.index(said)], trust[-1] = 0.9, 1 / (n - 1)
+                out = out + np.log(trust)
+        logs.append(out)
+    own = [None if x is None else shares(x) for x in logs]
+    total = sum(p for p in own if p is not None)
+    overall = (total + 1) / (total.sum() + n)
+    host, suffix = {}, {}
+    for (_, _, h, end), p in zip(rows, own, strict=True):
+        if p is not None:
+            host[end, h or ""] = host.get((end, h or ""), 0) + p
+            suffix[end] = suffix.get(end, 0) + p
+    for (_, _, h, end), x, p in zip(rows, logs, own, strict=True):
+        if x is None:
+            yield "und", 1.0
+            continue
+        up = (suffix[end] + 50 * overall) / (suffix[end].sum() + 50)
+        rest = np.maximum(host[end, h or ""] - p, 0)
+        final = shares(x + np.log((rest + 20 * up) / (rest.sum() + 20)))
+        yield kinds[int(np.argmax(final))], float(final.max())
+
+
 def test_held_out_accuracy(spark):
     model = langid.fit(spark.createDataFrame(labelled(1, 400), DOCS))
     held = labelled(2, 300)
@@ -42,32 +78,9 @@ def test_evidence_is_fused(spark):
     got = {r.doc_id: r for r in langid.identify(df, model, declared="lang", host="source", suffix=suffix).collect()}
     assert tuple(got[i].lang_id for i in range(100, 104)) == ("fr", "en", "fr", "en")
     assert (got[104].lang_id, got[105].lang_id) == ("es", "fr")  # a declaration turns a weak text
-    # the fusion again, row by row
-    kinds, n = [*model.languages, "und"], len(model.languages) + 1
-
-    def logs(text, said):
-        out = np.asarray(model.score(text)) / 3
-        if said in model.languages:
-            trust = np.full(n, 0.1 / (n - 2))
-            trust[kinds.index(said)], trust[-1] = 0.9, 1 / (n - 1)
-            out = out + np.log(trust)
-        return out
-
-    def shares(x):
-        w = np.exp(x - x.max())
-        return w / w.sum()
-
-    own = {i: shares(logs(t, said)) for i, t, said, *_ in rows}
-    host = {i: s or "" for i, _, _, s, _ in rows}
-    total = sum(own.values())
-    overall = (total + 1) / (total.sum() + n)
-    for i, t, said, *_ in rows:
-        end = host[i].rpartition(".")[2]
-        above = sum(own[j] for j in own if host[j].rpartition(".")[2] == end)
-        up = (above + 50 * overall) / (above.sum() + 50)
-        rest = np.maximum(sum(own[j] for j in own if host[j] == host[i]) - own[i], 0)
-        p = shares(logs(t, said) + np.log((rest + 20 * up) / (rest.sum() + 20)))
-        assert got[i].lang_id == kinds[int(np.argmax(p))] and got[i].lang_probability == pytest.approx(p.max(), abs=1e-9)
+    for i, (kind, p) in enumerate(fused([(t, said, h, (h or "").rpartition(".")[2]) for _, t, said, h, _ in rows], model)):
+        r = got[rows[i][0]]
+        assert r.lang_id == kind and r.lang_probability == pytest.approx(p, abs=1e-9)
 
 
 def test_a_label_is_not_used_twice(spark):
@@ -117,6 +130,13 @@ def test_rejections_and_odd_rows(spark):
     assert langid.digest(df.limit(0), pages.limit(0)).count() == 0 and langid.kept(df.limit(0)).count() == 0
 
 
+def test_ties_go_to_the_language_named_first(spark):
+    table = np.zeros((1 << 18, 3), dtype=np.float32)  # every text is equally likely in every language
+    df = spark.createDataFrame([(1, "abc", None, None, 0), (2, "abc", "zz", None, 0), (3, "abc", "bb", None, 0)], DOCS)
+    got = {r.doc_id: r.lang_id for r in langid.identify(df, langid.Model(("bb", "aa"), table), declared="lang").collect()}
+    assert got[3] == "bb" and got[1] == got[2] == "bb"
+
+
 def test_without_labels_nothing_is_judged(spark):
     df = spark.createDataFrame(labelled(1, 20), DOCS).selectExpr("doc_id", "text", "CAST(NULL AS STRING) AS lang", "source")
     pages = spark.createDataFrame([(1, "u", "h")], NO_PAGES)

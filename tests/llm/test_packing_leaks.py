@@ -124,3 +124,27 @@ def test_packing_round_trip(spark):
         assert all(p[a] == 0 for a in r.position_resets) and (np.diff(p) <= 1).all()
     assert packing.id_matrix(rows, 256).shape == (len(rows), 256)
     assert packing.pack(df.limit(0)).count() == 0
+
+
+def test_long_texts_clashing_columns_and_parts(spark, monkeypatch):
+    rng = random.Random(12)
+    filler = " ".join("".join(rng.choices("klmnop", k=6)) for _ in range(200_000))  # over a segment
+    items = [(i, " ".join("".join(rng.choices("abcdefgh", k=7)) for _ in range(12))) for i in range(5)]
+    rows = [(1, filler + " " + items[0][1]), (2, filler), (3, items[4][1].upper() + "\t" + filler), (3, items[4][1].upper() + "\t" + filler), (None, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("'a' AS item_id", "*", "1 AS distance", "2 AS Keep")
+    bench = spark.createDataFrame(items, "item_id long, text string").selectExpr("*", "5 AS doc_id")
+    assert len(filler) > decontaminate.SEGMENT
+    for size in (decontaminate.MAX_CHARS, 100):  # one part, and a part for each item
+        monkeypatch.setattr(decontaminate, "MAX_CHARS", size)
+        assert sorted((r.doc_id, r.item_id, r.distance) for r in decontaminate.leaks(df, bench).collect()) == [(1, 0, 0), (3, 4, 0), (3, 4, 0)]
+        kept = decontaminate.clean(df, bench)
+        assert kept.columns == df.columns and sorted((str(r.doc_id), r["item_id"], r["Keep"]) for r in kept.collect()) == [("2", "a", 2), ("None", "a", 2)]
+
+
+@tokenizer
+def test_packing_repeated_rows_and_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "c"), (None, None)], "doc_id long, text string").selectExpr("3 AS shard", "*", "4 AS ids").repartition(1)
+    rows = packing.pack(df, size=8).collect()
+    e = packing.Encoder(packing.driver_file(packing.VOCABULARY))
+    pieces = sorted((str(d), np.frombuffer(r.ids, dtype="<u2")[a:b].tolist()) for r in rows for d, a, b in zip(r.doc_ids, r.cu_seqlens, r.cu_seqlens[1:], strict=False))
+    assert pieces == sorted((str(d), [*e.bpe.encode_ordinary(t or ""), e.end]) for d, t in ((1, "a b"), (1, "a b"), (None, "c"), (None, None)))
