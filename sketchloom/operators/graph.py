@@ -41,7 +41,8 @@ def stars(pairs: Iterator[tuple]) -> list[tuple]:
     return [(x, root(x)) for x in list(up)]
 
 
-def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges of two columns as stars, of as many edges at a time as ``CONTRACTED``; for mapInArrow, or at the end of a function that makes edges."""
     held, schema = [], None
 
     def out() -> pa.RecordBatch:
@@ -58,15 +59,16 @@ def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60, contract: bool = True) -> DataFrame:
     """``id`` and ``comp`` of every node that is not its component's smallest; that one is ``comp``.
 
-    Null ends and loops are left out. Ids may be numbers, text or binary.
+    Null ends and loops are left out. Ids may be numbers, text or binary. Edges that come out of :func:`contracted` need no second worker: ``contract=False``.
     """
     x, y = F.col(a), F.col(b)
     kind = edges.select(a).schema[0].dataType
-    ends = edges.where(x != y).select(x.alias("u"), y.alias("v"))
-    now = ends.mapInArrow(_contracted, StructType([StructField("u", kind), StructField("v", kind)]))
+    now = edges.where(x != y).select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v"))
+    if contract:
+        now = now.mapInArrow(contracted, StructType([StructField("u", kind), StructField("v", kind)]))
     state = {"n": F.count(F.lit(1)), "h": F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))}
     now, before = measured(now.distinct(), "edges", **state)
     least = lambda: F.first("v").over(Window.partitionBy("u").orderBy("v"))

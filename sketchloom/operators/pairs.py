@@ -1,8 +1,8 @@
-"""Pair features of samples: one equi-join on context and two grouped aggregates.
+"""Pair features of samples: objects gathered by sample and context, one equi-join on context, one aggregate by pair.
 
-The first aggregate is keyed by (q, r, ctx) and needs no further shuffle, since its rows
-are already dealt by ctx; only sums by pair are shuffled again, after partial aggregation.
-Contexts that very many samples share would meet in one task; with ``hot`` given, those with more
+A sample's objects of a context come as one row, so a pair of samples meets once in a context, and
+the least difference of their objects is an expression. Rows are dealt by context for the first two; only sums by pair
+are shuffled again, after partial aggregation. Contexts that very many samples share would meet in one task; with ``hot`` given, those with more
 than ``hot`` reference rows are salted, so that a hot context is spread over ``salts`` tasks.
 """
 
@@ -25,6 +25,14 @@ def _salted(q: DataFrame, r: DataFrame, hot: int, salts: int) -> tuple[DataFrame
     return q, r, ["ctx", "_salt"]
 
 
+def _gathered(entries: DataFrame, side: str, conflict_free: bool) -> DataFrame:
+    """A row for each sample and context: its object, and all of its objects if it may have several."""
+    named = entries.select(F.col("sample_id").alias(side), "ctx", F.col("obj").alias(f"{side}_obj"))
+    if conflict_free:
+        return named
+    return named.groupBy("ctx", side).agg(F.min(f"{side}_obj").alias(f"{side}_obj"), F.collect_set(f"{side}_obj").alias(f"{side}_objs"))
+
+
 def pair_features(
     qry: DataFrame, ref: DataFrame | None = None, *, conflict_free: bool = False, ignore_conflicts: bool = False, hot: int | None = None, salts: int = 16, candidates: DataFrame | None = None
 ) -> DataFrame:
@@ -32,15 +40,14 @@ def pair_features(
 
     Without ``ref`` each pair of different samples of ``qry`` is taken once, with q > r. Where a
     context has several objects, the least difference counts. ``conflict_free`` states that
-    neither side has such contexts; then one aggregate is enough. With ``candidates`` (q, r) only those pairs
+    neither side has such contexts; then nothing is gathered. With ``candidates`` (q, r) only those pairs
     meet: each brings its query's entries to its reference's, so pairs that aren't candidates cost nothing.
     """
     self_join = ref is None
     ref = qry if ref is None else ref
     if ignore_conflicts:
         ref = drop_conflicts(ref)
-    q = qry.select(F.col("sample_id").alias("q"), "ctx", F.col("obj").alias("q_obj"))
-    r = ref.select(F.col("sample_id").alias("r"), "ctx", F.col("obj").alias("r_obj"))
+    q, r = _gathered(qry, "q", conflict_free), _gathered(ref, "r", conflict_free)
     on = ["ctx"]
     if candidates is not None:
         met = candidates.select("q", "r").distinct().join(q, "q").join(r, ["r", "ctx"])
@@ -51,10 +58,10 @@ def pair_features(
     if self_join:
         met = met.where("r < q")
     d = sections(F.col("q_obj"), F.col("r_obj"))
-    if conflict_free:
-        each = met.select("q", "r", d.alias("d"))
-    else:
-        each = met.groupBy("q", "r", *on).agg(F.min(d).alias("d"))
+    if not conflict_free:
+        every = F.flatten(F.transform("q_objs", lambda x: F.transform("r_objs", lambda y: sections(x, y))))
+        d = F.when((F.size("q_objs") == 1) & (F.size("r_objs") == 1), d).otherwise(F.array_min(every))
+    each = met.select("q", "r", d.alias("d"))
     return each.groupBy("q", "r").agg(
         F.count("*").alias("xny"),
         F.count_if(F.col("d") > 0).alias("n_diff"),
