@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sketchloom.operators.graph import components
+from sketchloom.operators.graph import components, contracted
 from sketchloom.session import BROADCAST_ROWS, bounded_batches, fresh, lean, materialize, quoted, small
 
 WORDS, PERCENT = 5, 85
@@ -371,9 +371,9 @@ def across(members: DataFrame, key: str, joined: DataFrame, weigh: Column) -> Da
 
 
 def compared(met: DataFrame, key: str, values: list[str], work: Grouped) -> DataFrame:
-    """Pairs that ``work`` finds in each block of ``met``."""
-    met = met.repartition(key, "i", "j").sortWithinPartitions(key, "i", "j", "fp")
-    return met.mapInArrow(lean(by_group([key, "i", "j"], values, work)), "a binary, b binary")
+    """Pairs that ``work`` finds in each block of ``met``, contracted in the same worker."""
+    met, run = met.repartition(key, "i", "j").sortWithinPartitions(key, "i", "j", "fp"), by_group([key, "i", "j"], values, work)
+    return met.mapInArrow(lean(lambda batches: contracted(run(batches))), "a binary, b binary")
 
 
 def joined(members: DataFrame, key: str, values: list[str], work: Grouped, weigh: Column, deals: int, load: Callable[..., DataFrame] = lambda met, rows=None: met) -> DataFrame:
@@ -381,12 +381,12 @@ def joined(members: DataFrame, key: str, values: list[str], work: Grouped, weigh
 
     ``members`` has fp, the group's ``key`` and number of ``blocks``, and what ``weigh`` counts; ``load`` adds the values that are compared.
     """
-    first = components(compared(load(within(members, key, deals)), key, values, work))
+    first = components(compared(load(within(members, key, deals)), key, values, work), contract=False)
     more = across(members, key, first, weigh)
     if more is None:
         return first
     pairs = compared(load(more, None), key, [*values, "label"], work)
-    return components(pairs.unionByName(first.select(F.col("id").alias("a"), F.col("comp").alias("b"))))
+    return components(pairs.unionByName(first.select(F.col("id").alias("a"), F.col("comp").alias("b"))), contract=False)
 
 
 def named(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
