@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sketchloom.functions import bits
 from sketchloom.functions import distances as D
-from sketchloom.operators import ani, entries, graph, legacy, pairs, profile, setops
+from sketchloom.operators import ani, entries, graph, legacy, pairs, place, profile, readqc, setops
 from sketchloom.operators.ani import Options
 from sketchloom.operators.tokenize import KmerLayout, recovered, tokenized
 from sketchloom.plans import sql as S
@@ -630,11 +630,22 @@ def d16_corrected(spark, d):
     return rows.select("q", "r", r9("by_chance").alias("by_chance"), r9("value").alias("value"), r9("distance").alias("distance"))
 
 
-@query("d16_statistics")
+# erfc by the series of erf whose terms are all positive
+_ERFC = "CASE WHEN x > 6 THEN 0 ELSE 1 - x * 2 / sqrt(pi()) * list_sum(list_transform(range(0, 200), lambda n : exp(n * ln(x * x) - lgamma(n + 1.5) + lgamma(1.5) - x * x))) END"
+_TO_DISTANCE = lambda v: f"CASE WHEN {v} > 0 THEN ln(1 / (2 * {v}) + 0.5) / 16 END"
+
+
+@query(
+    "d16_statistics",
+    f"""{_OLD}, v AS (SELECT q, r, shared / (q_size + r_size - shared) AS value, q_size + r_size - shared AS denominator FROM j), s AS (SELECT *, sqrt(value * (1 - value) / denominator) AS sd FROM v),
+x AS (SELECT *, CASE WHEN sd > 0 THEN value / sd * sqrt(0.5) ELSE 9 END AS x FROM s), t AS (SELECT *, 0.5 * ({_ERFC}) AS p_value, value - 1.96 * sd AS low, value + 1.96 * sd AS high FROM x)
+SELECT q, r, {S.r9('sd')} AS sd, ROUND(p_value, 7) AS p_value, ROUND(p_value * (SELECT COUNT(*) * COUNT(*) FROM supplier), 4) AS fdr, {S.r9('low')} AS value_low, {S.r9('high')} AS value_high,
+{S.r9(_TO_DISTANCE('high'))} AS distance_low, {S.r9(_TO_DISTANCE('low'))} AS distance_high FROM t""",
+)
 def d16_statistics(spark, d):
     n = V.supp_samples(spark, d).count()  # on both sides, with or without entries
     rows = legacy.with_statistics(legacy.distances(V.supp(spark, d)), comparisons=n * n)
-    return rows.select("q", "r", r9("sd").alias("sd"), r9("p_value").alias("p_value"), r9("fdr").alias("fdr"), r9("value_low").alias("value_low"), r9("value_high").alias("value_high"), r9("distance_low").alias("distance_low"), r9("distance_high").alias("distance_high"))
+    return rows.select("q", "r", r9("sd").alias("sd"), F.round("p_value", 7).alias("p_value"), F.round("fdr", 4).alias("fdr"), r9("value_low").alias("value_low"), r9("value_high").alias("value_high"), r9("distance_low").alias("distance_low"), r9("distance_high").alias("distance_high"))
 
 
 @query("o8_nearest", f"{_OLD}, w AS (SELECT q, r, shared / (q_size + r_size - shared) AS value FROM j), k AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY q ORDER BY {S.r9('LEAST(1, ln(1 / (2 * value) + 0.5) / 16)')}, r) AS rank FROM w) SELECT q, r, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 3")
@@ -643,3 +654,35 @@ def o8(spark, d):
     return legacy.nearest(rows, 3).select("q", "r", "rank")
 
 
+# --- placement and read counts: V5, V6, O7, A7, P10 -------------------------------------------
+
+#: A tree of three suppliers; its edges, numbered by their lower nodes, with each tip's side and distance.
+_TREE, _TIPS = "(A:0.3,(B:0.2,C:0.25):0.1);", ("A", "B", "C")
+_SIDES = """(VALUES (1, 'A', 0.3, 'A', 1, 0.0), (1, 'A', 0.3, 'B', -1, 0.6), (1, 'A', 0.3, 'C', -1, 0.65), (2, 'internal_2', 0.1, 'A', -1, 0.4), (2, 'internal_2', 0.1, 'B', 1, 0.2), (2, 'internal_2', 0.1, 'C', 1, 0.25),
+(3, 'B', 0.2, 'A', -1, 0.6), (3, 'B', 0.2, 'B', 1, 0.0), (3, 'B', 0.2, 'C', -1, 0.45), (4, 'C', 0.25, 'A', -1, 0.65), (4, 'C', 0.25, 'B', -1, 0.45), (4, 'C', 0.25, 'C', 1, 0.0)) AS side(edge, label, len, tip, s, base)"""
+
+
+@query(
+    "v6_placement",
+    f"""{KERNEL}, d AS (SELECT CAST(q AS VARCHAR) AS query, substr('ABC', CAST(r AS INTEGER), 1) AS tip, CAST({S.p_dist()} AS DOUBLE) AS dist FROM f WHERE r BETWEEN 1 AND 3 AND q > 3),
+y AS (SELECT query, edge, label, CAST(len AS DOUBLE) AS len, s, dist - CAST(base AS DOUBLE) AS y, LEAST(1 / (GREATEST(dist, 1e-6) * GREATEST(dist, 1e-6)), 1e6) AS w FROM d JOIN {_SIDES} USING (tip)),
+m AS (SELECT query, edge, label, len, COUNT(*) FILTER (s = 1) AS clade_size, SUM(w * y) / SUM(w) AS my, SUM(w * s) / SUM(w) AS ms, SUM(w * s * y) / SUM(w) AS msy FROM y GROUP BY ALL HAVING COUNT(*) = 3),
+t AS (SELECT *, LEAST(len, GREATEST(0, (msy - ms * my) / (1 - ms * ms))) AS t1 FROM m),
+u AS (SELECT *, CASE WHEN my - ms * t1 >= 0 THEN t1 ELSE LEAST(CASE WHEN ms < 0 THEN LEAST(len, GREATEST(0, my / ms)) ELSE len END, GREATEST(CASE WHEN ms > 0 THEN LEAST(len, GREATEST(0, my / ms)) ELSE 0 END, msy)) END AS place FROM t),
+v AS (SELECT *, GREATEST(0, my - ms * place) AS pendant FROM u),
+z AS (SELECT v.query, v.edge, v.label, clade_size, pendant, place, SUM(w * (y - pendant - s * place) * (y - pendant - s * place)) / SUM(w) AS score FROM v JOIN y USING (query, edge) GROUP BY ALL)
+SELECT query, edge AS edge_child, label AS edge_label, clade_size, {S.r9('score')} AS wls_score, {S.r9('pendant')} AS pendant_length, {S.r9('place')} AS distal_from_child, {S.r9('score - MIN(score) OVER (PARTITION BY query)')} AS wls_delta FROM z""",
+)
+def v6(spark, d):
+    e = V.supp(spark, d)
+    near = pairs.pair_features(e).where("r BETWEEN 1 AND 3 AND q > 3")
+    far = near.select(F.col("q").cast("string").alias("query"), F.translate(F.col("r").cast("string"), "123", "ABC").alias("ref"), D.p_dist(L).alias("distance"))
+    got = place.placed(place.fitted(far, place.Tree(_TREE), list(_TIPS)), place.Options(top=10))
+    return got.select("query", "edge_child", "edge_label", F.col("clade_size").cast("long").alias("clade_size"), r9("wls_score").alias("wls_score"), r9("pendant_length").alias("pendant_length"), r9("distal_from_child").alias("distal_from_child"), r9("wls_delta").alias("wls_delta"))
+
+
+@query("a7_p10_read_counts")
+def a7(spark, d):
+    """Counts outside the range that a sample's histogram suggests are dropped; histograms are compared with simulated ones in the tests."""
+    e = V.size(spark, d)
+    return readqc.sketch_qc(e, readqc.inferred_ranges(e))

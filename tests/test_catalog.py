@@ -6,7 +6,8 @@ import os
 import pytest
 
 import __spark_entry__
-from sketchloom.plans import catalog
+from sketchloom.operators import legacy
+from sketchloom.plans import catalog, views
 from sketchloom.plans import sql as S
 
 SF = "/root/testdata/sf0.001"
@@ -100,9 +101,12 @@ def test_statistics_count_all_comparisons(spark, duck, size):
         value = len(sets[q] & sets[r]) / union
         sd = math.sqrt(value * (1 - value) / union)
         want[q, r] = n * n * 0.5 * math.erfc(value / sd * math.sqrt(0.5)) if sd else 0.0
-    got = {(x.q, x.r): x.fdr for x in catalog.queries()["d16_statistics"](spark, path).collect()}
+    rows = legacy.with_statistics(legacy.distances(views.supp(spark, path)), comparisons=n * n)
+    got = {(x.q, x.r): x.fdr for x in rows.collect()}
     assert got.keys() == want.keys() and len(got) > 1
     assert all(got[k] == pytest.approx(want[k], abs=1e-9, rel=1e-9) for k in got)
+    rounded = {(x.q, x.r): x.fdr for x in catalog.queries()["d16_statistics"](spark, path).collect()}
+    assert rounded.keys() == want.keys() and all(rounded[k] == pytest.approx(want[k], abs=5.1e-5) for k in got)
 
 
 def test_entry(spark):
