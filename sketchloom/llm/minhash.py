@@ -412,7 +412,7 @@ def duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, text_hash, n_shingles, component_id, kept and fp of every row."""
     rows = named(docs, percent)
     least = rows.where("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    out = rows.join(least, "comp", "left")
+    out = rows.join(small(materialize(least, "minhash-least")), "comp", "left")
     alone = F.when(F.col("component_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "text_hash", "n_shingles", alone.alias("component_id"), F.col("doc_id").eqNullSafe(alone).alias("kept"), "fp")
 
@@ -464,7 +464,7 @@ def deduplicated(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     rows = named(docs, percent).where("comp IS NOT NULL").select("comp", "doc_id", "text_hash")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     best = rows.groupBy("comp").agg(F.min(place).alias("best"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    judged = rows.join(best, "comp").withColumn("stays", place == F.col("best"))
+    judged = rows.join(small(materialize(best, "minhash-best")), "comp").withColumn("stays", place == F.col("best"))
     known, hashed = fresh(docs.columns, "id", "hash")
     judged = judged.groupBy(F.col("doc_id").alias(known), F.col("text_hash").alias(hashed)).agg(F.first("stays").alias("stays"), F.count("*").alias("n"))
     judged = materialize(judged.where("NOT stays OR n > 1"), "minhash-judged")  # a row's id and text tell its component
