@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sketchloom.session import small
+from sketchloom.session import numbered, small
 
 KEY = ("sample_id", "ctx", "obj")
 
@@ -164,9 +164,9 @@ def grouped(entries: DataFrame, groups: DataFrame) -> DataFrame:
 def read_groups(path: str, samples: DataFrame) -> DataFrame:
     """:func:`from_names` of a table file: a line ``taxid, tab, taxname`` for each sample, in order. Another number of lines is an error."""
     lines = samples.sparkSession.read.text(path).select("value", F.monotonically_increasing_id().alias("_at"))
-    rows = lines.select((F.row_number().over(Window.orderBy("_at")) - 1).alias("_row"), F.split("value", "\t").alias("_parts"))
+    rows = numbered(lines, ["_at"], "_row").select("_row", F.split("value", "\t").alias("_parts"))
     rows = rows.select("_row", F.trim(F.col("_parts")[0]).cast("long").alias("taxid"), F.coalesce(F.get("_parts", F.lit(1)), F.lit("")).alias("taxname"))
-    order = samples.select("sample_id", (F.row_number().over(Window.orderBy("sample_id")) - 1).alias("_row"))
+    order = numbered(samples.select("sample_id"), ["sample_id"], "_row")
     n, have = rows.count(), samples.count()
     if n != have:
         raise ValueError(f"{n} lines for {have} samples")
@@ -176,5 +176,5 @@ def read_groups(path: str, samples: DataFrame) -> DataFrame:
 def from_names(samples: DataFrame, lines: Sequence[tuple[int, str]]) -> DataFrame:
     """Grouping rows for samples in order, one (taxid, taxname) each."""
     rows = samples.sparkSession.createDataFrame([(i, int(t), n) for i, (t, n) in enumerate(lines)], "_row long, taxid long, taxname string")
-    order = samples.withColumn("_row", F.row_number().over(Window.orderBy("sample_id")) - 1)
+    order = numbered(samples.select("sample_id"), ["sample_id"], "_row")
     return order.join(F.broadcast(rows), "_row").select("sample_id", "taxid", "taxname")

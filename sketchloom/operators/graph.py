@@ -59,10 +59,11 @@ def contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60, contract: bool = True) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", contract: bool = True) -> DataFrame:
     """``id`` and ``comp`` of every node that is not its component's smallest; that one is ``comp``.
 
     Null ends and loops are left out. Ids may be numbers, text or binary. Edges that come out of :func:`contracted` need no second worker: ``contract=False``.
+    Rounds go on until one changes nothing; their number grows with the logarithm of the largest component.
     """
     x, y = F.col(a), F.col(b)
     kind = edges.select(a).schema[0].dataType
@@ -73,9 +74,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60, c
     now, before = measured(now.distinct(), "edges", **state)
     least = lambda: F.first("v").over(Window.partitionBy("u").orderBy("v"))
     pair = lambda u, v: F.struct(F.col(u).alias("u"), F.col(v).alias("v"))
-    for _ in range(rounds):
-        if not before["n"]:
-            break
+    after = None if before["n"] else before
+    while before != after:
         # every greater neighbour of u meets the least of u and its neighbours ...
         both = now.select(F.explode(F.array(pair("u", "v"), pair("v", "u"))).alias("e")).select("e.*")
         large = both.select("u", "v", F.least("u", least()).alias("m")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -84,10 +84,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60, c
         old, after = now, before
         now, before = measured(near.distinct(), "edges", **state)
         discard(old)
-        if before == after:
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
     return now.select(F.col("u").alias("id"), F.col("v").alias("comp"))
 
 

@@ -2,8 +2,8 @@
 
 A sample's objects of a context come as one row, so a pair of samples meets once in a context, and
 the least difference of their objects is an expression. Rows are dealt by context for the first two; only sums by pair
-are shuffled again, after partial aggregation. Contexts that very many samples share would meet in one task; with ``hot`` given, those with more
-than ``hot`` reference rows are salted, so that a hot context is spread over ``salts`` tasks.
+are shuffled again, after partial aggregation. As nothing else relies on how the join deals its rows, adaptive execution splits a context
+that very many samples share; with ``hot`` given, those with more than ``hot`` reference rows are salted over ``salts`` tasks beforehand.
 """
 
 from __future__ import annotations

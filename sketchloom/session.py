@@ -12,9 +12,9 @@ import atexit
 import os
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows below which a side of narrow rows may be broadcast (ids, codes, counts).
@@ -81,6 +81,19 @@ def measured(df: DataFrame, label: str, **measures: Column) -> tuple[DataFrame,
     return made, seen.get
 
 
+def numbered(df: DataFrame, keys: Sequence[Column | str], name: str) -> DataFrame:
+    """``df`` with the place of each row, from 0, in the order of some keys that tell rows apart; no task sorts all rows.
+
+    Rows are sorted in ranges and written with their range's number; a place is that in the range after those in the ranges before.
+    """
+    part, first = fresh((*df.columns, name), "part", "first")
+    rows = materialize(df.orderBy(*keys).withColumn(part, F.spark_partition_id()), "numbered")
+    over = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # of a row for each range
+    counts = rows.groupBy(part).agg(F.count("*").alias("_n")).select(part, F.coalesce(F.sum("_n").over(over), F.lit(0)).alias(first))
+    inside = F.row_number().over(Window.partitionBy(part).orderBy(*keys)) - 1
+    return rows.withColumn(name, inside).join(F.broadcast(counts), part).withColumn(name, (F.col(quoted(name)) + F.col(first)).cast("long")).drop(part, first)
+
+
 def discard(made: DataFrame) -> None:
     """Delete a table of :func:`materialize` that no frame in use reads any more."""
     spark, path = made.sparkSession, made.scratch

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sketchloom.session import materialize, small
+from sketchloom.session import materialize, numbered, small
 
 FASTA = ("fasta", "fna", "fas", "fa")
 FASTQ = ("fq", "fastq")
@@ -195,7 +195,7 @@ def sampled_records(records: DataFrame, samples: DataFrame) -> DataFrame:
 
 def split_records(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Each record a sample of its own: records with sample_id, and samples named after them."""
-    order = Window.orderBy("path", "rec_no")
-    samples = records.select("path", "rec_no", "name", "comment").select("path", "rec_no", "name", F.trim(F.concat_ws(" ", "name", "comment")).alias("annotation"), (F.row_number().over(order) - 1).cast("long").alias("sample_id"))
+    named = records.select("path", "rec_no", "name", F.trim(F.concat_ws(" ", "name", "comment")).alias("annotation"))
+    samples = numbered(named, ["path", "rec_no"], "sample_id")
     out = records.drop("offset").join(samples.select("path", "rec_no", "sample_id"), ["path", "rec_no"]).withColumn("offset", F.lit(0).cast("long"))
     return out, samples.select("sample_id", "name", "annotation")

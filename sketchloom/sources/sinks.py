@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sketchloom.session import numbered
+
 
 def write_tsv(df: DataFrame, path: str, header: bool = True, digits: int | None = 6, one_file: bool = False) -> None:
     """Doubles with ``digits`` decimals (None: as they are), nulls as NA."""
@@ -31,6 +33,4 @@ def keep_and_remove(plan: DataFrame, samples: DataFrame) -> tuple[DataFrame, Dat
 
 def genome_list(samples: DataFrame) -> DataFrame:
     """Numbered sample names."""
-    from pyspark.sql import Window
-
-    return samples.select(F.row_number().over(Window.orderBy("sample_id")).alias("number"), "name")
+    return numbered(samples.select("sample_id", "name"), ["sample_id"], "number").select((F.col("number") + 1).alias("number"), "name")

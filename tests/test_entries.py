@@ -101,3 +101,14 @@ def test_older_distances(spark):
     assert j.value == 0.5
     s = legacy.with_statistics(legacy.distances(e), 3).first()
     assert s.fdr == pytest.approx(3 * s.p_value) and s.value_low < 0.5 < s.value_high
+
+
+def test_numbered_rows(spark):
+    from sketchloom.session import numbered
+
+    rng = __import__("random").Random(4)
+    rows = [(rng.randrange(50), i, "x") for i in range(3000)]
+    df = spark.createDataFrame(rows, "a long, b long, Part string").repartition(7)
+    got = {(r.a, r.b): r.place for r in numbered(df, ["a", F.col("b").desc()], "place").collect()}
+    assert [k for k, _ in sorted(got.items(), key=lambda x: x[1])] == sorted(((a, b) for a, b, _ in rows), key=lambda x: (x[0], -x[1])) and set(got.values()) == set(range(3000))
+    assert numbered(df.limit(0), ["a"], "place").count() == 0
