@@ -353,8 +353,6 @@ def across(members: DataFrame, key: str, joined: DataFrame, weigh: Column) -> Da
     ``weigh`` gives the blocks that some members need.
     """
     large = members.where("blocks > 1")
-    if large.isEmpty():
-        return None
     joined = joined.select(F.col("id").alias("fp"), F.col("comp").alias("label"))
     labelled = materialize(large.join(small(joined), "fp", "left").withColumn("label", F.coalesce("label", "fp")), "minhash-labelled")
     sizes = labelled.groupBy(key, "label").agg(F.count("*").alias("_n"))
@@ -376,12 +374,15 @@ def compared(met: DataFrame, key: str, values: list[str], work: Grouped) -> Data
     return met.mapInArrow(lean(lambda batches: contracted(run(batches))), "a binary, b binary")
 
 
-def joined(members: DataFrame, key: str, values: list[str], work: Grouped, weigh: Column, deals: int, load: Callable[..., DataFrame] = lambda met, rows=None: met) -> DataFrame:
+def joined(members: DataFrame, sizes: DataFrame, key: str, values: list[str], work: Grouped, weigh: Column, deals: int, load: Callable[..., DataFrame] = lambda met, rows=None: met) -> DataFrame:
     """Components (id, comp) of what ``work`` finds among each group's members.
 
-    ``members`` has fp, the group's ``key`` and number of ``blocks``, and what ``weigh`` counts; ``load`` adds the values that are compared.
+    ``members`` has fp, the group's ``key`` and number of ``blocks`` (which the written ``sizes`` has, too), and what ``weigh`` counts;
+    ``load`` adds the values that are compared.
     """
     first = components(compared(load(within(members, key, deals)), key, values, work), contract=False)
+    if sizes.where("blocks > 1").isEmpty():
+        return first
     more = across(members, key, first, weigh)
     if more is None:
         return first
@@ -400,7 +401,7 @@ def named(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     buckets = banded.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     buckets = materialize(buckets.select("key", F.ceil(F.col("members") / LIMIT).alias("blocks")), "minhash-buckets")
     # a large bucket is dealt in another way than the same members' buckets in other bands
-    cluster = joined(banded.join(small(buckets), "key"), "key", ["n", "sig"], estimated(least_equal(percent), percent), F.ceil(F.count("*") / LIMIT), 1)
+    cluster = joined(banded.join(small(buckets), "key"), buckets, "key", ["n", "sig"], estimated(least_equal(percent), percent), F.ceil(F.count("*") / LIMIT), 1)
     cluster = materialize(cluster.unionByName(cluster.select(F.col("comp").alias("id"), "comp").distinct()), "minhash-clusters")
 
     found = confirm(docs, classes, cluster, percent)
@@ -452,7 +453,7 @@ def confirm(docs: DataFrame, classes: DataFrame, cluster: DataFrame, percent: in
 
     sets = texts.select("text").mapInArrow(lean(run), "fp binary, shingles binary")
     # a large cluster is dealt in three ways, which join its blocks
-    return joined(members, "cluster", ["shingles"], linked(percent), cut, 3, lambda met, rows=3 * count: sets.join(small(met, rows), "fp"))
+    return joined(members, members, "cluster", ["shingles"], linked(percent), cut, 3, lambda met, rows=3 * count: sets.join(small(met, rows), "fp"))
 
 
 def deduplicated(docs: DataFrame, percent: int = PERCENT) -> DataFrame:

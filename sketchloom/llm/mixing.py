@@ -43,8 +43,8 @@ from sketchloom.session import bounded_batches, fresh, lean, materialize, quoted
 
 WEIGHTS, SHARE, CAP = (5, 2, 1), Fraction(3, 2), 2
 BLOCK, SHARD_SLOTS, CHUNK_ROWS, SEED = 128, 4096, 512, 20240501
-#: Shards that a task makes.
-TASK_SHARDS = 16
+#: Shards that a task draws at a time, and tasks that they are dealt over.
+TASK_SHARDS, MOST_TASKS = 16, 10_000
 _MASK = (1 << 64) - 1
 
 
@@ -201,7 +201,7 @@ def slots_of(spark, quotas: list[Quota], seed: int = SEED, shard_slots: int = SH
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ARROW, strict=True)], schema=_ARROW)
 
     tasks = ceil(shards / TASK_SHARDS)
-    return spark.range(0, max(1, shards), TASK_SHARDS, max(1, tasks)).mapInArrow(lean(run), _SLOT)
+    return spark.range(0, max(1, shards), TASK_SHARDS, max(1, min(tasks, MOST_TASKS))).mapInArrow(lean(run), _SLOT)
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: Fraction = SHARE, cap: int = CAP, block: int = BLOCK, seed: int = SEED, shard_slots: int = SHARD_SLOTS) -> Mix:
