@@ -1,7 +1,7 @@
 """Clusters and deduplication plans over an edge list.
 
 Components: each task first contracts the edges it reads to a spanning star of each group it
-sees; alternating large-star and small-star steps, windows that stream over sorted neighbours,
+sees, with its least node in the middle; alternating large-star and small-star steps, grouped minima and windows that stream over sorted neighbours,
 then join the groups of all tasks. The edge list is never collected; each round is written to the
 shared folder and replaces the last, so a lost executor costs at most a part of one round.
 """
@@ -76,10 +76,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", contract: bool = Tr
     pair = lambda u, v: F.struct(F.col(u).alias("u"), F.col(v).alias("v"))
     after = None if before["n"] else before
     while before != after:
-        # every greater neighbour of u meets the least of u and its neighbours ...
-        both = now.select(F.explode(F.array(pair("u", "v"), pair("v", "u"))).alias("e")).select("e.*")
-        large = both.select("u", "v", F.least("u", least()).alias("m")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        # ... and so does every smaller one
+        # a node's greater neighbours meet the least of it and its neighbours; a node of very many is pre-aggregated, and its join may be split ...
+        ends = now.select(F.explode(F.array(pair("u", "v"), pair("v", "u"))).alias("e")).select("e.*").groupBy("u").agg(F.min("v").alias("m"))
+        large = now.join(ends.select(F.col("u").alias("v"), F.least("u", "m").alias("m")), "v").select("u", F.col("m").alias("v"))
+        # ... and then its smaller neighbours the least of these, which are few
         near = large.select("u", "v", least().alias("m")).select(F.explode(F.array(pair("v", "m"), pair("u", "m"))).alias("e")).select("e.*").where("u <> v")
         old, after = now, before
         now, before = measured(near.distinct(), "edges", **state)
