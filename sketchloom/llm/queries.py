@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sketchloom.llm import ann, chat, decontaminate, langid, minhash, mixing, packing, pii, sharding, urlfilter
+from sketchloom.llm import ann, chat, decontaminate, langid, lexical, minhash, mixing, packing, pii, secretscan, sharding, urlfilter, whitening
 from sketchloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,18 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.digest(table(spark, sf_dir, "embeddings"))
+
+
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secretscan.digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_pii": op1_pii,
@@ -64,8 +76,11 @@ def queries() -> dict[str, Query]:
         "op8_ann": op8_ann,
         "op9_decontaminate": op9_decontaminate,
         "op10_packing": op10_packing,
+        "op11_whitening": op11_whitening,
+        "op12_lexical": op12_lexical,
+        "op13_secrets": op13_secrets,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_pii": pii.sql(), "op2_minhash": minhash.sql(), "op5_url_filter": urlfilter.sql()}
+    return {"op1_pii": pii.sql(), "op2_minhash": minhash.sql(), "op5_url_filter": urlfilter.sql(), "op12_lexical": lexical.sql()}
