@@ -35,11 +35,13 @@ from pyspark.sql import functions as F
 from sketchloom.session import BROADCAST_ROWS, bounded_batches, lean, materialize, measured, quoted, small
 
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: The same in UTF-8, once A-Z are lower-case.
+BYTES = rb"[0-9a-z\x80-\xff]+"
 TOP = 50
 #: Terms and items of a block; the driver and each worker hold the terms, and a worker its best classes for each item.
 VOCABULARY, ITEMS = 1_000_000, 5_000
-#: Scores (classes by items) that a worker computes at a time.
-CELLS = 4_000_000
+#: Additions to scores that a worker holds at a time, and scores (classes by items).
+ADDED, CELLS = 500_000, 1_000_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -51,15 +53,14 @@ def item_terms(items: DataFrame, text: str = "text") -> DataFrame:
 
 def bags(docs: DataFrame, terms: dict[str, int]) -> DataFrame:
     """doc_id, the number of all terms, and the bag: pairs of term number and count as 32-bit integers, by number."""
-    shared = docs.sparkSession.sparkContext.broadcast(terms)
-    lower = str.maketrans(_UPPER, _LOWER)
+    shared = docs.sparkSession.sparkContext.broadcast({t.encode(): k for t, k in terms.items()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, found = shared.value.get, re.compile(TERM).findall
+        number, found = shared.value.get, re.compile(BYTES).findall
         for batch in batches:
             lengths, made = [], []
             for value in batch.column(1):
-                words = found((value.as_py() or "").translate(lower))
+                words = found(value.as_buffer().to_pybytes().lower()) if value.is_valid else []
                 held = np.fromiter((k for k in map(number, words) if k is not None), dtype=np.int32)
                 own, count = np.unique(held, return_counts=True)
                 lengths.append(len(words))
@@ -110,19 +111,28 @@ def best_classes(grouped: DataFrame, items: list, held: list[np.ndarray], weight
         first = np.searchsorted(flat[by_term], np.arange(len(weight) + 1))
         kept = pa.table({"item": pa.array([], pa.int64()), "score": pa.array([], pa.int64()), "first_id": pa.array([], pa.int64()), "h": pa.array([], pa.int64()), "m": pa.array([], pa.int64()), "bag": pa.array([], pa.binary())})
         for whole in batches:
-            for at in range(0, whole.num_rows, step := max(1, CELLS // many)):
-                batch = whole.slice(at, step)
-                row, term, tf = _parsed(batch, "bag")
-                m = batch.column(batch.schema.get_field_index("m")).to_numpy()[row]
-                part = weight[term] * ((1_000_000_000 * tf) // (1000 * tf + 20 * m))
-                met = first[term + 1] - first[term]
-                place = np.arange(met.sum()) - np.repeat(np.cumsum(met) - met, met) + np.repeat(first[term], met)
+            row, term, tf = _parsed(whole, "bag")
+            met = first[term + 1] - first[term]
+            upto = np.cumsum(np.bincount(row, weights=met, minlength=whole.num_rows)).astype(np.int64)
+            at = 0
+            while at < whole.num_rows:
+                done = upto[at - 1] if at else 0
+                end = min(max(at + 1, int(np.searchsorted(upto, done + ADDED, side="right"))), at + max(1, CELLS // many), whole.num_rows)
+                one, two = np.searchsorted(row, [at, end])
+                batch, part_row, many_met = whole.slice(at, end - at), row[one:two] - at, met[one:two]
+                m = batch.column(batch.schema.get_field_index("m")).to_numpy()[part_row]
+                part = weight[term[one:two]] * ((1_000_000_000 * tf[one:two]) // (1000 * tf[one:two] + 20 * m))
+                place = np.arange(many_met.sum()) - np.repeat(np.cumsum(many_met) - many_met - first[term[one:two]], many_met)
                 scores = np.zeros(batch.num_rows * many, dtype=np.int64)
-                np.add.at(scores, np.repeat(row, met) * many + owner[place], np.repeat(part, met))
-                r, i = np.nonzero(scores.reshape(batch.num_rows, many))
-                keys = batch.select(["first_id", "h", "m", "bag"]).take(pa.array(r))
-                new = pa.Table.from_arrays([pa.array(i), pa.array(scores[r * many + i]), *keys.columns], kept.schema.names)
-                kept = leading(pa.concat_tables([kept, new]), top)
+                np.add.at(scores, np.repeat(part_row * many, many_met) + owner[place], np.repeat(part, many_met))
+                met_at = np.flatnonzero(scores)
+                r = met_at // many
+                keys = batch.select(["first_id", "h", "m"]).take(pa.array(r))
+                new = pa.Table.from_arrays([pa.array(met_at % many), pa.array(scores[met_at]), *keys.columns, pa.array(r + at)], kept.schema.names[:-1] + ["row"])
+                new = leading(new, top)  # only of these the bags are copied
+                bags_of = whole.column(whole.schema.get_field_index("bag")).take(new.column("row"))
+                kept = leading(pa.concat_tables([kept, new.drop(["row"]).append_column("bag", bags_of)]), top)
+                at = end
         yield from kept.combine_chunks().to_batches(max_chunksize=1000)
 
     return grouped.select("first_id", "h", "m", "bag").mapInArrow(lean(run), "item long, score long, first_id long, h long, m long, bag binary")
