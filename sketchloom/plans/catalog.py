@@ -6,9 +6,6 @@ both sides, as the engines' ``pow`` and ``ln`` may differ in the last bit.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sketchloom.functions import bits
@@ -16,36 +13,18 @@ from sketchloom.functions import distances as D
 from sketchloom.operators import ani, entries, graph, legacy, pairs, place, profile, readqc, setops
 from sketchloom.operators.ani import Options
 from sketchloom.operators.tokenize import KmerLayout, recovered, tokenized
+from sketchloom.plans import placement  # noqa: F401  registers queries of its own
 from sketchloom.plans import sql as S
 from sketchloom.plans import views as V
+from sketchloom.plans.registry import QUERIES, SQL, Query, query, r9
 from sketchloom.session import table
 
-Query = Callable[[SparkSession, str], DataFrame]
-
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def add(f: Query) -> Query:
-        _QUERIES[name] = f
-        if sql is not None:
-            _SQL[name] = sql
-        return f
-
-    return add
-
-
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
-
-def r9(c: Column | str) -> Column:
-    return F.round(F.col(c) if isinstance(c, str) else c, 9)
+    return dict(SQL)
 
 
 L = V.SUPP_LAYOUT

@@ -9,6 +9,7 @@ CUST = "cust AS (SELECT o_custkey AS sample_id, l_partkey AS ctx, CAST(l_linenum
 SIZE = "size AS (SELECT l_suppkey AS sample_id, CAST(p_size AS BIGINT) AS ctx, CAST(l_quantity AS BIGINT) // 2 AS obj, COUNT(*) AS cnt, MIN(l_orderkey) AS pos FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1, 2, 3)"
 RORD = "rord AS (SELECT l_suppkey AS sample_id, l_orderkey AS ctx, CAST(l_quantity AS BIGINT) AS obj, COUNT(*) AS cnt, MIN(CAST(l_linenumber AS BIGINT)) AS pos FROM lineitem GROUP BY 1, 2, 3)"
 QORD = "qord AS (SELECT CAST(c_nationkey AS BIGINT) AS sample_id, l_orderkey AS ctx, MIN(CAST(l_quantity AS BIGINT)) AS obj, COUNT(*) AS cnt FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2)"
+NAT = "nat AS (SELECT CAST(c_nationkey AS BIGINT) AS sample_id, l_partkey AS ctx, CAST(l_quantity AS BIGINT) AS obj, COUNT(*) AS cnt, MIN(l_orderkey) AS pos FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2, 3)"
 CLEAN = "clean AS (SELECT * FROM supp WHERE (sample_id, ctx) IN (SELECT (sample_id, ctx) FROM (SELECT sample_id, ctx FROM supp GROUP BY 1, 2 HAVING COUNT(*) = 1)))"
 SECTIONS = "bit_count((xor(q.obj, r.obj) | (xor(q.obj, r.obj) >> 1)) & 6148914691236517205)"
 

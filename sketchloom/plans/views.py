@@ -5,6 +5,7 @@
 ``size``: suppliers as samples, part sizes as contexts, half quantities as objects; contexts that all samples share.
 ``rord``, ``qord``: suppliers and customers' nations as samples, orders as contexts; contexts that few samples have.
 ``genomes``: nations as samples, orders as sequences made from the numbers of their parts.
+``nat``: customers' nations as samples, parts as contexts, whole quantities as objects, as in ``supp``.
 ``event``: users as samples, event types as dimensions, for abundance vectors.
 """
 
@@ -36,6 +37,12 @@ def cust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted(met.select(F.col("o_custkey").alias("sample_id"), F.col("l_partkey").alias("ctx"), F.col("l_linenumber").cast("long").alias("obj"), F.col("l_orderkey").alias("pos")))
 
 
+def nat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li, orders, customer = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "customer"))
+    met = li.join(orders, li["l_orderkey"] == orders["o_orderkey"]).join(customer, F.col("o_custkey") == customer["c_custkey"])
+    return counted(met.select(F.col("c_nationkey").cast("long").alias("sample_id"), F.col("l_partkey").alias("ctx"), F.col("l_quantity").cast("long").alias("obj"), F.col("l_orderkey").alias("pos")))
+
+
 def size(spark: SparkSession, sf_dir: str) -> DataFrame:
     li, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
     met = li.join(part, li["l_partkey"] == part["p_partkey"])
@@ -74,6 +81,16 @@ def supp_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select(F.col("s_suppkey").alias("sample_id"), F.col("s_name").alias("name"))
 
 
+def taxonomy(spark: SparkSession, sf_dir: str) -> str:
+    """Suppliers below their nations below their regions as a Newick tree; branches are as long as a rule of the keys says."""
+    s, n = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation")
+    rows = s.join(F.broadcast(n), s["s_nationkey"] == n["n_nationkey"]).select("n_regionkey", "n_nationkey", "s_suppkey").orderBy("n_regionkey", "n_nationkey", "s_suppkey")
+    held: dict[int, dict[int, list[str]]] = {}
+    for r in rows.toLocalIterator():  # a tree is text, with a word for each tip
+        held.setdefault(r[0], {}).setdefault(r[1], []).append(f"s{r[2]}:{(r[2] % 7 + 1) / 50}")
+    return "(" + ",".join("(" + ",".join(f"({','.join(tips)})n{n}:{(n % 5 + 1) / 40}" for n, tips in nations.items()) + f")r{r}:{(r + 1) / 80}" for r, nations in held.items()) + ");"
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users' shares of event types in percent; an event type's number is its place in the alphabet."""
     from pyspark.sql import Window
