@@ -167,9 +167,9 @@ def _searched(docs: DataFrame, items: DataFrame, top: int) -> DataFrame:
     chosen = best_classes(grouped, ids, held, weight, top)
     by_class = Window.partitionBy("item").orderBy(F.desc("score"), F.col("first_id").asc_nulls_last(), "h")
     chosen = materialize(chosen.withColumn("at", F.row_number().over(by_class)).where(F.col("at") <= top).select("item", "score", "h", "m", "bag"), "chosen")
-    wanted = small(chosen.select("h", "m", "bag").distinct(), min(len(ids) * top, BROADCAST_ROWS + 1))
+    wanted = small(chosen.select("h", "m").distinct(), min(len(ids) * top, BROADCAST_ROWS + 1))  # the join with chosen tells bags of one hash apart
     member = Window.partitionBy("h", "m", "bag").orderBy(F.col("doc_id").asc_nulls_last())
-    members = keyed.join(wanted, ["h", "m", "bag"], "left_semi").select("doc_id", "h", "m", "bag").withColumn("at", F.row_number().over(member)).where(F.col("at") <= top).drop("at")
+    members = keyed.join(wanted, ["h", "m"], "left_semi").select("doc_id", "h", "m", "bag").withColumn("at", F.row_number().over(member)).where(F.col("at") <= top).drop("at")
     best = Window.partitionBy("item").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_last())
     ranked = members.join(chosen, ["h", "m", "bag"]).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
     names = spark.createDataFrame([(k, i) for k, i in enumerate(ids)], f"item long, item_id {kind.simpleString()}")
