@@ -23,10 +23,13 @@ def params(layout: KmerLayout, counts: bool, conflicts: bool) -> dict:
 
 def sketch(
     spark: SparkSession, paths: Sequence[str], layout: KmerLayout = KmerLayout.coden(), *, least: int = 1, percentile: float | None = None, cap: int | None = None, reads_qc: bool = False,
-    conflicts: bool = False, counts: bool = False, positions: bool = False, as_one: bool = False, name: str | None = None, split: bool = False,
+    conflicts: bool = False, counts: bool = False, positions: bool = False, as_one: bool = False, name: str | None = None, split: bool = False, least_quality: int = 0,
 ) -> tuple[DataFrame, DataFrame, dict]:
-    """Entries, samples and parameters of sequence files: tokenize, count, filter, drop conflicts, describe."""
-    got = fastx.records(spark, fastx.checked(paths))
+    """Entries, samples and parameters of sequence files: tokenize, count, filter, drop conflicts, describe.
+
+    A k-mer that holds a base of a quality below ``least_quality`` isn't counted.
+    """
+    got = fastx.records(spark, fastx.checked(paths), least_quality)
     if split:
         got, samples = fastx.split_records(got)
     else:

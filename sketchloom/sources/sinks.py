@@ -34,3 +34,21 @@ def keep_and_remove(plan: DataFrame, samples: DataFrame) -> tuple[DataFrame, Dat
 def genome_list(samples: DataFrame) -> DataFrame:
     """Numbered sample names."""
     return numbered(samples.select("sample_id", "name"), ["sample_id"], "number").select((F.col("number") + 1).alias("number"), "name")
+
+
+def write_sequences(records: DataFrame, path: str, fmt: str = "fasta", width: int = 80) -> list[str]:
+    """Records (name, comment, seq and, for FASTQ, quality) as files of a folder, one for each partition; their paths."""
+    title = F.concat(F.lit(">" if fmt == "fasta" else "@"), F.concat_ws(" ", "name", F.nullif("comment", F.lit(""))))
+    seq = F.col("seq").cast("string")
+    text = F.concat(title, F.lit("\n"), F.regexp_replace(seq, f"(.{{{width}}})(?=.)", "$1\n")) if fmt == "fasta" else F.concat(title, F.lit("\n"), seq, F.lit("\n+\n"), F.col("quality"))
+    records.select(text.alias("value")).write.mode("errorifexists").text(path)
+    spark = records.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs, suffix = folder.getFileSystem(spark._jsc.hadoopConfiguration()), "fa" if fmt == "fasta" else "fq"
+    made = []
+    for f in fs.listStatus(folder):
+        name = f.getPath().getName()
+        if name.endswith(".txt"):
+            made.append(f"{path}/{name[:-4]}.{suffix}")
+            fs.rename(f.getPath(), spark._jvm.org.apache.hadoop.fs.Path(made[-1]))
+    return sorted(made)

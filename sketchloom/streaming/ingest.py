@@ -6,16 +6,13 @@ counts are kept for good. ``append`` instead adds each micro-batch's samples to
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from sketchloom.operators.entries import finalize
 from sketchloom.operators.tokenize import KmerLayout, tokenized
-from sketchloom.sources.fastx import RECORD, _rows
+from sketchloom.sources.fastx import RECORD, whole_files
 
 FILES = "path string, modificationTime timestamp, length long, content binary"
 
@@ -23,13 +20,8 @@ FILES = "path string, modificationTime timestamp, length long, content binary"
 def record_stream(spark: SparkSession, folder: str, files_per_trigger: int = 16) -> DataFrame:
     """Records of files as they arrive in ``folder``; a sample for each file, its id from the file's path."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                yield from _rows(path, raw.as_py())
-
     files = spark.readStream.format("binaryFile").schema(FILES).option("maxFilesPerTrigger", files_per_trigger).load(folder)
-    got = files.select("path", "content").mapInArrow(run, RECORD)
+    got = files.select("path", "content").mapInArrow(whole_files, RECORD)
     return got.withColumn("sample_id", F.xxhash64("path"))
 
 

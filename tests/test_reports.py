@@ -99,7 +99,7 @@ def test_split_fastq(spark, tmp_path):
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
     try:
-        got = fastx.fastq_records(spark, paths).orderBy("path", "rec_no").collect()
+        got = fastx.records(spark, paths).orderBy("path", "rec_no").collect()
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert [(r.name, r.comment, bytes(r.seq).decode()) for r in got] == reads

@@ -2,6 +2,7 @@
 
 import gzip
 import random
+import re
 import time
 
 import numpy as np
@@ -12,7 +13,7 @@ from sketchloom.operators import ani
 from sketchloom.operators.tokenize import KmerLayout, gather, recovered, shuffled_subcontexts, spread, tokens
 from sketchloom.plans import sketching
 from sketchloom.sources import fastx, store
-from sketchloom.sources.sinks import write_tsv
+from sketchloom.sources.sinks import write_sequences, write_tsv
 from sketchloom.streaming import ingest
 
 M = (1 << 64) - 1
@@ -124,7 +125,7 @@ def test_files_to_report(spark, tmp_path):
 
 def test_fasta_by_marks(spark, tmp_path):
     p = write(tmp_path / "m.fa", ">a one two\nAC\nGT\n>b\nTT\n>c\nA\n")
-    got = fastx.fasta_records(spark, [p]).orderBy("rec_no").collect()
+    got = fastx.records(spark, [p]).orderBy("rec_no").collect()
     assert [(r.rec_no, r.name, r.comment, bytes(r.seq), r.offset) for r in got] == [(0, "a", "one two", b"ACGT", 0), (1, "b", "", b"TT", 4), (2, "c", "", b"A", 6)]
     with pytest.raises(PermissionError):
         fastx.piped_records(spark, [p], "cat {}")
@@ -133,6 +134,68 @@ def test_fasta_by_marks(spark, tmp_path):
     assert fastx.listed(spark, str(tmp_path / "list.txt")) == [p, p]
 
 
+def plain_records(path, text):
+    """What a reader of the whole text gives."""
+    at = 0
+    for n, (name, comment, seq) in enumerate(fastx.parse(text.encode())):
+        yield path, n, name, comment, seq, len(seq), at
+        at += len(seq)
+
+
+@pytest.mark.parametrize(("size", "compressed", "many"), [(120, "", 16), (5000, "", 300), (5000, ".gz", 40)])
+def test_splits_lose_nothing(spark, tmp_path, size, compressed, many):
+    """Records of one line and of many, marks in qualities, odd files, empty files and a record of many splits, at any split size."""
+    rng = random.Random(size)
+    dna = lambda n: "".join(rng.choice("ACGTN") for _ in range(n))
+    wrapped = lambda s: "\n".join(s[i : i + 60] for i in range(0, len(s), 60))
+    quality = lambda n: "".join(rng.choice("@@+>IF!5") for _ in range(n))
+    reads = [(f"r{i} c {i}", dna(rng.randrange(1, 90))) for i in range(many)]
+    texts = {
+        "a.fa": "".join(f">s{i} x\n{wrapped(dna(rng.randrange(200)))}\n" for i in range(many // 2)) + ">last\nACG",
+        "b.fasta": ">one\n" + wrapped(dna(100 * many)) + "\n>two\n" + dna(30 * many) + "\n",
+        "c.fq": "".join(f"@{n}\n{s}\n+\n{quality(len(s))}\n" for n, s in reads),
+        "d.fastq": "".join(f"@{n}\n{s}\n+{n}\n{quality(len(s))}\n" for n, s in reads)[:-40],
+        "e.fq": "".join(f"@{n}\n{wrapped(s)}\n+\n{wrapped('I' * len(s))}\n" for n, s in reads[:150]),
+        "f.fq": "".join(f"@{n}\n{s}\n+\n{'I' * len(s)}\n\n" for n, s in reads[:60]),
+        "g.fa": "".join(f"@{n}\n{s}\n+\n{'I' * len(s)}\n" for n, s in reads[:60]),
+        "h.fq": "".join(f">{n}\n{s}\n" for n, s in reads[:60]),
+        "i.fa": "",
+        "j.fq": "\n\n@x\nAC\n+\nII\n",
+        "k.fa": "\n>x y\r\nAC\r\nGT\r\n",
+        "l m%20.fa": ">only",
+    }
+    paths = [write(tmp_path / (n + compressed), t) for n, t in texts.items()]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    try:
+        got = fastx.records(spark, paths).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    want = [r for p, t in zip(paths, texts.values(), strict=True) for r in plain_records(p, t)]
+    assert sorted((re.sub("^file:/+", "/", r.path), r.rec_no, r.name, r.comment, bytes(r.seq), r.length, r.offset) for r in got) == sorted(want)
+    assert {r.fmt for r in got if "/c.fq" in r.path or "/e.fq" in r.path or "/g.fa" in r.path} == {"fastq"} and {r.fmt for r in got if "/a.fa" in r.path or "/h.fq" in r.path} == {"fasta"}
+
+
+def test_written_sequences_are_read(spark, tmp_path):
+    rows = [(f"n{i}", "c d" if i % 2 else "", "ACGTACG" * (i % 40 + 1), "I" * 7 * (i % 40 + 1)) for i in range(200)]
+    df = spark.createDataFrame(rows, "name string, comment string, seq string, quality string").repartition(3)
+    for fmt in ("fasta", "fastq"):
+        paths = write_sequences(df, str(tmp_path / fmt), fmt)
+        got = fastx.records(spark, [str(tmp_path / fmt)]).collect()
+        assert len(paths) == 3 and sorted((r.name, r.comment, bytes(r.seq).decode()) for r in got) == sorted(r[:3] for r in rows) and {r.fmt for r in got} == {fmt}
+
+
+def test_qualities_mask_bases(spark, tmp_path):
+    p = write(tmp_path / "q.fq", "@a\nACGTAC\n+\nI!I#I5\n@b\nAAAA\n+\nIIII\n" * 20)
+    got = fastx.records(spark, [p], least_quality=20).orderBy("rec_no").collect()
+    assert [bytes(r.seq) for r in got] == [b"ANGNAC", b"AAAA"] * 20
+    w = write(tmp_path / "w.fq", "@a\nACG\nTAC\n+\nI!I\n#I5\n")
+    assert [bytes(r.seq) for r in fastx.records(spark, [w], least_quality=21).collect()] == [b"ANGNAN"]
+    layout = KmerLayout.manual(1, 1, 1, 0)
+    made, _, _ = sketching.sketch(spark, [w], layout, least_quality=20)
+    assert made.count() == 0 and sketching.sketch(spark, [w], layout)[0].count() > 0
+
+
 def test_store(spark, tmp_path):
     e = spark.createDataFrame([(0, 5, 1, 2), (1, 6, 1, 1)], "sample_id long, ctx long, obj long, cnt long")
     s = spark.createDataFrame([(0, "x/a"), (1, "y/b")], "sample_id long, name string")
