@@ -12,7 +12,7 @@ import atexit
 import os
 import tempfile
 import uuid
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
@@ -133,6 +133,20 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def plainly_named(df: DataFrame, run: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``run(df)`` for a function that keeps all columns in their places, also where names hold dots, which Arrow functions can't take.
+
+    Such names are replaced while it runs.
+    """
+    if not any("." in c for c in df.columns):
+        return run(df)
+    names = [c.replace(".", "_") if "." in c else c for c in df.columns]
+    for i, c in enumerate(df.columns):
+        if "." in c:
+            names[i] = fresh([*df.columns, *names[:i], *names[i + 1 :]], names[i])[0]
+    return run(df.toDF(*names)).toDF(*df.columns)
+
+
 def without(columns: Iterable[str], *made: str) -> list[str]:
     """The columns that aren't called like those that are made, whatever the case of letters."""
     taken = {c.lower() for c in made}
