@@ -15,12 +15,14 @@ Hits of one item that lie closer than a window are verified together, so a text
 that repeats one piece costs its own length, not a window for each hit. The pieces are
 made on the driver from the benchmark and sent to all tasks: their size is the
 benchmark's, which doesn't grow with the documents, and is checked against ``MAX_CHARS``; a larger
-benchmark is gone through in parts, one pass each, of which the driver and a worker hold one at a time.
+benchmark is gone through in parts, one pass each, of which the driver and a worker hold one at a time: what
+:func:`clean` keeps is written before the next part is looked for. Pieces of fewer than eight bytes, which only short items have, are found by an automaton.
 
 Defined results: null or empty documents and items match nothing; an item too short for a single edit must
-occur unchanged; whole texts are scanned, however long; each row is judged for itself, so repeated rows
-repeat; of equal distances the earliest end is given; null ids stay null; empty tables give
-empty results; other columns are carried only by :func:`clean`.
+occur unchanged; whole texts are scanned, however long; each row of documents is judged for itself, so repeated rows
+repeat; repeated items count once, and of an item with several texts the best passage of any of them is given; items without an id are one item; of equal
+distances the earliest end is given; null ids stay null; empty tables give
+empty results; other columns, of any name, are carried only by :func:`clean`.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sketchloom.session import bounded_batches, lean
+from sketchloom.session import bounded_batches, discard, lean, materialize, plainly_named
 
 RATE, MAX_CHARS = 0.05, 20_000_000
 #: A word of at most this part of an item may be dropped or replaced.
@@ -129,6 +131,14 @@ def one_word(pattern: str, words: list[tuple[int, int]], text: str, start: int)
     return False
 
 
+def least(found: list[tuple[int | None, int, int]]) -> list[tuple[int | None, int, int]]:
+    """The best passage of each item: the least distance, and the first end of equal ones."""
+    best: dict[int | None, tuple[int, int]] = {}
+    for item, *passage in found:
+        best[item] = min(best.get(item, tuple(passage)), tuple(passage))
+    return [(item, *passage) for item, passage in best.items()]
+
+
 class Scanner:
     """All pieces of some items, ready to be found in a text."""
 
@@ -146,6 +156,16 @@ class Scanner:
                     probes[raw[:16] if len(raw) >= 16 else raw[:8]].append((k, at, piece))
                 else:
                     self.short.append((k, at, piece))
+        self.automaton = None
+        if self.short:
+            import ahocorasick
+
+            self.automaton, named = ahocorasick.Automaton(), defaultdict(list)
+            for own in self.short:
+                named[own[2]].append(own)
+            for piece, own in named.items():
+                self.automaton.add_word(piece, own)
+            self.automaton.make_automaton()
         self.by_width = []
         for width in (8, 16):
             own = {p: v for p, v in probes.items() if len(p) == width}
@@ -205,7 +225,7 @@ class Scanner:
                     best = distance, a + end
             if best:
                 out.append((item, *best))
-        return out
+        return least(out)
 
     def find(self, text: str, data: np.ndarray, found: list[tuple[int, list]]) -> list[tuple[int | None, int, int]]:
         """Matches in a normalised text; ``data`` its bytes, ``found`` what :meth:`probe` gave."""
@@ -216,11 +236,9 @@ class Scanner:
             for k, offset, piece in own:
                 if text.startswith(piece, c):
                     hits[k].add(c - offset)
-        for k, offset, piece in self.short:
-            c = text.find(piece)
-            while c >= 0:
-                hits[k].add(c - offset)
-                c = text.find(piece, c + 1)
+        for last, own in self.automaton.iter(text) if self.automaton else ():
+            for k, offset, piece in own:
+                hits[k].add(last + 1 - len(piece) - offset)
         return self.verify(text, {k: list(v) for k, v in hits.items()})
 
     def matches(self, texts: list[str | None]) -> list[list[tuple[int | None, int, int]]]:
@@ -260,14 +278,18 @@ def _scanner(shared, rate: float) -> Scanner:
 
 
 def _parts(benchmark: DataFrame) -> Iterator[list[tuple[int | None, str]]]:
-    """The benchmark's items in parts of at most ``MAX_CHARS`` characters, one held at a time; at least one part."""
-    part, size, any_part = [], 0, False
-    for r in benchmark.where(F.length(F.trim("text")) > 0).select("item_id", "text").orderBy("item_id", "text").toLocalIterator():
-        if size + len(r["text"]) > MAX_CHARS and part:
+    """The benchmark's items in parts of about ``MAX_CHARS`` characters, one held at a time; at least one part.
+
+    All texts of an item are in one part.
+    """
+    part, size, any_part, last = [], 0, False, None
+    rows = benchmark.where(F.length(F.trim("text")) > 0).select("item_id", "text").distinct()
+    for r in rows.orderBy("item_id", "text").toLocalIterator():
+        if size + len(r["text"]) > MAX_CHARS and part and r["item_id"] != last:
             yield part
             part, size, any_part = [], 0, True
         part.append((r["item_id"], r["text"]))
-        size += len(r["text"])
+        size, last = size + len(r["text"]), r["item_id"]
     if part or not any_part:
         yield part
 
@@ -313,9 +335,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFram
 def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
     """The rows of ``docs`` that hold nothing of the benchmark, with all their columns."""
     bounded_batches(docs.sparkSession)
-    at, out = docs.columns.index("text"), docs
+    return plainly_named(docs, lambda named: _cleaned(named, benchmark, rate))
+
+
+def _cleaned(docs: DataFrame, benchmark: DataFrame, rate: float) -> DataFrame:
+    at = next(i for i, c in enumerate(docs.columns) if c.lower() == "text")
+    out, before, written = docs, None, None
     for part in _parts(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(part)
+        if before is not None:  # what the parts so far have left is written, so one part is held at a time
+            out, read = materialize(out, "clean"), written
+            before.destroy()
+            if read is not None:
+                discard(read)
+            written = out
+        before = shared = docs.sparkSession.sparkContext.broadcast(part)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             scan = _scanner(shared, rate)

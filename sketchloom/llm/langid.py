@@ -11,7 +11,7 @@ the host, and ``lang`` is the label that models are fitted on and the declaratio
 so no label is used twice.
 
 The models are fitted on a bounded sample of labelled rows (at most ``SAMPLE`` rows, those with the smallest hash
-of id, label and text); all else covers every row. Texts are scored once and whole, in one pass that writes
+of id, label and text), for all labels in it unless languages are named; all else covers every row. Texts are scored once and whole, in one pass that writes
 the scores beside the columns that are wanted; priors are grouped sums, and a second pass fuses them with the scores. The prior of a host is a
 row for each host, joined by broadcast if there are at most ``BROADCAST_ROWS`` hosts; beyond that only what is wanted of the rows is shuffled.
 
@@ -33,10 +33,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, StringType, StructField, StructType
 
-from sketchloom.session import bounded_batches, fresh, lean, materialize, quoted, small, without
+from sketchloom.session import bounded_batches, fresh, lean, materialize, plainly_named, quoted, small, without
 
 UNKNOWN = "und"
-SAMPLE, MOST_LANGUAGES = 2000, 32
+SAMPLE = 2000
 #: Trigrams overlap, so a text's likelihood counts to this power.
 TEMPER = 1 / 3
 #: Rows that the pooled trigrams count as in each language, and the share of unrelated letters.
@@ -104,7 +104,7 @@ def _place(key: str, lang: str, text: str) -> Column:
 def fit(labelled: DataFrame, languages: tuple[str, ...] | None = None, sample: int = SAMPLE, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model | None:
     """Models from at most ``sample`` labelled rows, the first by a hash of id, label and text; None if there are none.
 
-    Without ``languages`` they are the sample's labels, the most frequent first, at most ``MOST_LANGUAGES``.
+    Without ``languages`` they are all of the sample's labels, the most frequent first; a model has a megabyte for each.
     Rows that are the same in all three count once.
     """
     label = F.col(quoted(lang))
@@ -127,7 +127,7 @@ def fit(labelled: DataFrame, languages: tuple[str, ...] | None = None, sample: i
             at = np.flatnonzero(x)
             yield pa.RecordBatch.from_arrays([pa.array([name], pa.string()), pa.array([at.astype(np.int32).tobytes()], pa.binary()), pa.array([x[at].astype(np.int64).tobytes()], pa.binary())], names=["lang", "at", "n"])
 
-    labels = languages or tuple(r["lang"] for r in picked.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect())
+    labels = languages or tuple(r["lang"] for r in picked.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect())
     counts = {name: np.zeros(_SPACE, dtype=np.int64) for name in labels}
     for r in picked.where(F.col("lang").isin(*labels)).coalesce(4).mapInArrow(lean(count), "lang string, at binary, n binary").toLocalIterator():  # counts of a bounded sample, language by language
         counts[r["lang"]][np.frombuffer(r["at"], dtype=np.int32)] += np.frombuffer(r["n"], dtype=np.int64)
@@ -280,7 +280,11 @@ def digest(docs: DataFrame, pages: DataFrame) -> DataFrame:
     return found.select("doc_id", "page_id", "lang_id", F.round("lang_probability", 6).alias("lang_probability"), F.col("lang_kept").alias("kept"))
 
 
-def kept(docs: DataFrame) -> DataFrame:
+def kept(docs: DataFrame, languages: tuple[str, ...] | None = None) -> DataFrame:
     """The rows of ``docs`` whose language is known, with all their columns."""
-    made = tuple(fresh(docs.columns, "lang_id", "lang_probability", "lang_kept"))
-    return identified(docs, made=made).where(made[2]).select(*(quoted(c) for c in docs.columns))
+
+    def run(named: DataFrame) -> DataFrame:
+        made = tuple(fresh(named.columns, "lang_id", "lang_probability", "lang_kept"))
+        return identified(named, languages, made=made).where(made[2]).select(*(quoted(c) for c in named.columns))
+
+    return plainly_named(docs, run)

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from sketchloom.llm.words import word_count
-from sketchloom.session import bounded_batches, fresh, lean, materialize, quoted, small
+from sketchloom.session import bounded_batches, fresh, lean, materialize, plainly_named, quoted, small
 
 WEIGHTS, SHARE, CAP = (5, 2, 1), Fraction(3, 2), 2
 BLOCK, SHARD_SLOTS, CHUNK_ROWS, SEED = 128, 4096, 512, 20240501
@@ -296,6 +296,10 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     All columns of ``docs`` are kept, each row's own; ``text`` holds the words taken and ``n_chars``, where there
     is one, their length. A document taken twice has two rows.
     """
+    return plainly_named(docs, lambda named: _mixed(named, **how))
+
+
+def _mixed(docs: DataFrame, **how) -> DataFrame:
     got = mix(docs, **how)
     spans = got.pieces.where("to_word > from_word").groupBy("src", "start", "key", "hash", "epoch").agg(F.collect_list(F.struct("from_word", "to_word")).alias("words"))
     out = _taken(docs, spans, [])

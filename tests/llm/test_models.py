@@ -219,3 +219,17 @@ def test_equal_and_odd_vectors(spark):
     assert ann.digest(df.limit(0)).count() == 0 and ann.digest(df.where("vec_id >= 400")).count() == 0
     few = ann.digest(df.where("vec_id IN (100, 3, 4)")).collect()
     assert [r.vec_id for r in sorted(few, key=lambda r: r.rank)] == [v for v, _ in brute(x[[3, 4, 100]], np.array([3, 4, 100]))[100]]
+
+
+def test_all_labels_of_the_sample_are_languages(spark):
+    rng = random.Random(40)
+    words = {n: ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(12)] for n in range(40)}
+    rows = [(40 * k + n, " ".join(rng.choices(words[n], k=20)), f"l{n:02}", "s.x") for k in range(8) for n in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    model = langid.fit(df)
+    assert len(model.languages) == 40
+    named = df.select("doc_id", "text", F.col("source").alias("so.urce"), "lang", "source")
+    kept = langid.kept(named)
+    assert kept.columns == named.columns and kept.count() == len(rows)
+    got = {r.doc_id: r.lang_id for r in langid.identified(df, carry=["doc_id"]).collect()}
+    assert sum(got[d] == lang for d, _, lang, _ in rows) > 0.95 * len(rows)

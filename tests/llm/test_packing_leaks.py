@@ -148,3 +148,33 @@ def test_packing_repeated_rows_and_clashing_columns(spark):
     e = packing.Encoder(packing.driver_file(packing.VOCABULARY))
     pieces = sorted((str(d), np.frombuffer(r.ids, dtype="<u2")[a:b].tolist()) for r in rows for d, a, b in zip(r.doc_ids, r.cu_seqlens, r.cu_seqlens[1:], strict=False))
     assert pieces == sorted((str(d), [*e.bpe.encode_ordinary(t or ""), e.end]) for d, t in ((1, "a b"), (1, "a b"), (None, "c"), (None, None)))
+
+
+def test_repeated_items_count_once(spark):
+    docs = spark.createDataFrame([(1, "so the quick brown fox jumps over it"), (2, "xx abc def yy"), (3, "nothing")], "doc_id long, text string")
+    items = [(1, "the quick brown fox jumps"), (1, "the quick brown fox jumps"), (1, "quick brown fox jumped over"), (2, "abc def"), (None, "xx"), (None, "abc")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted(((r.doc_id, r.item_id, r.distance) for r in decontaminate.leaks(docs, bench).collect()), key=str)
+    assert got == [(1, 1, 0), (2, 2, 0), (2, None, 0)]
+    assert sorted(((r.doc_id, r.item_id, r.distance) for r in decontaminate.leaks(docs, bench.unionByName(bench)).collect()), key=str) == got
+
+
+def test_short_pieces_by_the_automaton():
+    rng = random.Random(4)
+    items = [(i, " ".join("".join(rng.choices("ab", k=rng.randint(1, 3))) for _ in range(rng.randint(1, 6)))) for i in range(40)]
+    texts = [" ".join("".join(rng.choices("abc", k=rng.randint(1, 4))) for _ in range(rng.randint(0, 30))) for _ in range(60)]
+    scan = decontaminate.Scanner(items)
+    got = {(t, i) for t, own in enumerate(scan.matches(texts)) for i, *_ in own}
+    want = {(t, i) for t, text in enumerate(texts) for i, x in items if decontaminate.myers(x, text)[0] <= int(len(x) * decontaminate.RATE)}
+    # a word of a short item may also be another one, which the edits don't say
+    assert scan.short and want <= got and {(t, i) for t, i in got if int(len(items[i][1]) * decontaminate.RATE) == 0} <= want
+
+
+def test_parts_are_written_between(spark, monkeypatch):
+    rows = [(i, f"text {i} holds item number {i % 7} here") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, Text string").withColumnRenamed("doc_id", "doc.id").selectExpr("`doc.id`", "Text", "1 AS doc_id")
+    bench = spark.createDataFrame([(i, f"item number {i} here") for i in range(4)], "item_id long, text string")
+    monkeypatch.setattr(decontaminate, "MAX_CHARS", 20)
+    kept = decontaminate.clean(df, bench)
+    assert kept.columns == ["doc.id", "Text", "doc_id"] and sorted(r[0] for r in kept.collect()) == [i for i in range(30) if i % 7 > 3]
+    assert kept._jdf.queryExecution().toString().split("== Physical Plan ==")[1].count("MapInArrow") == 1
