@@ -12,8 +12,8 @@ from sketchloom.functions import bits
 from sketchloom.functions import distances as D
 from sketchloom.operators import ani, entries, graph, legacy, pairs, place, profile, readqc, setops
 from sketchloom.operators.ani import Options
-from sketchloom.operators.tokenize import KmerLayout, recovered, tokenized
-from sketchloom.plans import placement  # noqa: F401  registers queries of its own
+from sketchloom.operators.tokenize import recovered, tokenized
+from sketchloom.plans import placement, sequences  # noqa: F401  they register queries of their own
 from sketchloom.plans import sql as S
 from sketchloom.plans import views as V
 from sketchloom.plans.registry import QUERIES, SQL, Query, query, r9
@@ -115,38 +115,19 @@ def a10(spark, d):
     return entries.unique_owners(V.rord(spark, d))
 
 
-_M = "18446744073709551616::UHUGEINT"
-_MIX = f"""h0 AS (SELECT *, CAST((CAST(ctx AS UHUGEINT) + 11400714819323198485::UHUGEINT) % {_M} AS UBIGINT) AS x FROM supp),
-h1 AS (SELECT * EXCLUDE x, CAST((CAST(xor(x, x >> 30) AS UHUGEINT) * 13787848793156543929::UHUGEINT) % {_M} AS UBIGINT) AS x FROM h0),
-h2 AS (SELECT * EXCLUDE x, CAST((CAST(xor(x, x >> 27) AS UHUGEINT) * 10723151780598845931::UHUGEINT) % {_M} AS UBIGINT) AS x FROM h1),
-h AS (SELECT * EXCLUDE x, xor(x, x >> 31) AS x FROM h2)"""
-
-
-@query("p3_sampled_contexts", f"WITH {S.SUPP}, {_MIX} SELECT sample_id, ctx, obj, cnt, pos FROM h WHERE (x & 4294967295::UBIGINT) <= {0xFFFFFFFF >> 2}::UBIGINT")
+@query("p3_sampled_contexts", f"WITH {S.SUPP}, {S.MIX} SELECT sample_id, ctx, obj, cnt, pos FROM h WHERE (x & 4294967295::UBIGINT) <= {0xFFFFFFFF >> 2}::UBIGINT")
 def p3(spark, d):
     return bits.sampled(V.supp(spark, d), "ctx", 2)
 
 
-#: A k-mer of nine bases: objects outside and in the middle, three context bases on either side.
-_KMERS = KmerLayout.manual(3, 1, 1, fold=1)
-_number = lambda text, n: " + ".join(f"(instr('ACGT', substr({text}, {i + 1}, 1)) - 1) * {4 ** (n - 1 - i)}" for i in range(n))
-_TOKENS = f"""g AS (SELECT CAST(c_nationkey AS BIGINT) AS sample_id, l_orderkey * 1000 AS off, string_agg({" || ".join(f"substr('ACGT', CAST((l_partkey // {4 ** i}) % 4 + 1 AS BIGINT), 1)" for i in range(7, -1, -1))}, '' ORDER BY l_linenumber, l_partkey) AS seq
-FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON c_custkey = o_custkey GROUP BY c_nationkey, l_orderkey),
-p AS (SELECT sample_id, off + i - 1 AS pos, substr(seq, i, 9) AS own, reverse(translate(substr(seq, i, 9), 'ACGT', 'TGCA')) AS other FROM (SELECT *, unnest(range(1, length(seq) - 7)) AS i FROM g)),
-o AS (SELECT sample_id, pos, CASE WHEN substr(own, 2, 3) || substr(own, 6, 3) < substr(other, 2, 3) || substr(other, 6, 3) THEN own ELSE other END AS kmer FROM p),
-supp AS (SELECT sample_id, pos, kmer, CAST({_number("'A' || substr(kmer, 2, 3) || 'A' || substr(kmer, 6, 3) || 'A'", 9)} AS BIGINT) AS ctx FROM o)"""
-_TOKENS += f""", {_MIX}, t AS (SELECT sample_id, pos, kmer, CAST({_number("substr(kmer, 2, 3) || substr(kmer, 6, 3)", 6)} AS BIGINT) AS ctx, CAST({_number("substr(kmer, 1, 1) || substr(kmer, 5, 1) || substr(kmer, 9, 1)", 3)} AS BIGINT) AS obj
-FROM h WHERE (x & 4294967295::UBIGINT) <= {0xFFFFFFFF >> 1}::UBIGINT)"""
-
-
-@query("p1_p4_tokenized", f"WITH {_TOKENS} SELECT sample_id, ctx, obj, COUNT(*) AS cnt, MIN(pos) AS pos FROM t GROUP BY 1, 2, 3")
+@query("p1_p4_tokenized", f"WITH {S.TOKENS} SELECT sample_id, ctx, obj, COUNT(*) AS cnt, MIN(pos) AS pos FROM t GROUP BY 1, 2, 3")
 def p1_p4(spark, d):
-    return entries.counted(tokenized(V.genomes(spark, d), _KMERS))
+    return entries.counted(tokenized(V.genomes(spark, d), V.KMERS))
 
 
-@query("p5_recovered_kmers", f"WITH {_TOKENS} SELECT DISTINCT sample_id, kmer, reverse(translate(kmer, 'ACGT', 'TGCA')) AS reverse_complement FROM t")
+@query("p5_recovered_kmers", f"WITH {S.TOKENS} SELECT DISTINCT sample_id, kmer, reverse(translate(kmer, 'ACGT', 'TGCA')) AS reverse_complement FROM t")
 def p5(spark, d):
-    return recovered(entries.distinct_entries(tokenized(V.genomes(spark, d), _KMERS)), _KMERS)
+    return recovered(entries.distinct_entries(tokenized(V.genomes(spark, d), V.KMERS)), V.KMERS)
 
 
 @query("p6_min_occurrence", f"WITH {S.SUPP} SELECT * FROM supp WHERE cnt >= 2")

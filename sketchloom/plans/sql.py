@@ -62,5 +62,32 @@ MASH = f"CASE WHEN xny = 0 THEN 1 ELSE {clean('-ln(2 * (xny / (q_ctx + r_ctx - x
 AAF = f"CASE WHEN xny = 0 THEN 1 ELSE {clean('-ln(xny / LEAST(q_ctx, r_ctx)) / 22')} END"
 
 
+_M = "18446744073709551616::UHUGEINT"
+#: The hash of the contexts of ``supp``, in ``h``.
+MIX = f"""h0 AS (SELECT *, CAST((CAST(ctx AS UHUGEINT) + 11400714819323198485::UHUGEINT) % {_M} AS UBIGINT) AS x FROM supp),
+h1 AS (SELECT * EXCLUDE x, CAST((CAST(xor(x, x >> 30) AS UHUGEINT) * 13787848793156543929::UHUGEINT) % {_M} AS UBIGINT) AS x FROM h0),
+h2 AS (SELECT * EXCLUDE x, CAST((CAST(xor(x, x >> 27) AS UHUGEINT) * 10723151780598845931::UHUGEINT) % {_M} AS UBIGINT) AS x FROM h1),
+h AS (SELECT * EXCLUDE x, xor(x, x >> 31) AS x FROM h2)"""
+GENOMES = f"""g AS (SELECT CAST(c_nationkey AS BIGINT) AS sample_id, l_orderkey, l_orderkey * 1000 AS off, string_agg({" || ".join(f"substr('ACGT', CAST((l_partkey // {4**i}) % 4 + 1 AS BIGINT), 1)" for i in range(7, -1, -1))}, '' ORDER BY l_linenumber, l_partkey) AS seq
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON c_custkey = o_custkey GROUP BY c_nationkey, l_orderkey)"""
+
+
+def packed(text: str, n: int) -> str:
+    """The number of ``n`` bases."""
+    return " + ".join(f"(instr('ACGT', substr({text}, {i + 1}, 1)) - 1) * {4 ** (n - 1 - i)}" for i in range(n))
+
+
+def tokens(window: str = "true") -> str:
+    """CTEs up to ``t``, the sampled k-mers of ``views.KMERS``; ``window`` says which windows count, from base ``i`` of a sequence."""
+    return f"""{GENOMES}, p AS (SELECT sample_id, off + i - 1 AS pos, substr(seq, i, 9) AS own, reverse(translate(substr(seq, i, 9), 'ACGT', 'TGCA')) AS other FROM (SELECT *, unnest(range(1, length(seq) - 7)) AS i FROM g) WHERE {window}),
+o AS (SELECT sample_id, pos, CASE WHEN substr(own, 2, 3) || substr(own, 6, 3) < substr(other, 2, 3) || substr(other, 6, 3) THEN own ELSE other END AS kmer FROM p),
+supp AS (SELECT sample_id, pos, kmer, CAST({packed("'A' || substr(kmer, 2, 3) || 'A' || substr(kmer, 6, 3) || 'A'", 9)} AS BIGINT) AS ctx FROM o),
+{MIX}, t AS (SELECT sample_id, pos, kmer, CAST({packed("substr(kmer, 2, 3) || substr(kmer, 6, 3)", 6)} AS BIGINT) AS ctx, CAST({packed("substr(kmer, 1, 1) || substr(kmer, 5, 1) || substr(kmer, 9, 1)", 3)} AS BIGINT) AS obj
+FROM h WHERE (x & 4294967295::UBIGINT) <= {0xFFFFFFFF >> 1}::UBIGINT)"""
+
+
+TOKENS = tokens()
+
+
 def r9(x: str) -> str:
     return f"ROUND(CAST({x} AS DOUBLE), 9)"

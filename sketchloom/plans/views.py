@@ -16,11 +16,15 @@ from pyspark.sql import functions as F
 
 from sketchloom.functions.distances import Layout
 from sketchloom.operators.entries import counted
+from sketchloom.operators.tokenize import KmerLayout
 from sketchloom.session import table
 
 #: Objects are quantities below 64: three 2-bit sections. Contexts keep the default 44 bits.
 SUPP_LAYOUT = Layout(ctx_bits=44, obj_bits=6)
 
+#: A k-mer of nine bases: objects outside and in the middle, three context bases on either side.
+KMERS = KmerLayout.manual(3, 1, 1, fold=1)
+
 
 def raw_supp(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
