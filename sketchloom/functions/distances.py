@@ -135,9 +135,11 @@ def select(expression: str, layout: Layout = Layout()) -> Column:
 _calibrator: Callable[[], Column] | None = None
 
 
-def set_calibrator(builder: Callable[[], Column] | None) -> None:
+def set_calibrator(builder: Callable[[], Column] | None) -> Callable[[], Column] | None:
+    """Use another calibrator, or none; gives the one before."""
     global _calibrator
-    _calibrator = builder
+    before, _calibrator = _calibrator, builder
+    return before
 
 
 def identity_boundary() -> Column:

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from sketchloom.functions import distances as D
 from sketchloom.functions.distances import Layout
-from sketchloom.operators.entries import context_counts, unique_owners
-from sketchloom.operators.pairs import pair_features, with_fractions
-from sketchloom.session import small
+from sketchloom.operators.entries import unique_owners
+from sketchloom.operators.pairs import Groups, groups, pair_features, with_fractions
+from sketchloom.session import materialize, numbered, small
 
 NAMES = ("BestDist", "RecalDist", "CtxMoE", "Naive", "MashD", "AafD", "MashD_if_far", "AafD_if_far", "p_dist")
 
@@ -131,6 +131,7 @@ def ranked(rows: DataFrame, top: int | None = None) -> DataFrame:
 
 def detail(qry: DataFrame, ref: DataFrame | None = None, options: Options = Options(), layout: Layout = Layout(), **how) -> DataFrame:
     """The report of ``qry`` against ``ref`` (or against itself, each pair once)."""
+    qry, ref = groups(qry), None if ref is None else groups(ref)
     pairs = pair_features(qry, ref, ignore_conflicts=options.ignore_conflicts, **how)
     # what shares fewer contexts can't be reported, so it goes before anything is computed
     rows = with_fractions(pairs.where(F.col("xny") >= options.ctxcut), qry, ref, options.ignore_conflicts)
@@ -166,12 +167,13 @@ def unique_features(qry: DataFrame, ref: DataFrame, options: Options = Options(r
     A reference's unique contexts are decided over all references, before conflicts are ignored.
     """
     keys = ["q", "r"]
-    full = with_fractions(pair_features(qry, ref, ignore_conflicts=options.ignore_conflicts), qry, ref, options.ignore_conflicts)
-    owners = unique_owners(ref)
-    own = ref.join(owners, ["ctx", "sample_id"], "left_semi")
-    few = pair_features(qry, own, ignore_conflicts=options.ignore_conflicts).select(*keys, *(F.col(c).alias(f"u_{c}") for c in ("xny", "n_diff", "n_section", "n_mut2")))
-    totals = context_counts(own, "u_ref").withColumnRenamed("sample_id", "r")
-    both = full.join(few, keys, "left").join(small(totals), "r", "left")
+    left, right = groups(qry), groups(ref)
+    full = with_fractions(pair_features(left, right, ignore_conflicts=options.ignore_conflicts), left, right, options.ignore_conflicts)
+    owners = unique_owners(right.rows)
+    own = groups(right.entries().join(owners, ["ctx", "sample_id"], "left_semi"))
+    few = pair_features(left, own, ignore_conflicts=options.ignore_conflicts).select(*keys, *(F.col(c).alias(f"u_{c}") for c in ("xny", "n_diff", "n_section", "n_mut2")))
+    totals = own.counts.select(F.col("sample_id").alias("r"), F.col("n_ctx").alias("u_ref"))
+    both = full.join(few, keys, "left").join(small(totals, own.n_samples), "r", "left")
     return both.withColumns({c: F.coalesce(c, F.lit(0)) for c in _UNIQUE})
 
 
@@ -224,13 +226,16 @@ def coverage(rows: DataFrame, qry: DataFrame, ref: DataFrame, scope: str = "refe
     seen = counts.join(single, ["ctx", "obj"]).select("q", "r", "c").join(hit, ["q", "r"], "left_semi")
     markers = hit.join(small(per_ref), "r", "left").select("q", "r", F.coalesce("_single", F.lit(0)).alias("ref_markers"))
     if scope == "reported":
-        # other keys are markers where the query's rows report only one of their references
-        shared = held.join(single, ["r", "ctx", "obj"], "left_anti")
-        alone = hit.join(shared, "r").groupBy("q", "ctx", "obj").agg(F.min("r").alias("r"), F.count("*").alias("_n")).where("_n = 1")
-        met = alone.join(counts, ["q", "ctx", "obj"], "left").select("q", "r", "c")
-        more = met.groupBy("q", "r").agg(F.count("*").alias("_more"))
+        # other keys are markers where the query's rows report only one of their references. Keys that the same references have are
+        # one set of owners, told apart by their number and two sums of hashes, so a query meets sets and not keys
+        owners = [F.count("*").alias("n"), F.bit_xor(F.xxhash64("r")).alias("x"), F.bit_xor(F.xxhash64("r", F.lit(1))).alias("y")]
+        sets = materialize(held.distinct().groupBy("ctx", "obj").agg(*owners).where("n > 1"), "owners")
+        own = ["n", "x", "y"]
+        members = held.distinct().join(sets, ["ctx", "obj"]).groupBy(*own, "r").agg(F.count("*").alias("_keys"))
+        alone = materialize(members.join(hit, "r").groupBy("q", *own).agg(F.min("r").alias("r"), F.count("*").alias("_hits"), F.min("_keys").alias("_keys")).where("_hits = 1").drop("_hits"), "alone")
+        more = alone.groupBy("q", "r").agg(F.sum("_keys").alias("_more"))
         markers = markers.join(more, ["q", "r"], "left").select("q", "r", (F.col("ref_markers") + F.coalesce("_more", F.lit(0))).alias("ref_markers"))
-        seen = seen.unionByName(met.where("c IS NOT NULL"))
+        seen = seen.unionByName(counts.join(sets, ["ctx", "obj"]).join(alone, ["q", *own]).select("q", "r", "c"))
     elif scope != "reference":
         raise ValueError("scope is 'reference' or 'reported'")
     got = seen.groupBy("q", "r").agg(
@@ -278,14 +283,16 @@ def matrix_cells(qry: DataFrame, metric: str = "ctx-moe", ref: DataFrame | None
     frame of cells comes from the two lists of sample ids, the smaller of which is broadcast if it is small.
     """
     self_join = ref is None
+    qry, ref = groups(qry), None if self_join else groups(ref)
     pairs = with_fractions(pair_features(qry, ref), qry, ref)
     value = F.least(F.lit(1.0), D.select(metric, layout))
     found = pairs.select("q", "r", value.alias("d"))
-    q = qry.select(F.col("sample_id").alias("q")).distinct()
-    r = (qry if self_join else ref).select(F.col("sample_id").alias("r")).distinct()
+    q = qry.counts.select(F.col("sample_id").alias("q"))
+    other = qry if self_join else ref
+    r = other.counts.select(F.col("sample_id").alias("r"))
     if self_join:
         found = found.unionByName(found.select(F.col("r").alias("q"), F.col("q").alias("r"), "d"))
-    frame = q.crossJoin(small(r))
+    frame = q.crossJoin(small(r, other.n_samples))
     zero = (F.col("q") == F.col("r")) if self_join else F.lit(False)
     cells = frame.join(found, ["q", "r"], "left").withColumn("d", F.when(zero, 0.0).otherwise(F.coalesce("d", F.lit(1.0))))
     if self_join and not diagonal:
@@ -308,7 +315,7 @@ def lower_triangle(cells: DataFrame, diagonal: bool = False) -> DataFrame:
 
 def phylip(cells: DataFrame, samples: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Lines of a square PHYLIP matrix (id of width 10, then values) and the map of ids to names."""
-    ids = samples.select("sample_id", "name", F.format_string("S%09d", F.row_number().over(Window.orderBy("sample_id"))).alias("ID"))
+    ids = numbered(samples.select("sample_id", "name"), ["sample_id"], "_n").select("sample_id", "name", F.format_string("S%09d", F.col("_n") + 1).alias("ID"))
     lines = cells.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("r", F.format_string("%.6f", F.col("value")).alias("v")))).alias("_cells"))
     text = F.concat(F.rpad("ID", 10, " "), F.lit(" "), F.array_join(F.transform("_cells", lambda c: c["v"]), " "))
     return lines.join(small(ids), lines["q"] == ids["sample_id"]).select("q", text.alias("line")), ids.select("ID", F.col("name").alias("Sample"))
@@ -319,6 +326,7 @@ def edges(entries: DataFrame, metric: str = "ctx-moe", cut: float = 0.05, ctxcut
 
     Where ``candidates`` (q, r) are given, only those pairs are scored, exactly.
     """
+    entries = groups(entries)
     pairs = pair_features(entries, candidates=candidates).where(F.col("xny") >= ctxcut)
     rows = with_fractions(pairs, entries).where(F.col("max_af") >= max_afcut)
     return rows.withColumn("distance", D.select(metric, layout)).where(F.col("distance") < cut).withColumn("similarity", 1 - F.col("distance")).withColumn("metric", F.lit(metric))

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from sketchloom.session import discard, materialize, measured, small
+from sketchloom.session import discard, materialize, measured, numbered, small
 
 #: Edges that a task contracts at a time.
 CONTRACTED = 1_000_000
@@ -113,8 +113,9 @@ def quality_keys() -> list[Column]:
 
 
 def quality_rank(samples: DataFrame) -> DataFrame:
-    """sample_id and its rank, 1 the best. One total order of all samples is asked for: only keys are sorted."""
-    return samples.select("sample_id", F.row_number().over(Window.orderBy(*quality_keys())).alias("rank"))
+    """sample_id and its rank, 1 the best; keys are sorted in ranges."""
+    keys = samples.select("sample_id", "meta_valid", "is_fasta", "asm_level", "total_length_bp", "record_count", "median_length_bp", "length_cv", "n_entries")
+    return numbered(keys, quality_keys(), "_rank").select("sample_id", (F.col("_rank") + 1).cast("int").alias("rank"))
 
 
 def clusters(ranks: DataFrame, edges: DataFrame) -> DataFrame:
@@ -122,7 +123,7 @@ def clusters(ranks: DataFrame, edges: DataFrame) -> DataFrame:
     comps = components(edges.select(F.col("q").alias("a"), F.col("r").alias("b"))).select(F.col("id").alias("sample_id"), "comp")
     held = ranks.join(comps, "sample_id", "left").withColumn("comp", F.coalesce("comp", "sample_id"))
     each = held.groupBy("comp").agg(F.count("*").alias("component_size"), F.min_by("sample_id", "rank").alias("representative"))
-    number = each.withColumn("_n", F.row_number().over(Window.orderBy("comp"))).withColumn("cluster_id", F.format_string("cluster_%06d", "_n")).drop("_n")
+    number = numbered(each, ["comp"], "_n").withColumn("cluster_id", F.format_string("cluster_%06d", F.col("_n") + 1)).drop("_n")
     return held.join(number, "comp").select("sample_id", "cluster_id", "component_size", "representative")
 
 
@@ -286,7 +287,7 @@ def plan_report(plan: DataFrame, samples: DataFrame) -> DataFrame:
     own = samples.select("sample_id", F.col("name").alias("sample"), *(F.col(c).alias(f"sample_{c}") for c in held))
     rep = samples.select(F.col("sample_id").alias("representative"), F.col("name").alias("representative_name"), *(F.col(c).alias(f"rep_{c}") for c in held))
     first = plan.groupBy("representative").agg(F.min("sample_id").alias("_first"))
-    number = first.select("representative", F.format_string("cluster_%06d", F.row_number().over(Window.orderBy("_first"))).alias("component_id"))
+    number = numbered(first, ["_first"], "_n").select("representative", F.format_string("cluster_%06d", F.col("_n") + 1).alias("component_id"))
     out = plan.join(small(number), "representative").join(own, "sample_id").join(rep, "representative")
     reason = F.when(F.col("component_size") == 1, "singleton").when(F.col("action") == "keep", "best_representative").otherwise("duplicate")
     return out.select(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,3 +69,28 @@ def append(a: DataFrame, b: DataFrame, a_params: dict | None = None, b_params: d
     offset = 0 if last is None else last + 1
     columns = [c for c in a.columns if c in b.columns]
     return a.select(*columns).unionByName(b.withColumn("sample_id", F.col("sample_id") + offset).select(*columns))
+
+
+#: A sample's input metadata; the rest of a sample's columns is appended as it is.
+METADATA = ("total_length_bp", "record_count", "median_length_bp", "asm_level", "length_cv", "version", "fmt", "create_type", "flags")
+
+
+def append_samples(parts: Sequence[DataFrame], params: Sequence[dict] = ()) -> DataFrame:
+    """Samples of several sketches one after another, with the ids that :func:`append` gives their entries.
+
+    Metadata stay if all parts have them (a column ``total_length_bp``). If only some have, nobody's can be compared, so all become zero (text
+    columns empty). QC ranges, annotations and other columns are kept where a part has them and are null elsewhere. Parameters of the parts must
+    agree.
+    """
+    for p in params[1:]:
+        check_compatible(params[0], p, COMPATIBLE)
+    having = ["total_length_bp" in p.columns for p in parts]
+    out, offset = None, 0
+    for part in parts:
+        last = part.agg(F.max("sample_id")).first()[0]
+        moved = part.withColumn("sample_id", F.col("sample_id") + offset)
+        offset += 0 if last is None else last + 1
+        out = moved if out is None else out.unionByName(moved, allowMissingColumns=True)
+    if any(having) and not all(having):
+        out = out.withColumns({c: (F.lit("") if t == "string" else F.lit(0).cast(t)) for c, t in out.dtypes if c in METADATA})
+    return out

@@ -6,6 +6,9 @@ both sides, as the engines' ``pow`` and ``ln`` may differ in the last bit.
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sketchloom.functions import bits
@@ -17,7 +20,7 @@ from sketchloom.plans import placement, sequences  # noqa: F401  they register q
 from sketchloom.plans import sql as S
 from sketchloom.plans import views as V
 from sketchloom.plans.registry import QUERIES, SQL, Query, query, r9
-from sketchloom.session import table
+from sketchloom.session import scratch_path, table
 
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
@@ -71,7 +74,7 @@ def a5(spark, d):
 
 @query("a5_pair_features_salted", f"WITH {S.SUPP}, {S.kernel('supp')} SELECT * FROM pairs")
 def a5_salted(spark, d):
-    return pairs.pair_features(V.supp(spark, d), hot=20)
+    return pairs.pair_features(V.supp(spark, d), tile=7)
 
 
 @query("a5_conflict_free", f"WITH {S.SUPP}, {S.CLEAN}, {S.kernel('clean')} SELECT * FROM pairs")
@@ -84,6 +87,14 @@ def j3(spark, d):
     return pairs.pair_features(V.cust(spark, d), V.supp(spark, d))
 
 
+@query("j2_stored_index", f"WITH {S.SUPP}, {S.CUST}, {S.kernel('cust', 'supp')} SELECT * FROM pairs")
+def j2(spark, d):
+    """Against a stored reference, bucketed by context."""
+    name = f"sketchloom_{uuid.uuid4().hex}"
+    pairs.write_index(name, V.supp(spark, d), 16, scratch_path(spark, "index"))
+    return pairs.pair_features(V.cust(spark, d), pairs.read_index(spark, name))
+
+
 @query("p19_ignore_conflicts", f"WITH {S.SUPP}, {S.CUST}, {S.CLEAN}, {S.kernel('cust', 'clean')} SELECT * FROM pairs")
 def p19(spark, d):
     return pairs.pair_features(V.cust(spark, d), V.supp(spark, d), ignore_conflicts=True)
@@ -196,7 +207,7 @@ def p13(spark, d):
 {S.r9(S.blast('q_ctx'))} AS blast_qry, {S.r9(S.blast('r_ctx'))} AS blast_ref FROM f""",
 )
 def d_base(spark, d):
-    e = V.supp(spark, d)
+    e = pairs.groups(V.supp(spark, d))
     f = pairs.with_fractions(pairs.pair_features(e), e)
     return f.select(*FEATURES, r9(D.naive(L)).alias("naive"), r9(D.p_dist(L)).alias("p_dist"), r9(D.moe(L)).alias("moe"), r9(D.mash(L)).alias("mash"), r9(D.aaf(L)).alias("aaf"), r9(D.blast_fraction("q_ctx", L)).alias("blast_qry"), r9(D.blast_fraction("r_ctx", L)).alias("blast_ref"))
 
@@ -206,7 +217,7 @@ def _if_far(metric: int, other: str) -> tuple[str, Query]:
 CASE WHEN max_af >= 0.3 THEN {S.r9(S.NAIVE)} ELSE 1.0 END AS naive FROM f"""
 
     def run(spark, d):
-        e = V.supp(spark, d)
+        e = pairs.groups(V.supp(spark, d))
         o = Options(metric=metric, afcut=0.3)
         rows = ani.selected(ani.base_distances(pairs.with_fractions(pairs.pair_features(e), e), o, L), o)
         return rows.select("q", "r", r9("distance").alias("distance"), r9("naive_dist").alias("naive"))
@@ -224,7 +235,7 @@ _IDENTICAL = "xny > 0 AND n_diff = 0 AND af_qry = 1 AND af_ref = 1"
 
 
 def _sized(spark, d):
-    e = V.size(spark, d)
+    e = pairs.groups(V.size(spark, d))
     return pairs.with_fractions(pairs.pair_features(e), e)
 
 
@@ -246,11 +257,11 @@ CASE WHEN {_IDENTICAL} THEN 'high' WHEN af_ref < 0.5 OR (raw >= 0.95 AND raw - c
 )
 def d9_d11(spark, d):
     """With a calibrator that takes off a part of the differing sections; what a learned model would give is the caller's."""
-    D.set_calibrator(lambda: F.col("raw_ani") - 0.2 * (F.col("n_section") / F.col("xny")))
+    before = D.set_calibrator(lambda: F.col("raw_ani") - 0.2 * (F.col("n_section") / F.col("xny")))
     try:
         rows = ani.selected(ani.base_distances(_sized(spark, d), Options(metric=2), L), Options(metric=2))
     finally:
-        D.set_calibrator(None)
+        D.set_calibrator(before)
     return rows.select("q", "r", r9("distance").alias("distance"), r9("raw_ani").alias("raw_ani"), "confidence")
 
 
@@ -258,7 +269,7 @@ for _label, _expr, _fn in (("d14_metric_and", "ctx-naive&aaf", "GREATEST"), ("d1
     _parts = (S.NAIVE, S.AAF) if _fn == "GREATEST" else (S.MASH, S.p_dist())
 
     def _run(spark, d, expr=_expr):
-        e = V.supp(spark, d)
+        e = pairs.groups(V.supp(spark, d))
         return pairs.with_fractions(pairs.pair_features(e), e).select("q", "r", r9(D.select(expr, L)).alias("distance"))
 
     query(_label, f"{KERNEL} SELECT q, r, {_fn}({S.r9(_parts[0])}, {S.r9(_parts[1])}) AS distance FROM f")(_run)
@@ -373,6 +384,28 @@ def g6(spark, d):
     return setops.append(V.supp(spark, d), V.cust(spark, d))
 
 
+_META = ("total_length_bp", "record_count", "median_length_bp")
+_PARTS = f"""WITH n AS (SELECT MAX(s_suppkey) + 1 AS off FROM supplier), m AS (SELECT l_suppkey AS sample_id, CAST(SUM(CAST(l_quantity AS BIGINT)) AS BIGINT) AS total_length_bp, COUNT(*) AS record_count, CAST(FLOOR(quantile_cont(CAST(l_quantity AS BIGINT), 0.5)) AS BIGINT) AS median_length_bp FROM lineitem GROUP BY 1),
+one AS (SELECT s_suppkey AS sample_id, s_name AS name, m.* EXCLUDE sample_id FROM supplier JOIN m ON sample_id = s_suppkey), two AS (SELECT n_nationkey + off AS sample_id, n_name AS name FROM nation, n)"""
+
+
+@query(
+    "g6_append_metadata",
+    f"""{_PARTS} SELECT 'all' AS parts, * FROM one UNION ALL SELECT 'all', sample_id + off, name, {", ".join(_META)} FROM one, n
+UNION ALL SELECT 'none', sample_id, name, NULL, NULL, NULL FROM one UNION ALL SELECT 'none', *, NULL, NULL, NULL FROM two
+UNION ALL SELECT 'mixed', sample_id, name, 0, 0, 0 FROM one UNION ALL SELECT 'mixed', *, 0, 0, 0 FROM two""",
+)
+def g6_metadata(spark, d):
+    """Samples with metadata after samples with metadata, none after none, and none after some."""
+    m = entries.metadata(V.records(spark, d)).select("sample_id", *_META)
+    bare = V.supp_samples(spark, d)
+    one, two = bare.join(m, "sample_id"), table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("sample_id"), F.col("n_name").alias("name"))
+    cases = {"all": [one, one], "none": [one.select("sample_id", "name"), two], "mixed": [one, two]}
+    none = {c: F.lit(None).cast("long") for c in _META}
+    first, *rest = (got.withColumns({c: v for c, v in none.items() if c not in got.columns}).select(F.lit(k).alias("parts"), "sample_id", "name", *_META) for k, got in ((k, setops.append_samples(parts)) for k, parts in cases.items()))
+    return first.unionByName(rest[0]).unionByName(rest[1])
+
+
 @query("g12_combined_pan", f"WITH {S.SUPP}, {S.CUST} SELECT ctx, obj FROM supp UNION SELECT ctx, obj FROM cust")
 def g12(spark, d):
     return setops.combined_pan(setops.union_pan(V.supp(spark, d)), setops.union_pan(V.cust(spark, d)))
@@ -533,6 +566,20 @@ def _coverage(scope: str) -> Query:
 
 
 query("a11_coverage_reference", f"{_HITS}, mk AS (SELECT h.q, h.r, s.ctx, s.obj FROM h JOIN supp s ON s.sample_id = h.r WHERE (s.ctx, s.obj) IN (SELECT (ctx, obj) FROM (SELECT ctx, obj FROM supp GROUP BY 1, 2 HAVING COUNT(*) = 1))), {_COVERAGE}")(_coverage("reference"))
+_TOP = f"WITH {S.SUPP}, {S.NAT}, {S.kernel('nat', 'supp')}, h AS (SELECT q, r FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY q ORDER BY n_section, xny DESC, r) AS i FROM pairs WHERE xny >= 3) WHERE i <= 3)"
+_ALONE = "al AS (SELECT h.q, h.r, s.ctx, s.obj, COUNT(*) OVER (PARTITION BY h.q, s.ctx, s.obj) AS n FROM h JOIN supp s ON s.sample_id = h.r), mk AS (SELECT * FROM al WHERE n = 1)"
+
+
+@query("a11_coverage_of_three", f"{_TOP}, {_ALONE}, {_COVERAGE.replace('LEFT JOIN cust c', 'LEFT JOIN nat c')}")
+def a11_three(spark, d):
+    """Three references are reported for a query, so that keys of many references have one owner among these."""
+    q, r = V.nat(spark, d), V.supp(spark, d)
+    order = Window.partitionBy("q").orderBy("n_section", F.desc("xny"), "r")
+    hits = pairs.pair_features(q, r).where("xny >= 3").withColumn("_i", F.row_number().over(order)).where("_i <= 3")
+    got = ani.coverage(hits, q, r, "reported").drop("estimator")
+    return got.select(*(r9(c).alias(c) if t == "double" else c for c, t in got.dtypes))
+
+
 query("a11_coverage_reported", f"{_HITS}, al AS (SELECT h.q, h.r, s.ctx, s.obj, COUNT(*) OVER (PARTITION BY h.q, s.ctx, s.obj) AS n FROM h JOIN supp s ON s.sample_id = h.r), mk AS (SELECT * FROM al WHERE n = 1), {_COVERAGE}")(_coverage("reported"))
 
 _PROFILE = """met AS (SELECT q.sample_id AS q, r.sample_id AS r, q.cnt AS c, ROW_NUMBER() OVER (PARTITION BY q.sample_id, r.sample_id ORDER BY q.cnt) - 1 AS i, COUNT(*) OVER (PARTITION BY q.sample_id, r.sample_id) AS n

@@ -52,6 +52,8 @@ def shared_dir(spark: SparkSession) -> str:
         if not found:
             if not sc.master.startswith("local["):
                 found = spark.conf.get("spark.sql.warehouse.dir") + "/.scratch"
+                if found.startswith("file:") or ":" not in found:
+                    raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             else:
                 found = "file://" + tempfile.mkdtemp(prefix="sketchloom-")
             sc.setCheckpointDir(found)

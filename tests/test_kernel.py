@@ -5,7 +5,7 @@ from collections import defaultdict
 
 import pytest
 
-from sketchloom.operators import ani, entries, pairs
+from sketchloom.operators import ani, entries, pairs, setops
 from sketchloom.operators.ani import Options
 
 SCHEMA = "sample_id long, ctx long, obj long"
@@ -51,7 +51,12 @@ def test_random_features(spark, seed):
     q, r = (spark.createDataFrame(sorted(set(x)), SCHEMA) for x in (qry, ref))
     assert collected(pairs.pair_features(q, r)) == features(qry, ref)
     assert collected(pairs.pair_features(q, r, ignore_conflicts=True)) == features(qry, ref, ignore=True)
-    assert collected(pairs.pair_features(q, r, hot=1, salts=3)) == features(qry, ref)
+    assert collected(pairs.pair_features(q, r, tile=1)) == features(qry, ref)
+    every = {k: v for k, v in features(ref, ref).items() if k[1] < k[0]}
+    assert collected(pairs.pair_features(r)) == every and collected(pairs.pair_features(r, tile=1)) == every and collected(pairs.pair_features(r, tile=2)) == every
+    assert collected(pairs.pair_features(r, ignore_conflicts=True)) == {k: v for k, v in features(ref, ref, ignore=True).items() if k[1] < k[0]}
+    some = spark.createDataFrame([(1, 0), (3, 2), (1, 0)], "q long, r long")
+    assert collected(pairs.pair_features(r, candidates=some)) == {k: v for k, v in every.items() if k in ((1, 0), (3, 2))}
     owners = defaultdict(set)
     for s, c, _ in ref:
         owners[c].add(s)
@@ -123,3 +128,47 @@ def test_coverage_counts(spark):
     got = {x.r: x for x in ani.coverage(hits, qry, ref, "reported").collect()}
     assert (got[0].ref_markers, got[0].observed_markers, got[0].count_sum, got[0].positive_median_depth) == (2, 2, 10, 5.0)
     assert got[1].abundance_fraction == pytest.approx(2 / 12) and got[0].count_cv == pytest.approx(0.2)
+
+
+def test_stored_index_is_not_shuffled(spark, tmp_path):
+    rng = random.Random(6)
+    ref = spark.createDataFrame(sorted({(s, rng.randrange(40), rng.randrange(64)) for s in range(9) for _ in range(30)}), SCHEMA)
+    qry = spark.createDataFrame(sorted({(s, rng.randrange(40), rng.randrange(64)) for s in range(5) for _ in range(30)}), SCHEMA)
+    want = collected(pairs.pair_features(qry, ref))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pairs.write_index("idx", ref, 8, str(tmp_path))
+        index = pairs.read_index(spark, "idx")
+        assert collected(pairs.pair_features(qry, index)) == want
+        assert {tuple(r) for r in index.entries().select("sample_id", "ctx", "obj").collect()} == {tuple(r) for r in ref.collect()}
+        # without the groups of many objects there is one join, whose reference side is read as it lies
+        few = pairs.replace(index, many=None, rows=index.rows.where("n <= 2"))
+        plan = pairs.pair_features(pairs.groups(qry, conflict_free=True), few)._jdf.queryExecution().executedPlan().toString()
+        join = plan[plan.index("SortMergeJoin") :]
+        assert "Bucketed: true" in join and join.count("Exchange hashpartitioning(ctx") == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        pairs.drop_index(spark, "idx")
+
+
+def test_a_context_of_very_many_samples(spark):
+    """6,000 samples share a context: blocks of it meet, and no task holds all of it."""
+    n = 6_000
+    e = spark.range(n).selectExpr("id AS sample_id", "7L AS ctx", "id % 4 AS obj")
+    pairs_of = pairs.pair_features(e, conflict_free=True, tile=500)
+    got = pairs_of.agg({"xny": "sum", "n_diff": "sum"}).first()
+    each = n // 4
+    assert (got["sum(xny)"], got["sum(n_diff)"]) == (n * (n - 1) // 2, n * (n - 1) // 2 - 4 * (each * (each - 1) // 2))
+
+
+def test_metadata_of_appended_samples(spark):
+    have = spark.createDataFrame([(0, "a", 5, "fasta"), (1, "b", 6, "fasta")], "sample_id long, name string, total_length_bp long, fmt string")
+    bare = spark.createDataFrame([(0, "c", "note")], "sample_id long, name string, annotation string")
+    rows = lambda df: [tuple(r) for r in df.orderBy("sample_id").collect()]
+    assert rows(setops.append_samples([have, have]).select("sample_id", "total_length_bp")) == [(0, 5), (1, 6), (2, 5), (3, 6)]
+    mixed = setops.append_samples([have, bare])
+    assert rows(mixed.select("sample_id", "name", "total_length_bp", "fmt", "annotation")) == [(0, "a", 0, "", None), (1, "b", 0, "", None), (2, "c", 0, "", "note")]
+    assert setops.append_samples([bare, bare]).columns == bare.columns
+    with pytest.raises(ValueError):
+        setops.append_samples([bare, bare], [{"hash_id": 1}, {"hash_id": 2}])
