@@ -7,6 +7,7 @@ both sides, as the engines' ``pow`` and ``ln`` may differ in the last bit.
 from __future__ import annotations
 
 import uuid
+from types import SimpleNamespace
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -16,7 +17,8 @@ from sketchloom.functions import distances as D
 from sketchloom.operators import ani, entries, graph, legacy, pairs, place, profile, readqc, setops
 from sketchloom.operators.ani import Options
 from sketchloom.operators.tokenize import recovered, tokenized
-from sketchloom.plans import placement, sequences  # noqa: F401  they register queries of their own
+from sketchloom.plans import files, placement, sequences  # noqa: F401  they register queries of their own
+from sketchloom.plans import sketching
 from sketchloom.plans import sql as S
 from sketchloom.plans import views as V
 from sketchloom.plans.registry import QUERIES, SQL, Query, query, r9
@@ -508,6 +510,15 @@ def g9(spark, d):
     return graph.full_linkage(graph.quality_rank(_samples(spark, d)), _edges(spark, d))
 
 
+@query("g10_deduplicated_sketch", f"{_GREEDY} SELECT s.sample_id, s_name AS name, COUNT(*) AS n FROM supp s JOIN chosen USING (sample_id) JOIN supplier ON s_suppkey = s.sample_id WHERE chosen.rank = rep GROUP BY 1, 2")
+def g10(spark, d):
+    """Entries and samples that deduplication leaves."""
+    layout = SimpleNamespace(distances=lambda: L)
+    samples = entries.metadata(V.records(spark, d)).join(V.supp_samples(spark, d), "sample_id")
+    made, kept, _ = sketching.deduplicated(V.supp(spark, d), samples, layout, metric="ctx-naive", cut=_CUT, ctxcut=3, max_afcut=0.25)
+    return made.join(kept.select("sample_id", "name"), "sample_id").groupBy("sample_id", "name").agg(F.count("*").alias("n"))
+
+
 _RULE = "CASE WHEN sample_id = representative THEN 'self' " + "".join(f"WHEN s.{c} <> r.{c} THEN CASE WHEN r.{c} {o} s.{c} THEN '{n}' ELSE 'sample_{n}' END " for n, c, o in (("higher_asm_level", "level", ">"), ("longer_total_length", "total", ">"), ("fewer_records", "records", "<"), ("longer_median_length", "median", ">"), ("lower_length_cv", "cv", "<"), ("more_sketch_entries", "entries", ">"))) + "ELSE 'sample_order' END"
 
 
