@@ -83,4 +83,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_pii": pii.sql(), "op2_minhash": minhash.sql(), "op5_url_filter": urlfilter.sql(), "op12_lexical": lexical.sql()}
+    return {"op1_pii": pii.sql(), "op2_minhash": minhash.sql(), "op5_url_filter": urlfilter.sql(), "op12_lexical": lexical.sql(), "op13_secrets": secretscan.sql()}

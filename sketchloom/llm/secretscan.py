@@ -160,3 +160,36 @@ def digest(docs: DataFrame, model: list[int] | None = None) -> DataFrame:
     named = lambda spans: F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
     count = lambda k: F.size(F.filter("secrets", lambda s: s["kind"] == k)).cast("long")
     return found.select("doc_id", *(count(k).alias(f"n_{k}") for k in KINDS), F.sha2(named(F.filter("secrets", lambda s: s["rank"] < len(BASE))), 256).alias("base_sha256"), named("secrets").alias("spans"))
+
+
+def sql(threshold: float = THRESHOLD) -> str:
+    """DuckDB SQL for :func:`digest` over ``documents``, the labelled sample and the model included."""
+    width, table = len(ALPHABET), "list_transform(string_split({}, ''), lambda c : instr('" + ALPHABET + "', c))"
+    cap = lambda w: f"upper({w}[1]) || lower({w}[2:])"
+    forms = ["one", "one || '_' || two || '_' || three", f"lower(one) || {cap('two')} || {cap('three')}", "one || '-' || two || '-' || three", "upper(one || '_' || two)"]
+    forms += [f"lower(one) || {cap('two')} || {cap('three')} || {cap('one')} || n % 10", "one || '_' || two || '_' || n % 100", "one || '/' || two || '/' || three"]
+    ordinary = f"CASE n % {len(forms)} " + " ".join(f"WHEN {i} THEN {f}" for i, f in enumerate(forms)) + " END"
+    plain = {"assign": rf"""(?:{_KEYS})[""'']?\x20*[:=]\x20*[""'']?[A-Za-z0-9+/_.=-]+""".replace('""', '"'), "access": r"AKIA[A-Z0-9]{16,}", "hex": r"[0-9a-f]{24,}", "random": rf"[A-Za-z0-9+/_=-]{{{LEAST_RANDOM},}}"}
+    score = f"list_sum(list_transform(range(1, length(value)), lambda i : m[(c[i] - 1) * {width} + c[i + 1]]))"
+    checks = {"assign": "regexp_matches(value, '" + VALUE.replace(r"\"'", "\"''") + "')", "random": f"regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]') AND {score} >= {100 * threshold}"}
+    parts = []
+    for rank, k in enumerate(KINDS):
+        parts.append(f"""
+SELECT rid, '{k}' AS kind, {rank} AS rank, start, start + length(value) AS stop FROM (
+  SELECT rid, hits[i] AS value, {table.format('hits[i]')} AS c, CAST(list_sum(list_transform(gaps[1:i], lambda x : length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x : length(x))), 0) AS BIGINT) AS start
+  FROM (SELECT rid, hits, gaps, unnest(range(1, len(hits) + 1)) AS i FROM (SELECT rid, regexp_extract_all(body, '{plain[k]}') AS hits, string_split_regex(body, '{plain[k]}') AS gaps FROM t) WHERE len(hits) > 0)
+), model WHERE {checks.get(k, "true")}""")
+    text = "kind || ':' || start || ':' || stop"
+    return f"""
+WITH t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS body FROM documents),
+w AS (SELECT key, regexp_extract_all(text, '[A-Za-z]+')[1:{SAMPLE_WORDS}] AS w FROM (SELECT DISTINCT md5(text) AS key, text FROM documents WHERE text IS NOT NULL ORDER BY key LIMIT {SAMPLE})),
+z AS (SELECT key, n, w[n + 1] AS one, coalesce(w[n + 2], 'a') AS two, coalesce(w[n + 3], 'a') AS three, sha256(key || ':' || n) AS h FROM (SELECT *, unnest(range(0, len(w))) AS n FROM w)),
+v AS (SELECT {ordinary} AS value, false AS random FROM z UNION ALL SELECT CASE n % 3 WHEN 0 THEN h[1:40] WHEN 1 THEN upper(h[1:40]) ELSE to_base64(unhex(h)) END, true FROM z),
+p AS (SELECT random, c[i] AS a, c[i + 1] AS b FROM (SELECT random, c, unnest(range(1, len(c))) AS i FROM (SELECT random, {table.format('value')} AS c FROM v))),
+n AS (SELECT random, a, b, COUNT(*) AS n FROM p WHERE a > 0 AND b > 0 GROUP BY ALL),
+g AS (SELECT random, a, b, coalesce(n, 0) AS n FROM (SELECT * FROM (VALUES (true), (false)) AS r(random), range(1, {width + 1}) AS x(a), range(1, {width + 1}) AS y(b)) LEFT JOIN n USING (random, a, b)),
+l AS (SELECT random, a, b, ln((n + 4 * ((SUM(n) OVER (PARTITION BY random, b) + 0.5::DOUBLE) / (SUM(n) OVER (PARTITION BY random) + {0.5 * width}::DOUBLE))) / (SUM(n) OVER (PARTITION BY random, a) + 4)) AS p FROM g),
+model AS (SELECT list(CAST(round(100 * (r.p - i.p)) AS BIGINT) ORDER BY r.a, r.b) AS m FROM l r JOIN l i USING (a, b) WHERE r.random AND NOT i.random),
+s AS ({" UNION ALL ".join(parts)}),
+f AS (SELECT rid, {", ".join(f"CAST(count(*) FILTER (kind = '{k}') AS BIGINT) AS n_{k}" for k in KINDS)}, coalesce(string_agg({text}, ',' ORDER BY start, rank) FILTER (rank < {len(BASE)}), '') AS base, string_agg({text}, ',' ORDER BY start, rank) AS spans FROM s GROUP BY rid)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in KINDS)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM t LEFT JOIN f USING (rid)"""
