@@ -233,3 +233,21 @@ def test_all_labels_of_the_sample_are_languages(spark):
     assert kept.columns == named.columns and kept.count() == len(rows)
     got = {r.doc_id: r.lang_id for r in langid.identified(df, carry=["doc_id"]).collect()}
     assert sum(got[d] == lang for d, _, lang, _ in rows) > 0.95 * len(rows)
+
+
+SF = "/root/testdata/sf0.01"
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
+def test_evidence_decides_short_texts(spark):
+    """Pages cut to their first word: with host, suffix and declaration more of them have the language of the whole page."""
+    docs, pages = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "pages"))
+    model = langid.fit(docs)
+    text, said, host, suffix = langid.page_parts(F.col("url"), F.col("html"))
+    cut = pages.select("page_id", F.substring_index(F.trim(text), " ", 1).alias("text"), said.alias("said"), host.alias("host"), suffix.alias("suffix"))
+    named = lambda df, name: {r.page_id: r[name] for r in df.collect()}
+    whole = named(langid.identified_pages(pages.select("page_id", "url", "html"), model, ["page_id"]), "lang_id")
+    alone = named(langid.identify(cut, model, carry=["page_id"]), "lang_id")
+    fused = named(langid.identify(cut, model, "text", "said", "host", "suffix", carry=["page_id"]), "lang_id")
+    right = lambda got: sum(got[i] == whole[i] for i in whole)
+    assert sum(alone[i] != fused[i] for i in whole) >= 5 and right(fused) > right(alone) and right(fused) >= 0.97 * len(whole)
