@@ -221,39 +221,61 @@ def _plan(rows: DataFrame) -> DataFrame:
     return out.join(small(sizes), "representative").select("sample_id", "action", "representative", "component_size")
 
 
-def full_linkage(ranks: DataFrame, edges: DataFrame) -> DataFrame:
-    """Clique deduplication in quality order: a sample joins a group if it has an edge to every member.
+def _cliques(parts):
+    """For mapInPandas: rank and group of the samples that join one, of edges (comp, worse, better) that come sorted.
 
-    Groups never cross components, so each component is worked on by itself, in the order of its
-    samples' ranks; a component's edges are held by one task, as the order of choices is sequential.
+    A group is called after its first sample. A task holds the group of each sample of one component and the groups' sizes, no edges but one sample's.
     """
     import pandas as pd
 
+    comp = worse = None
+    group: dict[int, int] = {}
+    size: dict[int, int] = {}
+    held: list[int] = []
+    out: list[tuple[int, int]] = []
+
+    def decide() -> None:
+        """The sample joins the first group whose every member is among its better neighbours."""
+        met: dict[int, int] = {}
+        for b in held:
+            g = group.get(b, b)
+            met[g] = met.get(g, 0) + 1
+        whole = [g for g, n in met.items() if n == size.get(g, 1)]
+        if whole:
+            g = group[worse] = min(whole)
+            size[g] = size.get(g, 1) + 1
+            out.append((worse, g))
+
+    for part in parts:
+        for c, w, b in zip(part["comp"].tolist(), part["worse"].tolist(), part["better"].tolist(), strict=True):
+            if w != worse or c != comp:
+                if held:
+                    decide()
+                held = []
+                worse = w
+                if c != comp:
+                    comp, group, size = c, {}, {}
+            held.append(b)
+        yield pd.DataFrame(out, columns=["rank", "by"]).astype("int64")
+        out = []
+    if held:
+        decide()
+    yield pd.DataFrame(out, columns=["rank", "by"]).astype("int64")
+
+
+def full_linkage(ranks: DataFrame, edges: DataFrame) -> DataFrame:
+    """Clique deduplication in quality order: a sample joins the first group that it has an edge to every member of.
+
+    Groups never cross components. A component's edges stream through a task in the order of its samples' ranks, as choices are sequential; what
+    the task holds grows with the component's samples, not with its edges.
+    """
     comps = components(edges.select(F.col("q").alias("a"), F.col("r").alias("b"))).select(F.col("id").alias("sample_id"), "comp")
     comps = comps.unionByName(comps.select(F.col("comp").alias("sample_id"), "comp").distinct())
     ranked = ranks.select("sample_id", "rank")
     left = edges.where("q <> r").select("q", "r").join(comps.select(F.col("sample_id").alias("q"), "comp"), "q")
     left = left.join(ranked.select(F.col("sample_id").alias("q"), F.col("rank").alias("q_rank")), "q").join(ranked.select(F.col("sample_id").alias("r"), F.col("rank").alias("r_rank")), "r")
-
-    def cliques(pdf: pd.DataFrame) -> pd.DataFrame:
-        near: dict[int, set[int]] = {}
-        for x, y in zip(pdf["q_rank"].tolist(), pdf["r_rank"].tolist(), strict=True):
-            near.setdefault(x, set()).add(y)
-            near.setdefault(y, set()).add(x)
-        free, out = set(near), []
-        for best in sorted(near):
-            if best not in free:
-                continue
-            free.discard(best)
-            common = near[best] & free
-            while common:
-                n = min(common)
-                out.append((n, best))
-                free.discard(n)
-                common = common & near[n] & free
-        return pd.DataFrame(out, columns=["rank", "by"]).astype("int64")
-
-    joined = left.groupBy("comp").applyInPandas(cliques, "rank long, by long")
+    once = left.select("comp", F.greatest("q_rank", "r_rank").cast("long").alias("worse"), F.least("q_rank", "r_rank").cast("long").alias("better")).distinct()
+    joined = once.repartition("comp").sortWithinPartitions("comp", "worse", "better").mapInPandas(_cliques, "rank long, by long")
     by = joined.join(ranked.select(F.col("rank").alias("by"), F.col("sample_id").alias("representative")), "by").select("rank", "representative")
     return _plan(ranked.join(by, "rank", "left"))
 

@@ -112,3 +112,15 @@ def test_statistics_count_all_comparisons(spark, duck, size):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_scopes_of_coverage_differ():
+    """Keys of many references have one owner among the three that are reported, so the two scopes differ for all rows."""
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    for t in TABLES:
+        path = f"/root/testdata/sf0.01/{t}.parquet"
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{path}{'/*.parquet' if os.path.isdir(path) else ''}'")
+    reported = con.execute(f"SELECT q, r, ref_markers FROM ({catalog.oracle_sql()['a11_coverage_of_three']})").fetchall()
+    alone = dict(con.execute(f"WITH {S.SUPP} SELECT sample_id, COUNT(*) FROM supp WHERE (ctx, obj) IN (SELECT (ctx, obj) FROM supp GROUP BY ctx, obj HAVING COUNT(*) = 1) GROUP BY 1").fetchall())
+    assert len(reported) == 75 and all(n > alone[r] for _, r, n in reported)
