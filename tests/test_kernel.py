@@ -153,10 +153,10 @@ def test_stored_index_is_not_shuffled(spark, tmp_path):
 
 
 def test_a_context_of_very_many_samples(spark):
-    """6,000 samples share a context: blocks of it meet, and no task holds all of it."""
-    n = 6_000
+    """2,400 samples share a context: blocks of it meet, and no task holds all of it."""
+    n = 2_400
     e = spark.range(n).selectExpr("id AS sample_id", "7L AS ctx", "id % 4 AS obj")
-    pairs_of = pairs.pair_features(e, conflict_free=True, tile=500)
+    pairs_of = pairs.pair_features(e, conflict_free=True, tile=300)
     got = pairs_of.agg({"xny": "sum", "n_diff": "sum"}).first()
     each = n // 4
     assert (got["sum(xny)"], got["sum(n_diff)"]) == (n * (n - 1) // 2, n * (n - 1) // 2 - 4 * (each * (each - 1) // 2))
