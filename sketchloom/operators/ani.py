@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sketchloom.functions import distances as D
 from sketchloom.functions.distances import Layout
 from sketchloom.operators.entries import unique_owners
-from sketchloom.operators.pairs import Groups, groups, pair_features, with_fractions
+from sketchloom.operators.pairs import Groups, counted_contexts, pair_features, with_fractions
 from sketchloom.session import materialize, numbered, small
 
 NAMES = ("BestDist", "RecalDist", "CtxMoE", "Naive", "MashD", "AafD", "MashD_if_far", "AafD_if_far", "p_dist")
@@ -129,9 +129,8 @@ def ranked(rows: DataFrame, top: int | None = None) -> DataFrame:
     return out if top is None else out.where(F.col("rank") <= top)
 
 
-def detail(qry: DataFrame, ref: DataFrame | None = None, options: Options = Options(), layout: Layout = Layout(), **how) -> DataFrame:
+def detail(qry: DataFrame | Groups, ref: DataFrame | Groups | None = None, options: Options = Options(), layout: Layout = Layout(), **how) -> DataFrame:
     """The report of ``qry`` against ``ref`` (or against itself, each pair once)."""
-    qry, ref = groups(qry), None if ref is None else groups(ref)
     pairs = pair_features(qry, ref, ignore_conflicts=options.ignore_conflicts, **how)
     # what shares fewer contexts can't be reported, so it goes before anything is computed
     rows = with_fractions(pairs.where(F.col("xny") >= options.ctxcut), qry, ref, options.ignore_conflicts)
@@ -167,13 +166,12 @@ def unique_features(qry: DataFrame, ref: DataFrame, options: Options = Options(r
     A reference's unique contexts are decided over all references, before conflicts are ignored.
     """
     keys = ["q", "r"]
-    left, right = groups(qry), groups(ref)
-    full = with_fractions(pair_features(left, right, ignore_conflicts=options.ignore_conflicts), left, right, options.ignore_conflicts)
-    owners = unique_owners(right.rows)
-    own = groups(right.entries().join(owners, ["ctx", "sample_id"], "left_semi"))
-    few = pair_features(left, own, ignore_conflicts=options.ignore_conflicts).select(*keys, *(F.col(c).alias(f"u_{c}") for c in ("xny", "n_diff", "n_section", "n_mut2")))
-    totals = own.counts.select(F.col("sample_id").alias("r"), F.col("n_ctx").alias("u_ref"))
-    both = full.join(few, keys, "left").join(small(totals, own.n_samples), "r", "left")
+    full = with_fractions(pair_features(qry, ref, ignore_conflicts=options.ignore_conflicts), qry, ref, options.ignore_conflicts)
+    owners = unique_owners(ref)
+    own = ref.join(owners, ["ctx", "sample_id"], "left_semi")
+    few = pair_features(qry, own, ignore_conflicts=options.ignore_conflicts).select(*keys, *(F.col(c).alias(f"u_{c}") for c in ("xny", "n_diff", "n_section", "n_mut2")))
+    totals = counted_contexts(own).select(F.col("sample_id").alias("r"), F.col("n_ctx").alias("u_ref"))
+    both = full.join(few, keys, "left").join(totals, "r", "left")
     return both.withColumns({c: F.coalesce(c, F.lit(0)) for c in _UNIQUE})
 
 
@@ -283,16 +281,14 @@ def matrix_cells(qry: DataFrame, metric: str = "ctx-moe", ref: DataFrame | None
     frame of cells comes from the two lists of sample ids, the smaller of which is broadcast if it is small.
     """
     self_join = ref is None
-    qry, ref = groups(qry), None if self_join else groups(ref)
     pairs = with_fractions(pair_features(qry, ref), qry, ref)
     value = F.least(F.lit(1.0), D.select(metric, layout))
     found = pairs.select("q", "r", value.alias("d"))
-    q = qry.counts.select(F.col("sample_id").alias("q"))
-    other = qry if self_join else ref
-    r = other.counts.select(F.col("sample_id").alias("r"))
+    q = qry.select(F.col("sample_id").alias("q")).distinct()
+    r = (qry if self_join else ref).select(F.col("sample_id").alias("r")).distinct()
     if self_join:
         found = found.unionByName(found.select(F.col("r").alias("q"), F.col("q").alias("r"), "d"))
-    frame = q.crossJoin(small(r, other.n_samples))
+    frame = q.crossJoin(small(r))
     zero = (F.col("q") == F.col("r")) if self_join else F.lit(False)
     cells = frame.join(found, ["q", "r"], "left").withColumn("d", F.when(zero, 0.0).otherwise(F.coalesce("d", F.lit(1.0))))
     if self_join and not diagonal:
@@ -326,7 +322,6 @@ def edges(entries: DataFrame, metric: str = "ctx-moe", cut: float = 0.05, ctxcut
 
     Where ``candidates`` (q, r) are given, only those pairs are scored, exactly.
     """
-    entries = groups(entries)
     pairs = pair_features(entries, candidates=candidates).where(F.col("xny") >= ctxcut)
     rows = with_fractions(pairs, entries).where(F.col("max_af") >= max_afcut)
     return rows.withColumn("distance", D.select(metric, layout)).where(F.col("distance") < cut).withColumn("similarity", 1 - F.col("distance")).withColumn("metric", F.lit(metric))

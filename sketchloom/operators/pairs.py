@@ -1,10 +1,12 @@
 """Pair features of samples: a row for each sample and context, one equi-join on context, one aggregate by pair.
 
-Entries are brought into *groups* first: a sample's least and greatest object of a context and how many it has. They are written once, as
-every later step reads them: the join, the counts of contexts, a second comparison. Where both sides have at most two objects, the
-least difference of their objects is an expression of these two; groups of more are few, have their entries beside them, and meet the others on their own.
+Of entries that are compared once, a sample's objects of a context are gathered in the plan itself; nothing is written or counted before. Rows are dealt by context and
+sums by pair are shuffled again, after partial aggregation. As nothing else relies on how the join deals its rows, adaptive execution splits a context that very many samples share.
 
-A context that more than ``TILE`` samples have is dealt into blocks of about ``TILE``, by its own count, and pairs of blocks meet, each once. So a
+What is compared often, or has contexts that a split can't tame, becomes *groups* (:func:`groups`), which are written: a sample's least and greatest object of a
+context and how many it has. Where both sides have at most two objects, the least difference of their objects is an expression of
+these two; groups of more are few, have their entries beside them, and meet the others on their own. A context of groups that more
+than ``TILE`` samples have is dealt into blocks of about ``TILE``, by its own count, and pairs of blocks meet, each once. So a
 row is copied as often as its context has blocks, and a task has at most ``TILE`` squared pairs. Only where there are more than ``TILE`` samples is any
 context counted.
 
@@ -20,7 +22,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sketchloom.functions.bits import sections
-from sketchloom.session import BROADCAST_ROWS, materialize, measured, small
+from sketchloom.operators.entries import context_counts, drop_conflicts
+from sketchloom.session import materialize, measured, small
 
 #: Members of a context in a block.
 TILE = 4096
@@ -159,24 +162,38 @@ def _of_many(q: Groups, r: Groups, alone: bool, candidates: DataFrame | None) ->
     return met.groupBy("ctx", "q", "r").agg(F.min(sections(F.col("q_obj"), F.col("r_obj"))).alias("d")).select("q", "r", "d")
 
 
-def pair_features(
-    qry: DataFrame | Groups, ref: DataFrame | Groups | None = None, *, conflict_free: bool = False, ignore_conflicts: bool = False, tile: int = TILE, candidates: DataFrame | None = None
-) -> DataFrame:
-    """q, r, xny, n_diff, n_section and n_mut2 of all pairs that share a context.
+def _gathered(entries: DataFrame, side: str, conflict_free: bool) -> DataFrame:
+    """A row for each sample and context: its object, and all of its objects if it may have several."""
+    named = entries.select(F.col("sample_id").alias(side), "ctx", F.col("obj").alias(f"{side}_obj"))
+    if conflict_free:
+        return named
+    return named.groupBy("ctx", side).agg(F.min(f"{side}_obj").alias(f"{side}_obj"), F.collect_set(f"{side}_obj").alias(f"{side}_objs"))
 
-    Without ``ref`` each pair of different samples of ``qry`` is taken once, with q > r. Where a
-    context has several objects, the least difference counts. ``conflict_free`` states that
-    neither side has such contexts. With ``candidates`` (q, r) only those pairs
-    meet: each brings its query's entries to its reference's, so pairs that aren't candidates cost nothing.
-    """
-    left = groups(qry, conflict_free)
+
+def _of_entries(qry: DataFrame, ref: DataFrame | None, conflict_free: bool, ignore_conflicts: bool, wanted: DataFrame | None) -> DataFrame:
+    """q, r and least difference in each context they share."""
+    other = qry if ref is None else ref
+    if ignore_conflicts:
+        other = drop_conflicts(other)
+    q, r = _gathered(qry, "q", conflict_free), _gathered(other, "r", conflict_free)
+    met = q.join(r, "ctx") if wanted is None else wanted.join(q, "q").join(r, ["r", "ctx"])
+    if ref is None:
+        met = met.where("r < q")
+    d = sections(F.col("q_obj"), F.col("r_obj"))
+    if not conflict_free:
+        every = F.flatten(F.transform("q_objs", lambda x: F.transform("r_objs", lambda y: sections(x, y))))
+        d = F.when((F.size("q_objs") == 1) & (F.size("r_objs") == 1), d).otherwise(F.array_min(every))
+    return met.select("q", "r", d.alias("d"))
+
+
+def _of_groups(left: Groups, ref: Groups | None, ignore_conflicts: bool, wanted: DataFrame | None, tile: int) -> DataFrame:
+    """The same of groups."""
     alone = ref is None and not ignore_conflicts
-    right = left if ref is None else groups(ref, conflict_free)
+    right = left if ref is None else ref
     if ignore_conflicts:
         right = right.clean
     q = _side(left.rows if left.many is None else left.rows.where("n <= 2"), "q")
     r = _side(right.rows if right.many is None else right.rows.where("n <= 2"), "r")
-    wanted = None if candidates is None else candidates.select("q", "r").distinct()
     on = ["ctx"]
     if wanted is not None:
         met = wanted.join(q, "q").join(r, ["r", "ctx"])
@@ -196,8 +213,25 @@ def pair_features(
         met = met.where("r < q")
     each = met.select("q", "r", least_difference().alias("d"))
     more = _of_many(left, right, ref is None, wanted)
-    if more is not None:
-        each = each.unionByName(more)
+    return each if more is None else each.unionByName(more)
+
+
+def pair_features(
+    qry: DataFrame | Groups, ref: DataFrame | Groups | None = None, *, conflict_free: bool = False, ignore_conflicts: bool = False, tile: int | None = None, candidates: DataFrame | None = None
+) -> DataFrame:
+    """q, r, xny, n_diff, n_section and n_mut2 of all pairs that share a context.
+
+    Without ``ref`` each pair of different samples of ``qry`` is taken once, with q > r. Where a
+    context has several objects, the least difference counts. ``conflict_free`` states that
+    neither side has such contexts; then nothing is gathered. With ``candidates`` (q, r) only those pairs
+    meet: each brings its query's entries to its reference's, so pairs that aren't candidates cost nothing. Entries become groups if one side
+    is groups already or a ``tile`` is given.
+    """
+    wanted = None if candidates is None else candidates.select("q", "r").distinct()
+    if tile is None and not isinstance(qry, Groups) and not isinstance(ref, Groups):
+        each = _of_entries(qry, ref, conflict_free, ignore_conflicts, wanted)
+    else:
+        each = _of_groups(groups(qry, conflict_free), None if ref is None else groups(ref, conflict_free), ignore_conflicts, wanted, tile or TILE)
     return each.groupBy("q", "r").agg(
         F.count("*").alias("xny"),
         F.count_if(F.col("d") > 0).alias("n_diff"),
@@ -206,14 +240,18 @@ def pair_features(
     )
 
 
+def counted_contexts(entries: DataFrame | Groups) -> DataFrame:
+    """sample_id and n_ctx. Those of groups are known to be small or not; those of entries are joined as their size turns out to be, when they are there."""
+    return small(entries.counts, entries.n_samples) if isinstance(entries, Groups) else context_counts(entries)
+
+
 def with_fractions(pairs: DataFrame, qry: DataFrame | Groups, ref: DataFrame | Groups | None = None, ignore_conflicts: bool = False) -> DataFrame:
     """Pair features with both sides' context counts and aligned fractions."""
-    left = groups(qry)
-    right = left if ref is None else groups(ref)
+    other = qry if ref is None else ref
     if ignore_conflicts:
-        right = right.clean
-    side = lambda g, s: small(g.counts.select(F.col("sample_id").alias(s), F.col("n_ctx").alias(f"{s}_ctx")), min(g.n_samples, BROADCAST_ROWS + 1))
-    out = pairs.join(side(left, "q"), "q").join(side(right, "r"), "r")
+        other = other.clean if isinstance(other, Groups) else drop_conflicts(other)
+    side = lambda e, name: counted_contexts(e).select(F.col("sample_id").alias(name), F.col("n_ctx").alias(f"{name}_ctx"))
+    out = pairs.join(side(qry, "q"), "q").join(side(other, "r"), "r")
     fraction = lambda c: F.col("xny") / F.col(c)
     return out.withColumns({"af_qry": fraction("q_ctx"), "af_ref": fraction("r_ctx")}).withColumn("max_af", F.greatest("af_qry", "af_ref"))
 
