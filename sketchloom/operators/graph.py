@@ -9,6 +9,7 @@ shared folder and replaces the last, so a lost executor costs at most a part of
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import count
 
 import pyarrow as pa
@@ -162,15 +163,13 @@ def _round(open_: DataFrame) -> tuple[DataFrame, DataFrame]:
     return kept, gone
 
 
-def _settled(open_: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Samples removed in the components that a task can settle, and the undecided edges of the others."""
+def _parted(open_: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Undecided edges (comp, worse, better) of the components that a task can settle, and (worse, better) of the others."""
     comps = components(open_, "worse", "better")
     comps = comps.select(F.col("id").alias("better"), "comp").unionByName(comps.select(F.col("comp").alias("better"), "comp").distinct())
-    held = materialize(open_.join(comps, "better"), "greedy-components")
-    sizes = held.groupBy("comp").agg(F.count("*").alias("_n"))
-    fits = held.join(sizes.where(F.col("_n") > ONE_TASK).select("comp"), "comp", "left_anti")
-    rest = held.join(sizes.where(F.col("_n") > ONE_TASK).select("comp"), "comp", "left_semi").select("worse", "better")
-    return _in_order(fits), rest
+    held = materialize(open_.join(comps, "better"), "open-components")
+    large = held.groupBy("comp").agg(F.count("*").alias("_n")).where(F.col("_n") > ONE_TASK).select("comp")
+    return held.join(large, "comp", "left_anti"), held.join(large, "comp", "left_semi").select("worse", "better")
 
 
 def greedy(ranks: DataFrame, edges: DataFrame, rounds: int = QUICK_ROUNDS) -> DataFrame:
@@ -201,8 +200,8 @@ def greedy(ranks: DataFrame, edges: DataFrame, rounds: int = QUICK_ROUNDS) -> Da
             out = gone.select(F.col("worse").alias("n"))
             rest = rest.join(out.select(F.col("n").alias("worse")), "worse", "left_anti").join(out.select(F.col("n").alias("better")), "better", "left_anti").select("worse", "better")
         else:
-            gone, rest = _settled(open_)
-            gone = materialize(gone, "greedy-gone")
+            fits, rest = _parted(open_)
+            gone = materialize(_in_order(fits), "greedy-gone")
         removed, parts = (gone, 1) if removed is None else (removed.unionByName(gone), parts + 1)
         if parts == 100:  # or the plan would grow with the rounds
             removed, parts = materialize(removed.coalesce(8), "greedy-removed"), 1
@@ -263,23 +262,116 @@ def _cliques(parts):
     yield pd.DataFrame(out, columns=["rank", "by"]).astype("int64")
 
 
-def full_linkage(ranks: DataFrame, edges: DataFrame) -> DataFrame:
+def _members(parts):
+    """For mapInPandas: rank and leader of a leader's members, of edges (lead, worse, better) that come sorted, those to the leader included."""
+    import pandas as pd
+
+    lead = worse = None
+    members: set[int] = set()
+    near, out = 0, []
+
+    def decide() -> None:
+        if worse is not None and near == len(members):
+            members.add(worse)
+            out.append((worse, lead))
+
+    for part in parts:
+        for v, w, b in zip(part["lead"].tolist(), part["worse"].tolist(), part["better"].tolist(), strict=True):
+            if w != worse or v != lead:
+                decide()
+                worse, near = w, 0
+                if v != lead:
+                    lead, members = v, {v}
+            near += b in members
+        yield pd.DataFrame(out, columns=["rank", "by"]).astype("int64")
+        out = []
+    decide()
+    yield pd.DataFrame(out, columns=["rank", "by"]).astype("int64")
+
+
+def _grown(inner: DataFrame) -> list[DataFrame]:
+    """Members (rank, by) of leaders of very many edges, from edges (lead, worse, better) as :func:`_members` takes them.
+
+    A candidate that has an edge to each better candidate of its leader joins, whichever of those do; candidates
+    without an edge to one that has joined are out. Both are counts by candidate, so no task sees a leader's edges; places are taken in ranges.
+    """
+    out = []
+    while not inner.isEmpty():
+        # the leader's own edges come first, so a candidate's place from 1 is how many it has to have
+        near = materialize(inner.groupBy("lead", "worse").agg(F.count("*").alias("near")), "linkage-near")
+        place = numbered(near, ["lead", "worse"], "_n")
+        first = place.groupBy("lead").agg(F.min("_n").alias("_first"))
+        joined = place.join(first, "lead").where(F.col("near") == F.col("_n") - F.col("_first") + 1).select("lead", F.col("worse").alias("n"))
+        joined = materialize(joined, "linkage-members")
+        out.append(joined.select(F.col("n").alias("rank"), F.col("lead").alias("by")))
+        ask = joined.groupBy("lead").agg(F.count("*").alias("_all"))
+        # a better candidate that is still open has an edge to each worse one that joins, so both ends count
+        up = inner.join(joined.withColumnRenamed("n", "better"), ["lead", "better"]).select("lead", F.col("worse").alias("n"))
+        down = inner.join(joined.withColumnRenamed("n", "worse"), ["lead", "worse"]).select("lead", F.col("better").alias("n"))
+        whole = up.unionByName(down).groupBy("lead", "n").agg(F.count("*").alias("_met")).join(ask, "lead").where("_met = _all").select("lead", "n")
+        left = materialize(whole.where("n <> lead").join(joined, ["lead", "n"], "left_anti"), "linkage-left")
+        ends = left.unionByName(left.select("lead", F.col("lead").alias("n")).distinct())
+        rest = inner.join(left.withColumnRenamed("n", "worse"), ["lead", "worse"], "left_semi").join(ends.withColumnRenamed("n", "better"), ["lead", "better"], "left_semi")
+        inner = materialize(rest.select("lead", "worse", "better"), "linkage-inner")
+    return out
+
+
+def _linked(open_: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """One round of full linkage over undecided edges: members (rank, by) of the groups that can be told now, and the edges left.
+
+    A sample without a better neighbour leads a group. Its candidates are its neighbours, and no other group can have
+    them first if it is the best neighbour of all of them; then its group is a matter of its candidates' edges alone.
+    """
+    best = materialize(open_.groupBy("worse").agg(F.min("better").alias("best")), "linkage-best")
+    foreign = open_.join(best, "worse").where("better <> best").select(F.col("better").alias("lead"))
+    cands = best.select("worse", F.col("best").alias("lead"))
+    cands = cands.join(foreign.unionByName(best.select(F.col("worse").alias("lead"))).distinct(), "lead", "left_anti")
+    cands = materialize(cands.select("lead", "worse"), "linkage-candidates")
+    among = open_.join(cands, "worse").join(cands.select(F.col("lead").alias("_lead"), F.col("worse").alias("better")), "better").where("lead = _lead")
+    inner = among.select("lead", "worse", "better").unionByName(cands.select("lead", "worse", F.col("lead").alias("better")))
+    inner = materialize(inner, "linkage-inner")
+    large = inner.groupBy("lead").agg(F.count("*").alias("_n")).where(F.col("_n") > ONE_TASK).select("lead")
+    fits = inner.join(large, "lead", "left_anti").repartition("lead").sortWithinPartitions("lead", "worse", "better")
+    out = [materialize(fits.mapInPandas(_members, "rank long, by long"), "linkage-groups"), *_grown(inner.join(large, "lead", "left_semi"))]
+    done = cands.select(F.col("lead").alias("n")).distinct()
+    for part in out:
+        done = done.unionByName(part.select(F.col("rank").alias("n")))
+    rest = open_.join(done.withColumnRenamed("n", "worse"), "worse", "left_anti").join(done.withColumnRenamed("n", "better"), "better", "left_anti")
+    return out, materialize(rest.select("worse", "better"), "linkage-open")
+
+
+def full_linkage(ranks: DataFrame, edges: DataFrame, rounds: int = QUICK_ROUNDS) -> DataFrame:
     """Clique deduplication in quality order: a sample joins the first group that it has an edge to every member of.
 
-    Groups never cross components. A component's edges stream through a task in the order of its samples' ranks, as choices are sequential; what
-    the task holds grows with the component's samples, not with its edges.
+    Groups never cross components. The edges of a component stream through a task in the order of its samples' ranks. A component of
+    more than ``ONE_TASK`` edges is settled in parallel rounds, group by group where groups don't depend on one another; after
+    each ``rounds`` rounds what is left is parted into components again. The result is that of the sequential pass in all cases.
     """
-    comps = components(edges.select(F.col("q").alias("a"), F.col("r").alias("b"))).select(F.col("id").alias("sample_id"), "comp")
-    comps = comps.unionByName(comps.select(F.col("comp").alias("sample_id"), "comp").distinct())
     ranked = ranks.select("sample_id", "rank")
-    left = edges.where("q <> r").select("q", "r").join(comps.select(F.col("sample_id").alias("q"), "comp"), "q")
-    left = left.join(ranked.select(F.col("sample_id").alias("q"), F.col("rank").alias("q_rank")), "q").join(ranked.select(F.col("sample_id").alias("r"), F.col("rank").alias("r_rank")), "r")
-    once = left.select("comp", F.greatest("q_rank", "r_rank").cast("long").alias("worse"), F.least("q_rank", "r_rank").cast("long").alias("better")).distinct()
-    joined = once.repartition("comp").sortWithinPartitions("comp", "worse", "better").mapInPandas(_cliques, "rank long, by long")
-    by = joined.join(ranked.select(F.col("rank").alias("by"), F.col("sample_id").alias("representative")), "by").select("rank", "representative")
+    q, r = (ranked.select(F.col("sample_id").alias(c), F.col("rank").cast("long").alias(f"{c}_rank")) for c in "qr")
+    once = edges.where("q <> r").select("q", "r").join(q, "q").join(r, "r").select(F.greatest("q_rank", "r_rank").alias("worse"), F.least("q_rank", "r_rank").alias("better"))
+    open_ = materialize(once.distinct(), "linkage-edges")
+    joined: list[DataFrame] = []
+    while not open_.isEmpty():
+        fits, open_ = _parted(open_)
+        joined.append(materialize(fits.repartition("comp").sortWithinPartitions("comp", "worse", "better").mapInPandas(_cliques, "rank long, by long"), "linkage-groups"))
+        for _ in range(rounds):
+            if open_.isEmpty():
+                break
+            made, open_ = _linked(open_)
+            joined += made
+        if len(joined) > 50:  # or the plan would grow with the rounds
+            joined = [materialize(_union(joined).coalesce(8), "linkage-groups")]
+    if not joined:
+        return _plan(ranked.withColumn("representative", F.lit(None).cast(ranks.schema["sample_id"].dataType)))
+    by = _union(joined).join(ranked.select(F.col("rank").alias("by"), F.col("sample_id").alias("representative")), "by").select("rank", "representative")
     return _plan(ranked.join(by, "rank", "left"))
 
 
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
 #: What decided between a sample and its representative: label, field, whether more is better.
 _RULES = (
     ("higher_asm_level", "asm_level", True),
