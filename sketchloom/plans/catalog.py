@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 
 from sketchloom.functions import bits
 from sketchloom.functions import distances as D
-from sketchloom.operators import ani, entries, graph, legacy, pairs, place, profile, readqc, setops
+from sketchloom.operators import ani, entries, graph, legacy, pairs, place, profile, setops
 from sketchloom.operators.ani import Options
 from sketchloom.operators.tokenize import recovered, tokenized
-from sketchloom.plans import files, placement, sequences  # noqa: F401  they register queries of their own
+from sketchloom.plans import counts, files, placement, sequences  # noqa: F401  they register queries of their own
 from sketchloom.plans import sketching
 from sketchloom.plans import sql as S
 from sketchloom.plans import views as V
@@ -267,6 +267,31 @@ def d9_d11(spark, d):
     return rows.select("q", "r", r9("distance").alias("distance"), r9("raw_ani").alias("raw_ani"), "confidence")
 
 
+_PART = f"part AS (SELECT * FROM size WHERE ctx <= 15 + sample_id % 30), {S.kernel('size', 'part')}, {S.fractions('size', 'part')}"
+_SAME = "(GREATEST(0, xny - n_diff))"
+_CLOSE = f"((1 - ({S.MASH}) + 1 - ({S.AAF}) + 1 - ({S.MASH.replace('xny', _SAME)}) + 1 - ({S.AAF.replace('xny', _SAME)})) / 4)"
+
+
+@query(
+    "d10_best_guarded",
+    f"""WITH {S.SIZE}, {_PART}, c AS (SELECT *, 1 - {S.MOE} AS raw, CASE WHEN {_IDENTICAL} THEN 1.0 ELSE 1 - {S.MOE} - 0.02 * (n_section / xny) END AS cal FROM f),
+g AS (SELECT *, q % 2 = 0 AND NOT ({_IDENTICAL}) AND raw >= 0.958 AND cal >= 0.962 AND LEAST(af_qry, af_ref) >= 0.25 AND LEAST(af_qry, af_ref) < 0.5 AND raw - {_CLOSE} >= 0.015 AS guarded, 1 - ({S.AAF.replace('xny', _SAME)}) AS safe FROM c)
+SELECT q, r, CASE WHEN guarded AND safe > 0 OR cal > 0 THEN 'BestDist' ELSE 'CtxMoE' END AS metric, {S.r9('CASE WHEN guarded AND safe > 0 THEN 1 - safe WHEN cal > 0 THEN 1 - cal ELSE 1 - raw END')} AS distance, guarded,
+CASE WHEN NOT (cal > 0) THEN 'raw' WHEN guarded THEN 'guarded_low_confidence' WHEN {_IDENTICAL} THEN 'high' WHEN af_ref < 0.5 OR (raw >= 0.95 AND raw - cal > 0.02) THEN 'low' WHEN abs(raw - cal) > 0.01 THEN 'medium' ELSE 'high' END AS confidence FROM g""",
+)
+def d10(spark, d):
+    """Complete-like queries (every second) against parts of suppliers: where the guard holds, the calibrated identity is replaced."""
+    e = V.size(spark, d)
+    part = e.where(F.col("ctx") <= 15 + F.col("sample_id") % 30)
+    met = pairs.with_fractions(pairs.pair_features(e, part), e, part).withColumn("complete_like", F.col("q") % 2 == 0)
+    before = D.set_calibrator(lambda: F.col("raw_ani") - 0.02 * (F.col("n_section") / F.col("xny")))
+    try:
+        rows = ani.selected(ani.base_distances(met, Options(afcut=0.0), L), Options(afcut=0.0))
+    finally:
+        D.set_calibrator(before)
+    return rows.select("q", "r", "metric", r9("distance").alias("distance"), "guarded", "confidence")
+
+
 for _label, _expr, _fn in (("d14_metric_and", "ctx-naive&aaf", "GREATEST"), ("d14_metric_or", "mash|p_dist", "LEAST")):
     _parts = (S.NAIVE, S.AAF) if _fn == "GREATEST" else (S.MASH, S.p_dist())
 
@@ -324,6 +349,17 @@ def k5(spark, d):
     return ani.matrix_cells(V.supp(spark, d), "ctx-naive", layout=L).select("q", "r", r9("value").alias("value"))
 
 
+_NATIONS = range(25)
+
+
+@query("k5_wide_matrix", f"WITH {S.NAT}, {S.kernel('nat')}, half AS (SELECT q, r, LEAST(1, {S.NAIVE}) AS d FROM pairs), met AS (SELECT q, r, d FROM half UNION ALL SELECT r, q, d FROM half), ids AS (SELECT DISTINCT sample_id AS id FROM nat), c AS (SELECT a.id AS q, b.id AS r, CASE WHEN a.id = b.id THEN 0 ELSE coalesce(d, 1) END AS value FROM ids a CROSS JOIN ids b LEFT JOIN met ON met.q = a.id AND met.r = b.id) SELECT q, "
+    + ", ".join(f'MAX({S.r9("value")}) FILTER (r = {n}) AS "{n}"' for n in _NATIONS) + " FROM c GROUP BY q")
+def k5_wide(spark, d):
+    """A row for each nation, a column for each."""
+    cells = ani.matrix_cells(V.nat(spark, d), "ctx-naive", layout=L)
+    return ani.wide_matrix(cells.select("q", "r", r9("value").alias("value")), list(_NATIONS))
+
+
 @query("k6_lower_triangle", f"{_CELLS} SELECT q, string_agg(printf('%.6f', value), chr(9) ORDER BY r) AS line FROM c WHERE r < q GROUP BY q")
 def k6(spark, d):
     cells = ani.matrix_cells(V.supp(spark, d), "ctx-naive", layout=L)
@@ -697,10 +733,3 @@ def v6(spark, d):
     far = near.select(F.col("q").cast("string").alias("query"), F.translate(F.col("r").cast("string"), "123", "ABC").alias("ref"), D.p_dist(L).alias("distance"))
     got = place.placed(place.fitted(far, place.Tree(_TREE), list(_TIPS)), place.Options(top=10))
     return got.select("query", "edge_child", "edge_label", F.col("clade_size").cast("long").alias("clade_size"), r9("wls_score").alias("wls_score"), r9("pendant_length").alias("pendant_length"), r9("distal_from_child").alias("distal_from_child"), r9("wls_delta").alias("wls_delta"))
-
-
-@query("a7_p10_read_counts")
-def a7(spark, d):
-    """Counts outside the range that a sample's histogram suggests are dropped; histograms are compared with simulated ones in the tests."""
-    e = V.size(spark, d)
-    return readqc.sketch_qc(e, readqc.inferred_ranges(e))

@@ -35,6 +35,13 @@ def s4_s5(spark, d):
     return got.select("fmt", "name", "comment", "length", F.md5("seq").alias("seq_md5"))
 
 
+@query("s8_split_records", f"WITH {S.TOKENS} SELECT 'r' || (pos // 1000) AS name, 'r' || (pos // 1000) || ' nation ' || sample_id AS annotation, ctx, obj, COUNT(*) AS cnt, MIN(pos % 1000) AS pos FROM t GROUP BY sample_id, pos // 1000, ctx, obj")
+def s8_split(spark, d):
+    """Each record of the files is a sample of its own, with places from its first base."""
+    split, samples = fastx.split_records(fastx.records(spark, [_written(spark, d, "fasta")]))
+    return counted(tokenized(split.select("sample_id", "seq", "offset"), V.KMERS)).join(samples, "sample_id").select("name", "annotation", "ctx", "obj", "cnt", "pos")
+
+
 @query("v9_quality_filter", f"WITH {S.tokens(f'len(list_filter(range(i - 1, i + 8), lambda j : (j * 7 + l_orderkey) % 41 < {_LEAST})) = 0')} SELECT sample_id, ctx, obj, COUNT(*) AS cnt, MIN(pos) AS pos FROM t GROUP BY 1, 2, 3")
 def v9_quality(spark, d):
     got = fastx.records(spark, [_written(spark, d, "fastq")], _LEAST)
