@@ -49,6 +49,8 @@ def test_query_without_sql_runs(spark, name):
 BRANCHES = {
     "p7_percentile_filter": ("size", None),
     "p8_capped_cutoff": ("size", None),
+    "p10_stored_ranges": ("size", None),
+    "a7_p10_read_counts": ("size", None),
     "a10_unique_owners": ("(SELECT DISTINCT ctx FROM rord)", None),
     "j9_intersect_full": ("qord", None),
     "j10_subtract_ctx": ("qord", None),
@@ -57,6 +59,7 @@ BRANCHES = {
     "v1_unique_context_ani": (None, "metric = 'NaiveUnique'"),
     "d12_metric_fallback": (None, "metric = 'BestDist'"),
     "d9_d11_calibrated": (None, "confidence = 'low'"),
+    "d10_best_guarded": (None, "guarded"),
     "g7_clusters": (None, "component_size >= 3"),
     "g8_greedy_dedup": (None, "action = 'remove'"),
     "g9_full_linkage_dedup": (None, "action = 'remove'"),
