@@ -206,6 +206,25 @@ def test_chunks_blocks_and_doubles(spark):
         assert {q: [(r.vec_id, r.score) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])] for q in want} == {q: [(i, pytest.approx(s, abs=1e-12)) for i, s in near] for q, near in want.items()}
 
 
+@pytest.mark.parametrize("kind", ["offset", "tight", "outliers"])
+def test_no_neighbour_is_missed_wherever_rows_lie(spark, kind):
+    """Rows far from the origin, in clusters narrower than what codes leave out, and of very different lengths, most outside the fit sample."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(4000, 12))
+    if kind == "offset":
+        x = 5000 + 0.1 * x
+    elif kind == "tight":
+        x = rng.normal(size=(3, 12))[rng.integers(0, 3, 4000)] + 1e-4 * x
+    else:
+        x *= rng.pareto(0.6, size=(4000, 1)) + 0.01
+    x = x.astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = defaultdict(list)
+    for r in sorted(ann.search(*ann.build(df, 400)).collect(), key=lambda r: (r.query_id, r["rank"])):
+        got[r.query_id].append(r.vec_id)
+    assert got == {q: [v for v, _ in near] for q, near in brute(x, np.arange(4000)).items()}
+
+
 def test_equal_and_odd_vectors(spark):
     x = vectors(300, 8, 2)
     x[50:250] = x[50]
