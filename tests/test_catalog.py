@@ -127,3 +127,20 @@ def test_scopes_of_coverage_differ():
     reported = con.execute(f"SELECT q, r, ref_markers FROM ({catalog.oracle_sql()['a11_coverage_of_three']})").fetchall()
     alone = dict(con.execute(f"WITH {S.SUPP} SELECT sample_id, COUNT(*) FROM supp WHERE (ctx, obj) IN (SELECT (ctx, obj) FROM supp GROUP BY ctx, obj HAVING COUNT(*) = 1) GROUP BY 1").fetchall())
     assert len(reported) == 75 and all(n > alone[r] for _, r, n in reported)
+
+
+@pytest.mark.parametrize("name", ["p1_p4_tokenized", "p5_recovered_kmers", "s8_split_records", "s4_s5_sequence_files", "v9_quality_filter", "v10_reversed_samples", "v10_reversed_reads"])
+def test_sequences_of_large_part_numbers(spark, tmp_path, name):
+    """Parts' numbers of more than eight digits in base four, as larger tables have."""
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    for t in ("orders", "customer", "lineitem"):
+        path = f"{SF}/{t}.parquet"
+        path += "/*.parquet" if os.path.isdir(path) else ""
+        more = "* REPLACE (l_partkey + 99991 * (l_orderkey % 3) AS l_partkey)" if t == "lineitem" else "*"
+        con.execute(f"COPY (SELECT {more} FROM '{path}') TO '{tmp_path}/{t}.parquet'")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    df = catalog.queries()[name](spark, str(tmp_path))
+    got = canonical(df.columns, df.collect())
+    cur = con.execute(catalog.oracle_sql()[name])
+    assert got == canonical([c[0] for c in cur.description], cur.fetchall())
