@@ -172,3 +172,16 @@ def test_metadata_of_appended_samples(spark):
     assert setops.append_samples([bare, bare]).columns == bare.columns
     with pytest.raises(ValueError):
         setops.append_samples([bare, bare], [{"hash_id": 1}, {"hash_id": 2}])
+
+
+def test_distance_models_are_compiled(spark):
+    """Methods beyond 8,000 bytes are interpreted by the JVM, so stages of models must not be one such method."""
+    e = spark.createDataFrame([(1, 1, 1), (2, 1, 2)], "sample_id long, ctx long, obj long")
+    key = "spark.sql.codegen.hugeMethodLimit"
+    spark.conf.unset(key)
+    pairs.with_fractions(pairs.pair_features(e), e)
+    assert int(spark.conf.get(key)) == 8000
+    spark.conf.set(key, "20000")
+    pairs.with_fractions(pairs.pair_features(e), e)
+    assert spark.conf.get(key) == "20000"
+    spark.conf.unset(key)
