@@ -185,3 +185,20 @@ def test_distance_models_are_compiled(spark):
     pairs.with_fractions(pairs.pair_features(e), e)
     assert spark.conf.get(key) == "20000"
     spark.conf.unset(key)
+
+
+def test_busy_contexts_meet_by_blocks(spark, monkeypatch):
+    """Contexts that most samples have, of one and of several objects, beside rare ones: the same features by blocks, by lists and by groups."""
+    from sketchloom.operators import meets
+
+    rng = random.Random(9)
+    rows = {(s, c, rng.randrange(40) - 3) for s in range(60) for c in range(-1, 4) for _ in range(rng.randrange(4))} | {(rng.randrange(60), rng.randrange(100, 160), rng.randrange(1 << 40)) for _ in range(300)}
+    e = spark.createDataFrame(sorted(rows), "sample_id long, ctx long, obj long")
+    other = e.where("sample_id % 3 = 0").selectExpr("sample_id + 1000 AS sample_id", "ctx", "obj")
+    for ref in (None, other):
+        want = sorted(map(tuple, pairs.pair_features(e, ref, tile=7).collect()))
+        assert sorted(map(tuple, pairs.pair_features(e, ref, busy=True).collect())) == want
+        with monkeypatch.context() as m:
+            for name, value in (("BUSY", 8), ("LEAST", 9), ("MOST", 9)):
+                m.setattr(meets, name, value)
+            assert sorted(map(tuple, pairs.pair_features(e, ref, busy=True).collect())) == want
