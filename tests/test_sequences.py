@@ -230,3 +230,12 @@ def test_stream(spark, tmp_path):
     assert got.select("sample_id").distinct().count() == 3
     want = sum(len({(c, o) for c, o, _ in plain_tokens(s, layout)}) for s in seqs)
     assert got.count() == want
+
+
+def test_separate_samples_are_files(spark, tmp_path):
+    e = spark.range(0, 4000, numPartitions=8).select((F.col("id") % 5).alias("sample_id"), F.col("id").alias("ctx"), F.lit(0).cast("long").alias("obj"))
+    s = spark.createDataFrame([(i, f"s{i}") for i in range(5)], "sample_id long, name string")
+    store.write_separate(str(tmp_path / "sep"), e, s)
+    files = [len(list(p.glob("*.parquet"))) for p in (tmp_path / "sep" / "sketches").glob("sample=*")]
+    assert files == [1] * 5  # not one of each task
+    assert {r["sample"]: r["count"] for r in spark.read.parquet(str(tmp_path / "sep" / "sketches")).groupBy("sample").count().collect()} == {f"s{i}": 800 for i in range(5)}
