@@ -202,3 +202,16 @@ def test_busy_contexts_meet_by_blocks(spark, monkeypatch):
             for name, value in (("BUSY", 8), ("LEAST", 9), ("MOST", 9)):
                 m.setattr(meets, name, value)
             assert sorted(map(tuple, pairs.pair_features(e, ref, busy=True).collect())) == want
+
+
+def test_pairs_are_not_shuffled_one_by_one(spark):
+    """What a sample meets goes on as packed rows dealt by the sample, whatever its number; nothing is dealt by pair."""
+    ids = [-(2**62), -7, 0, 300, 70_000, 2**33, 2**62]
+    rows = [(s, c, (3 * i + c) % 16) for i, s in enumerate(ids) for c in range(4) if (i + c) % 3]
+    for some in (rows, [x for x in rows if 0 <= x[0] < 2**32], [x for x in rows if -8 < x[0] < 301]):
+        e = spark.createDataFrame(some, SCHEMA)
+        got = pairs.pair_features(e)
+        dealt = [line for line in got._jdf.queryExecution().executedPlan().toString().splitlines() if "hashpartitioning(" in line]
+        assert dealt and not any("r#" in line.split("hashpartitioning(")[1] for line in dealt)
+        assert collected(got) == {k: v for k, v in features(some, some).items() if k[1] < k[0]}
+        assert collected(pairs.pair_features(e, e)) == features(some, some)
