@@ -124,3 +124,18 @@ def test_candidates_meet_alone(spark):
     every = {(r.q, r.r): tuple(r) for r in pairs.pair_features(e).collect()}
     some = spark.createDataFrame([(3, 1), (5, 0), (3, 1), (1, 3)], "q long, r long")
     assert {(r.q, r.r): tuple(r) for r in pairs.pair_features(e, candidates=some).collect()} == {k: every[k] for k in ((3, 1), (5, 0))}
+
+
+@pytest.mark.parametrize("measure", ["cosine", "l1", "l2"])
+def test_vectors_by_blocks(spark, monkeypatch, measure):
+    """Blocks of samples give what dimensions give, repeated rows included, and no pair is shuffled."""
+    monkeypatch.setattr(profile, "BLOCK", 4)
+    monkeypatch.setattr(profile, "PART", 2)
+    rows = [(s, d, float(1 + (s * 7 + d * 3) % 11)) for s in range(11) for d in range(4) if (s + d) % 3] + [(3, 1, 2.5), (5, 0, 4.0), (20, 9, 1.0)]
+    v = spark.createDataFrame(rows, "sample long, ref_idx long, pct double")
+    q = v.where("sample % 2 = 1")
+    got = profile._in_blocks(q, v, measure)
+    assert got is not None and "hashpartitioning(q#" not in got._jdf.queryExecution().executedPlan().toString()
+    told = lambda df: {(r.q, r.s): pytest.approx(r.value, abs=1e-9) for r in df.collect()}
+    assert {(r.q, r.s): r.value for r in got.collect()} == told(profile._joined(q, v, measure))
+    assert profile._in_blocks(v, v.unionByName(v.selectExpr("sample", "ref_idx", "CAST(NULL AS DOUBLE) AS pct")), measure) is None
