@@ -139,3 +139,18 @@ def test_vectors_by_blocks(spark, monkeypatch, measure):
     told = lambda df: {(r.q, r.s): pytest.approx(r.value, abs=1e-9) for r in df.collect()}
     assert {(r.q, r.s): r.value for r in got.collect()} == told(profile._joined(q, v, measure))
     assert profile._in_blocks(v, v.unionByName(v.selectExpr("sample", "ref_idx", "CAST(NULL AS DOUBLE) AS pct")), measure) is None
+
+
+def test_matrix_frame_is_not_shuffled(spark, monkeypatch):
+    """Cells and lines come from the pairs that meet; no cell is dealt by its pair."""
+    monkeypatch.setattr(ani, "_CHUNK", 3)
+    rows = [(s, c, (s + c) % 4) for s in range(-3, 8) for c in range(s + 3, s + 6)]
+    e = spark.createDataFrame(rows, ENTRIES)
+    cells = ani.matrix_cells(e, "ctx-naive")
+    plan = cells._jdf.queryExecution().executedPlan().toString()
+    assert not any("q#" in x and "r#" in x for x in plan.splitlines() if "hashpartitioning(" in x)
+    assert cells.count() == 121 and cells.where("q = r").agg(F.sum("value")).first()[0] == 0
+    assert {r.q: r.line for r in ani.matrix_lines(e, "ctx-naive", below=True).collect()} == {r.q: r.line for r in ani.lower_triangle(cells).collect()}
+    names = spark.createDataFrame([(s, f"n{s}") for s in range(-3, 8)], "sample_id long, name string")
+    lines = lambda x: {r.q: r.line for r in ani.phylip(x, names)[0].collect()}
+    assert lines(ani.matrix_lines(e, "ctx-naive", separator=" ")) == lines(cells)
