@@ -6,8 +6,7 @@ outer bases and the place, so the permutation's inverse gives the k-mer back.
 
 The inverted store has, for each key, the samples that hold it: posting lists of sorted ids, as differences in the smallest whole numbers that hold them. A list is
 cut by ``CHUNK`` ids of samples, so no list grows with the number of samples, and a key of many samples is many rows. Samples are appended
-in runs, and :func:`merged` makes one run of all. Two stores meet by key, list by list, and what a task adds up for a pair of samples
-leaves it once.
+in runs, and :func:`merged` makes one run of all. Two stores meet by key; what a sample meets there is dealt by the sample and counted by partner.
 
 Defined results: repeated (sample, key) rows count once; rows without a sample or a key take no part; negative ids are allowed; an empty store
 gives no pairs; a sample's entries that come in several runs are joined when runs are merged and count once before that, too.
@@ -23,11 +22,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sketchloom.operators import meets
+from sketchloom.operators.meets import unpacked
 from sketchloom.operators.tokenize import CHUNK as LETTERS
 from sketchloom.operators.tokenize import _CODE
-from sketchloom.session import lean, materialize, small
+from sketchloom.session import bounded_batches, lean, measured, small
 
-#: Ids of samples that share a posting list, and pairs that a task adds up before it hands them on.
+#: Ids of samples that share a posting list, and met pairs that a task holds at a time.
 CHUNK, PAIRS = 1 << 16, 2_000_000
 
 
@@ -115,27 +116,58 @@ def reversed_kmers(keys: DataFrame, layout: SubcontextLayout, places: DataFrame)
 # --- posting lists ----------------------------------------------------------------------------
 
 
-def encoded(ids: np.ndarray) -> bytes:
-    """Ascending offsets below ``CHUNK`` as a byte that says how wide their differences are, and these."""
+def encoded_lists(ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """Runs of ``counts`` ascending offsets below ``CHUNK``, each as a byte that says how wide its differences are, and these."""
+    first = np.r_[0, np.cumsum(counts)]
     steps = np.diff(ids, prepend=0)
-    width = np.uint8 if steps.max(initial=0) < 256 else np.uint16
-    return bytes([np.dtype(width).itemsize]) + steps.astype(width).tobytes()
+    some = counts > 0
+    steps[first[:-1][some]] = ids[first[:-1][some]]
+    width = np.ones(len(counts), dtype=np.int64)
+    if len(ids):
+        width[some] += np.maximum.reduceat(steps, first[:-1][some]) > 255
+    offsets = np.r_[0, np.cumsum(1 + counts * width)]
+    raw = np.empty(offsets[-1], dtype=np.uint8)
+    raw[offsets[:-1]] = width
+    wide = np.repeat(width, counts)
+    at = np.repeat(offsets[:-1] + 1 - first[:-1] * width, counts) + np.arange(len(ids)) * wide
+    raw[at] = steps & 255
+    raw[at[wide == 2] + 1] = steps[wide == 2] >> 8
+    return pa.BinaryArray.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(raw)])
+
+
+def decoded_lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The offsets of all lists of a column, and how many each has."""
+    raw, size = unpacked(column, np.uint8)
+    first = np.cumsum(size) - size
+    width = raw[first].astype(np.int64)
+    counts = (size - 1) // np.maximum(width, 1)
+    start, wide = np.cumsum(counts) - counts, np.repeat(width, counts)
+    at = np.repeat(first + 1 - start * width, counts) + np.arange(counts.sum()) * wide
+    steps = raw[at].astype(np.int64)
+    steps[wide == 2] += raw[at[wide == 2] + 1].astype(np.int64) << 8
+    upto = np.r_[0, np.cumsum(steps)]
+    return upto[1:] - np.repeat(upto[start], counts), counts
+
+
+def encoded(ids: np.ndarray) -> bytes:
+    return encoded_lists(np.asarray(ids, dtype=np.int64), np.array([len(ids)]))[0].as_py()
 
 
 def decoded(raw: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(raw, dtype=np.uint8 if raw[0] == 1 else np.uint16, offset=1), dtype=np.int64)
+    return decoded_lists(pa.array([raw], pa.binary()))[0]
 
 
 def postings(keys: DataFrame) -> DataFrame:
     """key, chunk, number of samples and their list, of rows sample_id and key."""
-    rows = keys.where("sample_id IS NOT NULL AND key IS NOT NULL").select("key", F.floor(F.col("sample_id") / CHUNK).alias("chunk"), F.pmod("sample_id", F.lit(CHUNK)).cast("int").alias("at"))
-    lists = rows.groupBy("key", "chunk").agg(F.array_sort(F.collect_set("at")).alias("ids"))  # at most CHUNK of them
+    chunk = F.expr(f"sample_id div {CHUNK} - CASE WHEN sample_id < 0 AND sample_id % {CHUNK} <> 0 THEN 1 ELSE 0 END")
+    rows = keys.where("sample_id IS NOT NULL AND key IS NOT NULL").select("key", chunk.cast("long").alias("chunk"), F.pmod("sample_id", F.lit(CHUNK)).cast("int").alias("at"))
+    lists = rows.groupBy("key", "chunk").agg(F.sort_array(F.collect_set("at")).alias("ids"))  # at most CHUNK of them
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(2)
-            made = [encoded(x.values.to_numpy()) for x in ids]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(x.values) for x in ids], pa.int32()), pa.array(made, pa.binary())], ["key", "chunk", "n", "list"])
+            counts = np.asarray(batch.column(2).value_lengths()).astype(np.int64)
+            made = encoded_lists(np.asarray(batch.column(2).flatten()).astype(np.int64), counts)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts.astype(np.int32)), made], ["key", "chunk", "n", "list"])
 
     return lists.mapInArrow(run, POSTING)
 
@@ -155,16 +187,15 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 def _joined(lists: DataFrame) -> DataFrame:
     """One list for each key and chunk: those that several runs have are united."""
+    shift = CHUNK
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, made = [], []
-            for own in batch.column(2):
-                raw = own.as_py()
-                ids = np.unique(np.concatenate([decoded(x) for x in raw])) if len(raw) > 1 else decoded(raw[0])
-                n.append(len(ids))
-                made.append(raw[0] if len(raw) == 1 else encoded(ids))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int32()), pa.array(made, pa.binary())], ["key", "chunk", "n", "list"])
+            ids, counts = decoded_lists(batch.column(2).flatten())
+            of = np.repeat(np.arange(batch.num_rows), np.asarray(batch.column(2).value_lengths()))
+            row, ids = np.divmod(np.unique(np.repeat(of, counts) * shift + ids), shift)
+            n = np.bincount(row, minlength=batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n.astype(np.int32)), encoded_lists(ids, n)], ["key", "chunk", "n", "list"])
 
     return lists.groupBy("key", "chunk").agg(F.collect_list("list").alias("lists")).mapInArrow(run, POSTING)  # one of each run
 
@@ -175,53 +206,88 @@ def merged(spark: SparkSession, path: str, into: str) -> DataFrame:
     return read(spark, into)
 
 
+def _samples(lists: pa.Array, chunks: pa.Array, chunk: int) -> tuple[np.ndarray, np.ndarray]:
+    """The samples of lists, and how many each has."""
+    ids, counts = decoded_lists(lists)
+    return ids + np.repeat(np.asarray(chunks) * chunk, counts), counts
+
+
 def listed(lists: DataFrame) -> DataFrame:
     """sample_id and key again."""
+    chunk = CHUNK
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, chunk, _, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ids = decoded(raw) + chunk * CHUNK
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.full(len(ids), key))], ["sample_id", "key"])
+            ids, counts = _samples(batch.column("list"), batch.column("chunk"), chunk)
+            keys = np.repeat(np.asarray(batch.column("key")), counts)
+            for at in range(0, len(ids), meets.SENT):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + meets.SENT]), pa.array(keys[at : at + meets.SENT])], ["sample_id", "key"])
 
     return lists.mapInArrow(run, "sample_id long, key long").distinct()
 
 
+def _of_keys(column: pa.Array, chunk: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and sample of a column of keys' lists, in this order and each once."""
+    flat = column.flatten()
+    ids, counts = _samples(flat.field(1), flat.field(0), chunk)
+    row = np.repeat(np.repeat(np.arange(len(column)), np.asarray(column.value_lengths())), counts)
+    order = np.lexsort((ids, row))
+    row, ids = row[order], ids[order]
+    new = np.r_[True, (row[1:] != row[:-1]) | (ids[1:] != ids[:-1])] if len(row) else np.empty(0, dtype=bool)
+    return row[new], ids[new]
+
+
+def _partners(batch: pa.RecordBatch, alone: bool, low: int, width: np.dtype, chunk: int, pairs: int) -> Iterator[pa.RecordBatch]:
+    """A row for each sample of a key: its partners there, of the same samples those before it."""
+    row, q = _of_keys(batch.column(0), chunk)
+    rows, r = (row, q) if alone else _of_keys(batch.column(1), chunk)
+    start = np.searchsorted(rows, row)
+    n = (np.arange(len(row)) if alone else np.searchsorted(rows, row, side="right")) - start
+    q, start, n = q[n > 0], start[n > 0], n[n > 0]
+    upto = np.r_[0, np.cumsum(n)]
+    packs = (r.view(np.uint64) - np.uint64(low % (1 << 64))).astype(width)
+    g = 0
+    while g < len(q):
+        h = max(g + 1, int(np.searchsorted(upto, upto[g] + pairs, side="right")) - 1)
+        right = np.arange(upto[h] - upto[g]) + np.repeat(start[g:h] - upto[g:h] + upto[g], n[g:h])
+        yield pa.RecordBatch.from_arrays([pa.array(q[g:h]), meets.packed(packs[right], n[g:h])], names=["q", "partners"])
+        g = h
+
+
 def shared_counts(qry: DataFrame, ref: DataFrame | None = None) -> DataFrame:
-    """q, r and the number of keys they share, from posting lists; without ``ref`` each pair once, with q > r."""
+    """q, r and the number of keys they share, from posting lists; without ``ref`` each pair once, with q > r.
+
+    A key's lists come to a task as one row. What a sample meets there goes on as one row of packed numbers, dealt by the sample, and is counted by partner. Keys that very many
+    samples hold are met by blocks of samples (:mod:`meets`).
+    """
     alone = ref is None
-    one = materialize(_joined(qry), "postings")
-    two = one if alone else materialize(_joined(ref), "postings")
-    left = one.select("key", F.col("chunk").alias("q_chunk"), F.col("list").alias("q_list"))
-    right = two.select("key", F.col("chunk").alias("r_chunk"), F.col("list").alias("r_list"))
-    met = left.join(right, "key")
-    if alone:
-        met = met.where("r_chunk <= q_chunk")
+    bounded_batches(qry.sparkSession)
+    chunk, pairs = CHUNK, PAIRS
+    size = lambda lists, name: lists.groupBy("key").agg(F.sum("n").alias(name))
+    sizes = size(qry, "n").withColumn("m", F.col("n")) if alone else size(qry, "n").join(size(ref, "m"), "key")
+    busy, told = measured(sizes.where(F.sqrt(F.col("n").cast("double") * F.col("m")) > meets.BUSY).select("key"), "busy", rows=F.count("*"))
+    span = (qry if alone else ref).agg(F.min("chunk"), F.max("chunk")).first()
+    low, high = (span[0] or 0) * chunk, ((span[1] or 0) + 1) * chunk - 1
+    width = meets.narrow(low, high)
+    some = (lambda lists, how: lists.join(small(busy, told["rows"]), "key", how)) if told["rows"] else (lambda lists, how: lists)
+
+    def gathered(lists: DataFrame, name: str) -> DataFrame:
+        made = some(lists, "left_anti").groupBy("key").agg(F.sum("n").alias("n"), F.collect_list(F.struct("chunk", "list")).alias(name))
+        return (made.where("n > 1") if alone else made).drop("n")  # a key that one sample holds makes no pair
+
+    met = gathered(qry, "qs") if alone else gathered(qry, "qs").join(gathered(ref, "rs"), "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        size = 0
-
-        def out() -> Iterator[pa.RecordBatch]:
-            pairs, n = np.unique(np.concatenate(held, axis=1), axis=1, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.array(n)], ["q", "r", "n"])
-
         for batch in batches:
-            q_chunk, q_list, r_chunk, r_list = (batch.column(i).to_pylist() for i in range(4))
-            for qc, ql, rc, rl in zip(q_chunk, q_list, r_chunk, r_list, strict=True):
-                q, r = decoded(ql) + qc * CHUNK, decoded(rl) + rc * CHUNK
-                for some in np.array_split(q, -(-len(q) * len(r) // PAIRS) or 1):  # two long lists are too many pairs at once
-                    pair = np.stack([np.repeat(some, len(r)), np.tile(r, len(some))])
-                    held.append(pair[:, pair[1] < pair[0]] if alone else pair)
-                    size += held[-1].shape[1]
-                    if size >= PAIRS:
-                        yield from out()
-                        held, size = [], 0
-        if size:
-            yield from out()
-
-    counted = met.select("q_chunk", "q_list", "r_chunk", "r_list").mapInArrow(lean(run), "q long, r long, n long")
-    return counted.groupBy("q", "r").agg(F.sum("n").alias("shared"))
+            yield from _partners(batch, alone, low, width, chunk, pairs)
+
+    dealt = met.select("qs", *([] if alone else ["rs"])).mapInArrow(lean(run), "q long, partners binary").repartition("q").sortWithinPartitions("q")
+    counted = dealt.mapInArrow(lean(lambda batches: meets.by_partner(batches, low, width, pairs, ["q", "r", "shared"])), "q long, r long, shared long")
+    if not told["rows"]:
+        return counted
+    entries = lambda lists: listed(some(lists, "left_semi")).select("sample_id", F.col("key").alias("ctx"), F.lit(0).cast("long").alias("obj"))
+    blocks = meets.by_blocks(entries(qry), None if alone else entries(ref)).select("q", "r", F.col("xny").alias("shared"))
+    return counted.unionByName(blocks).groupBy("q", "r").agg(F.sum("shared").alias("shared"))
 
 
 def key_of(columns: tuple[str, ...] = ("ctx", "obj")) -> Column:

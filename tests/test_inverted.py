@@ -68,3 +68,21 @@ def test_keys_go_back_to_kmers(spark, half, sub, level):
         inverted.keyed(records, layout, places % 7)
     with pytest.raises(ValueError):
         inverted.SubcontextLayout(4, 5, 1)
+
+
+@pytest.mark.parametrize("busy", [2048, 10])
+def test_far_ids_and_keys_of_many_samples(spark, monkeypatch, busy):
+    """Ids that doubles can't tell apart, runs that overlap, and keys that are met by blocks."""
+    monkeypatch.setattr(inverted.meets, "BUSY", busy)
+    monkeypatch.setattr(inverted, "PAIRS", 7)
+    rng = random.Random(busy)
+    ids = [(1 << 60) + 65_530 + i for i in range(20)] + [-(1 << 60) - i for i in range(20)] + list(range(5))
+    rows = [(s, k) for s in ids for k in rng.sample(range(40), 6)] + [(s, 99) for s in ids]
+    df = spark.createDataFrame(rows, "sample_id long, key long")
+    lists = inverted.postings(df).unionByName(inverted.postings(df.where("sample_id > 0")))
+    assert {tuple(r) for r in inverted.listed(lists).collect()} == set(rows)
+    want = {tuple(r) for r in exact_overlap(df, keys=("key",)).collect()}
+    assert sorted(map(tuple, inverted.shared_counts(lists).collect())) == sorted(want)
+    few = df.where("key % 2 = 1")
+    got = sorted(map(tuple, inverted.shared_counts(inverted.postings(few), lists).collect()))
+    assert got == sorted(map(tuple, exact_overlap(few, df, ("key",)).collect()))

@@ -3,6 +3,8 @@
 import random
 from collections import defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from sketchloom.operators import ani, entries, pairs, setops
@@ -215,3 +217,21 @@ def test_pairs_are_not_shuffled_one_by_one(spark):
         assert dealt and not any("r#" in line.split("hashpartitioning(")[1] for line in dealt)
         assert collected(got) == {k: v for k, v in features(some, some).items() if k[1] < k[0]}
         assert collected(pairs.pair_features(e, e)) == features(some, some)
+
+
+def test_what_a_sample_meets_is_added_up_bit_by_bit(monkeypatch):
+    """A query that meets many entries of few partners: no more than ``held`` of them are added up at a time."""
+    from sketchloom.operators import meets
+
+    rng = np.random.default_rng(3)
+    seen, summed = [], meets._summed
+    monkeypatch.setattr(meets, "_summed", lambda p, d: seen.append(len(p)) or summed(p, d))
+    rows, want = [], {}
+    for q in np.repeat([4, 9], 30).tolist():
+        partner, d = rng.integers(0, 50, 40).astype(np.uint8), rng.integers(0, 4, 40).astype(np.uint8)
+        rows.append((q, partner.tobytes(), d.tobytes()))
+        for p, x in zip(partner.tolist(), d.tolist(), strict=True):
+            want[q, p - 5] = np.add(want.get((q, p - 5), 0), [1, x > 0, x, x > 1])
+    batches = [pa.RecordBatch.from_arrays([pa.array([r[0] for r in part]), *(pa.array([r[i] for r in part], pa.binary()) for i in (1, 2))], names=["q", "partners", "least"]) for part in (rows[:20], rows[20:])]
+    got = [tuple(r.values()) for b in meets.by_partner(iter(batches), -5, np.dtype(np.uint8), 100, meets._NAMES) for r in b.to_pylist()]
+    assert sorted(got) == sorted((*k, *v.tolist()) for k, v in want.items()) and max(seen) < 100 + 40 and len(seen) > 20
