@@ -235,3 +235,22 @@ def test_what_a_sample_meets_is_added_up_bit_by_bit(monkeypatch):
     batches = [pa.RecordBatch.from_arrays([pa.array([r[0] for r in part]), *(pa.array([r[i] for r in part], pa.binary()) for i in (1, 2))], names=["q", "partners", "least"]) for part in (rows[:20], rows[20:])]
     got = [tuple(r.values()) for b in meets.by_partner(iter(batches), -5, np.dtype(np.uint8), 100, meets._NAMES) for r in b.to_pylist()]
     assert sorted(got) == sorted((*k, *v.tolist()) for k, v in want.items()) and max(seen) < 100 + 40 and len(seen) > 20
+
+
+@pytest.mark.parametrize("small, few", [(1 << 20, 1024), (0, 1024), (1 << 20, 0)])
+def test_pairs_of_busy_contexts_are_not_shuffled(spark, monkeypatch, small, few):
+    """If all contexts are few, pairs of blocks have whole features and are joined with counts where they are; blocks that aren't small are dealt, not broadcast."""
+    from sketchloom.operators import blocks, meets
+
+    for module, name, value in ((meets, "BUSY", 8), (meets, "LEAST", 9), (meets, "MOST", 9), (meets, "PART", 4), (meets, "FEW", few), (blocks, "SMALL", small)):
+        monkeypatch.setattr(module, name, value)
+    rng = random.Random(4)
+    rows = sorted({(s, c, rng.randrange(16 if c < 4 else 1 << 20)) for s in range(40) for c in range(6) for _ in range(rng.randrange(12 if c else 90))} | {(s, 50 + s // 2, 1) for s in range(40)})
+    e = spark.createDataFrame(rows, SCHEMA)
+    other = e.where("sample_id % 3 = 0")
+    for ref, want in ((None, {k: v for k, v in features(rows, rows).items() if k[1] < k[0]}), (other, features(rows, [x for x in rows if x[0] % 3 == 0]))):
+        got = pairs.pair_features(e, ref)
+        plan = pairs.with_fractions(got, e, ref)._jdf.queryExecution().executedPlan().toString()
+        dealt = [line.split("hashpartitioning(")[1] for line in plan.splitlines() if "hashpartitioning(" in line]
+        assert ("BroadcastExchange" in plan) and bool(dealt) == (not small or not few) and not any(x.startswith(("q#", "r#")) for x in dealt if few)
+        assert collected(got) == want
