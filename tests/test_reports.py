@@ -154,3 +154,29 @@ def test_matrix_frame_is_not_shuffled(spark, monkeypatch):
     names = spark.createDataFrame([(s, f"n{s}") for s in range(-3, 8)], "sample_id long, name string")
     lines = lambda x: {r.q: r.line for r in ani.phylip(x, names)[0].collect()}
     assert lines(ani.matrix_lines(e, "ctx-naive", separator=" ")) == lines(cells)
+
+
+@pytest.mark.parametrize("small", [1 << 20, 0])
+def test_copies_of_blocks_are_not_broadcast(spark, monkeypatch, small):
+    """Blocks are broadcast once if they are small, and else dealt; what is copied for pairs of blocks never goes through the driver."""
+    from sketchloom.operators import blocks
+
+    monkeypatch.setattr(blocks, "SMALL", small)
+    monkeypatch.setattr(profile, "BLOCK", 3)
+    v = spark.createDataFrame([(f"s{s}", d, float(1 + (s * 7 + d * 3) % 11)) for s in range(20) for d in range(3) if s % 4 or d], "sample string, ref_idx long, pct double")
+    got = profile._in_blocks(v, v, "l1")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.index("Generate")] if "Generate" in plan else plan
+    assert ("BroadcastExchange" in plan) == bool(small) and "BroadcastExchange" not in (above if not small else "") and ("Generate" in plan) == (not small)
+    told = lambda df: {(r.q, r.s): pytest.approx(r.value, abs=1e-9) for r in df.collect()}
+    assert {(r.q, r.s): r.value for r in got.collect()} == told(profile._joined(v, v, "l1"))
+
+
+def test_rounding_of_columns_is_that_of_round(spark):
+    """Values are rounded as whole numbers only where that gives what ``round`` gives."""
+    from sketchloom.plans.registry import r9
+
+    odd = [float("nan"), float("inf"), -0.0, None, -1e-12, 1e20, 999.9999999995, 5e-10, -5e-10, 1.0000000005, -3.2500000015]
+    v = spark.createDataFrame([(x,) for x in odd], "v double").unionByName(spark.range(20000).selectExpr("id * 5e-10 - 1e-6 AS v")).unionByName(spark.range(20000).selectExpr("(rand(3) - 0.5) * pow(10, id % 7 - 3) AS v"))
+    told = v.select(F.hash(r9("v")).alias("a"), F.hash(F.round("v", 9)).alias("b"))
+    assert told.where("a <> b").count() == 0
