@@ -180,3 +180,19 @@ def test_rounding_of_columns_is_that_of_round(spark):
     v = spark.createDataFrame([(x,) for x in odd], "v double").unionByName(spark.range(20000).selectExpr("id * 5e-10 - 1e-6 AS v")).unionByName(spark.range(20000).selectExpr("(rand(3) - 0.5) * pow(10, id % 7 - 3) AS v"))
     told = v.select(F.hash(r9("v")).alias("a"), F.hash(F.round("v", 9)).alias("b"))
     assert told.where("a <> b").count() == 0
+
+
+def test_matrix_rows_are_made_where_a_query_is_met(spark, monkeypatch):
+    """A query's pairs come to one task, and its cells and its line are made there; samples without contexts have theirs, too."""
+    monkeypatch.setattr(ani, "_CHUNK", 3)
+    rows = [(s, c, (s + c) % 4) for s in range(-3, 8) for c in range(s + 3, s + 6)] + [(9, None, 1), (11, 40, 2)]
+    e = spark.createDataFrame(rows, ENTRIES)
+    cells, lines = ani.matrix_cells(e, "ctx-naive"), {b: ani.matrix_lines(e, "ctx-naive", below=b) for b in (True, False)}
+    for made in (cells, *lines.values()):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert sum("hashpartitioning(q#" in x for x in plan.splitlines()) == 1
+    told = lambda df: sorted(map(tuple, df.collect()))
+    got = told(cells), {b: told(x) for b, x in lines.items()}
+    monkeypatch.setattr(ani, "BROADCAST_ROWS", 0)  # the other way
+    assert got == (told(ani.matrix_cells(e, "ctx-naive")), {b: told(ani.matrix_lines(e, "ctx-naive", below=b)) for b in (True, False)})
+    assert len(got[0]) == 169 and len(got[1][False]) == 13 and len(got[1][True]) == 12
