@@ -254,3 +254,16 @@ def test_pairs_of_busy_contexts_are_not_shuffled(spark, monkeypatch, small, few)
         dealt = [line.split("hashpartitioning(")[1] for line in plan.splitlines() if "hashpartitioning(" in line]
         assert ("BroadcastExchange" in plan) and bool(dealt) == (not small or not few) and not any(x.startswith(("q#", "r#")) for x in dealt if few)
         assert collected(got) == want
+
+
+def test_the_side_of_fewer_numbers_makes_the_partners(spark, monkeypatch):
+    """Few queries against many references: rows are packed numbers of the queries, dealt by the reference."""
+    from sketchloom.operators import meets
+
+    seen, by_lists = [], meets.by_lists
+    monkeypatch.setattr(meets, "by_lists", lambda q, r, low, high: seen.append((low, high)) or by_lists(q, r, low, high))
+    few = [(s, c, (s + c) % 16) for s in range(3) for c in range(9)]
+    many = [(s * 300, c, (s * c) % 16) for s in range(1, 9) for c in range(s)]
+    q, r = (spark.createDataFrame(x, SCHEMA) for x in (few, many))
+    assert collected(pairs.pair_features(q, r)) == features(few, many) and collected(pairs.pair_features(r, q)) == features(many, few)
+    assert seen == [(0, 2), (0, 2)]
